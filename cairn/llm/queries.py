@@ -20,7 +20,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.quality import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op7_prefix_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_outliers": op2_quality_outliers,
+    "op7_prefix_decontaminate": op7_prefix_decontaminate,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
