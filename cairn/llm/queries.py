@@ -20,6 +20,13 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a public tokenizer file, which is installed on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.quality import quality_rules
 
@@ -32,9 +39,23 @@ def op7_prefix_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.mixing import mixed_order
+
+    return mixed_order(_table(spark, sf_dir, "documents"))
+
+
+def op9_wavelet_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    from cairn.llm.tokens import token_shards
+
+    return token_shards(_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_outliers": op2_quality_outliers,
     "op7_prefix_decontaminate": op7_prefix_decontaminate,
+    "op8_pfair_mixing": op8_pfair_mixing,
+    "op9_wavelet_token_shards": op9_wavelet_token_shards,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
