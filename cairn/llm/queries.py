@@ -33,6 +33,12 @@ def op2_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op3_debruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.repeats import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_prefix_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.decontaminate import contamination
 
@@ -53,6 +59,7 @@ def op9_wavelet_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str |
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_outliers": op2_quality_outliers,
+    "op3_debruijn_repeats": op3_debruijn_repeats,
     "op7_prefix_decontaminate": op7_prefix_decontaminate,
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_wavelet_token_shards": op9_wavelet_token_shards,
