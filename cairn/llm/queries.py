@@ -39,6 +39,12 @@ def op3_debruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.kneser_ney import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op7_prefix_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.decontaminate import contamination
 
@@ -60,6 +66,7 @@ def op9_wavelet_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str |
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_outliers": op2_quality_outliers,
     "op3_debruijn_repeats": op3_debruijn_repeats,
+    "op6_kneser_ney": op6_kneser_ney,
     "op7_prefix_decontaminate": op7_prefix_decontaminate,
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_wavelet_token_shards": op9_wavelet_token_shards,
