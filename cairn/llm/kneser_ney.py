@@ -113,7 +113,7 @@ class _Held:
 def _save(folder: str, name: str, data: bytes) -> None:
     store, top = file_system(folder)
     temporary = f"{top}/_{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(temporary) as f:
+    with store.open_output_stream(temporary, compression=None) as f:
         f.write(data)
     store.move(temporary, f"{top}/{name}")
 
@@ -127,7 +127,7 @@ def _mapped(folder: str, name: str) -> np.ndarray:
     if not isinstance(store, fs.LocalFileSystem):
         local = os.path.join(tempfile.gettempdir(), hashlib.sha1(folder.encode()).hexdigest() + "-" + name)
         if not os.path.exists(local):
-            with store.open_input_stream(path) as f, open(f"{local}.{uuid.uuid4().hex}", "wb") as g:
+            with store.open_input_stream(path, compression=None) as f, open(f"{local}.{uuid.uuid4().hex}", "wb") as g:
                 g.write(f.read())
             os.replace(g.name, local)
         path = local

@@ -90,7 +90,7 @@ def _estimate(mean: np.ndarray, cov: np.ndarray, level: str, kind: str) -> pd.Da
 _PARAMETERS = "level string, kind string, " + ", ".join(f"m{i} double" for i in range(P)) + ", " + ", ".join(f"v{i}{j} double" for i, j in _PAIRS)
 
 
-def _start(key, bins: pd.DataFrame) -> pd.DataFrame:
+def _start(key, bins):
     """Median and MAD of each statistic from its histogram."""
     mean, spread = np.zeros(P), np.zeros(P)
     for i, own in bins.groupby("i"):
@@ -109,7 +109,7 @@ def _stepper(part: float, limit_bin: int | None):
     inside = part if limit_bin is None else 0.975
     factor = inside / _chi2_cdf(_chi2_quantile(inside, P), P + 2)
 
-    def step(key, bins: pd.DataFrame) -> pd.DataFrame:
+    def step(key, bins):
         bins = bins.sort_values("bin")
         upto = np.cumsum(bins["n"].to_numpy())
         last = int(np.searchsorted(upto, math.ceil(part * upto[-1]))) if limit_bin is None else max(int(np.searchsorted(bins["bin"].to_numpy(), limit_bin, "right")) - 1, int(np.searchsorted(upto, math.ceil(0.5 * upto[-1]))))

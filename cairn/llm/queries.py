@@ -27,6 +27,24 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_redirect_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.url_filter import RULES, judge_urls, rule_table
+
+    return judge_urls(_table(spark, sf_dir, "pages"), rule_table(spark, RULES))
+
+
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str, key: bytes = b"cairn demonstration key") -> DataFrame:
+    from cairn.llm.pseudonyms import pseudonymize
+
+    return pseudonymize(_table(spark, sf_dir, "documents"), key)
+
+
+def op5_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.warc import read_warc, write_warc
+
+    return read_warc(write_warc(_table(spark, sf_dir, "pages")))
+
+
 def op2_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.quality import quality_rules
 
@@ -64,8 +82,11 @@ def op9_wavelet_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str |
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_redirect_url_filter": op1_redirect_url_filter,
     "op2_quality_outliers": op2_quality_outliers,
     "op3_debruijn_repeats": op3_debruijn_repeats,
+    "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
+    "op5_sharded_warc": op5_sharded_warc,
     "op6_kneser_ney": op6_kneser_ney,
     "op7_prefix_decontaminate": op7_prefix_decontaminate,
     "op8_pfair_mixing": op8_pfair_mixing,

@@ -190,7 +190,7 @@ class Shard:
     def loaded(cls, uri: str) -> Shard:
         """With the whole file in memory, for reading all of it."""
         store, path = file_system(uri)
-        with store.open_input_stream(path) as f:
+        with store.open_input_stream(path, compression=None) as f:
             data = f.read()
         return cls(lambda offset, size: data[offset : offset + size])
 
@@ -276,7 +276,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, most_tokens: int):
             name = f"shard-{now:08d}-{part:05d}.wm"
             data = shard_bytes(docs, lengths, np.frombuffer(b"".join(parts), enc.dtype), enc.bits)
             temporary = f"{top}/_{name}.{uuid.uuid4().hex}"
-            with store.open_output_stream(temporary) as f:
+            with store.open_output_stream(temporary, compression=None) as f:
                 f.write(data)
             store.move(temporary, f"{top}/{name}")
             row = (now, part, f"{folder}/{name}", len(docs), tokens, len(data))
