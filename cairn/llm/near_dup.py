@@ -7,11 +7,13 @@
    representative with fewer keys that occur twice is skipped, and of the others only a prefix is
    posted: all but the `matches - 1` most frequent of its common keys.  Two signatures with
    `matches` equal values meet in at least one prefix key.
-3. In each posting list all members are compared with the list's most central member (that with the
-   most popular keys).  Links are confirmed on the full shingle sets; linked members join components.
-4. Lists which still hold several components are merged exhaustively: every member outside the list's
-   largest component meets every member of another component.  No list is capped.  What is left out
-   are pairs whose ends are in one component already, which cannot change the result.
+3. Each posting list names its most central member (that with the most popular keys), and lists with one
+   centre merge into one group, so that a cluster's many lists become one group and no pair with a common
+   prefix key is lost.
+4. Groups are cut into blocks and each pair of blocks is one unit of work.  A unit counts collisions of
+   signatures, confirms what has `matches` of them on the full shingle sets, and returns a spanning
+   forest of its links, not the links.  No group is capped; its cost is quadratic in arithmetic on
+   blocks, but no row is made for a pair.
 
 The only loss is that of MinHash itself: with the default 40 coordinates and 20 matches a pair at
 exactly the threshold of 0.8 is missed with probability 3e-6, a closer one with less.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import U64, Rolling, WordHashes, as_long, connected_components, document_groups, mixed, staged, unstage, word_hashes
+from cairn.llm.common import U64, Rolling, WordHashes, connected_components, document_groups, mixed, staged, unstage, word_hashes
 
 
 def _shingles(words: np.ndarray, at: np.ndarray, size: int):
@@ -78,33 +80,70 @@ def _set_maker(size: int):
     return sets
 
 
-def _confirmer(percent: int):
-    def confirm(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(good, pa.bool_()))
-
-    return confirm
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, matches: int) -> DataFrame:
-    """Those of the pairs (x, y) of representatives whose full shingle sets are similar enough; staged."""
-    one = classes.select(F.col("rep").alias("x"), F.col("signature").alias("sx"), F.col("n_shingles").alias("nx"))
-    two = classes.select(F.col("rep").alias("y"), F.col("signature").alias("sy"), F.col("n_shingles").alias("ny"))
-    near = pairs.join(one, "x").join(two, "y").where((100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.size(F.array_intersect("sx", "sy")) >= matches))
-    near = staged(near.select("x", "y").distinct(), "near-candidates")
-    ends = near.select(F.col("x").alias("rep")).union(near.select("y")).distinct()
-    texts = docs.join(ends, docs["doc_id"] == ends["rep"], "left_semi").select("doc_id", "text")
-    sets = texts.mapInArrow(_set_maker(size), "rep long, d1 long, shingles binary")
-    sets = staged(sets.join(classes.select("rep", "d1"), ["rep", "d1"]).select("rep", "shingles"), "near-sets")
-    both = near.join(sets.select(F.col("rep").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("rep").alias("y"), F.col("shingles").alias("sy")), "y")
-    good = staged(both.select("x", "y", "sx", "sy").mapInArrow(_confirmer(percent), "x long, y long").distinct(), "near-links")
-    unstage(near, sets)
-    return good
+def _signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
+    seeds, odd = mixed(np.arange(coordinates, dtype=U64), 7), mixed(np.arange(coordinates, dtype=U64), 8) | U64(1)
+    out = np.zeros((len(sets), coordinates), U64)
+    for i, found in enumerate(sets):
+        out[i] = np.min([((part[:, None] ^ seeds) * odd).min(axis=0) for part in np.array_split(found, 1 + len(found) // 20_000)], axis=0)
+    return out
+
+
+def _shared(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets x with sets y, as a matrix, from those shingles that occur twice."""
+    which = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    use = times[column] > 1
+    which, column = which[use], number[column[use]]
+    order = np.argsort(column, kind="stable")
+    which, column = which[order], column[order]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, 2048):
+        a, b = np.searchsorted(column, [lo, lo + 2048])
+        dense = np.zeros((len(sets), 2048), np.float32)
+        dense[which[a:b], column[a:b] - lo] = 1
+        out += dense[x] @ dense[y].T
+    return out
+
+
+def _linker(percent: int, coordinates: int, matches: int):
+    def links(key, table):
+        """Spanning forest of the links between the two blocks of a unit (or inside its one block)."""
+        low, high = key[1].as_py(), key[2].as_py()
+        table = table.sort_by("rep")
+        reps = table.column("rep").to_numpy()
+        block = table.column("block").to_numpy()
+        sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        signatures = _signatures(sets, coordinates)
+        x, y = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        near = np.zeros((len(x), len(y)), np.int16)
+        for k in range(coordinates):
+            near += signatures[x, k][:, None] == signatures[y, k][None, :]
+        likely = (near >= matches) & (100 * np.minimum(sizes[x][:, None], sizes[y][None, :]) >= percent * np.maximum(sizes[x][:, None], sizes[y][None, :]))
+        if low == high:
+            likely &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
+        i, j = np.nonzero(likely)
+        if len(i) * 20e-6 < 2e-3 + 2e-8 * sizes.sum() + len(x) * len(y) * sizes.mean() * 1e-10:
+            both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(x[i], y[j], strict=True)], np.int64)
+        else:
+            both = _shared(sets, x, y)[i, j].astype(np.int64)
+        good = 100 * both >= percent * (sizes[x[i]] + sizes[y[j]] - both)
+        i, j = x[i[good]], y[j[good]]
+        label, out = np.arange(len(sets)), []
+        for a, own in zip(*(lambda u, at: (u, np.split(j, at[1:])))(*np.unique(i, return_index=True)), strict=True) if len(i) else ():
+            labels, first = np.unique(label[own], return_index=True)
+            new = labels != label[a]
+            if new.any():
+                out += [(a, own[k]) for k in first[new]]
+                label[np.isin(label, labels)] = label[a]
+        return pa.table({"x": pa.array([int(reps[a]) for a, _ in out], pa.int64()), "y": pa.array([int(reps[b]) for _, b in out], pa.int64())})
+
+    return links
+
+
+#: Members and shingles of a block at most, on average over the blocks of a group.
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
 
 
 def near_duplicate_links(docs: DataFrame, *, shingle: int = 4, percent: int = 80, coordinates: int = 40, matches: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -117,34 +156,35 @@ def near_duplicate_links(docs: DataFrame, *, shingle: int = 4, percent: int = 80
     usable = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = staged(usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")), "near-classes")
 
+    # prefix and skip: of the keys that occur twice all but the matches - 1 most frequent, if there are more
     postings = classes.select("rep", "n_shingles", F.explode("signature").alias("key"))
     common = staged(postings.groupBy("key").agg(F.count("*").alias("freq")).where("freq >= 2"), "near-keys")
     lists = postings.join(common, "key").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("freq", "key"))).alias("keys")).where(F.size("keys") >= matches)
     popular = F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s + k["freq"])
     prefix = lists.select("rep", "n_shingles", popular.alias("popular"), F.explode(F.slice("keys", 1, F.size("keys") - (matches - 1))["key"]).alias("key"))
     prefix = staged(prefix, "near-prefix")
-
-    centers = staged(prefix.groupBy("key").agg(F.max(F.struct("popular", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("n")).where("n >= 2").select("key", (-F.col("top.minus")).alias("y")), "near-centers")
-    stars = staged(prefix.join(centers, "key").where("rep <> y").select(F.least("rep", "y").alias("x"), F.greatest("rep", "y").alias("y")).distinct(), "near-stars")
-    links = _confirmed(stars, classes, docs, shingle, percent, matches)
+    unstage(common)
+
+    # posting lists with one centre are one group; groups are cut into blocks, pairs of blocks are units
+    top = prefix.groupBy("key").agg(F.max(F.struct("popular", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("n")).where("n >= 2")
+    centers = staged(top.select("key", (-F.col("top.minus")).alias("center")), "near-centers")
+    members = staged(prefix.join(centers, "key").select("center", "rep", "n_shingles").distinct(), "near-members")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = staged(members.groupBy("center").agg(blocks.alias("blocks")), "near-groups")
+    placed = members.join(sizes, "center").select("center", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    units = placed.select("center", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    units = units.select("center", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "block")
+
+    # full shingle sets of the members; the hash of the smaller side keeps texts from being sorted
+    ends = members.select("rep").distinct()
+    texts = docs.join(ends.hint("shuffle_hash"), docs["doc_id"] == ends["rep"], "left_semi").select("doc_id", "text")
+    sets = texts.mapInArrow(_set_maker(shingle), "rep long, d1 long, shingles binary")
+    sets = staged(sets.join(classes.select("rep", "d1"), ["rep", "d1"]).select("rep", "shingles"), "near-sets")
+    unstage(prefix, centers)
+    links = units.join(sets, "rep").groupBy("center", "low", "high").applyInArrow(_linker(percent, coordinates, matches), "x long, y long")
+    links = staged(links.distinct(), "near-links")
     components = connected_components(links, "x", "y", "near-cc")
-
-    # posting lists with members in several components: everything outside the largest meets the rest
-    named = components.select(F.col("node").alias("rep"), "component")
-    members = staged(prefix.join(named, "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "near-members")
-    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed_lists = staged(parts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("key", "largest"), "near-mixed")
-    there = staged(members.join(mixed_lists, "key").select("key", "rep", "n_shingles", "component", (F.col("component") == F.col("largest")).alias("main")), "near-there")
-    odd = there.where("not main").select("key", F.col("rep").alias("x"), F.col("n_shingles").alias("nx"), F.col("component").alias("cx"))
-    others = there.select("key", F.col("rep").alias("y"), F.col("n_shingles").alias("ny"), F.col("component").alias("cy"), "main")
-    again = odd.join(others, "key").where((F.col("cx") != F.col("cy")) & (F.col("main") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
-    again = again.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    again = staged(again.join(stars, ["x", "y"], "left_anti"), "near-again")
-    if not again.isEmpty():
-        more = _confirmed(again, classes, docs, shingle, percent, matches)
-        if not more.isEmpty():
-            components = connected_components(links.union(more), "x", "y", "near-cc")
-    unstage(common, prefix, centers, stars, members, mixed_lists, there, again)
+    unstage(members, sizes, sets, links)
     return sketches, classes, components
 
 
