@@ -10,9 +10,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -89,23 +87,6 @@ def is_small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="cairn-ship-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _SHIPPED.add(app)
-
-
 # ---------------------------------------------------------------- document batches
 
 

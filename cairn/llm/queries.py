@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import ship
+from cairn import ship
+from cairn.llm.oracles import ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +82,8 @@ def op9_wavelet_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str |
     return token_shards(_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path())
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_redirect_url_filter": op1_redirect_url_filter,
     "op2_quality_outliers": op2_quality_outliers,
@@ -93,5 +96,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_wavelet_token_shards": op9_wavelet_token_shards,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {}
