@@ -294,11 +294,14 @@ def _margin_writer(folder: str):
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and more; 0.5, 1 and 1.5 where a number of counts is 0."""
+    """Modified Kneser-Ney discounts for counts of 1, 2 and more; 0.5, 1 and 1.5 where a number of counts is 0.
+
+    They are kept above 0, where odd counts would take all mass from what was not seen.
+    """
     if not (n1 and n2 and n3 and n4):
         return 0.5, 1.0, 1.5
     y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(k - (k + 1) * y * b / a, 0.0), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+    return tuple(min(max(k - (k + 1) * y * b / a, 0.01), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
 class Model:
