@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
-from cairn.operators import enrich, evaluate, facets, graph, ingest, retrieval, snapshot, vocabulary
+from cairn.operators import enrich, evaluate, facets, graph, ingest, retrieval, service, snapshot, vocabulary
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -559,6 +559,33 @@ def v11_search(spark, sf):
     return rows.select("query", "id", F.round("score", 5).alias("score"), F.col("nth").cast("long").alias("nth"), "source", "lang")
 
 
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
+ c AS (SELECT doc_id, w, unnest(range(0, greatest(1, CAST(ceil((len(w) - 50) / 450.0) AS BIGINT)))) AS chunk FROM w)
+ SELECT doc_id || '#' || chunk AS node_id, CAST(doc_id AS VARCHAR) AS ref_doc_id, CAST(chunk AS INTEGER) AS chunk, array_to_string(w[chunk * 450 + 1:chunk * 450 + 500], ' ') AS text FROM c""")
+def v01_chunks(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return ingest.chunks(docs, size=500, overlap=50)
+
+
+@query("""WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)
+ SELECT CAST(doc_id AS VARCHAR) AS ref_doc_id, greatest(1, CAST(ceil((n - 50) / 450.0) AS BIGINT)) AS nodes FROM w""")
+def a13_nodes_per_document(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return ingest.chunks(docs, size=500, overlap=50).groupBy("ref_doc_id").agg(F.count("*").alias("nodes"))
+
+
+@query(f"WITH {CAT} SELECT 'themes' AS attribute, unnest(themes) AS value FROM cat UNION SELECT 'categories', unnest(categories) FROM cat UNION SELECT 'provider', provider FROM cat")
+def l11_list_values(spark, sf):
+    c = catalogue(spark, sf)
+    parts = [service.list_values(c, a).select(F.lit(a).alias("attribute"), "value") for a in service.LISTED]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("SELECT l_orderkey AS dataset, l_partkey AS url, lower(l_returnflag) AS file_format FROM lineitem WHERE l_orderkey % 100 = 0")
+def p03_distribution_columns(spark, sf):
+    return table(spark, sf, "lineitem").where("l_orderkey % 100 = 0").select(F.col("l_orderkey").alias("dataset"), F.col("l_partkey").alias("url"), F.lower("l_returnflag").alias("file_format"))
+
+
 # ---------------------------------------------------------------- graph
 
 _EDGES = """SELECT url, 'HAS_KEYWORD' AS rel_type, 'Keyword' AS node_label, unnest(keywords) AS name FROM cat UNION SELECT url, 'HAS_THEME', 'Theme', unnest(themes) FROM cat UNION SELECT url, 'HAS_CATEGORY', 'Category', unnest(categories) FROM cat

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn import ship
-from cairn.operators import enrich, evaluate, facets, graph, ingest, retrieval, snapshot, vocabulary
+from cairn.operators import enrich, evaluate, facets, graph, ingest, retrieval, service, snapshot, vocabulary
 from cairn.sources.files import VersionedTable, append_missing, read_csv, read_split_json
 
 RAW = """datová_sada,název,popis,poskytovatel,klíčová_slova,téma
@@ -120,3 +120,26 @@ def test_commas_and_rerank(spark):
     assert len(kept) == 8 and [r["score"] for r in kept] == sorted((r["score"] for r in kept), reverse=True)
     assert len(evaluate.grid({"a": [1, 2], "b": [1, 2, 3]})) == 6
     assert scores.select(retrieval.hashed_embedding(F.lit("two words"), 8).alias("v")).first()["v"].count(0.0) >= 6
+
+
+def test_service(spark, datasets, tmp_path):
+    app = "http://app/"
+    parts = spark.createDataFrame([(None, "http://x/1", "http://f/1", "CSV"), ("Named", "http://x/1", "http://f/2", "JSON")], "title string, dataset_url string, url string, file_format string")
+    to_four = lambda urls: urls.where("url <> 'http://x/4'").select(F.col("url").alias("a"), F.lit("http://x/4").alias("b"), F.lit(0.9).alias("score"))
+    edges, similar = service.build_or_update(datasets, datasets, datasets.limit(0), None, to_four)
+    asked = spark.createDataFrame([("http://app/dataset_detail?source=http://x/1",), ("Two",)], "address string")
+    records, lists = service.detail(datasets, parts, edges, similar, asked, app)
+    record = records.first()
+    assert record["url"] == "http://x/1" and [d["title"] for d in record["distributions"]] == ["Distribution 1", "Named"]
+    got = {(r["list"], r["url"]): r["common"] for r in lists.collect()}
+    assert got[("description", "http://x/4")] == [] and got[("provider", "http://x/4")] == ["alpha", "t1"] and got[("keywords", "http://x/2")] == ["alpha"]
+    info = {r["address"]: r["url"] for r in service.dataset_info(datasets, parts, asked, app).collect()}
+    assert info == {"http://app/dataset_detail?source=http://x/1": "http://x/1", "Two": "http://x/2"}
+    gone = datasets.where("url = 'http://x/1'").select("url")
+    left = datasets.join(gone, "url", "left_anti")
+    after, near = service.build_or_update(left, datasets.limit(0), gone, (edges, similar), to_four)
+    assert after.where("url = 'http://x/1'").count() == 0 and near.count() == 2
+    (tmp_path / "app.md").write_text("about")
+    assert service.info_file(spark, str(tmp_path), "app").first()["text"] == "about"
+    with pytest.raises(ValueError):
+        service.info_file(spark, str(tmp_path), "../secret")
