@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Rolling, WordHashes, document_groups, staged, unstage, word_hashes
+from cairn.llm.common import Rolling, WordHashes, document_groups, is_small, staged, unstage, word_hashes
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -31,6 +31,8 @@ SCALE = 1024
 P = 4
 #: Spread below which a statistic counts as unremarkable, in the units of the transformed statistics.
 FLOOR = (0.08, 0.35, 0.06, 0.08)
+#: Estimates of up to this many groups are broadcast, 16 MB or less.
+BROADCAST_GROUPS = 100_000
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
@@ -133,20 +135,24 @@ def _distance():
 def robust_outliers(stats: DataFrame, *, part: float = 0.75, steps: int = 5, confidence: float = 0.99999, least_rows: int = 40) -> DataFrame:
     """stats (level, kind, x0..) plus distance2 and outlier, by MCD within each (level, kind)."""
     histogram = stats.select("level", "kind", F.posexplode(F.array(*(F.col(f"x{i}") for i in range(P)))).alias("i", "value")).withColumn("value", F.floor(F.col("value") / 16) * 16)
-    histogram = histogram.groupBy("level", "kind", "i", "value").agg(F.count("*").alias("n"))
+    # staged, or else Spark would bring the tasks' partial counts of a whole group to one task
+    histogram = staged(histogram.groupBy("level", "kind", "i", "value").agg(F.count("*").alias("n")), "mcd-histogram")
     now = staged(histogram.groupBy("level", "kind").applyInPandas(_start, _PARAMETERS), "mcd-estimate")
+    unstage(histogram)
+    # one row for each group: broadcast up to a bound, so that the rows are not dealt by group
+    hint = F.broadcast if is_small(now, BROADCAST_GROUPS) else (lambda x: x)
     cut = _chi2_quantile(0.975, P)
     for k in range(steps + 1):
         d2 = _distance()
-        bins = stats.join(now, ["level", "kind"]).withColumn("bin", F.floor(32 * F.log2(1 + F.least(d2, F.lit(1e12)))).cast("int"))
+        bins = stats.join(hint(now), ["level", "kind"]).withColumn("bin", F.floor(32 * F.log2(1 + F.least(d2, F.lit(1e12)))).cast("int"))
         moments = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS]
-        bins = bins.groupBy("level", "kind", "bin").agg(F.count("*").alias("n"), *moments)
+        bins = staged(bins.groupBy("level", "kind", "bin").agg(F.count("*").alias("n"), *moments), "mcd-bins")
         step = _stepper(part, int(32 * math.log2(1 + cut)) if k == steps else None)
         after = staged(bins.groupBy("level", "kind").applyInPandas(step, _PARAMETERS), "mcd-estimate")
-        unstage(now)
+        unstage(now, bins)
         now = after
     enough = staged(stats.groupBy("level", "kind").agg((F.count("*") >= least_rows).alias("enough")), "mcd-sizes")
-    d2 = stats.join(now.join(enough, ["level", "kind"]), ["level", "kind"], "left").withColumn("distance2", _distance())
+    d2 = stats.join(hint(now.join(enough, ["level", "kind"])), ["level", "kind"], "left").withColumn("distance2", _distance())
     return d2.withColumn("outlier", F.coalesce(F.col("enough") & (F.col("distance2") > _chi2_quantile(confidence, P)), F.lit(False)))
 
 
