@@ -33,7 +33,6 @@ SHARD_BYTES = 8 << 20
 SHARD_TOKENS = 4 << 20
 HISTOGRAM_BINS = 4096
 _MAGIC = b"WMSHARD1"
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
 
 
 class WaveletMatrix:
@@ -47,8 +46,7 @@ class WaveletMatrix:
         """(zeros, packed bits) of each plane."""
         at = ids
         for level in range(bits - 1, -1, -1):
-            ones = (at >> at.dtype.type(level)) & at.dtype.type(1)
-            mask = ones.view(bool) if ones.dtype == np.uint8 else ones.astype(bool)
+            mask = (at & at.dtype.type(1 << level)) != 0
             low = at[~mask]
             yield len(low), np.packbits(mask, bitorder="little")
             at = np.concatenate([low, at[mask]])
@@ -70,9 +68,9 @@ class WaveletMatrix:
         if not rest:
             return int(self.before[level][k])
         block = self._block(level, k)
-        part = int(_ONES[block[: rest >> 3]].sum(dtype=np.int64))
+        part = int(np.bitwise_count(block[: rest >> 3]).sum(dtype=np.int64))
         if rest & 7:
-            part += int(_ONES[block[rest >> 3] & ((1 << (rest & 7)) - 1)])
+            part += int(np.bitwise_count(block[rest >> 3] & ((1 << (rest & 7)) - 1)))
         return int(self.before[level][k]) + part
 
     def _step(self, level: int, i: int, bit: int) -> int:
@@ -147,7 +145,7 @@ def shard_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray,
         for a in range(0, len(packed), BLOCK // 8):
             part = packed[a : a + BLOCK // 8]
             own.append(squeeze.compress(part.tobytes()))
-            ones.append(ones[-1] + int(_ONES[part].sum(dtype=np.int64)))
+            ones.append(ones[-1] + int(np.bitwise_count(part).sum(dtype=np.int64)))
         body += own
         sizes.append([len(x) for x in own])
         before.append(ones)
@@ -200,6 +198,10 @@ class Shard:
 _ENCODERS: dict[str, Encoder] = {}
 #: Where the piece-wise way is not exact: white space before a space.
 _RUN = re.compile(r"\s ")
+_SPACES = re.compile(r"\s")
+#: A word of these letters is one pre-token, and a run of these marks behind it another.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = "!#$%&*+,-./:;<=>?@^_|~()[]{}"
 
 
 class Encoder:
@@ -211,7 +213,7 @@ class Encoder:
     other kinds of tokenizers, are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -222,29 +224,90 @@ class Encoder:
         self.pieces = kind.get("normalizer") is None and kind["model"]["type"] == "BPE" and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in kind.get("added_tokens", []))
         self.bits = max(1, int(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.dtype = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
-        self.most, self.first, self.rest = most, {}, {}
+        self.most, self.first, self.rest, self.marks = most, {}, {}, {}
+        found = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_feed, self.feed = found[-1], np.array(found, self.dtype).tobytes()
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _many(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces; those without inner white space share calls: a line feed between two is a token of its own."""
+        bare = "".join(pieces).replace(" ", "")
+        if len("".join(bare.split())) == len(bare) and all(pieces):
+            plain = pieces
+        else:
+            plain = [p for p in pieces if p and not _SPACES.search(p, 1)]
+        groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        known, size = {}, self.dtype.itemsize
+        for own, found in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(own) for own in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.dtype)
+            cut = np.flatnonzero(ids == self.line_feed)
+            if len(cut) + 1 == len(own):  # else not a tokenizer for which this holds
+                data = ids.tobytes()
+                known.update(zip(own, (data[a:b] for a, b in zip([0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(data)], strict=True)), strict=True))
+        rest = [p for p in pieces if p not in known]
+        known.update(zip(rest, self._whole(rest), strict=True))
+        return [known[p] for p in pieces]
+
+    def _learn(self, cache: dict[str, bytes], missing: list[str], lead: str) -> None:
+        """Put pieces into a cache.  Letters and then punctuation are pre-tokens of their own."""
+        cut: dict[str, tuple[str, str]] = {}
+        for x in missing:
+            core = x.rstrip(_MARKS)
+            if core and core != x and _LETTERS.fullmatch(core):
+                cut[x] = (core, x[len(core) :])
+        simple = [x for x in missing if x not in cut]
+        cores = [c for c in dict.fromkeys(c for c, _ in cut.values()) if c not in cache]
+        marks = [m for m in dict.fromkeys(m for _, m in cut.values()) if m not in self.marks]
+        simple = list(dict.fromkeys(simple + cores))
+        cache.update(zip(simple, self._many([lead + x for x in simple]), strict=True))
+        if len(self.marks) > 10_000:
+            self.marks.clear()
+            marks = list(dict.fromkeys(m for _, m in cut.values()))
+        self.marks.update(zip(marks, self._whole(marks), strict=True))
+        for x, (core, mark) in cut.items():
+            cache[x] = cache[core] + self.marks[mark]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text, without an end id."""
-        split = [x.split(" ") if x and self.pieces and not _RUN.search(x) else None for x in texts]
-        new: dict[str, None] = {}
-        heads: dict[str, None] = {}
-        for own in split:
-            if own:
-                heads[own[0]] = None
-                new.update(dict.fromkeys(own[1:]))
-        for cache, found, lead in ((self.rest, new, " "), (self.first, heads, "")):
-            missing = [x for x in found if x not in cache]
-            if len(cache) + len(missing) > self.most:
-                cache.clear()
-                missing = list(found)
-            cache.update(zip(missing, self._bytes([lead + x for x in missing]), strict=True))
-        whole = iter(self._bytes([x for x, own in zip(texts, split, strict=True) if x and not own]))
-        get = self.rest.__getitem__
-        return [self.first[own[0]] + b"".join(map(get, own[1:])) if own else next(whole) if x else b"" for x, own in zip(texts, split, strict=True)]
+        lines: list[str] = []
+        upto = []  # for each text the number of lines so far, or None if it is encoded whole
+        for x in texts:
+            words = x.split() if x and self.pieces else ()
+            if words and len(x) - sum(map(len, words)) == len(words) - 1:
+                lines += x.split("\n")  # white space stands alone everywhere, so each line feed is a pre-token
+            elif words and not _RUN.search(x):
+                lines.append(x)
+            else:
+                upto.append(None)
+                continue
+            upto.append(len(lines))
+        split = [x.split(" ") for x in lines]
+        heads = [own.pop(0) for own in split]
+        self._learn(self.first, [x for x in dict.fromkeys(heads) if x not in self.first], "")
+        found = [list(map(self.rest.get, own)) for own in split]
+        gaps = [[k for k, i in enumerate(ids) if i is None] if None in ids else () for ids in found]
+        missing = list(dict.fromkeys([own[k] for own, at in zip(split, gaps, strict=True) for k in at]))
+        if missing:
+            self._learn(self.rest, missing, " ")
+        for own, ids, at in zip(split, found, gaps, strict=True):
+            for k in at:
+                ids[k] = self.rest[own[k]]
+        done = [self.first[head] + b"".join(ids) for head, ids in zip(heads, found, strict=True)]
+        if len(self.rest) > self.most:
+            self.rest.clear()
+        if len(self.first) > self.most:
+            self.first.clear()
+        whole = iter(self._whole([x for x, n in zip(texts, upto, strict=True) if x and n is None]))
+        feed, out, at = self.feed, [], 0
+        for x, n in zip(texts, upto, strict=True):
+            if n is None:
+                out.append(next(whole) if x else b"")
+            else:
+                out.append(feed.join(done[at:n]))
+                at = n
+        return out
 
 
 def encoder(path: str) -> Encoder:
