@@ -252,6 +252,24 @@ def test_mixing(spark, docs):
         mixed_order(table, most_sources=2)
 
 
+def test_mix_keeps_all(spark):
+    """A source of one row and one without a name do not end the mix."""
+    import corpus_pipeline
+    from cairn.llm.mixing import exact_order
+
+    rows = [(i, f"text {i}", "large" if i % 3 else "mid") for i in range(40_000)] + [(50_000, "alone", "tiny"), (50_001, "no source", None), (50_001, "again", None), (None, "no id", "mid")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert items(corpus_pipeline.mix(spark, table, ""), "doc_id", "text", "source") == collections.Counter(rows)
+    got = exact_order(table).collect()
+    assert all(r["kept"] and r["release"] <= r["slot"] < r["deadline"] for r in got)
+    blocks = {(r["source"], r["block"], r["slot"]) for r in got}
+    assert sorted(s for *_, s in blocks) == list(range(len(blocks)))
+    assert len({(r["slot"], r["place"]) for r in got}) == len(rows)
+    assert exact_order(table.limit(0)).count() == 0
+    given = spark.createDataFrame([("large", 2.0), ("mid", 0.0)], "source string, weight double")
+    assert {r["source"] for r in exact_order(table, given).where("kept").collect()} == {"large"}
+
+
 # ---------------------------------------------------------------- 9
 
 
