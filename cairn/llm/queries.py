@@ -71,9 +71,13 @@ def op7_prefix_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cairn.llm.mixing import mixed_order
+    from cairn.llm.mixing import TooManySources, exact_order, mixed_order
 
-    return mixed_order(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    try:
+        return mixed_order(docs)
+    except TooManySources:
+        return exact_order(docs).drop("row")
 
 
 def op9_wavelet_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

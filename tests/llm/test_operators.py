@@ -270,6 +270,30 @@ def test_mix_keeps_all(spark):
     assert {r["source"] for r in exact_order(table, given).where("kept").collect()} == {"large"}
 
 
+def test_mix_of_many_sources(spark, tmp_path):
+    """Source 257 and later have their place; no source is ever a block behind its weight."""
+    from cairn.llm.mixing import exact_order
+    from cairn.llm.queries import op8_pfair_mixing
+
+    sizes = {f"s{i}": 1 + 40 * i % 97 for i in range(300)} | {"hot": 3000, None: 5}
+    rows = [(k, s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    table = spark.createDataFrame(rows, "doc_id long, source string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op8_pfair_mixing(spark, str(tmp_path)).collect()
+    assert collections.Counter((r["doc_id"], r["source"]) for r in got) == collections.Counter(rows) and all(r["kept"] for r in got)
+    blocks = sorted((r["slot"], r["source"], r["block"]) for r in got if r["place"] == 0)
+    assert [s for s, *_ in blocks] == list(range(len(blocks)))
+    total, seen = sum(n**0.9 for n in sizes.values()), collections.Counter()
+    first = min(-(-n // 16) / n**0.9 for n in sizes.values())
+    for slot, source, block in blocks:
+        assert block == seen[source]
+        seen[source] += 1
+        if (slot + 1) / total < first:  # until a source runs out
+            assert all(n**0.9 / total * (slot + 1) - seen[s] < 1 for s, n in sizes.items())
+    weights = spark.createDataFrame([("hot", 1.0), ("s1", 0.5), ("s2", 0.0)], "source string, weight double")
+    assert {r["source"] for r in exact_order(table, weights, most_sources=1).where("kept").collect()} == {"hot", "s1"}
+
+
 # ---------------------------------------------------------------- 9
 
 
