@@ -80,6 +80,12 @@ def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return exact_order(docs).drop("row")
 
 
+def op8_pfair_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.mixing import exact_order
+
+    return exact_order(_table(spark, sf_dir, "documents")).drop("row")
+
+
 def op9_wavelet_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     from cairn.llm.tokens import token_shards
 
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_kneser_ney": op6_kneser_ney,
     "op7_prefix_decontaminate": op7_prefix_decontaminate,
     "op8_pfair_mixing": op8_pfair_mixing,
+    "op8_pfair_exact": op8_pfair_exact,
     "op9_wavelet_token_shards": op9_wavelet_token_shards,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }

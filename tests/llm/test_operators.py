@@ -294,6 +294,38 @@ def test_mix_of_many_sources(spark, tmp_path):
     assert {r["source"] for r in exact_order(table, weights, most_sources=1).where("kept").collect()} == {"hot", "s1"}
 
 
+def test_mix_deviation():
+    """Less than one block from the target weights at any slot, and from the fluid mix once sources run out."""
+    from fractions import Fraction
+
+    from cairn.llm.mixing import schedule
+
+    rows = [3_000_000, *[350_000] * 19, 10]
+    weight = np.array([n**0.9 for n in rows])
+    share, seen, small = weight / weight.sum(), np.zeros(len(rows)), -1
+    for i, k, release, deadline, slot in schedule([(-(-n // 16), n**0.9) for n in rows]):
+        seen[i] += 1
+        small = slot if i == 20 else small
+        assert release <= slot < deadline
+        if slot % 97 == 0 and (slot + 1) * share[20] < 1:  # before the source of one block runs out
+            assert (abs(seen - share * (slot + 1)) < 1 - 1e-9).all()
+        if slot % 97 == 0 and (slot + 1) * share[20] > 1 and seen[0] < 187_500 and slot < 550_000:
+            rest = share[:20] * slot / share[:20].sum()
+            assert (abs(seen[:20] - rest) < 1).all()
+    assert small > 1024 and seen.tolist() == [-(-n // 16) for n in rows]
+
+    sources = [(30, 2.5), (7, 7.0), (1, 0.1), (80, 3.3), (5, 0.7)]
+    exact, have, v = [Fraction(w) for _, w in sources], [0] * 5, Fraction(0)
+    for i, *_ in schedule(sources):
+        have[i] += 1
+        left = Fraction(1)
+        while left and (active := [j for j in range(5) if exact[j] * v < sources[j][0]]):
+            rate = sum(exact[j] for j in active)
+            step = min(left / rate, *(sources[j][0] / exact[j] - v for j in active))
+            v, left = v + step, left - step * rate
+        assert all(abs(have[j] - min(exact[j] * v, sources[j][0])) < 1 for j in range(5))
+
+
 # ---------------------------------------------------------------- 9
 
 
