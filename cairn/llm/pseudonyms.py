@@ -23,7 +23,15 @@ from pyspark.sql import functions as F
 KINDS = ("card", "iban", "ssn", "phone", "ipv4", "date", "email")
 _ROUNDS = 8
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-
+#: Registered length of an IBAN by country (ISO 13616).
+IBAN_LENGTHS = {
+    country: int(x[:2])
+    for x in (
+        "15NO 16BE 18DKFIFKFOGLNLSD 19MKSI 20ATBAEEKZLTLUMNXK 21CHHRLILV 22BGBHCRDEGBGEIEMERSVA 23AEGIILIQOMSOTL 24ADCZESMDPKROSASESKTNVG "
+        "25LYPTST 26ISTR 27BIDJFRGRITMCMRSM 28ALAZBYCYDOGTHNHULBNIPLSV 29BREGPSQAUA 30JOKWMUYE 31MTSC 32LC 33RU"
+    ).split()
+    for country in re.findall("[A-Z]{2}", x)
+}
 _PATTERN = re.compile(
     r"(?P<iban>(?<![^\W_])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![^\W_]))"
     r"|(?P<card>(?<![\w.+-])(?:\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{1,7}|\d{4}(?P<r>[ -])\d{6}(?P=r)\d{4,5})(?![\w-]|\.\d))"
@@ -80,6 +88,13 @@ def _in_layout(old: str, new: str) -> str:
     return "".join(next(rest) if c.isalnum() else c for c in old)
 
 
+def _ends(s: str) -> list[int]:
+    """Where an IBAN at the beginning of s may end: at its country's length, or else at any token border, the last first."""
+    ends = [len(s), *(i for i in range(len(s) - 1, 0, -1) if s[i] == " ")]
+    own = IBAN_LENGTHS.get(s[:2])
+    return sorted(ends, key=lambda i: len(s[:i].replace(" ", "")) != own)
+
+
 class Pseudonymizer:
     def __init__(self, key: bytes, undo: bool = False):
         self.key, self.undo, self.nets, self.known = key, undo, {}, {}
@@ -185,16 +200,27 @@ class Pseudonymizer:
 
         def change(m):
             kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if k in m.re.groupindex and m[k] is not None)
-            new = self._new(kind, m[kind])
-            if new is None:
-                return m[0]
-            found[kind] = found.get(kind, 0) + 1
-            return new + m[0][len(m[kind]) :]
+            for end in _ends(m[kind]) if kind == "iban" else [len(m[kind])]:
+                new = self._new(kind, m[kind][:end])
+                if new is not None:
+                    found[kind] = found.get(kind, 0) + 1
+                    return (new, m.start() + end) if kind == "iban" else (new + m[0][len(m[kind]) :], m.end())
+            end = m[0].find(" ") if kind == "iban" else -1  # a failed number may have taken the beginning of the next
+            end = m.end() if end < 0 else m.start() + end
+            return m.string[m.start() : end], end
+
+        def changed(pattern, t):
+            out, at = [], 0
+            while m := pattern.search(t, at):
+                new, end = change(m)
+                out += [t[at : m.start()], new]
+                at = end
+            return "".join([*out, t[at:]])
 
         if "@" in t:
-            t = _EMAIL.sub(change, t)
+            t = changed(_EMAIL, t)
         if re.search("[0-9]", t):
-            t = _PATTERN.sub(change, t)
+            t = changed(_PATTERN, t)
         return t, found
 
 

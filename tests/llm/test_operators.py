@@ -501,6 +501,30 @@ def test_feistel():
         assert all(0 <= y < size for y in seen)
 
 
+def test_iban_before_other_tokens():
+    """An IBAN of each country's length is found whatever follows, and nothing else changes."""
+    from cairn.llm.pseudonyms import IBAN_LENGTHS, Pseudonymizer
+
+    own, back = Pseudonymizer(b"key"), Pseudonymizer(b"key", undo=True)
+    number = lambda t: int("".join(str(int(c, 36)) for c in t))
+    whole = {}
+    for i, (country, n) in enumerate(IBAN_LENGTHS.items()):
+        body = "".join(str((i * 7 + k * k) % 10) for k in range(n - 4))
+        whole[country] = f"{country}{98 - number(body + country + '00') % 97:02d}{body}"
+    assert len(whole) == 89 and all(number(x[4:] + x[:4]) % 97 == 1 for x in whole.values())
+    known = ["ES9121000418450200051332", "BE68539007547034", "AT611904300234573201", "DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"]
+    assert all(len(x) == IBAN_LENGTHS[x[:2]] for x in known)
+    for iban in [*whole.values(), *known]:
+        for shown in (iban, " ".join(iban[k : k + 4] for k in range(0, len(iban), 4))):
+            for after in ("", " EUR 100", " 12 euros", " PAID", " A note", " EUROS", " 1234 5678 9", " paid", ". ", " AB12 3456 7890", f" {known[0]} X"):
+                new, found = own.text(f"to {shown}{after}")
+                assert found["iban"] == 1 + (known[0] in after), shown + after
+                assert shown not in new
+                assert new[len(shown) + 3 :] == after or known[0] in after
+                assert back.text(new)[0] == f"to {shown}{after}"
+    assert own.text(f"ref AB12 3456 7890 {known[3]}")[1] == {"iban": 1}
+
+
 def test_pseudonyms(spark):
     from cairn.llm.pseudonyms import Pseudonymizer, luhn_digit, pseudonymize
 
