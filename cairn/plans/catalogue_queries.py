@@ -774,3 +774,99 @@ GRID = {"model": ["large", "small"], "intent": ["yes", "no"], "expand": ["yes",
 @query("SELECT * FROM (VALUES ('large'), ('small')) a(model), (VALUES ('yes'), ('no')) b(intent), (VALUES ('yes'), ('no')) c(expand), (VALUES ('relative_score'), ('dist_based_score')) d(mode), (VALUES ('0.4'), ('0.5'), ('0.6')) e(vector_weight), (VALUES ('0.2'), ('0.3')) f(cutoff)")
 def e06_grid(spark, sf):
     return spark.createDataFrame([tuple(r.values()) for r in evaluate.grid(GRID)], ", ".join(f"{k} string" for k in GRID))
+
+
+# ---------------------------------------------------------------- whole tables
+# The queries above of the same names take some ids only, and so does their SQL, which stays as it is.
+
+
+def _over_all(name: str, *changes: tuple[str, str]):
+    """query() with the SQL of another query after changes, each of which must apply."""
+    sql = ORACLE_SQL[name]
+    for old, new in changes:
+        if old not in sql:
+            raise ValueError(f"{name} has no {old}")
+        sql = sql.replace(old, new)
+    return query(sql)
+
+
+_ALL_LINES, _ALL_SIM = (" WHERE l_orderkey % 50 = 0", ""), (("p_partkey % 150 AS x, p_partkey * 7 % 160 AS y", "p_partkey AS x, p_partkey * 7 % (SELECT count(*) FROM part) AS y"), (" WHERE p_partkey < 2000", ""))
+_ALL_ANCHORS = (_ANCHORS, "anchors AS (SELECT url AS anchor FROM cat WHERE CAST(replace(url, 'http://catalogue.example/ds', '') AS BIGINT) % 50 = 0)")
+
+
+def _all_distributions(spark, sf):
+    file = F.concat(F.lit("http://files/"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), F.lit("/"), F.col("l_partkey").cast("string"), F.lit("/"), F.col("l_suppkey").cast("string"), F.lit("/"), F.col("l_extendedprice").cast("string"))
+    title = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).alias("title")
+    rows = table(spark, sf, "lineitem").select(title, F.col("l_orderkey").cast("string").alias("dataset_url"), file.alias("url"), F.col("l_linestatus").alias("file_format"))
+    return facets.with_distributions(table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("url")), rows)
+
+
+def _all_similarities(spark, sf):
+    part = table(spark, sf, "part")
+    p = part.select(F.col("p_partkey").alias("x"), (F.col("p_partkey") * 7 % F.lit(part.count())).alias("y"), (F.col("p_partkey") * 31 % 97 / 97.0).alias("score")).where("x <> y")
+    url = lambda c: F.concat(F.lit("http://catalogue.example/ds"), c.cast("string"))
+    return p.groupBy(url(F.least("x", "y")).alias("url_lo"), url(F.greatest("x", "y")).alias("url_hi")).agg(F.max("score").alias("score"))
+
+
+def _all_anchors(spark, sf):
+    return catalogue(spark, sf).where(F.replace("url", F.lit("http://catalogue.example/ds"), F.lit("")).cast("long") % 50 == 0).select("url")
+
+
+@_over_all("p03_distribution_columns", (" WHERE l_orderkey % 100 = 0", ""))
+def p03_distribution_columns_whole(spark, sf):
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("dataset"), F.col("l_partkey").alias("url"), F.lower("l_returnflag").alias("file_format"))
+
+
+@_over_all("p11_lookup_url", (" WHERE o_orderkey < 200", ""))
+def p11_lookup_url_whole(spark, sf):
+    url = F.concat(F.lit("http://catalogue.example/ds"), (F.col("o_orderkey") % 5000).cast("string"))
+    asked = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 2 == 1, X.detail_url(APP, url)).otherwise(url).alias("address"))
+    return facets.by_url(catalogue(spark, sf), asked, APP).select("address", "url", "title", "provider")
+
+
+@_over_all("p19_default_title", _ALL_LINES)
+def p19_default_title_whole(spark, sf):
+    rows = _all_distributions(spark, sf).select("url", F.explode("distributions").alias("d"))
+    return rows.select(F.col("url").alias("dataset"), F.col("d.nth").cast("long").alias("nth"), F.col("d.title").alias("title"), F.col("d.file_format").alias("file_format"))
+
+
+@_over_all("j05_distributions", _ALL_LINES)
+def j05_distributions_whole(spark, sf):
+    return _all_distributions(spark, sf).select("url", F.coalesce(F.size("distributions"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.array_join("distributions.title", ","), F.lit("")).alias("titles"))
+
+
+@_over_all("g11_similar_description", *_ALL_SIM, _ALL_ANCHORS)
+def g11_similar_description_whole(spark, sf):
+    return graph.similar_by_description(_all_similarities(spark, sf), _all_anchors(spark, sf)).select("anchor", "url", F.round("score", 6).alias("score"))
+
+
+@_over_all("g14_all_similar", *_ALL_SIM, _ALL_ANCHORS)
+def g14_all_similar_whole(spark, sf):
+    return graph.all_similar(_edges(spark, sf), _all_similarities(spark, sf), _all_anchors(spark, sf)).select("anchor", "place", "list", "url")
+
+
+@_over_all("g17_detach_delete", *_ALL_SIM)
+def g17_detach_delete_whole(spark, sf):
+    return graph.detached(_edges(spark, sf), _all_similarities(spark, sf), _gone(spark, sf))[1].select("url_lo", "url_hi", F.round("score", 6).alias("score"))
+
+
+@_over_all("g16_incremental_graph", *_ALL_SIM)
+def g16_incremental_graph_whole(spark, sf):
+    none = catalogue(spark, sf).limit(0)
+    to_hub = lambda urls: urls.select(F.col("url").alias("a"), F.lit("http://catalogue.example/hub").alias("b"), F.lit(0.5).alias("score"))
+    return graph.updated(_edges(spark, sf), _all_similarities(spark, sf), none, _gone(spark, sf), to_hub)[1].select("url_lo", "url_hi", F.round("score", 6).alias("score"))
+
+
+@_over_all("j07_shared_metadata", ("l_orderkey % 500 = 0", "l_orderkey % 50 = 0"))
+def j07_shared_metadata_whole(spark, sf):
+    e = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    a = e.where("l_orderkey % 50 = 0").withColumnRenamed("l_orderkey", "anchor")
+    return a.join(e, "l_partkey").where("anchor <> l_orderkey").groupBy("anchor", F.col("l_orderkey").alias("other")).agg(F.countDistinct("l_partkey").alias("shared"))
+
+
+@_over_all("j09_same_provider", ("l_orderkey % 500 = 0", "l_orderkey % 50 = 0"))
+def j09_same_provider_whole(spark, sf):
+    li = table(spark, sf, "lineitem")
+    parts, supp = li.select("l_orderkey", "l_partkey").distinct(), li.select("l_orderkey", "l_suppkey").distinct()
+    pair = lambda e, c: e.where("l_orderkey % 50 = 0").withColumnRenamed("l_orderkey", "anchor").join(e, c).where("anchor <> l_orderkey").select("anchor", F.col("l_orderkey").alias("other")).distinct()
+    return pair(parts, "l_partkey").join(pair(supp, "l_suppkey"), ["anchor", "other"], "left_semi")

@@ -20,3 +20,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_tables(spark):
+    """Queries that take some ids only have one over the whole table beside them."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    for name in ("p03_distribution_columns_whole", "p19_default_title_whole"):
+        assert QUERIES[name](spark, SF).count() == lines
