@@ -7,7 +7,6 @@ stage, never the finished ones.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
@@ -56,18 +55,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def committed(df: DataFrame, folder: str) -> DataFrame:
+    """Write df as the manifest of a folder of files: whole under a temporary name beside them, then renamed.
+
+    A folder without `manifest` is unfinished, and files that its manifest does not list are leftovers.
+    """
+    spark = df.sparkSession
+    path = f"{folder}/_manifest-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{folder}/manifest"))
+    if not old.getFileSystem(spark._jsc.hadoopConfiguration()).rename(old, new):
+        raise OSError(f"cannot commit the manifest of {folder}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/manifest")
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that no later plan reads, and let Spark drop finished shuffle files."""
     for t in tables:
         spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t.staged_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    release(tables[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:
-    """Shuffle files stay on the executors' disks until the driver collects its garbage."""
-    gc.collect()
+    """Let Spark drop finished shuffle files, which stay on disk until the driver collects its garbage; once a query at most."""
     spark._jvm.System.gc()
 
 
@@ -87,6 +98,47 @@ def is_small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+# ---------------------------------------------------------------- ranges of ids
+
+#: Ranges at most: their bounds (33 bytes each) are a literal of every task.
+MOST_RANGES = 1 << 16
+
+
+def range_key(number, tie):
+    """A string that sorts as (number, nulls first, tie), for two long columns."""
+    digits = lambda x: F.lpad(F.hex(x.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.when(number.isNull(), F.lit("0" * 17)).otherwise(F.concat(F.lit("1"), digits(number))), digits(tie))
+
+
+def range_bounds(slim: DataFrame, range_bytes: int, most: int = MOST_RANGES) -> list[str]:
+    """The keys at which ranges of range_bytes begin, from slim (key string, bytes long); the first range has none.
+
+    Exact quantiles of the running sum of bytes, so that neither outlying ids nor the partitioning of slim matter.
+    Where that would give more than `most` ranges, they get larger.  Rows of one key stay together.
+    """
+    rows, total = slim.agg(F.count("*"), F.sum("bytes")).first()
+    if not total or total <= range_bytes:
+        return []
+    parts = staged(slim.repartitionByRange(max(8, rows >> 20), "key").withColumn("part", F.spark_partition_id()), "range-parts")
+    sums = parts.groupBy("part").agg(F.sum("bytes").alias("own"))  # one row for each partition
+    sums = staged(sums.select("part", (F.sum("own").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("own")).alias("before")), "range-sums")
+    here = F.sum("bytes").over(Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("bytes")
+    per = max(range_bytes, -(-total // most))
+    placed = parts.select("key", "part", here.alias("here")).join(F.broadcast(sums), "part").select("key", F.floor((F.col("here") + F.col("before")) / per).alias("range"))
+    bounds = sorted({r["key"] for r in placed.groupBy("range").agg(F.min("key").alias("key")).where("range > 0").collect()})  # `most` rows at most
+    unstage(parts, sums)
+    return bounds
+
+
+def range_of(key, bounds: list[str]):
+    """Number of the range of a key, by binary search in the bounds."""
+    if not bounds:
+        return F.lit(0)
+    every = F.split(F.lit(",".join(bounds)), ",")  # folded to one literal
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(every, at + step - 1) <= key, at + step).otherwise(at))
+
+
 # ---------------------------------------------------------------- document batches
 
 

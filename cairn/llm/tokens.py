@@ -5,9 +5,11 @@ for each bit of an id, most significant first, each plane stably sorted by the p
 are compressed in blocks with the number of ones before each block, so that a token, the count of an id
 in a range, or its k-th occurrence is read from a few blocks of one compressed file.
 
-Shards are cut by ranges of doc_id from a histogram of text sizes and rolled after a number of tokens,
-written under temporary names in the shared folder and renamed; the returned manifest lists them.  A
-task that runs again writes the same bytes to the same name.
+Shards are cut at exact quantiles of the text sizes in doc_id order and rolled after a number of tokens,
+written under temporary names in the shared folder and renamed; the manifest, committed beside them at the
+end, lists them.  A task that runs again writes the same bytes to the same name.
+
+A lookup inflates one block of 2**18 bits (32 KB) for each plane and counts ones inside it; blocks are remembered.
 """
 
 from __future__ import annotations
@@ -21,17 +23,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import file_system, fresh_path, staged
+from cairn.llm.common import committed, file_system, fresh_path, range_bounds, range_key, range_of, staged, unstage
 
 BLOCK = 1 << 18  # bits
 END_ID = 0
 SHARD_BYTES = 8 << 20
 SHARD_TOKENS = 4 << 20
-HISTOGRAM_BINS = 4096
 _MAGIC = b"WMSHARD1"
 
 
@@ -196,24 +198,43 @@ class Shard:
 # ---------------------------------------------------------------- encoding
 
 _ENCODERS: dict[str, Encoder] = {}
-#: Where the piece-wise way is not exact: white space before a space.
-_RUN = re.compile(r"\s ")
+#: All white space but space and line feed, as a class for RE2.
+_OTHER = r"\t\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+#: Texts that cannot be cut at spaces and line feeds, and those that cannot be cut at spaces.
+_NO_LINES = rf"[ \n][ \n]| $|[{_OTHER}]"
+_NO_PIECES = rf"[ \n{_OTHER}] | [ \n{_OTHER}]| $"
 _SPACES = re.compile(r"\s")
 #: A word of these letters is one pre-token, and a run of these marks behind it another.
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_MARKS = "!#$%&*+,-./:;<=>?@^_|~()[]{}"
+_CUT = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[!#$%&*+,\-./:;<=>?@^_|~()\[\]{}]+)$"
+
+
+class _Kept:
+    """Words with their ids, as arrays."""
+
+    def __init__(self, dtype):
+        self.words, self.ids, self.ends = pa.array([], pa.large_string()), np.zeros(0, dtype), np.zeros(1, np.int64)
+
+    def add(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Number of each word, or -1."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
 
 
 class Encoder:
     """Ids of whole texts from the tokenizers library, remembering the ids of recent pieces.
 
-    For a byte-level tokenizer without prefix space, a space after another character than white space always
-    begins a new pre-token and nothing before it matters for what follows, so a text's ids are those of its
-    pieces between single spaces, each with its leading space.  Texts with a space after white space, and
-    other kinds of tokenizers, are encoded whole.
+    For a byte-level tokenizer without prefix space, a space between other characters than white space always
+    begins a new pre-token and nothing before it matters for what follows, and such a line feed is a pre-token of
+    its own.  So a text's ids are those of its pieces between single spaces and line feeds, each with its leading
+    space; letters and a run of marks behind them are pre-tokens of their own.  Texts with other white space, and
+    other kinds of tokenizers, are encoded whole.  Pieces are held in Arrow arrays, and ids are gathered by numpy.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 4_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -221,93 +242,112 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         step = kind.get("pre_tokenizer") or {}
-        self.pieces = kind.get("normalizer") is None and kind["model"]["type"] == "BPE" and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in kind.get("added_tokens", []))
+        plain = not any(x["lstrip"] or x["rstrip"] or x["single_word"] or _SPACES.search(x["content"]) for x in kind.get("added_tokens", []))
+        self.pieces = plain and kind.get("normalizer") is None and kind["model"]["type"] == "BPE" and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space")
         self.bits = max(1, int(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.dtype = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
-        self.most, self.first, self.rest, self.marks = most, {}, {}, {}
-        found = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line_feed, self.feed = found[-1], np.array(found, self.dtype).tobytes()
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _many(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces; those without inner white space share calls: a line feed between two is a token of its own."""
-        bare = "".join(pieces).replace(" ", "")
-        if len("".join(bare.split())) == len(bare) and all(pieces):
-            plain = pieces
+        self.most, self.kept = most, {}
+        self.feed = self._whole(["\n"])[0]
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, kept: _Kept, words: pa.Array, lead: str) -> None:
+        """Add words.  Those without white space share calls: a line feed between two is a token of its own."""
+        odd = pc.or_(pc.match_substring_regex(words, rf"[ \n{_OTHER}]"), pc.equal(pc.binary_length(words), 0))
+        if len(self.feed) != 1:
+            odd = pa.array([True] * len(words))
+        plain, single = words.filter(pc.invert(odd)), words.filter(odd).to_pylist()
+        own, ids, sizes = plain.to_pylist(), [], []
+        groups = [own[i : i + 200] for i in range(0, len(own), 200)]
+        for group, found in zip(groups, self._whole([lead + f"\n{lead}".join(g) for g in groups]), strict=True):
+            cut = np.flatnonzero(found == self.feed[0])
+            if len(cut) + 1 == len(group):
+                ids.append(np.delete(found, cut))
+                sizes.append(np.diff(cut, prepend=-1, append=len(found)) - 1)
+            else:  # not a tokenizer for which this holds
+                each = self._whole([lead + x for x in group])
+                ids += each
+                sizes.append(np.array([len(x) for x in each]))
+        each = self._whole([lead + x for x in single])
+        kept.add(pa.concat_arrays([plain, words.filter(odd)]), np.concatenate([*ids, *each, np.zeros(0, self.dtype)]), np.concatenate([*sizes, np.array([len(x) for x in each], np.int64)]))
+
+    def _known(self, words: pa.Array, lead: str) -> tuple[_Kept, np.ndarray]:
+        """The words of a lead that are kept, and which of them these are."""
+        kept = self.kept.get(lead)
+        if kept is None or len(kept.words) > self.most:
+            kept = self.kept[lead] = _Kept(self.dtype)
+        at = kept.find(words)
+        missing = at < 0
+        if missing.any():
+            new = words.filter(pa.array(missing))
+            self._learn(kept, new, lead)
+            at[missing] = kept.find(new)
+        return kept, at
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, end_id after each, and the number of ids of each text with its end."""
+        n = len(texts)
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.pieces:
+            whole = pc.match_substring_regex(texts, _NO_PIECES)
+            lines = pc.invert(pc.match_substring_regex(texts, _NO_LINES))
+            cut = pc.if_else(lines, pc.replace_substring(texts, "\n", " \n "), pc.if_else(whole, "", texts))
+            slow = np.flatnonzero(pc.and_not(whole, lines).to_numpy(zero_copy_only=False))
         else:
-            plain = [p for p in pieces if p and not _SPACES.search(p, 1)]
-        groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
-        known, size = {}, self.dtype.itemsize
-        for own, found in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(own) for own in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, self.dtype)
-            cut = np.flatnonzero(ids == self.line_feed)
-            if len(cut) + 1 == len(own):  # else not a tokenizer for which this holds
-                data = ids.tobytes()
-                known.update(zip(own, (data[a:b] for a, b in zip([0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(data)], strict=True)), strict=True))
-        rest = [p for p in pieces if p not in known]
-        known.update(zip(rest, self._whole(rest), strict=True))
-        return [known[p] for p in pieces]
-
-    def _learn(self, cache: dict[str, bytes], missing: list[str], lead: str) -> None:
-        """Put pieces into a cache.  Letters and then punctuation are pre-tokens of their own."""
-        cut: dict[str, tuple[str, str]] = {}
-        for x in missing:
-            core = x.rstrip(_MARKS)
-            if core and core != x and _LETTERS.fullmatch(core):
-                cut[x] = (core, x[len(core) :])
-        simple = [x for x in missing if x not in cut]
-        cores = [c for c in dict.fromkeys(c for c, _ in cut.values()) if c not in cache]
-        marks = [m for m in dict.fromkeys(m for _, m in cut.values()) if m not in self.marks]
-        simple = list(dict.fromkeys(simple + cores))
-        cache.update(zip(simple, self._many([lead + x for x in simple]), strict=True))
-        if len(self.marks) > 10_000:
-            self.marks.clear()
-            marks = list(dict.fromkeys(m for _, m in cut.values()))
-        self.marks.update(zip(marks, self._whole(marks), strict=True))
-        for x, (core, mark) in cut.items():
-            cache[x] = cache[core] + self.marks[mark]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian ids of each text, without an end id."""
-        lines: list[str] = []
-        upto = []  # for each text the number of lines so far, or None if it is encoded whole
-        for x in texts:
-            words = x.split() if x and self.pieces else ()
-            if words and len(x) - sum(map(len, words)) == len(words) - 1:
-                lines += x.split("\n")  # white space stands alone everywhere, so each line feed is a pre-token
-            elif words and not _RUN.search(x):
-                lines.append(x)
-            else:
-                upto.append(None)
-                continue
-            upto.append(len(lines))
-        split = [x.split(" ") for x in lines]
-        heads = [own.pop(0) for own in split]
-        self._learn(self.first, [x for x in dict.fromkeys(heads) if x not in self.first], "")
-        found = [list(map(self.rest.get, own)) for own in split]
-        gaps = [[k for k, i in enumerate(ids) if i is None] if None in ids else () for ids in found]
-        missing = list(dict.fromkeys([own[k] for own, at in zip(split, gaps, strict=True) for k in at]))
-        if missing:
-            self._learn(self.rest, missing, " ")
-        for own, ids, at in zip(split, found, gaps, strict=True):
-            for k in at:
-                ids[k] = self.rest[own[k]]
-        done = [self.first[head] + b"".join(ids) for head, ids in zip(heads, found, strict=True)]
-        if len(self.rest) > self.most:
-            self.rest.clear()
-        if len(self.first) > self.most:
-            self.first.clear()
-        whole = iter(self._whole([x for x, n in zip(texts, upto, strict=True) if x and n is None]))
-        feed, out, at = self.feed, [], 0
-        for x, n in zip(texts, upto, strict=True):
-            if n is None:
-                out.append(next(whole) if x else b"")
-            else:
-                out.append(feed.join(done[at:n]))
-                at = n
-        return out
+            cut, slow = pa.array([""] * n, pa.large_string()), np.arange(n)
+        lists = pc.split_pattern(cut, " ")
+        at = lists.offsets.to_numpy().astype(np.int64)
+        pieces = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+        at -= at[0]
+        words, codes = pieces.dictionary, pieces.indices.to_numpy().astype(np.int64)
+        # numbers: pieces behind a space, pieces at the beginning of a line, whole texts, the end, the line feed, marks
+        m, feed = len(words), pc.index(words, "\n").as_py()
+        head = np.zeros(len(codes), bool)
+        head[at[:-1]] = True
+        head[np.flatnonzero(codes == feed) + 1] = True
+        codes += m * head
+        codes[codes == feed] = 2 * m + len(slow) + 1
+        codes[at[slow]] = 2 * m + np.arange(len(slow))
+        codes = np.insert(codes, at[1:], 2 * m + len(slow))
+        used = np.zeros(2 * m + len(slow) + 2, bool)
+        used[codes] = True
+
+        both = pc.extract_regex(words, _CUT)
+        core = pc.if_else(both.is_valid(), both.field("core"), words).dictionary_encode()
+        mark = pc.if_else(both.is_valid(), both.field("mark"), pa.scalar(None, pa.large_string())).dictionary_encode()
+        of_core, cores = core.indices.to_numpy().astype(np.int64), core.dictionary
+        of_mark = pc.fill_null(mark.indices, -1).to_numpy()
+        pools, sizes, begins, base = [], [], [], 0
+        for lead, own in ((" ", used[:m]), ("", used[m : 2 * m])):
+            mine = np.zeros(len(cores), bool)
+            mine[of_core[own]] = True
+            kept, number = self._known(cores.filter(pa.array(mine)), lead)
+            entry = np.zeros(len(cores), np.int64)
+            entry[mine] = number
+            entry = np.where(own, entry[of_core], 0)
+            pools.append(kept.ids)
+            ends = kept.ends if len(kept.ends) > 1 else np.zeros(2, np.int64)
+            sizes.append(np.where(own, ends[entry + 1] - ends[entry], 0))
+            begins.append(ends[entry] + base)
+            base += len(kept.ids)
+        others = [*self._whole([texts[int(i)].as_py() for i in slow]), np.array([end_id], self.dtype), self.feed, *self._whole(mark.dictionary.to_pylist())]
+        lengths = np.array([len(x) for x in others], np.int64)
+        sizes, begins = np.concatenate([*sizes, lengths]), np.concatenate([*begins, base + np.cumsum(lengths) - lengths])
+
+        marked = np.full(2 * m + len(slow) + 2, -1, np.int64)
+        marked[:m] = marked[m : 2 * m] = of_mark
+        behind = marked[codes]
+        times = 1 + (behind >= 0)
+        first = np.cumsum(times) - times
+        codes = np.repeat(codes, times)
+        codes[first[behind >= 0] + 1] = len(marked) + behind[behind >= 0]
+        counts = sizes[codes]
+        place = np.repeat(begins[codes] - (np.cumsum(counts) - counts), counts)
+        place += np.arange(len(place))
+        return np.concatenate([*pools, *others])[place], np.add.reduceat(counts, first[at[:-1] + np.arange(n)])
 
 
 def encoder(path: str) -> Encoder:
@@ -316,20 +356,20 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _groups(texts: list[str | None], most: int = 2_000_000):
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) if t else 0
-        if size >= most or i + 1 == len(texts):
-            yield start, i + 1
-            start, size = i + 1, 0
+def _groups(texts: pa.Array, most: int = 16_000_000):
+    """Bounds of runs of texts that have about `most` bytes in all, or are one text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(sizes):
+        end = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most)) + 1
+        yield start, min(end, len(sizes))
+        start = end
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, most_tokens: int):
     def write(batches):
         store, top = file_system(folder)
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.dtype).tobytes()
         now, part, docs, lengths, parts, tokens = None, 0, [], [], [], 0
 
         def flush():
@@ -337,7 +377,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, most_tokens: int):
             if not docs:
                 return None
             name = f"shard-{now:08d}-{part:05d}.wm"
-            data = shard_bytes(docs, lengths, np.frombuffer(b"".join(parts), enc.dtype), enc.bits)
+            data = shard_bytes(docs, lengths, np.concatenate(parts), enc.bits)
             temporary = f"{top}/_{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(temporary, compression=None) as f:
                 f.write(data)
@@ -348,17 +388,21 @@ def _writer(folder: str, tokenizer: str, end_id: int, most_tokens: int):
 
         out = []
         for batch in batches:
-            shards, ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            shards, doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for a, b in _groups(texts):
-                for shard, doc, own in zip(shards[a:b], ids[a:b], enc.encode(texts[a:b]), strict=True):
+                ids, sizes = enc.encode(texts.slice(a, b - a), end_id)
+                taken = at = 0
+                for shard, doc, size in zip(shards[a:b], doc_ids[a:b], sizes.tolist(), strict=True):
                     if shard != now or tokens >= most_tokens:
+                        parts.append(ids[taken:at])
                         out.append(flush())
-                        part = 0 if shard != now else part
+                        taken, part, parts = at, 0 if shard != now else part, []
                         now = shard
                     docs.append(doc)
-                    lengths.append(len(own) // enc.dtype.itemsize + 1)
-                    parts += (own, end)
-                    tokens += lengths[-1]
+                    lengths.append(size)
+                    tokens += size
+                    at += size
+                parts.append(ids[taken:at])
         out.append(flush())
         done = [x for x in out if x]
         names = ["shard", "part", "path", "n_docs", "n_tokens", "n_bytes"]
@@ -370,34 +414,30 @@ def _writer(folder: str, tokenizer: str, end_id: int, most_tokens: int):
 def write_shards(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, shard_size: int = SHARD_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write docs (doc_id, text) as shards; the manifest: shard, part, path, n_docs, n_tokens, n_bytes, start.
 
-    Documents are in ascending doc_id order, those without an id first, equal ids by text.  A null or empty
-    text is the end id alone.  No row gives no shard.  tokenizer is the path of a tokenizers file on
-    every worker.  Other columns are ignored.
+    Documents are in ascending doc_id order, those without an id first, equal ids by a hash of the text.  A null or
+    empty text is the end id alone, and a text of any length is one document of one file.  No row gives no shard and
+    an empty manifest.  Rows that agree in id and text are written each.  tokenizer is the path of a tokenizers
+    file on every worker.  Other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    # boundaries of shards from a histogram of at most HISTOGRAM_BINS equal ranges of ids
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // HISTOGRAM_BINS))
-    place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width))).cast("int")
-    sizes = docs.groupBy(place.alias("bin")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("bytes")).collect()
-    bounds, total = [], 0
-    for r in sorted(sizes, key=lambda r: r["bin"]):
-        if total >= shard_size:
-            bounds.append(r["bin"])
-            total = 0
-        total += r["bytes"]
-    shard = F.lit(0)
-    if bounds:  # the number of bounds not above the bin, by halves of a literal array
-        array = F.array(*(F.lit(b) for b in bounds))
-        shard = F.size(F.filter(array, lambda b: b <= place))
+    docs = docs.withColumn("tie", F.xxhash64("text"))
+    key = range_key(F.col("doc_id"), F.col("tie"))
+    bounds = range_bounds(docs.select(key.alias("key"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("bytes")), shard_size)
     folder = fresh_path(spark, "token-shards")
     store, top = file_system(folder)
     store.create_dir(top)
-    placed = docs.select(shard.cast("int").alias("shard"), "doc_id", "text").repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "text")
-    manifest = staged(placed.mapInArrow(_writer(folder, tokenizer, end_id, shard_tokens), "shard long, part long, path string, n_docs long, n_tokens long, n_bytes long"), "token-manifest")
-    # one row for each shard file
-    return manifest.withColumn("start", F.sum("n_tokens").over(Window.orderBy("shard", "part")) - F.col("n_tokens"))
+    placed = docs.select(range_of(key, bounds).cast("int").alias("shard"), "doc_id", "text", "tie").repartitionById(len(bounds) + 1, F.col("shard"))
+    placed = placed.sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "tie", "text").drop("tie")
+    written = staged(placed.mapInArrow(_writer(folder, tokenizer, end_id, shard_tokens), "shard long, part long, path string, n_docs long, n_tokens long, n_bytes long"), "token-manifest")
+    # ids before a range, for at most MOST_RANGES ranges, and before a file within its range
+    before = written.groupBy("shard").agg(F.sum("n_tokens").alias("own"))
+    before = before.select("shard", (F.sum("own").over(Window.partitionBy(F.lit(0)).orderBy("shard")) - F.col("own")).alias("before"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("part")) - F.col("n_tokens")
+    manifest = written.withColumn("inside", inside).join(F.broadcast(before), "shard").select("shard", "part", "path", "n_docs", "n_tokens", "n_bytes", (F.col("inside") + F.col("before")).alias("start"))
+    manifest = committed(manifest, folder)
+    unstage(written)
+    return manifest
 
 
 def _read(batches):
@@ -413,8 +453,8 @@ def _read(batches):
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """One row per document of the shard files: doc_id, start, n_tokens, ids_crc32."""
-    n = manifest.count()
-    paths = manifest.select("path", "start").repartition(max(1, min(n, 4096)))
+    files = max(1, min(manifest.count(), 1 << 16))
+    paths = manifest.select("path", "start").repartition(files)
     return paths.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

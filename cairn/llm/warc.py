@@ -1,10 +1,10 @@
 """Deterministic sharded WARC writer and reader.
 
-Pages are range-partitioned and sorted by page_id, with boundaries from a histogram of payload sizes.  Each
-record is made anew, with its headers, digests and an id derived from page and payload, and compressed as
-its own gzip member; a file is rolled when it has reached a compressed size.  Files are written under
-temporary names and renamed, and only the manifest, written last, says which files there are.  Running a
-task again writes the same bytes to the same name.
+Pages are range-partitioned and sorted by page_id, with boundaries at exact quantiles of the payload sizes.
+Each record is made anew, with its headers, digests and an id derived from page and payload, and compressed
+as its own gzip member; a file is rolled when it has reached a compressed size.  Files are written under
+temporary names and renamed, and only the manifest, committed beside them at the end, says which files
+there are.  Running a task again writes the same bytes to the same name.
 
 Payloads that occur more than once are stored with their smallest page_id; later pages get revisit records.
 Which pages these are comes from a join of digests, and travels to the writers as small rows that are
@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import file_system, fresh_path, staged, unstage
+from cairn.llm.common import committed, file_system, fresh_path, range_bounds, range_key, range_of, staged, unstage
 
-HISTOGRAM_BINS = 4096
 SHARD_BYTES = 16 << 20
 FILE_BYTES = 8 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -141,35 +140,31 @@ def write_warc(pages: DataFrame, *, shard_bytes: int = SHARD_BYTES, file_bytes:
 
     A null html is an empty payload.  Of pages with equal payloads of least_revisit bytes or more those with
     the smallest page_id are responses, the others revisit records.  Pages without an id come first and
-    are responses.  Repeated rows are written each.  No row gives no file.  Other columns are ignored.
+    are responses.  Repeated rows are written each; pages that share an id are in the order of a hash of their
+    payload.  A payload of any length is one record of one file.  No row gives no file and an empty manifest.
+    Other columns are ignored.
     """
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     payload = F.coalesce("html", F.lit(""))
-    slim = staged(pages.select("page_id", F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).cast("long").alias("size")), "warc-digests")
+    pages = pages.withColumn("tie", F.xxhash64(payload))
+    slim = staged(pages.select("page_id", "tie", F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).cast("long").alias("size")), "warc-digests")
     copies = staged(slim.where(F.col("size") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "warc-copies")
-    marks = slim.where(F.col("size") >= least_revisit).join(copies, "digest").where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
-
-    low, high = slim.agg(F.min("page_id"), F.max("page_id")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // HISTOGRAM_BINS))
-    place = F.when(F.col("page_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("page_id") - F.lit(low or 0)) / F.lit(width))).cast("int")
-    bounds, total = [], 0
-    for r in sorted(slim.groupBy(place.alias("bin")).agg(F.sum(F.col("size") + 1).alias("bytes")).collect(), key=lambda r: r["bin"]):  # at most HISTOGRAM_BINS + 1 rows
-        if total >= shard_bytes:
-            bounds.append(r["bin"])
-            total = 0
-        total += r["bytes"]
-    shard = (F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= place)) if bounds else F.lit(0)).cast("int")
-
-    rows = pages.select("page_id", F.lit(True).alias("is_page"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
-    notes = marks.select("page_id", F.lit(False).alias("is_page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
+    marks = slim.where(F.col("size") >= least_revisit).join(copies, "digest").where("page_id > first").select("page_id", "tie", "digest", F.col("first").alias("refers_to")).distinct()
+
+    key = range_key(F.col("page_id"), F.col("tie"))
+    bounds = range_bounds(slim.select(key.alias("key"), (F.col("size") + 1).alias("bytes")), shard_bytes)
+    shard = range_of(key, bounds).cast("int")
+
+    rows = pages.select("page_id", "tie", F.lit(True).alias("is_page"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    notes = marks.select("page_id", "tie", F.lit(False).alias("is_page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
     folder = fresh_path(spark, "warc")
     store, top = file_system(folder)
     store.create_dir(top)
-    both = rows.unionByName(notes).select(shard.alias("shard"), "page_id", "is_page", "url", "html", "digest", "refers_to")
-    both = both.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "is_page", "url", "html")
+    both = rows.unionByName(notes).select(shard.alias("shard"), "page_id", "is_page", "url", "html", "digest", "refers_to", "tie")
+    both = both.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "tie", "is_page", "url", "html").drop("tie")
     schema = "shard long, part long, path string, records long, bytes long, first_page long, last_page long, sha256 string"
-    manifest = staged(both.mapInArrow(_writer(folder, file_bytes, date, level), schema), "warc-manifest")
+    manifest = committed(both.mapInArrow(_writer(folder, file_bytes, date, level), schema), folder)
     unstage(slim, copies)
     return manifest
 
@@ -199,5 +194,5 @@ def _read(batches):
 
 def read_warc(manifest: DataFrame) -> DataFrame:
     """One row per record of the manifest's files: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri."""
-    files = max(1, min(manifest.count(), 4096))
+    files = max(1, min(manifest.count(), 1 << 16))
     return manifest.select("path").repartition(files).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string")

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,7 +339,7 @@ def test_token_shards(spark, docs, rows):
     path = public.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
     want, start = [], 0
-    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):  # the rows that share an id are equal
         ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -346,6 +347,8 @@ def test_token_shards(spark, docs, rows):
     assert manifest.count() > 3
     got = [tuple(r) for r in read_shards(manifest).collect()]
     assert sorted(got, key=lambda r: r[1]) == want
+    folder = manifest.first()["path"].rsplit("/", 1)[0]  # the manifest is committed beside the files
+    assert items(spark.read.parquet(f"{folder}/manifest"), "path", "start") == items(manifest, "path", "start")
     shard = Shard.open(manifest.orderBy("start").first()["path"])
     ids = shard.matrix.decode(np.uint32)
     for i in (0, 1, len(ids) // 2, len(ids) - 1):
@@ -361,11 +364,45 @@ def test_pieces_equal_whole_texts():
     public = pytest.importorskip("public_tokenizers")
     from cairn.llm.tokens import Encoder
 
-    enc = Encoder(public.path("byte_bpe_50k.json"), most=200)
+    enc, plain = Encoder(public.path("byte_bpe_50k.json"), most=200), Encoder(public.path("byte_bpe_50k.json"))
+    plain.pieces = False
     r = random.Random(3)
     parts = ["a", "É", "ß", " ", "  ", "\n", "\t", " ", "'s", "'", "1", "23", "!", "..", "<|endoftext|>", "日本", " ", "\r\n", "%%%", "\x1c", "\x85", "é", "_", "word", "’", " the"]
-    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(4000)]
-    assert enc.encode(texts) == [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(4000)] + [None, ""] + words(900, 8)
+    texts += ["".join(r.choice(["word", "été", "12", "end.", "«x»", "n't"]) + r.choice(" \n") for _ in range(30)).strip() for _ in range(500)]
+    want = [[*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+    for own in (enc, plain):
+        for size in (1, 333, 6000):
+            got = []
+            for i in range(0, len(texts), size):
+                ids, counts = own.encode(pa.array(texts[i : i + size], pa.string()), 7)
+                got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+            assert got == want
+            if size == 1:
+                texts, want = texts[3000:], want[3000:]
+    assert len(enc.encode(pa.array([], pa.string()), 7)[1]) == 0
+
+
+@pytest.mark.parametrize("ids", ["outlier", "null", "one", "negative"])
+def test_ranges(spark, ids):
+    """Ranges hold about as many bytes each, whatever the ids are and however the rows are dealt."""
+    from cairn.llm.common import range_bounds, range_key, range_of
+
+    r = random.Random(2)
+    of = {"outlier": lambda i: 1 << 60 if i == 77 else i, "null": lambda i: None if i % 3 else i, "one": lambda i: 5, "negative": lambda i: (i - 1000) << 50}[ids]
+    rows = [(of(i), r.getrandbits(60) - (1 << 59), r.randint(1, 2000)) for i in range(2000)]
+    table = spark.createDataFrame(rows, "id long, tie long, bytes long")
+    keyed = table.select("id", "tie", "bytes", range_key(F.col("id"), F.col("tie")).alias("key"))
+    bounds = range_bounds(keyed, 50_000)
+    assert bounds == range_bounds(keyed.repartition(7), 50_000) and abs(len(bounds) + 1 - sum(b for *_, b in rows) / 50_000) < 2
+    got = keyed.select("id", "tie", "bytes", range_of(F.col("key"), bounds).alias("range")).collect()
+    size = collections.Counter()
+    for x in got:
+        size[x["range"]] += x["bytes"]
+    assert set(size) == set(range(len(bounds) + 1)) and max(size.values()) < 54_000
+    order = sorted(got, key=lambda x: (x["id"] is not None, x["id"] or 0, x["tie"]))
+    assert [x["range"] for x in order] == sorted(x["range"] for x in order)
+    assert len(range_bounds(keyed, 50_000, most=3)) <= 3 and range_bounds(keyed.limit(0), 1) == []
 
 
 def test_wavelet_matrix():
