@@ -4,7 +4,7 @@ Windows of `window` words are the edges of a de Bruijn graph.  An edge that star
 is repeated, and each word under a repeated edge goes.
 
 1. The edges of a document are cut into chunks, maximal runs whose windows share one minimizer (the
-   smallest of the hashed `anchor`-word runs in the window).  Equal windows have equal minimizers, so
+   first of the smallest hashed `anchor`-word runs in the window).  Equal windows have equal minimizers, so
    only chunks under a minimizer that occurs twice can hold a repeated edge: one aggregation and one
    semi-join leave the candidates.
 2. Chunks with equal words form a class.  Chunk classes of two or more members are paths of repeated
@@ -14,7 +14,8 @@ is repeated, and each word under a repeated edge goes.
 3. Paths are verified at their source coordinates: each span's words are digested from the source text,
    and a span whose digest no second member of its path has is dropped.
 4. Under minimizers with several classes, windows of one member of each class are compared one by
-   one, by 128-bit hashes, which finds what chunks share in part, at the ends of repeated spans.
+   one, by digests of their words read at their source coordinates, which finds what chunks share in
+   part, at the ends of repeated spans.
 
 Nothing is quadratic in the number of copies: classes and windows are counted, never paired.
 """
@@ -30,16 +31,16 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import U64, Rolling, WordHashes, as_long, document_groups, mixed, staged, unstage, word_hashes
 
-_LOW = U64((1 << 24) - 1)
-
-
-def _sliding_least(x: np.ndarray, size: int) -> np.ndarray:
-    out, have = x, 1
-    while have * 2 <= size:
-        out = np.minimum(out[:-have], out[have:])
-        have *= 2
+def _first_least(x: np.ndarray, size: int) -> np.ndarray:
+    """Place of the first least value of each run of `size` values."""
+    value, place, have = x, np.arange(len(x)), 1
     n = len(x) - size + 1
-    return np.minimum(out[:n], out[size - have : size - have + n])
+    while have < size:
+        step = min(have, size - have)
+        later = value[step:] < value[: len(value) - step]
+        place = np.where(later, place[step:], place[: len(place) - step])
+        value, have = x[place], have + step
+    return place[:n]
 
 
 def _chunker(window: int, anchor: int):
@@ -52,12 +53,12 @@ def _chunker(window: int, anchor: int):
             if len(words) < window:
                 continue
             small = Rolling(words).windows(anchor)
-            least = _sliding_least((small & ~_LOW) | np.arange(len(small), dtype=U64), window - anchor + 1)
+            least = _first_least(small, window - anchor + 1)
             doc = np.repeat(np.arange(len(texts)), np.diff(at))
             starts = np.flatnonzero(np.arange(len(least)) + window <= at[1:][doc[: len(least)]])
             if not len(starts):
                 continue
-            place = (least[starts] & _LOW).astype(np.int64)
+            place = least[starts]
             own = doc[starts]
             first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (own[1:] != own[:-1])]))
             count = np.diff(np.append(first, len(starts)))
@@ -72,44 +73,27 @@ def _chunker(window: int, anchor: int):
 
 
 def _prober(window: int):
-    """From (row, text, chunks: list of (start, n, single), spans: list of (path, start, end)) two kinds of
-    rows (row, path, start, end, single, h1, h2): for each window of a chunk, without a path, its 128-bit
-    hash; for each span the digest of its words as they stand in the text."""
+    """From (row, text, chunks: list of (start, n, single), spans: list of (path, start, end)) rows (row, path,
+    start, end, single, h1, h2): for each window of a chunk, without a path, and for each span the digest of its
+    words as they stand in the text."""
 
     def probe(batches):
-        seen = WordHashes()
         for rows, texts in document_groups(batches):
-            words, at = word_hashes(texts, seen, lower=False)
-            h1, h2 = Rolling(words).windows(window), Rolling(mixed(words, 5)).windows(window)
-            chunks = [(i, c) for i, own in enumerate(rows.column(2).to_pylist()) for c in own or ()]
-            n = np.array([c["n"] for _, c in chunks], np.int64)
-            which = np.repeat(np.array([i for i, _ in chunks], np.int64), n)
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pos = np.repeat(np.array([c["start"] for _, c in chunks], np.int64), n) + inside
-            single = np.repeat(np.array([c["single"] for _, c in chunks], bool), n)
-            path, start, end, digest = [], [], [], []
-            of = []
-            for i, (t, own) in enumerate(zip(texts, rows.column(3).to_pylist(), strict=True)):
-                own_words = t.split() if own else []
-                for s in own or ():
-                    of.append(i)
-                    path.append(s["path"])
-                    start.append(s["start"])
-                    end.append(s["end"])
-                    digest.append(hashlib.blake2b(b" ".join(own_words[s["start"] : s["end"]]), digest_size=16).digest())
+            of, path, start, end, single, digest = [], [], [], [], [], []
+            for i, (t, chunks, spans) in enumerate(zip(texts, rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)):
+                words = t.split()
+                asked = [(None, k, k + window, c["single"]) for c in chunks or () for k in range(c["start"], c["start"] + c["n"])]
+                asked += [(s["path"], s["start"], s["end"], False) for s in spans or ()]
+                of += [i] * len(asked)
+                for p, a, b, alone in asked:
+                    path.append(p)
+                    start.append(a)
+                    end.append(b)
+                    single.append(alone)
+                    digest.append(hashlib.blake2b(b" ".join(words[a:b]), digest_size=16).digest())
             digests = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column(0).take(pa.array(np.concatenate([which, np.array(of, np.int64)]))),
-                    pa.array([None] * len(pos) + path, pa.int64()),
-                    pa.array(np.concatenate([pos, start]).astype(np.int32)),
-                    pa.array(np.concatenate([pos + window, end]).astype(np.int32)),
-                    pa.array(np.concatenate([single, np.zeros(len(of), bool)]).astype(bool)),
-                    pa.array(np.concatenate([h1[pos + at[which]].view(np.int64), digests[:, 0]])),
-                    pa.array(np.concatenate([h2[pos + at[which]].view(np.int64), digests[:, 1]])),
-                ],
-                ["row", "path", "start", "end", "single", "h1", "h2"],
-            )
+            columns = [rows.column(0).take(pa.array(of, pa.int64())), pa.array(path, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(single, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(d)) for d in digests.T)], ["row", "path", "start", "end", "single", "h1", "h2"])
 
     return probe
 
@@ -182,8 +166,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, anchor: int = 8) -> Dat
 
     Words are runs of other characters than the six ASCII white-space ones; a null text has none.  Rows
     are told apart by their place in the input, so that repeated rows, or a null or repeated doc_id, are
-    ordinary documents that repeat each other.  Texts shorter than a window lose nothing.  Other columns
-    are ignored.
+    ordinary documents that repeat each other.  Texts shorter than a window lose nothing; a text of any length,
+    up to 2**31 words, is judged whole.  No row gives no row.  Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     spans = repeated_spans(docs, window=window, anchor=anchor)

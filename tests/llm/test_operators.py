@@ -147,6 +147,32 @@ def test_repeats(spark, tmp_path, docs, rows):
     assert remove_repeats(empty(spark)).count() == 0
 
 
+def test_first_least():
+    from cairn.llm.repeats import _first_least
+
+    r = np.random.default_rng(0)
+    for n in (28, 29, 50, 400):
+        for size in (1, 2, 3, 8, 28):
+            x = r.integers(0, 20, n).astype(np.uint64)
+            assert _first_least(x, size).tolist() == [i + int(np.argmin(x[i : i + size])) for i in range(n - size + 1)]
+
+
+def test_repeat_at_the_end_of_a_very_long_text(spark):
+    """Places beyond 2**24 words: the last 300 words of one text are another document."""
+    from cairn.llm.repeats import _chunker
+
+    n = (1 << 24) + 2000
+    small = np.random.default_rng(3).permutation(n).astype("S8")
+    tail = b" ".join(small[-300:].tolist())
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int64()), pa.array([b" ".join(small.tolist()), tail], pa.binary())], ["row", "text"])
+    chunks = pa.Table.from_batches(list(_chunker(35, 8)([batch]))).to_pandas()
+    key = ["anchor", "c1", "c2"]
+    twice = chunks[chunks.duplicated(key, keep=False)]
+    inner = chunks[(chunks["row"] == 1)].sort_values("start").iloc[1:-1]  # all but what reaches over the ends of the passage
+    assert len(inner) > 5 and (inner.merge(twice[twice["row"] == 0], on=key)["start_y"] - inner["start"].to_numpy() == n - 300).sum() == len(inner)
+    assert chunks.groupby("row")["n"].sum().tolist() == [n - 34, 300 - 34]
+
+
 # ---------------------------------------------------------------- 7
 
 
