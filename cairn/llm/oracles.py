@@ -1,4 +1,6 @@
-"""SQL for the queries that SQL can express on whole tables, each written without the operator's method.
+"""SQL for the queries that SQL can express on whole tables, each written from the contract alone.
+
+Only OP8 simulates what its operator does, slot by slot, as the order of the slots is the method's.
 
 Not expressible: op2 (iterated robust estimates), op4 (keyed permutation), op6 (recounted discounts are, but the
 score's crc32 split is not), op9 (a tokenizer).  tests/llm compares those with plain Python.
@@ -72,22 +74,23 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-#: Earliest deadline first over one period of 1024 slots, slot by slot.
+#: Releases and deadlines from the exact weights, and earliest deadline first slot by slot.
 OP8 = """
-WITH RECURSIVE d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 sizes AS (SELECT source, count(*) AS n, pow(count(*), 0.9) AS weight FROM d GROUP BY source),
-ideal AS (SELECT *, weight / sum(weight) OVER () * (1024 - count(*) OVER ()) AS x FROM sizes),
-shares AS (SELECT source, n, 1 + floor(x)::BIGINT + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, '["' || source || '"]') <= 1024 - count(*) OVER () - sum(floor(x)::BIGINT) OVER () THEN 1 ELSE 0 END AS share FROM ideal),
-every AS (SELECT list(share ORDER BY '["' || source || '"]') AS a, list(source ORDER BY '["' || source || '"]') AS s FROM shares),
-edf AS (SELECT 0 AS slot, NULL::BIGINT AS pick, list_transform(a, lambda x: 0::BIGINT) AS given FROM every
+weighed AS (SELECT source, (n + 15) // 16 AS b, greatest(1, round(weight / sum(weight ORDER BY source) OVER (ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * 1099511627776))::HUGEINT AS a FROM sizes),
+phases AS (SELECT source, a, b, row_number() OVER w AS p, coalesce(sum(b) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done, (sum(a) OVER () - coalesce(sum(a) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::HUGEINT AS active FROM weighed WINDOW w AS (ORDER BY b / a, source)),
+marks AS (SELECT x.p AS i, x.source, x.b, k, min_by(q.done + k * q.active // x.a, q.p)::BIGINT AS low, min_by(q.done + (k * q.active + x.a - 1) // x.a, q.p)::BIGINT AS high
+  FROM (SELECT *, unnest(range(0, b + 1)) AS k FROM phases) x JOIN phases q ON k * q.a <= q.b * x.a GROUP BY ALL),
+lists AS (SELECT i, source, b, list(low ORDER BY k) AS low, list(high ORDER BY k) AS high FROM marks GROUP BY ALL),
+every AS (SELECT list(b ORDER BY i) AS b, list(low ORDER BY i) AS low, list(high ORDER BY i) AS high, list(source ORDER BY i) AS s, sum(b) AS slots FROM lists),
+edf AS (SELECT 0 AS slot, NULL::BIGINT AS pick, list_transform(b, lambda x: 0::BIGINT) AS given FROM every
   UNION ALL SELECT slot + 1, p, list_transform(given, lambda g, i: g + CASE WHEN i = p THEN 1 ELSE 0 END) FROM
-  (SELECT slot, given, list_min(list_filter(list_transform(given, lambda g, i: CASE WHEN g * 1024 // a[i] <= slot THEN ((g + 1) * 1024 + a[i] - 1) // a[i] * 1000 + i END), lambda x: x IS NOT NULL)) % 1000 AS p FROM edf, every WHERE slot < 1024)),
-turns AS (SELECT s[pick] AS source, slot - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS turn FROM edf, every WHERE pick IS NOT NULL),
-ranked AS (SELECT d.*, share, (row_number() OVER (PARTITION BY d.source ORDER BY h, doc_id) - 1) AS r FROM d JOIN shares USING (source)),
-blocks AS (SELECT *, r // 16 AS block, (r // 16) % share AS turn FROM ranked),
-placed AS (SELECT b.*, block // share * 1024 + slot AS mix FROM blocks b JOIN turns USING (source, turn)),
-ends AS (SELECT min((n + 15) // 16 // share * 1024 + slot) AS stop FROM shares JOIN turns USING (source) WHERE turn = (n + 15) // 16 % share)
-SELECT doc_id, source, block, block * 1024 // share AS release, ((block + 1) * 1024 + share - 1) // share AS deadline, mix AS slot, r % 16 AS place, mix < stop AS kept FROM placed, ends
+  (SELECT slot, given, list_min(list_filter(list_transform(given, lambda g, i: CASE WHEN g < b[i] AND low[i][g + 1] <= slot THEN high[i][g + 2] * 1000 + i END), lambda x: x IS NOT NULL)) % 1000 AS p FROM edf, every WHERE slot < slots)),
+placed AS (SELECT pick AS i, s[pick] AS source, slot - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS block FROM edf, every WHERE pick IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1 AS r FROM d)
+SELECT doc_id, r.source, block, low[block + 1] AS release, high[block + 2] AS deadline, slot, r % 16 AS place, true AS kept
+FROM ranked r JOIN placed p ON r.source IS NOT DISTINCT FROM p.source AND r.r // 16 = p.block JOIN lists USING (i)
 """
 
 OP10 = rf"""

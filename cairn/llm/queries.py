@@ -71,16 +71,6 @@ def op7_prefix_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cairn.llm.mixing import TooManySources, exact_order, mixed_order
-
-    docs = _table(spark, sf_dir, "documents")
-    try:
-        return mixed_order(docs)
-    except TooManySources:
-        return exact_order(docs).drop("row")
-
-
-def op8_pfair_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.mixing import exact_order
 
     return exact_order(_table(spark, sf_dir, "documents")).drop("row")
@@ -103,7 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_kneser_ney": op6_kneser_ney,
     "op7_prefix_decontaminate": op7_prefix_decontaminate,
     "op8_pfair_mixing": op8_pfair_mixing,
-    "op8_pfair_exact": op8_pfair_exact,
     "op9_wavelet_token_shards": op9_wavelet_token_shards,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }

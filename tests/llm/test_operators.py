@@ -244,69 +244,91 @@ def test_outliers(spark):
 # ---------------------------------------------------------------- 8
 
 
+def placed_blocks(got):
+    """(source, release, deadline) of each slot; checks that slots, blocks and places are all used once."""
+    slots = {}
+    for r in got:
+        if r["kept"]:
+            assert slots.setdefault(r["slot"], (r["source"], r["block"], r["release"], r["deadline"])) == (r["source"], r["block"], r["release"], r["deadline"])
+    assert sorted(slots) == list(range(len(slots)))
+    assert len({(r["slot"], r["place"]) for r in got if r["kept"]}) == sum(r["kept"] for r in got)
+    seen = collections.Counter()
+    for s in range(len(slots)):
+        assert slots[s][1] == seen[slots[s][0]]
+        seen[slots[s][0]] += 1
+    return [(slots[s][0], *slots[s][2:]) for s in range(len(slots))]
+
+
+def check_deviation(order, weights, blocks):
+    """Less than one block from the given weights, and from what they leave to the others once a source has run out."""
+    from fractions import Fraction
+
+    exact, have, v = {k: Fraction(w) for k, w in weights.items()}, collections.Counter(), Fraction(0)
+    for source, *_ in order:
+        have[source] += 1
+        left = Fraction(1)
+        while left and (active := [k for k in exact if exact[k] * v < blocks[k]]):
+            rate = sum(exact[k] for k in active)
+            step = min(left / rate, *(blocks[k] / exact[k] - v for k in active))
+            v, left = v + step, left - step * rate
+        assert all(abs(have[k] - min(w * v, blocks[k])) < 1 + Fraction(len(order), 1 << 39) for k, w in exact.items())
+
+
+@pytest.mark.parametrize("n", [3, 20, 200])
+def test_mix_deviation(spark, n):
+    """At each slot, until the last: less than one block from the weights that were given."""
+    from cairn.llm.mixing import FRAME, exact_order
+
+    r = random.Random(n)
+    names = [None, *(f"s{i}" for i in range(1, n))]
+    weights = {k: r.choice([0.5, 0.3, 0.2, 0.0625, 1.0, 7.0, 0.01]) for k in names}
+    sizes = {k: r.randint(1, 6000 // n) for k in names} | {"s1": 2500}
+    table = spark.createDataFrame([(i, k, 1) for i, k in enumerate(k for k, m in sizes.items() for _ in range(m))], "doc_id long, source string, slot int")
+    given = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    got = exact_order(table, given, block_docs=2).collect()
+    order = placed_blocks(got)
+    blocks = {k: -(-m // 2) for k, m in sizes.items()}
+    assert len(got) == sum(sizes.values()) and len(order) == sum(blocks.values()) > FRAME
+    assert all(release <= s < deadline for s, (_, release, deadline) in enumerate(order))
+    check_deviation(order, weights, blocks)
+
+
 def test_mixing(spark, docs):
-    from cairn.llm.mixing import mixed_order
+    from cairn.llm.mixing import exact_order
 
-    rows = [(i, ["big", "mid", None, "small"][0 if i % 3 == 0 else 1 + i % 7 % 3], i) for i in range(3000)] + [(None, "mid", 1), (5, "big", 2)]
+    rows = [(i, ["big", "mid", None, "small"][0 if i % 3 == 0 else 1 + i % 7 % 3], i) for i in range(3000)] + [(None, "mid", 1), (None, "mid", 1), (5, "big", 2)]
     table = spark.createDataFrame(rows, "doc_id long, source string, block long")
-    given = spark.createDataFrame([("big", 5.0), ("mid", 3.0), (None, 2.0)], "source string, weight double")
-    for weights in (None, given):
-        got = mixed_order(table, weights, block_docs=8, slots=256).collect()
-        assert len(got) == len(rows)
-        slots = collections.defaultdict(set)
-        for r in got:
-            if r["slot"] is not None:
-                slots[r["slot"]].add((r["source"], r["block"]))
-                assert r["release"] <= r["slot"] < r["deadline"]
-        assert all(len(x) == 1 for x in slots.values())
-        end = max(r["slot"] for r in got if r["kept"]) + 1
-        assert all(s in slots for s in range(end))
-        share = {}
-        for r in got:
-            if r["block"] is not None and r["deadline"]:
-                share.setdefault(r["source"], []).append(r)
-        total, weight = collections.Counter(), {}
-        for source, own in share.items():
-            last = max(own, key=lambda r: r["block"])
-            low, high = last["block"] / max(last["deadline"], 1), (last["block"] + 1) / max(last["deadline"] - 1, 1)
-            weight[source] = round((low + high) / 2 * 256) / 256
-        for s in range(end):
-            total[next(iter(slots[s]))[0]] += 1
-            assert all(abs(total[k] - w * (s + 1)) < 1.2 for k, w in weight.items())
-    assert mixed_order(table, given, block_docs=8, slots=256).where("source = 'small' and kept").count() == 0
-    assert mixed_order(empty(spark)).count() == 0
-    with pytest.raises(ValueError):
-        mixed_order(table, most_sources=2)
+    given = spark.createDataFrame([("big", 0.5), ("mid", 0.3), (None, 0.2), ("absent", 9.0)], "source string, weight double")
+    got = exact_order(table, given, block_docs=1).collect()
+    assert collections.Counter((r["doc_id"], r["source"], r["row"]["block"]) for r in got) == collections.Counter(rows)
+    assert {r["source"] for r in got if not r["kept"]} == {"small"}
+    sizes = collections.Counter(s for _, s, _ in rows)
+    check_deviation(placed_blocks(got), {"big": 0.5, "mid": 0.3, None: 0.2}, sizes)
+    got = exact_order(table, most_blocks=100).collect()  # larger blocks instead of more
+    order = placed_blocks(got)
+    assert all(r["kept"] for r in got) and 90 < len(order) <= 104 and max(r["place"] for r in got) == 30
+    check_deviation(order, {k: m**0.9 for k, m in sizes.items()}, {k: -(-m // 31) for k, m in sizes.items()})
+    assert exact_order(docs).where("kept").count() == docs.count()
+    assert exact_order(empty(spark)).count() == 0 and exact_order(table, given.limit(0)).where("kept").count() == 0
 
 
 def test_mix_keeps_all(spark):
     """A source of one row and one without a name do not end the mix."""
     import corpus_pipeline
-    from cairn.llm.mixing import exact_order
 
-    rows = [(i, f"text {i}", "large" if i % 3 else "mid") for i in range(40_000)] + [(50_000, "alone", "tiny"), (50_001, "no source", None), (50_001, "again", None), (None, "no id", "mid")]
+    rows = [(i, f"text {i}", "large" if i % 3 else "mid") for i in range(10_000)] + [(50_000, "alone", "tiny"), (50_001, "no source", None), (50_001, "again", None), (None, "no id", "mid")]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert items(corpus_pipeline.mix(spark, table, ""), "doc_id", "text", "source") == collections.Counter(rows)
-    got = exact_order(table).collect()
-    assert all(r["kept"] and r["release"] <= r["slot"] < r["deadline"] for r in got)
-    blocks = {(r["source"], r["block"], r["slot"]) for r in got}
-    assert sorted(s for *_, s in blocks) == list(range(len(blocks)))
-    assert len({(r["slot"], r["place"]) for r in got}) == len(rows)
-    assert exact_order(table.limit(0)).count() == 0
-    given = spark.createDataFrame([("large", 2.0), ("mid", 0.0)], "source string, weight double")
-    assert {r["source"] for r in exact_order(table, given).where("kept").collect()} == {"large"}
-
-
-def test_mix_of_many_sources(spark, tmp_path):
-    """Source 257 and later have their place; no source is ever a block behind its weight."""
+
+
+def test_mix_of_many_sources(spark):
+    """Beyond most_sources every row has its place too; no source is ever a block behind its weight."""
     from cairn.llm.mixing import exact_order
-    from cairn.llm.queries import op8_pfair_mixing
 
     sizes = {f"s{i}": 1 + 40 * i % 97 for i in range(300)} | {"hot": 3000, None: 5}
     rows = [(k, s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
     table = spark.createDataFrame(rows, "doc_id long, source string")
-    table.write.parquet(f"{tmp_path}/documents.parquet")
-    got = op8_pfair_mixing(spark, str(tmp_path)).collect()
+    got = exact_order(table, most_sources=256).collect()
     assert collections.Counter((r["doc_id"], r["source"]) for r in got) == collections.Counter(rows) and all(r["kept"] for r in got)
     blocks = sorted((r["slot"], r["source"], r["block"]) for r in got if r["place"] == 0)
     assert [s for s, *_ in blocks] == list(range(len(blocks)))
@@ -321,38 +343,6 @@ def test_mix_of_many_sources(spark, tmp_path):
     assert {r["source"] for r in exact_order(table, weights, most_sources=1).where("kept").collect()} == {"hot", "s1"}
 
 
-def test_mix_deviation():
-    """Less than one block from the target weights at any slot, and from the fluid mix once sources run out."""
-    from fractions import Fraction
-
-    from cairn.llm.mixing import schedule
-
-    rows = [3_000_000, *[350_000] * 19, 10]
-    weight = np.array([n**0.9 for n in rows])
-    share, seen, small = weight / weight.sum(), np.zeros(len(rows)), -1
-    for i, k, release, deadline, slot in schedule([(-(-n // 16), n**0.9) for n in rows]):
-        seen[i] += 1
-        small = slot if i == 20 else small
-        assert release <= slot < deadline
-        if slot % 97 == 0 and (slot + 1) * share[20] < 1:  # before the source of one block runs out
-            assert (abs(seen - share * (slot + 1)) < 1 - 1e-9).all()
-        if slot % 97 == 0 and (slot + 1) * share[20] > 1 and seen[0] < 187_500 and slot < 550_000:
-            rest = share[:20] * slot / share[:20].sum()
-            assert (abs(seen[:20] - rest) < 1).all()
-    assert small > 1024 and seen.tolist() == [-(-n // 16) for n in rows]
-
-    sources = [(30, 2.5), (7, 7.0), (1, 0.1), (80, 3.3), (5, 0.7)]
-    exact, have, v = [Fraction(w) for _, w in sources], [0] * 5, Fraction(0)
-    for i, *_ in schedule(sources):
-        have[i] += 1
-        left = Fraction(1)
-        while left and (active := [j for j in range(5) if exact[j] * v < sources[j][0]]):
-            rate = sum(exact[j] for j in active)
-            step = min(left / rate, *(sources[j][0] / exact[j] - v for j in active))
-            v, left = v + step, left - step * rate
-        assert all(abs(have[j] - min(exact[j] * v, sources[j][0])) < 1 for j in range(5))
-
-
 # ---------------------------------------------------------------- 9
 
 
