@@ -6,6 +6,12 @@ written back in the same layout: separators stay, check digits are made anew.  T
 the key, the kind and the length alone, so equal values have equal pseudonyms in all documents and
 layouts, different values have different ones, and the holder of the key can undo it.
 
+A date keeps whether its day is above 12, which settles the order of day and month with slashes: such dates are
+read as month/day where that is a date, and as day/month otherwise, before and after.  A phone number keeps its
+calling code, found by the digits whatever the layout, and whether the rest begins with 0 or, under code 1 and
+without a code, is a valid number of that plan (area and exchange from 2 on).  Any such rest of n digits has the
+pseudonym that it has under other codes only if it is of the same class there.
+
 Kinds: card (Luhn, 13 to 19 digits), iban (ISO 13616, modulo 97), ssn, phone, ipv4, date (1900 to 2099) and
 email (letters and digits of the mailbox name; the domain stays).  What fails validation is left alone.
 """
@@ -20,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import document_groups
+
 KINDS = ("card", "iban", "ssn", "phone", "ipv4", "date", "email")
 _ROUNDS = 8
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -32,6 +40,8 @@ IBAN_LENGTHS = {
     ).split()
     for country in re.findall("[A-Z]{2}", x)
 }
+#: Calling codes of one and two digits (ITU E.164); all others have three.
+CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _PATTERN = re.compile(
     r"(?P<iban>(?<![^\W_])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![^\W_]))"
     r"|(?P<card>(?<![\w.+-])(?:\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{1,7}|\d{4}(?P<r>[ -])\d{6}(?P=r)\d{4,5})(?![\w-]|\.\d))"
@@ -133,12 +143,16 @@ class Pseudonymizer:
 
     def phone(self, s: str) -> str | None:
         digits = re.sub(r"\D", "", s)
-        code = re.match(r"\+(\d{1,3})", s)
-        lead = code[1] if code else ""
-        rest = digits[len(lead) :]
+        code = next((digits[:k] for k in (1, 2) if digits[:k] in CODES), digits[:3]) if s[0] == "+" else ""
+        rest = digits[len(code) :]
         if not 6 <= len(rest) <= 12 or len(digits) > 15:
             return None
-        return _in_layout(s, lead + self._digits("phone", rest))
+        if code in ("", "1") and len(rest) == 10:
+            kind, of = "phone-nanp", lambda x: x // 10**9 > 1 and x // 10**6 % 10 > 1
+        else:
+            kind, of = "phone", lambda x: x >= 10 ** (len(rest) - 1)
+        own = of(int(rest))
+        return _in_layout(s, code + self._digits(kind, rest, lambda x: of(x) == own))
 
     def ipv4(self, s: str) -> str | None:
         parts = [int(p) for p in s.split(".")]
@@ -157,10 +171,9 @@ class Pseudonymizer:
             except ValueError:
                 continue
             if _FIRST_DAY <= day <= _LAST_DAY:
-                new = datetime.date.fromordinal(_FIRST_DAY + self._move("date", _LAST_DAY - _FIRST_DAY + 1, day - _FIRST_DAY))
-                if mark == "/" and len(orders) > 1 and order == orders[1] and new.day <= 12:  # must not read as month/day
-                    fits = lambda x: datetime.date.fromordinal(_FIRST_DAY + x).day > 12
-                    new = datetime.date.fromordinal(_FIRST_DAY + self._move("date", _LAST_DAY - _FIRST_DAY + 1, day - _FIRST_DAY, fits))
+                late = datetime.date.fromordinal(day).day > 12
+                same = lambda x: (datetime.date.fromordinal(_FIRST_DAY + x).day > 12) == late
+                new = datetime.date.fromordinal(_FIRST_DAY + self._move("date", _LAST_DAY - _FIRST_DAY + 1, day - _FIRST_DAY, same))
                 bare = any(len(p) == 1 for p in parts)
                 out = [""] * 3
                 for i, v in zip(order, (new.year, new.month, new.day), strict=True):
@@ -227,10 +240,10 @@ class Pseudonymizer:
 def _task(key: bytes, undo: bool):
     def run(batches):
         own = Pseudonymizer(key, undo)
-        for batch in batches:
-            out = [own.text(t) if t else (t, {}) for t in batch.column(1).to_pylist()]
+        for rows, texts in document_groups(batches):
+            out = [own.text(t.decode()) if t else (None if t is None else "", {}) for t in texts]
             counts = [pa.array([c.get(k, 0) for _, c in out], pa.int64()) for k in KINDS]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in out], pa.string()), *counts], ["doc_id", "text", *(f"n_{k}" for k in KINDS)])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([t for t, _ in out], pa.string()), *counts], ["doc_id", "text", *(f"n_{k}" for k in KINDS)])
 
     return run
 
@@ -238,8 +251,10 @@ def _task(key: bytes, undo: bool):
 def pseudonymize(docs: DataFrame, key: bytes, *, undo: bool = False) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, the text with pseudonyms, and n_<kind> for each kind.
 
-    A null text stays null and an empty one empty.  Repeated rows change alike.  Other columns are ignored.
-    undo turns pseudonyms back under the same key, with dates in month/day order read as such.
+    A null text stays null and an empty one empty.  A text of any length is read whole.  Where two values could
+    begin at one place, the first kind of IBAN, card, phone, ssn, date and address takes it.  Repeated rows change
+    alike.  No row gives no row.  Other columns are ignored.  undo turns pseudonyms back under the same key;
+    a day or month below 10 that was written without a zero gets one where the pseudonym had none below 10.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_task(key, undo), "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS))

@@ -601,6 +601,69 @@ def test_pseudonyms(spark):
     assert pseudonymize(docs.limit(0), b"key").count() == 0
 
 
+def test_pseudonyms_of_many_values():
+    """Each value has one pseudonym in all layouts, no two values have the same, it is valid, and can be undone."""
+    from cairn.llm.pseudonyms import Pseudonymizer, luhn_digit
+
+    r = random.Random(6)
+    own, back = Pseudonymizer(b"key"), Pseudonymizer(b"key", undo=True)
+    number = lambda t: int("".join(str(int(c, 36)) for c in t))
+    fours = lambda s: " ".join(s[i : i + 4] for i in range(0, len(s), 4))
+    bare = lambda s: re.sub(r"\W", "", s)
+    values = {"card": {}, "iban": {}, "ssn": {}, "phone": {}, "ipv4": {}, "date": {}, "email": {}}
+    for _ in range(700):
+        x = "4" + "".join(str(r.randint(0, 9)) for _ in range(14))
+        values["card"][x + str(luhn_digit(x))] = [lambda v: v, fours, lambda v: fours(v).replace(" ", "-")]
+        x = "".join(str(r.randint(0, 9)) for _ in range(18))
+        values["iban"][f"DE{98 - number(x + 'DE00') % 97:02d}{x}"] = [lambda v: v, fours]
+        values["ssn"][f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"] = [lambda v: v]
+        values["ipv4"][".".join(str(r.randint(0, 255)) for _ in range(4))] = [lambda v: v]
+        values["email"][f"{r.choice('abcd')}{r.choice('efgh')}n.{r.randint(100, 9999)}"] = [lambda v: f"{v}@x.org", lambda v: f"{v}@mail.y.net"]
+        area, rest = f"{r.randint(2, 9)}{r.randint(0, 99):02d}", f"{r.randint(0, 9999999):07d}"
+        values["phone"][area + rest] = [lambda v: f"+1{v}", lambda v: f"+1 {v[:3]} {v[3:6]} {v[6:]}", lambda v: f"({v[:3]}) {v[3:6]}-{v[6:]}", lambda v: f"+1-{v[:3]}-{v[3:6]}-{v[6:]}", lambda v: f"{v[:3]}.{v[3:6]}.{v[6:]}"]
+    for i in range(0, 73049, 24):
+        values["date"][datetime.date(1900, 1, 1) + datetime.timedelta(i)] = []
+    for kind, own_values in values.items():
+        seen = {}
+        for value, layouts in own_values.items():
+            if kind == "date":
+                layouts = [str, lambda v: f"{v.day:02d}.{v.month:02d}.{v.year}", lambda v: f"{v.month:02d}/{v.day:02d}/{v.year}", lambda v: f"{v.day:02d}/{v.month:02d}/{v.year}"][: 3 + (value.day > 12)]
+            news = set()
+            for layout in layouts:
+                text = f"see {layout(value)} here"
+                new, found = own.text(text)
+                assert found == {kind: 1} and back.text(new)[0] == text, (kind, text, new)
+                got = new[4:-5]
+                if kind == "date":
+                    parts = [int(x) for x in re.findall(r"\d+", got)]
+                    if "/" in got:
+                        parts = [parts[2], *(parts[:2] if parts[0] <= 12 else parts[1::-1])]
+                    elif "." in got:
+                        parts = parts[::-1]
+                    news.add(datetime.date(*parts))
+                elif kind == "phone":
+                    news.add(bare(got)[-10:])
+                elif kind == "email":
+                    assert got.split("@")[1] == layout(value).split("@")[1]
+                    news.add(got.split("@")[0])
+                else:
+                    news.add(bare(got) if kind != "ipv4" else got)
+            assert len(news) == 1, (kind, value, news)
+            new = news.pop()
+            assert seen.setdefault(new, value) == value
+            if kind == "card":
+                assert luhn_digit(new[:-1]) == int(new[-1])
+            if kind == "iban":
+                assert number(new[4:] + new[:4]) % 97 == 1
+            if kind == "phone":
+                assert (new[0] > "1" and new[3] > "1") == (value[3] > "1")
+            if kind == "date":
+                assert (new.day > 12) == (value.day > 12)
+    assert len(set(bare(own.text(f"tel {t}.")[0]) for t in ("+44 20 7946 0018", "+442079460018", "+44-20-7946-0018"))) == 1
+    long = "x " * 3_000_000 + "ssn 123-45-6789"
+    assert own.text(long)[1] == {"ssn": 1} and own.text(long)[0][: len(long) - 11] == long[:-11]
+
+
 # ---------------------------------------------------------------- pipeline
 
 
