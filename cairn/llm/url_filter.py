@@ -31,30 +31,65 @@ def address(url):
     return F.translate(host, _UPPER, _LOWER), path, query
 
 
+#: What holds no tags of the page itself, and the tags that matter; a tag ends at its first >.
+_HIDDEN = r"(?is)<!--.*?(?:-->|$)|<(script|style|template|textarea)\b.*?(?:</\1\s*>|$)"
+_TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+_ATTRIBUTE = r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
+#: The address of a refresh, behind its number of seconds.
+_REFRESH = r"""(?is)^\s*\d+(?:\.\d*)?(?:\s*[;,]\s*|\s+)(?:url\s*=\s*)?["']?\s*([^"']*)"""
+
+
+def _attribute(tag, name: str):
+    """Value of a tag's first attribute of this name; null without one."""
+    parts = F.arrays_zip(*(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(i)).alias(f"g{i}") for i in (1, 2, 3, 4)))
+    own = F.get(F.filter(parts, lambda x: F.lower(x["g1"]) == name), 0)
+    return F.replace(F.trim(F.concat(own["g2"], own["g3"], own["g4"])), F.lit("&amp;"), F.lit("&"))
+
+
+def plain_path(path):
+    """A path without its dot segments; an empty one is the root."""
+    parts = F.split(path, "/")
+    up = lambda done: F.when(F.size(done) > 1, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(done)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    return F.when(path == "", "/").when(path.contains("/."), F.concat(F.array_join(kept, "/"), end)).otherwise(path)
+
+
+def _resolved(href, scheme, host, path):
+    """Address of href on a page; null for other schemes and mere fragments."""
+    start = F.concat(scheme, F.lit("://"), host)
+    full = F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+    full = full.when(href.startswith("/"), F.concat(start, href)).when(href.startswith("?"), F.concat(start, path, href))
+    folder = F.regexp_extract(F.when(path == "", F.lit("/")).otherwise(path), r"^.*/", 0)
+    return full.when((href != "") & ~href.rlike(r"^(?:#|[A-Za-z][A-Za-z0-9+.-]*:)"), F.concat(start, folder, href))
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(url, target) of canonical links and immediate refreshes in html, resolved; dot segments stay as they are."""
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    some = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(tags).alias("tag"))
-    href = F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
-    href = F.regexp_replace(href, r"""(?is)^\s*href\s*=\s*["']?|["']$""", "")
-    refresh = F.regexp_extract("tag", r"""(?is)\bcontent\s*=\s*["']?\s*\d+(?:\.\d+)?\s*[;,]\s*url\s*=\s*["']?([^"'>]*)""", 1)
-    target = F.when(F.col("tag").rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""), href)
-    target = target.when(F.col("tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), refresh)
-    found = some.select("url", F.replace(F.trim(target), F.lit("&amp;"), F.lit("&")).alias("href")).where("href <> ''")
+    """(url, target) of the canonical links and refreshes in html, resolved against the page or its base."""
+    own = F.regexp_replace("html", _HIDDEN, " ")
+    some = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|refresh")).select("url", own.alias("html"))
+    scheme = F.regexp_extract("url", r"^[^:/?#]*", 0)
     host, path, _ = address(F.col("url"))
-    found = found.withColumns({"scheme": F.regexp_extract("url", r"^[^:/?#]*", 0), "host": host, "path": path})
-    scheme, host, path = F.col("scheme"), F.col("host"), F.col("path")
-    start = F.concat(scheme, F.lit("://"), host)
-    full = F.when(F.col("href").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("href")).when(F.col("href").startswith("//"), F.concat(scheme, F.lit(":"), F.col("href")))
-    full = full.when(F.col("href").startswith("/"), F.concat(start, F.col("href"))).when(F.col("href").startswith("?"), F.concat(start, path, F.col("href")))
-    full = full.when(~F.col("href").rlike(r"^(?:#|[A-Za-z][A-Za-z0-9+.-]*:)"), F.concat(start, F.regexp_extract(F.when(path == "", F.lit("/")).otherwise(path), r"^.*/", 0), F.col("href")))
-    return found.select("url", full.alias("target")).where("target is not null")
+    base = _resolved(_attribute(F.regexp_extract("html", r"(?is)<base\b[^>]*>", 0), "href"), scheme, host, path)
+    tags = F.filter(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0)), lambda t: t.rlike(r"(?i)canonical|refresh"))
+    some = some.select("url", F.coalesce(base, "url").alias("base"), F.explode(tags).alias("tag"))
+    link, tag = F.lower(F.substring("tag", 1, 5)) == "<link", F.col("tag")
+    canonical = link & F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
+    refresh = ~link & (F.lower(_attribute(tag, "http-equiv")) == "refresh")
+    href = F.when(canonical, _attribute(tag, "href")).when(refresh, F.trim(F.regexp_extract(_attribute(tag, "content"), _REFRESH, 1)))
+    found = some.select("url", "base", href.alias("href")).where("href <> ''")
+    host, path, _ = address(F.col("base"))
+    found = found.withColumns({"scheme": F.regexp_extract("base", r"^[^:/?#]*", 0), "host": host, "path": path})
+    full = _resolved(F.col("href"), F.col("scheme"), F.col("host"), F.col("path"))
+    host, path, query = address(F.col("full"))
+    plain = F.concat(F.regexp_extract("full", r"^[^:/?#]*", 0), F.lit("://"), host, plain_path(path), query)
+    return found.select("url", full.alias("full")).where("full is not null").select("url", plain.alias("target"))
 
 
 def node(url):
-    """What tells addresses apart: host, path and query; neither scheme nor fragment."""
+    """What tells addresses apart: host, path without dot segments and query; neither scheme nor fragment."""
     host, path, query = address(url)
-    return F.concat(host, path, query)
+    return F.concat(host, plain_path(path), query)
 
 
 def ruled(addresses: DataFrame, rules: DataFrame) -> DataFrame:
@@ -79,10 +114,11 @@ def rule_table(spark, rules: Iterable[tuple[str, str]]) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, host, path, rule, verdict, alias_blocked.
 
-    The longest fitting rule decides.  Without one a page is blocked if an address that a block rule fits
-    can be reached from its own over canonical links and refreshes, in either direction, and allowed
-    otherwise.  A null url, or one without ://, has an empty host and path, no rule and no links.  Repeated rows
-    are judged alike.  Other columns are ignored.
+    The longest fitting rule decides, of equally long ones the last in order.  Without one a page is blocked if an
+    address that a block rule fits can be reached from its own over canonical links and refreshes, in either
+    direction, and allowed otherwise.  A null url, or one without ://, has an empty host and path, no rule and no
+    links; a null html has no links, and one of any length is read whole.  Repeated rows are judged alike.  No row
+    gives no row.  Other columns are ignored.
     """
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     usable = F.instr(F.col("url"), "://") > 0

@@ -541,6 +541,69 @@ def test_urls(spark):
     assert judge_urls(pages.limit(0), rule_table(spark, RULES)).count() == 0
 
 
+def test_links(spark):
+    """Which tags are links, and where they lead."""
+    from cairn.llm.url_filter import links
+
+    at = "http://h.net/a/b/c.html?q"
+    cases = [
+        ('<link rel=stylesheet title=canonical href="/css">', None),
+        ('<link rel="nofollow CANONICAL" data-href="/no" href="/yes">', "http://h.net/yes"),
+        ("<link rel=canonical data-href=/no>", None),
+        ('<!-- <link rel=canonical href="/no"> -->', None),
+        ('<script>"<link rel=canonical href=/no>"</script><link rel=canonical href=/yes>', "http://h.net/yes"),
+        ('<link rel="canonicals" href="/no">', None),
+        ('<LINK HREF="../d/./e/../f" REL="canonical"/>', "http://h.net/a/d/f"),
+        ("<link rel='canonical' href='../../../..'>", "http://h.net/"),
+        ('<base href="/x/y"><link rel=canonical href="z?a=1&amp;b=2#c">', "http://h.net/x/z?a=1&b=2"),
+        ('<base href="//o.org/q/"><link rel=canonical href="z">', "http://o.org/q/z"),
+        ("<link rel=canonical href=mailto:x@y.z>", None),
+        ('<meta http-equiv="refresh" content="0; URL=\'/r\'">', "http://h.net/r"),
+        ('<meta http-equiv="refresh" content="5, https://E.com">', "https://e.com/"),
+        ('<meta http-equiv="refresh" content="30">', None),
+        ('<meta name="refresh" content="0; url=/no">', None),
+        ("<p>" + "x<link> " * 300_000 + "<link rel=canonical href=/late>", "http://h.net/late"),
+        ("<link rel=canonical href=" + "'\"" * 20_000, None),
+    ]
+    table = spark.createDataFrame([(f"{at}{i}", h) for i, (h, _) in enumerate(cases)], "url string, html string")
+    got = {r["url"]: r["target"] for r in links(table).collect()}
+    assert {i: got.get(f"{at}{i}") for i in range(len(cases))} == dict(enumerate(t for _, t in cases))
+
+
+def test_blocks_reach_all_aliases(spark):
+    """100,000 links in chains, cycles, a hub and pairs, against a union-find."""
+    from cairn.llm.url_filter import RULES, judge_urls, rule_table
+
+    r = random.Random(9)
+    url = lambda i: f"http://h{i}.net/p{i}"
+    special = {i: f"http://x{i}.com/de/{i}" for i in range(17, 100_000, 9973)} | {i: f"http://a{i}.org/{i}" for i in range(20, 100_000, 501)}
+    name = lambda i: special.get(i, url(i))
+    goal = {}
+    for i in range(100_000):
+        if i < 20_000:
+            goal[i] = 5 if i != 5 else 19_999  # a hub, in a cycle of two
+        elif i < 60_000:
+            goal[i] = i + 1 if i % 40 else i - 1  # chains that meet in a pair
+        elif i < 80_000:
+            goal[i] = i + 1 if i % 10 < 9 else i - 9  # cycles
+        else:
+            goal[i] = r.randint(80_000, 99_999)
+    rows = [(i, name(i), f'<link rel="canonical" href="{name(g)}">' if i % 2 else f"<meta http-equiv=refresh content='0;url={name(g)}'>") for i, g in goal.items()]
+    parent = list(range(100_000))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, g in goal.items():
+        parent[find(i)] = find(g)
+    bad = {find(i) for i in special if "/de/" in special[i]}
+    got = {r["page_id"]: (r["verdict"], r["alias_blocked"]) for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rule_table(spark, RULES)).collect()}
+    want = {i: ("allow" if ".org/" in name(i) else "block" if find(i) in bad else "allow", find(i) in bad) for i in goal}
+    assert got == want and {v for v, _ in want.values()} == {"allow", "block"} and sum(v == "allow" and b for v, b in want.values()) > 20
+
+
 # ---------------------------------------------------------------- 4
 
 
