@@ -10,10 +10,15 @@
 3. Each posting list names its most central member (that with the most popular keys), and lists with one
    centre merge into one group, so that a cluster's many lists become one group and no pair with a common
    prefix key is lost.
-4. Groups are cut into blocks and each pair of blocks is one unit of work.  A unit counts collisions of
-   signatures, confirms what has `matches` of them on the full shingle sets, and returns a spanning
-   forest of its links, not the links.  No group is capped; its cost is quadratic in arithmetic on
-   blocks, but no row is made for a pair.
+4. A group of one block is one unit of work, which counts collisions of signatures, confirms what has
+   `matches` of them on the full shingle sets, and returns a spanning forest of its links, not the links.
+5. In a larger group every member is first compared with the centre alone, block by block.  Members that
+   link with it are one component and need no comparing among themselves.  What is left meets only members
+   whose distance from the centre differs by no more than a link's: Jaccard distance is a metric, so others
+   cannot link.  These are cut by distance and into blocks, and each pair of blocks is a unit as in 4.
+
+No group is capped.  A cluster around its centre costs each member one send; only members that do not link
+with it are sent to several units.
 
 The only loss is that of MinHash itself: with the default 40 coordinates and 20 matches a pair at
 exactly the threshold of 0.8 is missed with probability 3e-6, a closer one with less.
@@ -107,11 +112,21 @@ def _shared(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _linker(percent: int, coordinates: int, matches: int):
+    def star(center, reps, sets):
+        """What each member of a block shares with the centre."""
+        at = int(np.searchsorted(reps, center))
+        others = [i for i in range(len(reps)) if i != at]
+        both = np.array([np.isin(sets[i], sets[at], assume_unique=True).sum() for i in others], np.int64)
+        sizes = np.array([len(sets[i]) for i in others], np.int64)
+        return pa.table({"x": pa.array([center] * len(others), pa.int64()), "y": pa.array(reps[others], pa.int64()), "star": pa.array([True] * len(others), pa.bool_()), "size": pa.array(sizes), "both": pa.array(both), "either": pa.array(sizes + len(sets[at]) - both)})
+
     def links(key, table):
         """Spanning forest of the links between the two blocks of a unit (or inside its one block)."""
         low, high = key[1].as_py(), key[2].as_py()
         table = table.sort_by("rep")
         reps = table.column("rep").to_numpy()
+        if high == STAR:
+            return star(key[0].as_py(), reps, [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()])
         block = table.column("block").to_numpy()
         sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
         sizes = np.array([len(x) for x in sets])
@@ -137,13 +152,54 @@ def _linker(percent: int, coordinates: int, matches: int):
             if new.any():
                 out += [(a, own[k]) for k in first[new]]
                 label[np.isin(label, labels)] = label[a]
-        return pa.table({"x": pa.array([int(reps[a]) for a, _ in out], pa.int64()), "y": pa.array([int(reps[b]) for _, b in out], pa.int64())})
+        none = pa.nulls(len(out), pa.int64())
+        return pa.table({"x": pa.array([int(reps[a]) for a, _ in out], pa.int64()), "y": pa.array([int(reps[b]) for _, b in out], pa.int64()), "star": pa.array([False] * len(out), pa.bool_()), "size": none, "both": none, "either": none})
 
     return links
 
 
 #: Members and shingles of a block at most, on average over the blocks of a group.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
+#: Stands for the other block in a unit of a block and the centre.
+STAR = -1
+#: Distances from the centre are cut into so many cells.
+CELLS = 20
+
+
+def _blocks():
+    return F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+
+
+def _first_units(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(center, low, high, rep, block): groups of one block, and each block of a larger one with the centre."""
+    placed = members.join(sizes, "center")
+    zero = F.lit(0).cast("long")
+    small = placed.where("blocks = 1").select("center", zero.alias("low"), zero.alias("high"), "rep", zero.alias("block"))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long").alias("block")
+    spread = placed.where("blocks > 1 and rep <> center").select("center", "rep", block)
+    centers = sizes.where("blocks > 1").select("center", F.col("center").alias("rep"), F.explode(F.sequence(zero, F.col("blocks").cast("long") - 1)).alias("block"))
+    star = spread.unionByName(centers).select("center", F.col("block").alias("low"), F.lit(STAR).cast("long").alias("high"), "rep", "block")
+    return small.union(star)
+
+
+def _rest_units(star: DataFrame, percent: int) -> DataFrame:
+    """(center, low, high, rep, block) of what does not link with its centre and what may link with that.
+
+    star has (center, rep, n_shingles, both, either).  Members that link with the centre need not meet each other.
+    """
+    linked = 100 * F.col("both") >= percent * F.col("either")
+    cell = F.floor((F.col("either") - F.col("both")) * CELLS / F.col("either")).cast("int")
+    rows = star.select("center", "rep", "n_shingles", linked.alias("linked"), F.least(cell, F.lit(CELLS - 1)).alias("cell"))
+    reach = lambda a, b: 100 * (F.abs(a - b) - 1) < CELLS * (100 - percent)  # noqa: E731  cells that can hold a link
+    parties = staged(rows.groupBy("center", "linked", "cell").agg(_blocks().alias("blocks")), "near-parties")
+    one, two = (parties.select("center", *(F.col(c).alias(f"{c}{i}") for c in ("linked", "cell", "blocks"))) for i in (1, 2))
+    meet = one.join(two, "center").where(reach(F.col("cell1"), F.col("cell2")) & ~(F.col("linked1") & F.col("linked2")))
+    number = lambda linked, cell, block: (F.when(linked, 1).otherwise(0) * CELLS + cell).cast("long") * (1 << 40) + block
+    meet = meet.select("center", F.col("linked1").alias("linked"), F.col("cell1").alias("cell"), "blocks1", "linked2", "cell2", "blocks2")
+    sent = rows.join(meet, ["center", "linked", "cell"]).withColumn("block", number(F.col("linked"), F.col("cell"), F.pmod(F.xxhash64("rep"), F.col("blocks1"))))
+    sent = sent.select("center", "rep", "block", "linked2", "cell2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)).alias("k"))
+    sent = sent.withColumn("other", number(F.col("linked2"), F.col("cell2"), F.col("k")))
+    return sent.select("center", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "block")
 
 
 def near_duplicate_links(docs: DataFrame, *, shingle: int = 4, percent: int = 80, coordinates: int = 40, matches: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -169,11 +225,7 @@ def near_duplicate_links(docs: DataFrame, *, shingle: int = 4, percent: int = 80
     top = prefix.groupBy("key").agg(F.max(F.struct("popular", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("n")).where("n >= 2")
     centers = staged(top.select("key", (-F.col("top.minus")).alias("center")), "near-centers")
     members = staged(prefix.join(centers, "key").select("center", "rep", "n_shingles").distinct(), "near-members")
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    sizes = staged(members.groupBy("center").agg(blocks.alias("blocks")), "near-groups")
-    placed = members.join(sizes, "center").select("center", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-    units = placed.select("center", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = units.select("center", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "block")
+    sizes = staged(members.groupBy("center").agg(_blocks().alias("blocks")), "near-groups")
 
     # full shingle sets of the members; the hash of the smaller side keeps texts from being sorted
     ends = members.select("rep").distinct()
@@ -181,8 +233,15 @@ def near_duplicate_links(docs: DataFrame, *, shingle: int = 4, percent: int = 80
     sets = texts.mapInArrow(_set_maker(shingle), "rep long, d1 long, shingles binary")
     sets = staged(sets.join(classes.select("rep", "d1"), ["rep", "d1"]).select("rep", "shingles"), "near-sets")
     unstage(prefix, centers)
-    links = units.join(sets, "rep").groupBy("center", "low", "high").applyInArrow(_linker(percent, coordinates, matches), "x long, y long")
-    links = staged(links.distinct(), "near-links")
+    find = _linker(percent, coordinates, matches)
+    schema = "x long, y long, star boolean, size long, both long, either long"
+    first = staged(_first_units(members, sizes).join(sets, "rep").groupBy("center", "low", "high").applyInArrow(find, schema), "near-first")
+    star = first.where("star").select(F.col("x").alias("center"), F.col("y").alias("rep"), F.col("size").alias("n_shingles"), "both", "either")
+    good = first.where(~F.col("star") | (100 * F.col("both") >= percent * F.col("either"))).select("x", "y")
+    apart = star.where(100 * F.col("both") < percent * F.col("either")).select("center").distinct()
+    rest = _rest_units(star.join(apart, "center", "left_semi"), percent).join(sets, "rep").groupBy("center", "low", "high").applyInArrow(find, schema)
+    links = staged(good.union(rest.select("x", "y")).distinct(), "near-links")
+    unstage(first)
     components = connected_components(links, "x", "y", "near-cc")
     unstage(members, sizes, sets, links)
     return sketches, classes, components
@@ -194,7 +253,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     component_id is the smallest doc_id that can be reached over links (100 * intersection >= percent *
     union of the distinct lower-cased word shingles), itself included; kept says that it is the own one.
     A null or wordless text has n_shingles 0, is linked with nothing and kept.  A row without an id is
-    kept, with a null component.  A repeated doc_id is judged row by row.  Other columns are ignored.
+    kept, with a null component.  A repeated doc_id is judged row by row.  A text of any length is one set.
+    No row gives no row.  Other columns are ignored.
     """
     sketches, classes, components = near_duplicate_links(docs, **options)
     named = components.select(F.col("node").alias("rep"), "component")

@@ -91,15 +91,55 @@ def test_near_duplicates(spark, docs, rows):
     assert near_duplicates(empty(spark)).count() == 0
 
 
-def test_blocks_of_a_group(spark, docs, monkeypatch):
+@pytest.mark.parametrize("block", [1, 4])
+def test_blocks_of_a_group(spark, docs, monkeypatch, block):
     """Groups larger than a block give the same components."""
     from cairn.llm import near_dup
 
     whole = items(near_dup.near_duplicates(docs), "doc_id", "component_id")
-    monkeypatch.setattr(near_dup, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", block)
     assert items(near_dup.near_duplicates(docs), "doc_id", "component_id") == whole
 
 
+def test_links_off_the_centre(spark, monkeypatch):
+    """A chain of texts, each near the next only, two clusters that do not link, and many copies sent a few times each."""
+    from cairn.llm import near_dup
+
+    base = words(400, 21, 10**6)
+    rows = []
+    for i in range(40):  # neighbours share 4 in 5 shingles, others fewer
+        rows.append(base[: 400 - 9 * i] + [f"c{k}" for k in range(9 * i)])
+    other = base[:300] + words(100, 23, 10**6)
+    for i in range(300):
+        own = list(base if i % 2 else other)
+        own[7 * i % 390] = f"e{i}"
+        rows.append(own)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    sets = [s for _, s in sets_of([(i, " ".join(w)) for i, w in enumerate(rows)])]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                p, q = sorted((find(i), find(j)))
+                parent[q] = p
+    sends = []
+    for name in ("_first_units", "_rest_units"):
+        plain = getattr(near_dup, name)
+        monkeypatch.setattr(near_dup, name, lambda *a, plain=plain: sends.append(units := plain(*a)) or units)
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", 16)
+    counted = []
+    monkeypatch.setattr(near_dup, "unstage", lambda *t: counted or counted.extend(u.count() for u in sends) if len(sends) == 2 else None)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(table).collect()}
+    assert got == {i: find(i) for i in range(len(rows))} and 1 < len(set(got.values()))
+    assert counted[0] < 8 * len(rows)  # a member is in a few groups; pairs of blocks would be 22 sends for each
+
+
 def test_exact_matrix():
     from cairn.llm.near_dup import _shared
 
