@@ -2,15 +2,19 @@
 
 Every document gets counts and, from them, a vector of four transformed statistics: log mean word
 length, log share of symbols, share of repeated lines and share of words in repeated windows.  For each
-language and source the minimum covariance determinant estimate (FAST-MCD concentration steps from a
-median/MAD start, then one reweighting step) gives a centre and scatter that outliers cannot move, and
-documents beyond a Mahalanobis distance are rejected.
-
-A concentration step is one aggregation: rows fall into bins of their current distance, each bin keeps
-the count and the sums of first and second moments, and the bins up to the one that holds the h-th
-smallest distance give the next estimate.  Statistics are fixed-point integers, so that sums are exact
-and do not depend on partitioning or on retries.  No group's rows ever meet in one task: a group of any
-size arrives at the estimating task as at most a few hundred bins.
+language and source the minimum covariance determinant estimate gives a centre and scatter that outliers
+cannot move, and documents beyond a Mahalanobis distance are rejected.
+
+The estimate is deterministic FAST-MCD: concentration steps from three robust starts (median and MAD of each
+statistic; the same with the covariance of spatial signs; the same with that of hyperbolic tangents), of which
+the h-subset with the smallest determinant wins, then one reweighting step.  A fixed spread (FLOOR) is added
+to each variance, as in the regularized estimate, since most statistics are constant in many sources.
+
+A concentration step is one aggregation for all starts: rows fall into bins of their current distance (32 for
+each doubling), each bin keeps the count and the sums of first and second moments, and the bins up to the
+h-th smallest distance give the next estimate, the last one in the part that is needed for h rows.  Statistics
+are fixed-point integers, so that sums are exact and do not depend on partitioning or on retries.  No group's
+rows ever meet in one task: a group of any size arrives at the estimating task as at most a few hundred bins.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import Rolling, WordHashes, document_groups, is_small, staged, unstage, word_hashes
@@ -84,15 +88,27 @@ def _chi2_quantile(q: float, degrees: int) -> float:
     return high
 
 
-def _estimate(mean: np.ndarray, cov: np.ndarray, level: str, kind: str) -> pd.DataFrame:
-    inverse = np.linalg.inv(cov + np.diag(np.square(FLOOR)))
-    return pd.DataFrame([[level, kind, *mean, *(inverse[i, j] * (1 if i == j else 2) for i, j in _PAIRS)]])
+STARTS = ("mad", "sign", "tanh")
+_COLUMNS = ["level", "kind", "start", "determinant", *(f"m{i}" for i in range(P)), *(f"c{i}{j}" for i, j in _PAIRS), *(f"v{i}{j}" for i, j in _PAIRS)]
+_PARAMETERS = "level string, kind string, start string, " + ", ".join(f"{c} double" for c in _COLUMNS[3:])
+_CENTERS = "level string, kind string, " + ", ".join(f"m{i} double, w{i} double" for i in range(P))
 
 
-_PARAMETERS = "level string, kind string, " + ", ".join(f"m{i} double" for i in range(P)) + ", " + ", ".join(f"v{i}{j} double" for i, j in _PAIRS)
+def _estimate(key, start: str, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
+    """Row of an estimate: regularized determinant, centre, covariance and inverse."""
+    full = cov + np.diag(np.square(FLOOR))
+    inverse = np.linalg.inv(full)
+    return pd.DataFrame([[*key[:2], start, float(np.linalg.det(full)), *mean, *(cov[i, j] for i, j in _PAIRS), *(inverse[i, j] * (1 if i == j else 2) for i, j in _PAIRS)]], columns=_COLUMNS)
 
 
-def _start(key, bins):
+def _square(row, prefix: str) -> np.ndarray:
+    out = np.zeros((P, P))
+    for i, j in _PAIRS:
+        out[i, j] = out[j, i] = row[f"{prefix}{i}{j}"]
+    return out
+
+
+def _center(key, bins):
     """Median and MAD of each statistic from its histogram."""
     mean, spread = np.zeros(P), np.zeros(P)
     for i, own in bins.groupby("i"):
@@ -103,25 +119,45 @@ def _start(key, bins):
         off = np.abs(at - mean[i])
         order = np.argsort(off, kind="stable")
         spread[i] = 1.4826 * off[order][np.searchsorted(np.cumsum(n[order]), (n.sum() + 1) // 2)]
-    return _estimate(mean, np.diag(np.square(spread)), *key)
+    return pd.DataFrame([[*key, *np.stack([mean, spread], axis=1).reshape(-1)]])
+
+
+def _starts(key, moments):
+    """The three starts of a group from its medians, MADs and the moments of signs and tangents."""
+    row = moments.iloc[0]
+    mean, spread = np.array([row[f"m{i}"] for i in range(P)]), np.array([row[f"w{i}"] for i in range(P)])
+    wide = np.sqrt(np.square(spread) + np.square(FLOOR))
+    out = [_estimate(key, "mad", mean, np.diag(np.square(spread)))]
+    for start, prefix in (("sign", "g"), ("tanh", "t")):
+        q = _square(row, prefix) / float(row["n"]) / SCALE**2
+        scale = np.sqrt(np.maximum(np.diag(q), 1e-9))
+        r = q / np.outer(scale, scale)
+        np.fill_diagonal(r, 1)
+        out.append(_estimate(key, start, mean, r * np.outer(wide, wide)))
+    return pd.concat(out)
 
 
 def _stepper(part: float, limit_bin: int | None):
-    """Next estimate from the moments of distance bins: those up to the h-th row, or up to limit_bin."""
+    """Next estimate from the moments of distance bins: those of the h nearest rows, or up to limit_bin."""
     inside = part if limit_bin is None else 0.975
     factor = inside / _chi2_cdf(_chi2_quantile(inside, P), P + 2)
 
     def step(key, bins):
         bins = bins.sort_values("bin")
-        upto = np.cumsum(bins["n"].to_numpy())
-        last = int(np.searchsorted(upto, math.ceil(part * upto[-1]))) if limit_bin is None else max(int(np.searchsorted(bins["bin"].to_numpy(), limit_bin, "right")) - 1, int(np.searchsorted(upto, math.ceil(0.5 * upto[-1]))))
-        own = bins.iloc[: last + 1]
-        n = float(own["n"].sum())
-        mean = np.array([int(own[f"s{i}"].sum()) / n for i in range(P)])
+        n = bins["n"].to_numpy().astype(float)
+        upto = np.cumsum(n)
+        if limit_bin is None or bins["bin"].iloc[0] > limit_bin:
+            h = math.ceil((part if limit_bin is None else 0.5) * upto[-1])
+            weight = np.clip((h - (upto - n)) / n, 0, 1)
+        else:
+            weight = (bins["bin"].to_numpy() <= limit_bin).astype(float)
+        total = float((weight * n).sum())
+        sums = lambda c: float((weight * bins[c].to_numpy().astype(float)).sum()) / total
+        mean = np.array([sums(f"s{i}") for i in range(P)])
         cov = np.zeros((P, P))
         for i, j in _PAIRS:
-            cov[i, j] = cov[j, i] = int(own[f"q{i}{j}"].sum()) / n - mean[i] * mean[j]
-        return _estimate(mean / SCALE, factor * cov / SCALE**2, *key)
+            cov[i, j] = cov[j, i] = sums(f"q{i}{j}") - mean[i] * mean[j]
+        return _estimate(key, key[2], mean / SCALE, factor * cov / SCALE**2)
 
     return step
 
@@ -133,26 +169,42 @@ def _distance():
 
 
 def robust_outliers(stats: DataFrame, *, part: float = 0.75, steps: int = 5, confidence: float = 0.99999, least_rows: int = 40) -> DataFrame:
-    """stats (level, kind, x0..) plus distance2 and outlier, by MCD within each (level, kind)."""
-    histogram = stats.select("level", "kind", F.posexplode(F.array(*(F.col(f"x{i}") for i in range(P)))).alias("i", "value")).withColumn("value", F.floor(F.col("value") / 16) * 16)
+    """stats (level, kind, x0..) plus distance2 and outlier, by MCD within each (level, kind).
+
+    Groups of fewer than least_rows rows have no outliers.  No row gives no row.
+    """
+    group = ["level", "kind"]
+    histogram = stats.select(*group, F.posexplode(F.array(*(F.col(f"x{i}") for i in range(P)))).alias("i", "value")).withColumn("value", F.floor(F.col("value") / 16) * 16)
     # staged, or else Spark would bring the tasks' partial counts of a whole group to one task
-    histogram = staged(histogram.groupBy("level", "kind", "i", "value").agg(F.count("*").alias("n")), "mcd-histogram")
-    now = staged(histogram.groupBy("level", "kind").applyInPandas(_start, _PARAMETERS), "mcd-estimate")
+    histogram = staged(histogram.groupBy(*group, "i", "value").agg(F.count("*").alias("n")), "mcd-histogram")
+    center = staged(histogram.groupBy(*group).applyInPandas(_center, _CENTERS), "mcd-center")
     unstage(histogram)
     # one row for each group: broadcast up to a bound, so that the rows are not dealt by group
-    hint = F.broadcast if is_small(now, BROADCAST_GROUPS) else (lambda x: x)
+    hint = F.broadcast if is_small(center, BROADCAST_GROUPS) else (lambda x: x)
+    z = [(F.col(f"x{i}") / SCALE - F.col(f"m{i}")) / F.sqrt(F.col(f"w{i}") * F.col(f"w{i}") + FLOOR[i] ** 2) for i in range(P)]
+    norm = F.greatest(F.sqrt(sum((x * x for x in z), F.lit(0.0))), F.lit(1e-9))
+    fixed = lambda x: F.round(x * SCALE).cast("long")
+    scaled = stats.join(hint(center), group).select(*group, *(fixed(x / norm).alias(f"g{i}") for i, x in enumerate(z)), *(fixed(F.tanh(x)).alias(f"t{i}") for i, x in enumerate(z)), F.pmod(F.xxhash64(*(f"x{i}" for i in range(P))), F.lit(64)).alias("salt"))
+    products = [F.sum(F.col(f"{p}{i}") * F.col(f"{p}{j}")).alias(f"{p}{i}{j}") for p in "gt" for i, j in _PAIRS]
+    moments = staged(scaled.groupBy(*group, "salt").agg(F.count("*").alias("n"), *products), "mcd-moments")
+    moments = moments.groupBy(*group).agg(*(F.sum(c).alias(c) for c in moments.columns[3:])).join(center, group)
+    now = staged(moments.groupBy(*group).applyInPandas(_starts, _PARAMETERS), "mcd-estimate")
     cut = _chi2_quantile(0.975, P)
     for k in range(steps + 1):
-        d2 = _distance()
-        bins = stats.join(hint(now), ["level", "kind"]).withColumn("bin", F.floor(32 * F.log2(1 + F.least(d2, F.lit(1e12)))).cast("int"))
-        moments = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS]
-        bins = staged(bins.groupBy("level", "kind", "bin").agg(F.count("*").alias("n"), *moments), "mcd-bins")
+        if k == steps:  # of the starts the one with the smallest determinant goes on
+            best = F.row_number().over(Window.partitionBy(*group).orderBy("determinant", "start"))
+            now, before = staged(now.withColumn("nth", best).where("nth = 1").drop("nth"), "mcd-best"), now
+            unstage(before)
+        bins = stats.join(hint(now), group).withColumn("bin", F.floor(32 * F.log2(1 + F.least(_distance(), F.lit(1e12)))).cast("int"))
+        sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS]
+        bins = staged(bins.groupBy(*group, "start", "bin").agg(F.count("*").alias("n"), *sums), "mcd-bins")
         step = _stepper(part, int(32 * math.log2(1 + cut)) if k == steps else None)
-        after = staged(bins.groupBy("level", "kind").applyInPandas(step, _PARAMETERS), "mcd-estimate")
+        after = staged(bins.groupBy(*group, "start").applyInPandas(step, _PARAMETERS), "mcd-estimate")
         unstage(now, bins)
         now = after
-    enough = staged(stats.groupBy("level", "kind").agg((F.count("*") >= least_rows).alias("enough")), "mcd-sizes")
-    d2 = stats.join(hint(now.join(enough, ["level", "kind"])), ["level", "kind"], "left").withColumn("distance2", _distance())
+    unstage(center)
+    enough = staged(stats.groupBy(*group).agg((F.count("*") >= least_rows).alias("enough")), "mcd-sizes")
+    d2 = stats.join(hint(now.join(enough, group)), group, "left").withColumn("distance2", _distance())
     return d2.withColumn("outlier", F.coalesce(F.col("enough") & (F.col("distance2") > _chi2_quantile(confidence, P)), F.lit(False)))
 
 
@@ -163,7 +215,8 @@ def quality_rules(docs: DataFrame, *, least_rows: int = 40, confidence: float =
     words and fails the base rules.  The estimates come from all rows that pass the base rules.  Languages
     and sources with fewer than least_rows of them are pooled by language, then all together; what is
     still too few to estimate is kept.  A null language or source is a value of its own.  Repeated rows
-    are judged alike.  Columns other than the four are ignored.
+    are judged alike.  A text of any length is judged whole.  No row gives no row.  Columns other than the
+    four are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
     schema = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"x{i} long" for i in range(P))

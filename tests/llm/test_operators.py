@@ -281,6 +281,52 @@ def test_outliers(spark):
     assert [i for i, kept in got.items() if kept == (i % 5 == 0)] == []
 
 
+def test_minimum_covariance_determinant(spark):
+    """kept of 2,000 rows in two groups against numpy, with exact h-subsets instead of distance bins."""
+    from cairn.llm import quality as q
+
+    r = np.random.default_rng(12)
+    rows = []
+    for kind, n, share in (("a", 1400, 0.2), ("b", 600, 0.05)):
+        x = r.multivariate_normal([1.6, 0.4, 0.05, 0.1], np.array([[0.04, 0.03, 0, 0], [0.03, 0.25, 0.01, 0], [0, 0.01, 0.004, 0.002], [0, 0, 0.002, 0.01]]), n)
+        bad = r.random(n) < share
+        x[bad] = r.multivariate_normal([0.9, 2.9, 0.5, 0.6], np.eye(4) * 0.01, bad.sum())
+        rows += [("source", kind, *map(int, v)) for v in np.rint(x * q.SCALE)]
+    table = spark.createDataFrame(rows, "level string, kind string, x0 long, x1 long, x2 long, x3 long")
+    got = collections.defaultdict(dict)
+    for v in q.robust_outliers(table).collect():
+        got[v["kind"]][tuple(v[f"x{i}"] for i in range(4))] = (v["distance2"], v["outlier"])
+
+    floor = np.diag(np.square(q.FLOOR))
+    quantile = lambda p: q._chi2_quantile(p, 4)
+    scale = lambda p: p / q._chi2_cdf(quantile(p), 6)
+    for kind in "ab":
+        x = np.array([v[2:] for v in rows if v[1] == kind]) / q.SCALE
+        distance = lambda m, c, x=x: np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c + floor), x - m)
+        mean = np.median(x, axis=0)
+        spread = 1.4826 * np.median(np.abs(x - mean), axis=0)
+        wide = np.sqrt(spread**2 + np.square(q.FLOOR))
+        z = (x - mean) / wide
+        found = []
+        for y in (None, z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None], np.tanh(z)):
+            m, c = mean, np.diag(spread**2)
+            if y is not None:
+                c = (y.T @ y) / np.sqrt(np.outer(np.diag(y.T @ y), np.diag(y.T @ y))) * np.outer(wide, wide)
+            for _ in range(5):
+                near = np.argsort(distance(m, c), kind="stable")[: math.ceil(0.75 * len(x))]
+                m, c = x[near].mean(axis=0), scale(0.75) * np.cov(x[near].T, bias=True)
+            found.append((np.linalg.det(c + floor), m, c))
+        _, m, c = min(found, key=lambda f: f[0])
+        near = distance(m, c) <= quantile(0.975)
+        m, c = x[near].mean(axis=0), scale(0.975) * np.cov(x[near].T, bias=True)
+        d2 = distance(m, c)
+        mine = np.array([got[kind][tuple(int(a) for a in np.rint(v * q.SCALE))][0] for v in x])
+        out = np.array([got[kind][tuple(int(a) for a in np.rint(v * q.SCALE))][1] for v in x])
+        edge = np.abs(d2 / quantile(0.99999) - 1) < 0.05  # what bins may decide otherwise
+        assert (np.abs(mine / np.maximum(d2, 0.05) - 1) < 0.05).mean() > 0.97
+        assert (out == (d2 > quantile(0.99999)))[~edge].all() and edge.sum() < 5 and out.sum() > 20
+
+
 # ---------------------------------------------------------------- 8
 
 
@@ -770,25 +816,76 @@ def test_pseudonyms_of_many_values():
 # ---------------------------------------------------------------- pipeline
 
 
+def plain_pipeline(rows, bench, outliers):
+    """Ids and crc32 of the ids' bytes of what run() leaves, from (doc_id, text, source) rows; outliers are those of MCD."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    gone = set()
+    for d, t, _ in rows:
+        w = SPACES.findall(t or "")
+        triples = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        again = {k for i in range(len(w) - 2) if triples[tuple(w[i : i + 3])] > 1 for k in range(i, i + 3)}
+        if len(w) < 50 or 100 * len(again) > 50 * len(w):
+            gone.add(d)
+    rows = [r for r in rows if r[0] is None or r[0] not in gone | outliers]
+    sets = [(d, s) for d, s in sets_of([(d, t) for d, t, _ in rows]) if d is not None and s]
+    parent = {d: d for d, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if min(len(x), len(y)) * 5 >= max(len(x), len(y)) * 4 and 100 * len(x & y) >= 80 * len(x | y):
+                p, q = sorted((find(a), find(b)))
+                parent[q] = p
+    rows = [r for r in rows if r[0] not in parent or find(r[0]) == r[0]]
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = lambda t: pattern.findall((t or "").translate(low))
+    windows = {tuple(w[k : k + 10]) for t in bench if (w := cut(t)) for k in range(max(1, len(w) - 9))}
+    dirty = {d for d, t, _ in rows for n in {len(x) for x in windows} for i in range(len(w := cut(t)) - n + 1) if tuple(w[i : i + n]) in windows}
+    rows = [r for r in rows if r[0] is None or r[0] not in dirty]
+    plain, want, start = Tokenizer.from_file(path("byte_bpe_50k.json")), [], 0
+    for d, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    return want
+
+
 def test_pipeline(spark, tmp_path):
-    """The stages on a small corpus, against the operators' plain counterparts."""
+    """run() on 500 documents against plain Python, and each stage's columns."""
+    pytest.importorskip("public_tokenizers")
     import corpus_pipeline
+    from cairn.llm.quality import quality_rules
 
-    base = [words(200, i, 5000) for i in range(60)]
+    base = [words(60 + 7 * i % 200, i, 5000) for i in range(430)]
     passage = words(40, 999, 5000)
     texts = [" ".join(w) for w in base]
-    texts += [" ".join(base[0]), " ".join([*base[1][:190], *["x"] * 3]), "too short", " ".join(base[2] + passage), None]
-    rows = [(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, " ".join(passage[:25]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts += [" ".join(base[i]) for i in range(20)] + [" ".join([*base[i][:-2], "x"]) for i in range(20, 40)]
+    texts += ["too short", " ".join(base[2] + passage), None, "", " ".join(words(20_000, 77, 5000)), " ".join(f"{w}%%%###" for w in words(80, 5, 5000)), "a b c " * 60]
+    texts += [" ".join(words(100, 2000 + i, 5000) + passage[i : i + 12]) for i in range(12)]
+    rows = [(i, t, f"s{i % 2}") for i, t in enumerate(texts)]
+    rows += [(7, texts[7], "s1"), (None, texts[9], None), (1000, texts[3] + " tail", None)]
+    table = spark.createDataFrame([(d, t, "en", s, len(t or ""), "clash", True) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, kept boolean")
+    table.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(passage[:25])), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for (name, stage), gone in zip(corpus_pipeline.STAGES, [{62, 64}, {60, 61, 63}, set(), None], strict=False):
-        after = stage(spark, docs, str(tmp_path))
-        assert after.columns == docs.columns, name
-        before, left = {r["doc_id"] for r in docs.collect()}, {r["doc_id"] for r in after.collect()}
-        if gone is not None:
-            assert before - left == gone, name
-        after.write.parquet(f"{tmp_path}/{len(name)}")
-        docs = spark.read.parquet(f"{tmp_path}/{len(name)}")
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in docs.collect()}
+    outliers = {r["doc_id"] for r in quality_rules(docs).where("not base_failed and not kept and doc_id is not null").collect()}
+    assert texts.index(next(t for t in texts if t and "###" in t)) in outliers and len(outliers) < 5
+    want = plain_pipeline(rows, [" ".join(passage[:25])], outliers)
+    got = sorted(tuple(r[c] for c in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in corpus_pipeline.run(spark, str(tmp_path)).where("doc_id is not null").collect())
+    assert got == sorted(x for x in want if x[0] is not None) and 350 < len(got) < 480
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        left = stage(spark, left, str(tmp_path))
+        assert left.columns == docs.columns, name
+    weights = spark.createDataFrame([("s0", 1.0)], "source string, weight double")
+    assert {r["source"] for r in corpus_pipeline.mix(spark, docs, "", weights).collect()} == {"s0"}
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
