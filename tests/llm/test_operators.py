@@ -847,7 +847,7 @@ def plain_pipeline(rows, bench, outliers):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     cut = lambda t: pattern.findall((t or "").translate(low))
     windows = {tuple(w[k : k + 10]) for t in bench if (w := cut(t)) for k in range(max(1, len(w) - 9))}
-    dirty = {d for d, t, _ in rows for n in {len(x) for x in windows} for i in range(len(w := cut(t)) - n + 1) if tuple(w[i : i + n]) in windows}
+    dirty = {d for d, t, _ in rows for n in {len(x) for x in windows} for w in [cut(t)] for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows}
     rows = [r for r in rows if r[0] is None or r[0] not in dirty]
     plain, want, start = Tokenizer.from_file(path("byte_bpe_50k.json")), [], 0
     for d, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
