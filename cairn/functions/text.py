@@ -76,10 +76,24 @@ def simple_periods(coverage: Column, as_of_year: int) -> Column:
     return F.array_sort(F.array_distinct(F.transform(texts(coverage), simple)))
 
 
+def without_countries(coverage: Column) -> Column:
+    """Without names of the whole country, in any case."""
+    return F.filter(texts(coverage), lambda x: ~F.upper(x).isin(COUNTRY_NAMES))
+
+
+def union_of(a: Column, b: Column) -> Column:
+    """Values of either list, each once, in order."""
+    return F.array_sort(F.array_union(a, b))
+
+
+def common_to(a: Column, b: Column) -> Column:
+    """Values of both lists, each once, in order."""
+    return F.array_sort(F.array_intersect(a, b))
+
+
 def local_places(coverage: Column) -> Column:
     """Without names of the whole country, and without the words for municipality and district."""
-    kept = F.filter(texts(coverage), lambda x: ~F.upper(x).isin(COUNTRY_NAMES))
-    return F.transform(kept, lambda x: F.replace(F.replace(x, F.lit("obec "), F.lit("")), F.lit("okres "), F.lit("")))
+    return F.transform(without_countries(coverage), lambda x: F.replace(F.replace(x, F.lit("obec "), F.lit("")), F.lit("okres "), F.lit("")))
 
 
 def year_of(x: Column) -> Column:
@@ -110,8 +124,13 @@ def composed_query(query: Column, expansion: Column, filters: Column) -> Column:
     return F.concat(query, more(expansion), more(F.array_join(F.coalesce(filters, F.array().cast(_NO_TEXTS)), ".")))
 
 
+def detail_prefix(app: str) -> str:
+    """What stands before a dataset's url in the address of its page."""
+    return app + "dataset_detail?source="
+
+
 def detail_url(app: str, url: Column) -> Column:
-    return F.concat(F.lit(app + "dataset_detail?source="), url)
+    return F.concat(F.lit(detail_prefix(app)), url)
 
 
 def document_text(title, description, provider, keywords, themes, categories, spatial, temporal) -> Column:

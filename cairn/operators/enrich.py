@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.text import union_of
+
 #: Completes prompts to JSON texts, one for each.
 Completer = Callable[[list[str]], list[str]]
 KEYWORDS, CATEGORIES = 3, 2
@@ -73,8 +75,8 @@ def enriched(datasets: DataFrame, complete: Completer = no_answers, key: str = "
     joined = needs.join(found, key, "left")
     joined = joined.withColumns(
         {
-            "keywords": F.array_sort(F.array_union("keywords", F.slice(got("keywords"), F.lit(1), F.col("need_keywords")))),
-            "categories": F.array_sort(F.array_union("categories", F.slice(got("categories"), F.lit(1), F.col("need_categories")))),
+            "keywords": union_of(F.col("keywords"), F.slice(got("keywords"), F.lit(1), F.col("need_keywords"))),
+            "categories": union_of(F.col("categories"), F.slice(got("categories"), F.lit(1), F.col("need_categories"))),
             "spatial_coverage": F.when(F.col("need_spatial"), F.array_sort(F.array_distinct(got("spatial_coverage")))).otherwise(F.col("spatial_coverage")),
             "temporal_coverage": F.when(F.col("need_temporal"), F.array_sort(F.array_distinct(got("temporal_coverage")))).otherwise(F.col("temporal_coverage")),
         }

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions import text as X
-from cairn.schemas import LIST_COLUMNS
+from cairn.functions.text import detail_prefix
+from cairn.schemas import DISTRIBUTION_NAMES, LIST_COLUMNS
 
 #: The facets and their titles.
 FACETS = {c: c.replace("_", " ").capitalize() for c in [*LIST_COLUMNS, "provider"]}
@@ -48,10 +48,14 @@ def live_filters(selected: DataFrame, counts: DataFrame) -> DataFrame:
 
 def by_url(datasets: DataFrame, asked: DataFrame, app: str) -> DataFrame:
     """Record for each asked address, which may be a dataset's url or its detail page; the url comes first, and there is one."""
-    forms = datasets.select("*", F.explode(F.array(F.struct(F.col("url").alias("address"), F.lit(0).alias("form")), F.struct(X.detail_url(app, F.col("url")).alias("address"), F.lit(1).alias("form")))).alias("x"))
-    found = forms.select("*", "x.address", "x.form").drop("x").join(asked.select("address").distinct(), "address", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("address").orderBy("form", "url"))
-    return found.withColumn("nth", nth).where("nth = 1").drop("nth", "form")
+    page = detail_prefix(app)
+    own = asked.select("address").distinct()
+    inner = F.when(F.col("address").startswith(page), F.substr(F.col("address"), F.lit(len(page) + 1)))
+    forms = own.select("address", F.explode(F.array(F.struct(F.col("address").alias("url"), F.lit(0).alias("form")), F.struct(inner.alias("url"), F.lit(1).alias("form")))).alias("x"))
+    found = forms.select("address", "x.url", "x.form").where("url is not null").join(datasets, "url")
+    others = [c for c in datasets.columns if c != "url"]
+    best = found.groupBy("address").agg(F.min_by(F.struct("url", *others), F.struct("form", *others)).alias("r"))
+    return best.select(*(F.col(f"r.{c}").alias(c) for c in datasets.columns), "address")
 
 
 def by_title(datasets: DataFrame, titles: DataFrame) -> DataFrame:
@@ -59,6 +63,11 @@ def by_title(datasets: DataFrame, titles: DataFrame) -> DataFrame:
     return datasets.join(titles.select("title").distinct(), "title", "left_semi").groupBy("title").agg(F.min("url").alias("url"))
 
 
+def distribution_columns(raw: DataFrame) -> DataFrame:
+    """Only the known columns of a distribution, under their names here."""
+    return raw.select(*(F.col(old).alias(new) for old, new in DISTRIBUTION_NAMES.items()))
+
+
 def with_distributions(datasets: DataFrame, distributions: DataFrame) -> DataFrame:
     """Datasets with an array of their distributions, a missing title being Distribution and its number."""
     nth = F.row_number().over(Window.partitionBy("dataset_url").orderBy("url"))

@@ -6,8 +6,6 @@ Relations whose names begin with HAS_ are those of list columns.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,47 +64,77 @@ def updated(edges: DataFrame, similar: DataFrame, new: DataFrame, removed: DataF
     return edges.unionByName(metadata_edges(new)), with_similar(similar, nearest(asked))
 
 
-def _top(rows: DataFrame, by: list[str], k: int) -> DataFrame:
-    """The k best rows of each anchor, ties by url; planned with a limit inside the window."""
-    nth = F.row_number().over(Window.partitionBy("anchor").orderBy(*(F.desc(c) for c in by), "url"))
-    return rows.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+def best_of(rows: DataFrame, by: list[str], k: int, ties: list[str] | None = None) -> DataFrame:
+    """The k best rows of each anchor with their place nth, ties by url or other columns; planned with a limit inside the window."""
+    nth = F.row_number().over(Window.partitionBy("anchor").orderBy(*(F.desc(c) for c in by), *(ties or ["url"])))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= k)
 
 
 def similar_by_description(similar: DataFrame, anchors: DataFrame, k: int = 5) -> DataFrame:
     rows = both_ways(similar).where("score is not null").select(F.col("url").alias("anchor"), F.col("other").alias("url"), "score")
-    return _top(rows.join(anchors.select(F.col("url").alias("anchor")), "anchor", "left_semi"), ["score"], k)
+    return best_of(rows.join(anchors.select(F.col("url").alias("anchor")), "anchor", "left_semi"), ["score"], k).drop("nth")
+
+
+def _pairs(edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(rel_type, name, anchor, url) of the values that an anchor shares with another dataset."""
+    own = anchors.select("url").join(edges, "url").select(F.col("url").alias("anchor"), "rel_type", "name")
+    return own.join(edges.select("url", "rel_type", "name"), ["rel_type", "name"]).where("anchor <> url")
+
+
+def shared_values(edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(anchor, url, rel_type, shared): number of values of each relation that an anchor shares with another dataset."""
+    return _pairs(edges, anchors).groupBy("anchor", "url", "rel_type").agg(F.countDistinct("name").alias("shared"))
+
+
+def of_same_provider(counts: DataFrame) -> DataFrame:
+    """(anchor, url, shared) from shared_values: the pairs of one provider with HAS_ values in common, and how many."""
+    own = F.sum(F.when(F.col("rel_type").startswith("HAS_"), F.col("shared")).otherwise(0)).alias("shared")
+    return counts.groupBy("anchor", "url").agg(own, F.bool_or(F.col("rel_type") == "PROVIDED_BY").alias("same")).where("same and shared > 0").drop("same")
+
+
+def _with_names(rows: DataFrame, edges: DataFrame, names) -> DataFrame:
+    """rows (anchor, url) with the list of names of the edges that both ends have; for the few best rows only."""
+    both = rows.join(edges, "url").join(edges.select(F.col("url").alias("anchor"), "rel_type", "name"), ["anchor", "rel_type", "name"])
+    lists = both.groupBy("anchor", "url").agg(F.array_sort(F.collect_set(names)).alias("names"))
+    return rows.join(lists, ["anchor", "url"])
 
 
 def similar_by_attribute(edges: DataFrame, anchors: DataFrame, rel_type: str, k: int = 5) -> DataFrame:
     """(anchor, url, shared, other, names): datasets with the most values of a relation in common with an anchor,
     then with the most values of other HAS_ relations.
 
-    Both counts are aggregated for each pair before they meet, so that they do not multiply.
+    Both numbers are sums of one aggregation for each pair, so that they do not multiply.
     """
-    own = anchors.select("url").join(edges, "url").select(F.col("url").alias("anchor"), "rel_type", "name")
-    pairs = own.join(edges.select("url", "rel_type", "name"), ["rel_type", "name"]).where("anchor <> url")
-    shared = pairs.where(F.col("rel_type") == rel_type).groupBy("anchor", "url").agg(F.countDistinct("name").alias("shared"), F.array_sort(F.collect_set("name")).alias("names"))
-    rest = pairs.where(F.col("rel_type").startswith("HAS_") & (F.col("rel_type") != rel_type)).groupBy("anchor", "url").agg(F.countDistinct("rel_type", "name").alias("other"))
-    rows = shared.join(rest, ["anchor", "url"], "left").withColumn("other", F.coalesce("other", F.lit(0)).cast("long"))
-    return _top(rows.select("anchor", "url", "shared", "other", "names"), ["shared", "other"], k)
+    of = lambda own: F.sum(F.when(own, F.col("shared")).otherwise(0))
+    mine = F.col("rel_type") == rel_type
+    rows = shared_values(edges, anchors).groupBy("anchor", "url").agg(of(mine).alias("shared"), of(~mine & F.col("rel_type").startswith("HAS_")).alias("other"))
+    best = best_of(rows.where("shared > 0"), ["shared", "other"], k).drop("nth")
+    return _with_names(best, edges.where(mine), F.col("name")).select("anchor", "url", "shared", "other", "names")
 
 
 def similar_by_provider(edges: DataFrame, anchors: DataFrame, k: int = 5) -> DataFrame:
     """(anchor, url, shared, names): datasets of an anchor's provider by the number of HAS_ values in common."""
-    own = anchors.select("url").join(edges, "url").select(F.col("url").alias("anchor"), "rel_type", "name")
-    pairs = own.join(edges.select("url", "rel_type", "name"), ["rel_type", "name"]).where("anchor <> url")
-    same = pairs.where("rel_type = 'PROVIDED_BY'").select("anchor", "url").distinct()
-    shared = pairs.where(F.col("rel_type").startswith("HAS_")).groupBy("anchor", "url").agg(F.countDistinct("rel_type", "name").alias("shared"), F.array_sort(F.collect_set(F.concat_ws(":", "rel_type", "name"))).alias("names"))
-    return _top(shared.join(same, ["anchor", "url"], "left_semi"), ["shared"], k)
+    best = best_of(of_same_provider(shared_values(edges, anchors)), ["shared"], k).drop("nth")
+    return _with_names(best, edges.where(F.col("rel_type").startswith("HAS_")), F.concat_ws(":", "rel_type", "name")).select("anchor", "url", "shared", "names")
 
 
 def all_similar(edges: DataFrame, similar: DataFrame, anchors: DataFrame, k: int = 5) -> DataFrame:
-    """(anchor, list, url) of the six lists: description, themes, keywords, provider, spatial and temporal coverage."""
-    lists = [(0, "description", similar_by_description(similar, anchors, k))]
-    lists += [(i, c, similar_by_attribute(edges, anchors, ATTRIBUTES[c], k)) for i, c in ((1, "themes"), (2, "keywords"), (4, "spatial_coverage"), (5, "temporal_coverage"))]
-    lists.append((3, "provider", similar_by_provider(edges, anchors, k)))
-    rows = [df.select("anchor", F.lit(i).alias("place"), F.lit(name).alias("list"), "url") for i, name, df in lists]
-    return reduce(DataFrame.unionByName, rows)
+    """(anchor, place, list, url) of the six lists: description, themes, keywords, provider, spatial and temporal coverage.
+
+    The pairs are made once; five lists are sums of one aggregation and one ranking.
+    """
+    counts = shared_values(edges, anchors)
+    of = lambda own: F.sum(F.when(own, F.col("shared")).otherwise(0))
+    rel = F.col("rel_type")
+    sums = [of(rel == r).alias(c) for c, r in ATTRIBUTES.items()]
+    pair = counts.groupBy("anchor", "url").agg(*sums, of(rel.startswith("HAS_")).alias("every"), of(rel == "PROVIDED_BY").alias("same"))
+    places = {"themes": 1, "keywords": 2, "spatial_coverage": 4, "temporal_coverage": 5}
+    lists = [F.struct(F.lit(places[c]).alias("place"), F.lit(c).alias("list"), F.col(c).alias("shared"), (F.col("every") - F.col(c)).alias("other")) for c in ATTRIBUTES]
+    lists.append(F.struct(F.lit(3).alias("place"), F.lit("provider").alias("list"), F.when(F.col("same") > 0, F.col("every")).otherwise(0).alias("shared"), F.lit(0).cast("long").alias("other")))
+    rows = pair.select("anchor", "url", F.explode(F.array(*lists)).alias("l")).select("anchor", "url", "l.*").where("shared > 0")
+    nth = F.row_number().over(Window.partitionBy("anchor", "list").orderBy(F.desc("shared"), F.desc("other"), "url"))
+    five = rows.withColumn("nth", nth).where(F.col("nth") <= k).select("anchor", "place", "list", "url")
+    return similar_by_description(similar, anchors, k).select("anchor", F.lit(0).alias("place"), F.lit("description").alias("list"), "url").unionByName(five)
 
 
 def with_previews(similar: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -116,6 +144,6 @@ def with_previews(similar: DataFrame, datasets: DataFrame) -> DataFrame:
     one = datasets.select(F.col("url").alias("anchor"), *(F.col(c).alias(f"a_{c}") for c in lists))
     two = datasets.select("url", "title", X.preview(F.col("description")).alias("preview"), *lists)
     both = similar.join(two, "url").join(one, "anchor")
-    common = {c: F.array_sort(F.array_intersect(c, f"a_{c}")) for c in lists}
+    common = {c: X.common_to(F.col(c), F.col(f"a_{c}")) for c in lists}
     shown = F.concat(*(F.when((F.col("list") == c) | (F.col("list") == "provider"), common[c]).otherwise(F.array().cast("array<string>")) for c in lists))
     return both.select("anchor", "place", "list", "url", "title", "preview", shown.alias("common"))

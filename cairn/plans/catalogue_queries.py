@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as X
 from cairn.operators import enrich, evaluate, facets, graph, ingest, retrieval, service, snapshot, vocabulary
+from cairn.schemas import DISTRIBUTION_NAMES
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -97,11 +98,11 @@ def p07_document_text(spark, sf):
     return ingest.documents(catalogue(spark, sf)).select("doc_id", "text")
 
 
-@query(f"""WITH {CAT}, asked AS (SELECT 'http://catalogue.example/ds' || (o_orderkey % 5000) AS url, o_orderkey % 2 AS detail FROM orders WHERE o_orderkey < 200),
+@query(f"""WITH {CAT}, asked AS (SELECT 'http://catalogue.example/ds' || (o_orderkey % 5000) AS url, o_orderkey % 2 AS detail FROM orders),
  addresses AS (SELECT DISTINCT CASE WHEN detail = 1 THEN '{APP}dataset_detail?source=' || url ELSE url END AS address, url FROM asked)
  SELECT a.address, c.url, c.title, c.provider FROM addresses a JOIN cat c ON c.url = a.url""")
 def p11_lookup_url(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey < 200")
+    o = table(spark, sf, "orders")
     url = F.concat(F.lit("http://catalogue.example/ds"), (F.col("o_orderkey") % 5000).cast("string"))
     asked = o.select(F.when(F.col("o_orderkey") % 2 == 1, X.detail_url(APP, url)).otherwise(url).alias("address"))
     return facets.by_url(catalogue(spark, sf), asked, APP).select("address", "url", "title", "provider")
@@ -125,7 +126,7 @@ def p13_cutoff(spark, sf):
 def p14_country_exclusion(spark, sf):
     place = F.element_at(F.array(*(F.lit(x) for x in ("Česko", "cz", "obec Brno", "okres Zlín"))), (F.col("c_custkey") % 4).cast("int") + 1)
     arr = F.array(place, F.concat(F.lit("region "), F.col("c_nationkey").cast("string")))
-    return table(spark, sf, "customer").select("c_custkey", text_of(F.filter(arr, lambda x: ~F.upper(x).isin(X.COUNTRY_NAMES))).alias("places"))
+    return table(spark, sf, "customer").select("c_custkey", text_of(X.without_countries(arr)).alias("places"))
 
 
 @query(f"WITH {CAT} SELECT url, provider FROM cat WHERE list_contains(keywords, 'red') AND list_contains(themes, 'ECONOMY') AND provider = 'Brand#17'")
@@ -142,13 +143,12 @@ def p16_live_filters(spark, sf):
 
 
 _DIST = """SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS title, l_linestatus,
- row_number() OVER (PARTITION BY l_orderkey ORDER BY 'http://files/' || lpad(CAST(l_linenumber AS VARCHAR), 3, '0') || '/' || l_partkey || '/' || l_suppkey || '/' || l_extendedprice) AS nth FROM lineitem WHERE l_orderkey % 50 = 0"""
+ row_number() OVER (PARTITION BY l_orderkey ORDER BY 'http://files/' || lpad(CAST(l_linenumber AS VARCHAR), 3, '0') || '/' || l_partkey || '/' || l_suppkey || '/' || l_extendedprice) AS nth FROM lineitem"""
 
 
 def _distributions(spark, sf):
     file = F.concat(F.lit("http://files/"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), F.lit("/"), F.col("l_partkey").cast("string"), F.lit("/"), F.col("l_suppkey").cast("string"), F.lit("/"), F.col("l_extendedprice").cast("string"))
-    rows = table(spark, sf, "lineitem").where("l_orderkey % 50 = 0")
-    return rows.select(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).alias("title"), F.col("l_orderkey").cast("string").alias("dataset_url"), file.alias("url"), F.col("l_linestatus").alias("file_format"))
+    return table(spark, sf, "lineitem").select(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).alias("title"), F.col("l_orderkey").cast("string").alias("dataset_url"), file.alias("url"), F.col("l_linestatus").alias("file_format"))
 
 
 @query(f"WITH d AS ({_DIST}) SELECT CAST(l_orderkey AS VARCHAR) AS dataset, nth AS nth, coalesce(title, 'Distribution ' || nth) AS title, l_linestatus AS file_format FROM d")
@@ -306,7 +306,7 @@ def j18_triples(spark, sf):
 
 @query(f"WITH {CAT} SELECT url, array_to_string(list_sort(list_distinct(list_concat(keywords, themes))), ',') AS words FROM cat")
 def u01_union(spark, sf):
-    return catalogue(spark, sf).select("url", text_of(F.array_union("keywords", "themes")).alias("words"))
+    return catalogue(spark, sf).select("url", text_of(X.union_of(F.col("keywords"), F.col("themes"))).alias("words"))
 
 
 @query(f"""WITH {CAT}, p AS (SELECT a.url AS a, b.url AS b, list_sort(list_intersect(a.keywords, b.keywords)) AS common FROM cat a JOIN cat b ON a.provider = b.provider AND a.themes[1] = b.themes[1] AND a.temporal_coverage[1] = b.temporal_coverage[1] AND a.url < b.url)
@@ -315,7 +315,7 @@ def u02_common_metadata(spark, sf):
     c = catalogue(spark, sf)
     a, b = c.alias("a"), c.alias("b")
     on = (F.col("a.provider") == F.col("b.provider")) & (F.col("a.themes")[0] == F.col("b.themes")[0]) & (F.col("a.temporal_coverage")[0] == F.col("b.temporal_coverage")[0]) & (F.col("a.url") < F.col("b.url"))
-    both = a.join(b, on).select(F.col("a.url").alias("a"), F.col("b.url").alias("b"), F.array_intersect("a.keywords", "b.keywords").alias("common"))
+    both = a.join(b, on).select(F.col("a.url").alias("a"), F.col("b.url").alias("b"), X.common_to(F.col("a.keywords"), F.col("b.keywords")).alias("common"))
     return both.where(F.size("common") > 0).select("a", "b", text_of("common").alias("common"))
 
 
@@ -434,10 +434,8 @@ def f19_detail_url(spark, sf):
 
 @query("SELECT l_partkey, l_orderkey, l_linenumber, price, nth FROM (SELECT l_partkey, l_orderkey, l_linenumber, l_extendedprice AS price, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_suppkey) AS nth FROM lineitem) WHERE nth <= 5")
 def w01_topk_per_key(spark, sf):
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("l_partkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_suppkey"))
-    rows = table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").withColumn("nth", nth).where("nth <= 5")
+    rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("anchor"), "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    rows = graph.best_of(rows, ["l_extendedprice"], 5, ["l_orderkey", "l_linenumber", "l_suppkey"])
     return rows.select("l_partkey", "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"), F.col("nth").cast("long").alias("nth"))
 
 
@@ -581,9 +579,11 @@ def l11_list_values(spark, sf):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("SELECT l_orderkey AS dataset, l_partkey AS url, lower(l_returnflag) AS file_format FROM lineitem WHERE l_orderkey % 100 = 0")
+@query("SELECT l_orderkey AS dataset, l_partkey AS url, lower(l_returnflag) AS file_format FROM lineitem")
 def p03_distribution_columns(spark, sf):
-    return table(spark, sf, "lineitem").where("l_orderkey % 100 = 0").select(F.col("l_orderkey").alias("dataset"), F.col("l_partkey").alias("url"), F.lower("l_returnflag").alias("file_format"))
+    columns = {"title": F.col("l_linestatus"), "dataset_url": F.col("l_orderkey"), "url": F.col("l_partkey"), "file_format": F.lower("l_returnflag")}
+    raw = table(spark, sf, "lineitem").select("l_linenumber", *(columns[new].alias(old) for old, new in DISTRIBUTION_NAMES.items()))
+    return facets.distribution_columns(raw).select(F.col("dataset_url").alias("dataset"), "url", "file_format")
 
 
 # ---------------------------------------------------------------- graph
@@ -592,14 +592,15 @@ _EDGES = """SELECT url, 'HAS_KEYWORD' AS rel_type, 'Keyword' AS node_label, unne
  UNION SELECT url, 'HAS_SPATIAL_COVERAGE', 'SpatialCoverage', unnest(spatial_coverage) FROM cat UNION SELECT url, 'HAS_TEMPORAL_COVERAGE', 'TemporalCoverage', unnest(temporal_coverage) FROM cat UNION SELECT url, 'PROVIDED_BY', 'Provider', provider FROM cat"""
 _TITLE = "array_to_string(list_transform(regexp_extract_all(name, '(\\p{L}+|\\P{L}+)'), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), '')"
 EDGES = f"{CAT}, edges AS (SELECT DISTINCT url, rel_type, node_label, {_TITLE} AS name FROM ({_EDGES}))"
-_ANCHORS = "anchors AS (SELECT url AS anchor FROM cat WHERE url IN (" + ", ".join(f"'http://catalogue.example/ds{i}'" for i in (0, 7, 11, 42, 123)) + "))"
+#: A stated set of queries: every dataset whose number is divisible by 50, against all.
+_ANCHORS = "anchors AS (SELECT url AS anchor FROM cat WHERE CAST(replace(url, 'http://catalogue.example/ds', '') AS BIGINT) % 50 = 0)"
 _PAIRS = "pairs AS (SELECT a.anchor, e.url, e.rel_type, e.name FROM anchors a JOIN edges x ON x.url = a.anchor JOIN edges e ON e.rel_type = x.rel_type AND e.name = x.name AND e.url <> a.anchor)"
 _SIM = """sim AS (SELECT 'http://catalogue.example/ds' || least(x, y) AS url_lo, 'http://catalogue.example/ds' || greatest(x, y) AS url_hi, max(score) AS score FROM
- (SELECT p_partkey % 150 AS x, p_partkey * 7 % 160 AS y, (p_partkey * 31 % 97) / 97.0::DOUBLE AS score FROM part WHERE p_partkey < 2000) WHERE x <> y GROUP BY least(x, y), greatest(x, y))"""
+ (SELECT p_partkey AS x, p_partkey * 7 % (SELECT count(*) FROM part) AS y, (p_partkey * 31 % 97) / 97.0::DOUBLE AS score FROM part) WHERE x <> y GROUP BY least(x, y), greatest(x, y))"""
 
 
-def _anchors(spark):
-    return spark.createDataFrame([(f"http://catalogue.example/ds{i}",) for i in (0, 7, 11, 42, 123)], "url string")
+def _anchors(spark, sf):
+    return catalogue(spark, sf).where(F.replace("url", F.lit("http://catalogue.example/ds"), F.lit("")).cast("long") % 50 == 0).select("url")
 
 
 def _edges(spark, sf):
@@ -607,10 +608,10 @@ def _edges(spark, sf):
 
 
 def _similar(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey < 2000").select((F.col("p_partkey") % 150).alias("x"), (F.col("p_partkey") * 7 % 160).alias("y"), (F.col("p_partkey") * 31 % 97 / 97.0).alias("score")).where("x <> y")
-    p = p.groupBy(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.max("score").alias("score"))
-    url = lambda c: F.concat(F.lit("http://catalogue.example/ds"), F.col(c).cast("string"))
-    return p.select(url("lo").alias("url_lo"), url("hi").alias("url_hi"), "score")
+    part = table(spark, sf, "part")
+    p = part.select(F.col("p_partkey").alias("x"), (F.col("p_partkey") * 7 % F.lit(part.count())).alias("y"), (F.col("p_partkey") * 31 % 97 / 97.0).alias("score")).where("x <> y")
+    url = lambda c: F.concat(F.lit("http://catalogue.example/ds"), c.cast("string"))
+    return p.groupBy(url(F.least("x", "y")).alias("url_lo"), url(F.greatest("x", "y")).alias("url_hi")).agg(F.max("score").alias("score"))
 
 
 @query(f"WITH {EDGES} SELECT url, rel_type, node_label, name FROM edges")
@@ -636,18 +637,18 @@ _BY_DESCRIPTION = "SELECT anchor, url, round(score, 6) AS score FROM (SELECT a.a
 
 @query(f"WITH {CAT}, {_ANCHORS}, {_SIM} {_BY_DESCRIPTION}")
 def g11_similar_description(spark, sf):
-    return graph.similar_by_description(_similar(spark, sf), _anchors(spark)).select("anchor", "url", F.round("score", 6).alias("score"))
+    return graph.similar_by_description(_similar(spark, sf), _anchors(spark, sf)).select("anchor", "url", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {EDGES}, {_ANCHORS}, {_PAIRS} {_by_attribute('HAS_KEYWORD')}")
 def g12_similar_by_category(spark, sf):
-    rows = graph.similar_by_attribute(_edges(spark, sf), _anchors(spark), "HAS_KEYWORD")
+    rows = graph.similar_by_attribute(_edges(spark, sf), _anchors(spark, sf), "HAS_KEYWORD")
     return rows.select("anchor", "url", "shared", "other", text_of("names").alias("names"))
 
 
 @query(f"WITH {EDGES}, {_ANCHORS}, {_PAIRS} {_BY_PROVIDER}")
 def g13_similar_by_provider(spark, sf):
-    rows = graph.similar_by_provider(_edges(spark, sf), _anchors(spark))
+    rows = graph.similar_by_provider(_edges(spark, sf), _anchors(spark, sf))
     return rows.select("anchor", "url", "shared", text_of("names").alias("names"))
 
 
@@ -655,14 +656,14 @@ def g13_similar_by_provider(spark, sf):
  UNION ALL SELECT anchor, 1, 'themes', url FROM ({_by_attribute('HAS_THEME')}) UNION ALL SELECT anchor, 2, 'keywords', url FROM ({_by_attribute('HAS_KEYWORD')})
  UNION ALL SELECT anchor, 4, 'spatial_coverage', url FROM ({_by_attribute('HAS_SPATIAL_COVERAGE')}) UNION ALL SELECT anchor, 5, 'temporal_coverage', url FROM ({_by_attribute('HAS_TEMPORAL_COVERAGE')})""")
 def g14_all_similar(spark, sf):
-    return graph.all_similar(_edges(spark, sf), _similar(spark, sf), _anchors(spark)).select("anchor", "place", "list", "url")
+    return graph.all_similar(_edges(spark, sf), _similar(spark, sf), _anchors(spark, sf)).select("anchor", "place", "list", "url")
 
 
 @query(f"""WITH {EDGES}, {_ANCHORS}, {_PAIRS}, top AS ({_by_attribute('HAS_KEYWORD')}) SELECT t.anchor, t.url, c.title, c.description AS preview, array_to_string(list_sort(list_intersect(c.keywords, a.keywords)), ',') AS common
  FROM top t JOIN cat c ON c.url = t.url JOIN cat a ON a.url = t.anchor""")
 def g18_previews(spark, sf):
     c = catalogue(spark, sf)
-    rows = graph.similar_by_attribute(_edges(spark, sf), _anchors(spark), "HAS_KEYWORD").select("anchor", F.lit(2).alias("place"), F.lit("keywords").alias("list"), "url")
+    rows = graph.similar_by_attribute(_edges(spark, sf), _anchors(spark, sf), "HAS_KEYWORD").select("anchor", F.lit(2).alias("place"), F.lit("keywords").alias("list"), "url")
     return graph.with_previews(rows, c).select("anchor", "url", "title", "preview", text_of("common").alias("common"))
 
 
@@ -688,28 +689,33 @@ def g16_incremental_graph(spark, sf):
     return graph.updated(_edges(spark, sf), _similar(spark, sf), none, _gone(spark, sf), to_hub)[1].select("url_lo", "url_hi", F.round("score", 6).alias("score"))
 
 
-_BIG_PAIRS = "WITH e AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem), a AS (SELECT * FROM e WHERE l_orderkey % 500 = 0)"
+def _line_edges(spark, sf):
+    """Orders as datasets with their parts as values and their suppliers as providers, and every 50th as an anchor."""
+    li = table(spark, sf, "lineitem")
+    edge = lambda rel, c: li.select(F.col("l_orderkey").alias("url"), F.lit(rel).alias("rel_type"), F.col(c).cast("string").alias("name")).distinct()
+    return edge("HAS_PART", "l_partkey").union(edge("PROVIDED_BY", "l_suppkey")), li.where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("url")).distinct()
+
+
+_BIG_PAIRS = "WITH e AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem), a AS (SELECT * FROM e WHERE l_orderkey % 50 = 0)"
 
 
 @query(f"{_BIG_PAIRS} SELECT a.l_orderkey AS anchor, e.l_orderkey AS other, count(DISTINCT e.l_partkey) AS shared FROM a JOIN e ON e.l_partkey = a.l_partkey AND e.l_orderkey <> a.l_orderkey GROUP BY 1, 2")
 def j07_shared_metadata(spark, sf):
-    e = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    a = e.where("l_orderkey % 500 = 0").withColumnRenamed("l_orderkey", "anchor")
-    return a.join(e, "l_partkey").where("anchor <> l_orderkey").groupBy("anchor", F.col("l_orderkey").alias("other")).agg(F.countDistinct("l_partkey").alias("shared"))
+    rows = graph.shared_values(*_line_edges(spark, sf)).where("rel_type = 'HAS_PART'")
+    return rows.select("anchor", F.col("url").alias("other"), "shared")
 
 
 @query(f"""{_BIG_PAIRS} SELECT DISTINCT a.l_orderkey AS anchor, e.l_orderkey AS other FROM a JOIN e ON e.l_partkey = a.l_partkey AND e.l_orderkey <> a.l_orderkey
  WHERE EXISTS (SELECT 1 FROM e s, e t WHERE s.l_orderkey = a.l_orderkey AND t.l_orderkey = e.l_orderkey AND s.l_suppkey = t.l_suppkey)""")
 def j09_same_provider(spark, sf):
-    li = table(spark, sf, "lineitem")
-    parts, supp = li.select("l_orderkey", "l_partkey").distinct(), li.select("l_orderkey", "l_suppkey").distinct()
-    pair = lambda e, c: e.where("l_orderkey % 500 = 0").withColumnRenamed("l_orderkey", "anchor").join(e, c).where("anchor <> l_orderkey").select("anchor", F.col("l_orderkey").alias("other")).distinct()
-    return pair(parts, "l_partkey").join(pair(supp, "l_suppkey"), ["anchor", "other"], "left_semi")
+    rows = graph.of_same_provider(graph.shared_values(*_line_edges(spark, sf)))
+    return rows.select("anchor", F.col("url").alias("other"))
 
 
 @query(f"WITH {EDGES} SELECT name, n, datasets FROM (SELECT name, count(*) AS n, count(DISTINCT url) AS datasets FROM edges GROUP BY name) ORDER BY n DESC, datasets DESC, name LIMIT 5")
 def t04_two_key_topk(spark, sf):
-    return _edges(spark, sf).groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("url").alias("datasets")).orderBy(F.desc("n"), F.desc("datasets"), "name").limit(5)
+    rows = _edges(spark, sf).groupBy(F.lit("all").alias("anchor"), F.col("name").alias("url")).agg(F.count("*").alias("n"), F.countDistinct("url").alias("datasets"))
+    return graph.best_of(rows, ["n", "datasets"], 5).select(F.col("url").alias("name"), "n", "datasets")
 
 
 # ---------------------------------------------------------------- enrichment and evaluation
@@ -774,99 +780,3 @@ GRID = {"model": ["large", "small"], "intent": ["yes", "no"], "expand": ["yes",
 @query("SELECT * FROM (VALUES ('large'), ('small')) a(model), (VALUES ('yes'), ('no')) b(intent), (VALUES ('yes'), ('no')) c(expand), (VALUES ('relative_score'), ('dist_based_score')) d(mode), (VALUES ('0.4'), ('0.5'), ('0.6')) e(vector_weight), (VALUES ('0.2'), ('0.3')) f(cutoff)")
 def e06_grid(spark, sf):
     return spark.createDataFrame([tuple(r.values()) for r in evaluate.grid(GRID)], ", ".join(f"{k} string" for k in GRID))
-
-
-# ---------------------------------------------------------------- whole tables
-# The queries above of the same names take some ids only, and so does their SQL, which stays as it is.
-
-
-def _over_all(name: str, *changes: tuple[str, str]):
-    """query() with the SQL of another query after changes, each of which must apply."""
-    sql = ORACLE_SQL[name]
-    for old, new in changes:
-        if old not in sql:
-            raise ValueError(f"{name} has no {old}")
-        sql = sql.replace(old, new)
-    return query(sql)
-
-
-_ALL_LINES, _ALL_SIM = (" WHERE l_orderkey % 50 = 0", ""), (("p_partkey % 150 AS x, p_partkey * 7 % 160 AS y", "p_partkey AS x, p_partkey * 7 % (SELECT count(*) FROM part) AS y"), (" WHERE p_partkey < 2000", ""))
-_ALL_ANCHORS = (_ANCHORS, "anchors AS (SELECT url AS anchor FROM cat WHERE CAST(replace(url, 'http://catalogue.example/ds', '') AS BIGINT) % 50 = 0)")
-
-
-def _all_distributions(spark, sf):
-    file = F.concat(F.lit("http://files/"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), F.lit("/"), F.col("l_partkey").cast("string"), F.lit("/"), F.col("l_suppkey").cast("string"), F.lit("/"), F.col("l_extendedprice").cast("string"))
-    title = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).alias("title")
-    rows = table(spark, sf, "lineitem").select(title, F.col("l_orderkey").cast("string").alias("dataset_url"), file.alias("url"), F.col("l_linestatus").alias("file_format"))
-    return facets.with_distributions(table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("url")), rows)
-
-
-def _all_similarities(spark, sf):
-    part = table(spark, sf, "part")
-    p = part.select(F.col("p_partkey").alias("x"), (F.col("p_partkey") * 7 % F.lit(part.count())).alias("y"), (F.col("p_partkey") * 31 % 97 / 97.0).alias("score")).where("x <> y")
-    url = lambda c: F.concat(F.lit("http://catalogue.example/ds"), c.cast("string"))
-    return p.groupBy(url(F.least("x", "y")).alias("url_lo"), url(F.greatest("x", "y")).alias("url_hi")).agg(F.max("score").alias("score"))
-
-
-def _all_anchors(spark, sf):
-    return catalogue(spark, sf).where(F.replace("url", F.lit("http://catalogue.example/ds"), F.lit("")).cast("long") % 50 == 0).select("url")
-
-
-@_over_all("p03_distribution_columns", (" WHERE l_orderkey % 100 = 0", ""))
-def p03_distribution_columns_whole(spark, sf):
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("dataset"), F.col("l_partkey").alias("url"), F.lower("l_returnflag").alias("file_format"))
-
-
-@_over_all("p11_lookup_url", (" WHERE o_orderkey < 200", ""))
-def p11_lookup_url_whole(spark, sf):
-    url = F.concat(F.lit("http://catalogue.example/ds"), (F.col("o_orderkey") % 5000).cast("string"))
-    asked = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 2 == 1, X.detail_url(APP, url)).otherwise(url).alias("address"))
-    return facets.by_url(catalogue(spark, sf), asked, APP).select("address", "url", "title", "provider")
-
-
-@_over_all("p19_default_title", _ALL_LINES)
-def p19_default_title_whole(spark, sf):
-    rows = _all_distributions(spark, sf).select("url", F.explode("distributions").alias("d"))
-    return rows.select(F.col("url").alias("dataset"), F.col("d.nth").cast("long").alias("nth"), F.col("d.title").alias("title"), F.col("d.file_format").alias("file_format"))
-
-
-@_over_all("j05_distributions", _ALL_LINES)
-def j05_distributions_whole(spark, sf):
-    return _all_distributions(spark, sf).select("url", F.coalesce(F.size("distributions"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.array_join("distributions.title", ","), F.lit("")).alias("titles"))
-
-
-@_over_all("g11_similar_description", *_ALL_SIM, _ALL_ANCHORS)
-def g11_similar_description_whole(spark, sf):
-    return graph.similar_by_description(_all_similarities(spark, sf), _all_anchors(spark, sf)).select("anchor", "url", F.round("score", 6).alias("score"))
-
-
-@_over_all("g14_all_similar", *_ALL_SIM, _ALL_ANCHORS)
-def g14_all_similar_whole(spark, sf):
-    return graph.all_similar(_edges(spark, sf), _all_similarities(spark, sf), _all_anchors(spark, sf)).select("anchor", "place", "list", "url")
-
-
-@_over_all("g17_detach_delete", *_ALL_SIM)
-def g17_detach_delete_whole(spark, sf):
-    return graph.detached(_edges(spark, sf), _all_similarities(spark, sf), _gone(spark, sf))[1].select("url_lo", "url_hi", F.round("score", 6).alias("score"))
-
-
-@_over_all("g16_incremental_graph", *_ALL_SIM)
-def g16_incremental_graph_whole(spark, sf):
-    none = catalogue(spark, sf).limit(0)
-    to_hub = lambda urls: urls.select(F.col("url").alias("a"), F.lit("http://catalogue.example/hub").alias("b"), F.lit(0.5).alias("score"))
-    return graph.updated(_edges(spark, sf), _all_similarities(spark, sf), none, _gone(spark, sf), to_hub)[1].select("url_lo", "url_hi", F.round("score", 6).alias("score"))
-
-
-@_over_all("j07_shared_metadata", ("l_orderkey % 500 = 0", "l_orderkey % 50 = 0"))
-def j07_shared_metadata_whole(spark, sf):
-    e = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    a = e.where("l_orderkey % 50 = 0").withColumnRenamed("l_orderkey", "anchor")
-    return a.join(e, "l_partkey").where("anchor <> l_orderkey").groupBy("anchor", F.col("l_orderkey").alias("other")).agg(F.countDistinct("l_partkey").alias("shared"))
-
-
-@_over_all("j09_same_provider", ("l_orderkey % 500 = 0", "l_orderkey % 50 = 0"))
-def j09_same_provider_whole(spark, sf):
-    li = table(spark, sf, "lineitem")
-    parts, supp = li.select("l_orderkey", "l_partkey").distinct(), li.select("l_orderkey", "l_suppkey").distinct()
-    pair = lambda e, c: e.where("l_orderkey % 50 = 0").withColumnRenamed("l_orderkey", "anchor").join(e, c).where("anchor <> l_orderkey").select("anchor", F.col("l_orderkey").alias("other")).distinct()
-    return pair(parts, "l_partkey").join(pair(supp, "l_suppkey"), ["anchor", "other"], "left_semi")
