@@ -35,17 +35,19 @@ def with_fingerprint(datasets: DataFrame) -> DataFrame:
 
 def promoted(datasets: DataFrame, categories: list[str] = CATEGORIES) -> DataFrame:
     """Values move up: what is a category from themes and keywords to categories, what is a theme anywhere
-    from keywords to themes.  The vocabulary of themes, one aggregated row, is that before the change."""
+    from keywords to themes.  The vocabulary of themes is that before the change; keywords meet it as rows."""
     known = F.array(*(F.lit(c) for c in categories)) if categories else F.array().cast("array<string>")
-    themes = datasets.select(F.explode("themes").alias("t")).agg(F.coalesce(F.collect_set("t"), F.array().cast("array<string>")).alias("all_themes"))
-    k, t, c, every = F.col("keywords"), F.col("themes"), F.col("categories"), F.col("all_themes")
-    return datasets.crossJoin(F.broadcast(themes)).withColumns(
+    themes = datasets.select(F.explode("themes").alias("word")).distinct()
+    words = datasets.select("url", F.explode("keywords").alias("word")).distinct().join(themes, "word")
+    found = words.groupBy("url").agg(F.collect_set("word").alias("_themes"))
+    k, t, c, own = F.col("keywords"), F.col("themes"), F.col("categories"), F.coalesce("_themes", F.array().cast("array<string>"))
+    return datasets.join(found, "url", "left").withColumns(
         {
             "categories": F.array_sort(F.array_union(F.array_union(c, F.array_intersect(t, known)), F.array_intersect(k, known))),
-            "themes": F.array_sort(F.array_except(F.array_union(t, F.array_intersect(k, every)), known)),
-            "keywords": F.array_sort(F.array_except(F.array_except(k, known), every)),
+            "themes": F.array_sort(F.array_except(F.array_union(t, own), known)),
+            "keywords": F.array_sort(F.array_except(F.array_except(k, known), own)),
         }
-    ).drop("all_themes")
+    ).drop("_themes")
 
 
 def coverage_from_triples(triples: DataFrame, names: dict[str, str] | None = None) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
+import urllib.request
+from datetime import UTC, datetime
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +42,81 @@ def as_split_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
 
 
+def read_literal_lists(spark: SparkSession, path: str, lists: list[str]) -> DataFrame:
+    """CSV whose list cells are written as ['a', 'b']; quotes inside items may be escaped by a backslash."""
+    item = r"""'((?:[^'\\\\]|\\\\.)*)'|"((?:[^"\\\\]|\\\\.)*)\""""
+    rows = read_csv(spark, path)
+    parts = lambda c: F.arrays_zip(F.regexp_extract_all(c, F.lit(item), F.lit(1)).alias("a"), F.regexp_extract_all(c, F.lit(item), F.lit(2)).alias("b"))
+    plain = lambda x: F.regexp_replace(F.concat(x["a"], x["b"]), r"\\\\(.)", "$1")
+    return rows.withColumns({c: F.transform(parts(F.coalesce(c, F.lit(""))), plain) for c in lists})
+
+
+def _file_status(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.getFileStatus(p) if store.exists(p) else None
+
+
+def is_fresh(spark: SparkSession, path: str, now: datetime | None = None) -> bool:
+    """Whether a file or table is there and was written today (UTC)."""
+    status = _file_status(spark, path)
+    today = (now or datetime.now(UTC)).date()
+    return status is not None and datetime.fromtimestamp(status.getModificationTime() / 1000, UTC).date() == today
+
+
+def fresh_table(spark: SparkSession, path: str, make, now: datetime | None = None) -> DataFrame:
+    """The table at path if it was written today, else what make() gives, written there."""
+    if not is_fresh(spark, path, now):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def downloaded(spark: SparkSession, url: str, path: str, now: datetime | None = None, open_url=urllib.request.urlopen) -> str:
+    """path, holding what url gives; a file of today is used again.  The driver copies one export, in pieces."""
+    if not is_fresh(spark, path, now):
+        store = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        part, whole = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.part", path))
+        with open_url(url) as source:
+            out = store.create(part, True)
+            while piece := source.read(1 << 20):
+                out.write(bytearray(piece))
+            out.close()
+        store.delete(whole, False)
+        store.rename(part, whole)
+    return path
+
+
+class Reloading:
+    """A table that is read again once its folder has been written anew; a missing one is an empty one of the schema."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema, self.at, self.rows = spark, path, schema, None, None
+
+    def read(self) -> DataFrame:
+        status = _file_status(self.spark, self.path)
+        at = status.getModificationTime() if status else 0
+        if at != self.at:
+            self.at = at
+            self.rows = self.spark.read.parquet(self.path) if at else self.spark.createDataFrame([], self.schema)
+        return self.rows
+
+
+def settings(text: str, prefix: str = "CAIRN_", environment: dict[str, str] | None = None) -> dict:
+    """Settings from JSON text; a variable PREFIX_A__B in the environment takes the place of a's b."""
+    found = json.loads(text)
+    for name, value in (os.environ if environment is None else environment).items():
+        if name.startswith(prefix):
+            *path, last = name.removeprefix(prefix).lower().split("__")
+            inner = found
+            for part in path:
+                inner = inner.setdefault(part, {})
+            try:
+                inner[last] = json.loads(value)
+            except ValueError:
+                inner[last] = value
+    return found
+
+
 def read_texts(spark: SparkSession, folder: str, allowed: list[str]) -> DataFrame:
     """(name, text) of the allowed Markdown files in a folder."""
     paths = [f"{folder}/{name}.md" for name in allowed]

@@ -143,3 +143,54 @@ def test_service(spark, datasets, tmp_path):
     assert service.info_file(spark, str(tmp_path), "app").first()["text"] == "about"
     with pytest.raises(ValueError):
         service.info_file(spark, str(tmp_path), "../secret")
+
+
+def test_files(spark, tmp_path):
+    import io
+    from datetime import UTC, datetime, timedelta
+
+    from cairn.sources import files
+
+    (tmp_path / "lists.csv").write_text("url,keywords\nu1,\"['a', \"\"b's\"\", 'c\\\\'d']\"\nu2,[]\nu3,\n")
+    rows = {r["url"]: r["keywords"] for r in files.read_literal_lists(spark, str(tmp_path / "lists.csv"), ["keywords"]).collect()}
+    assert rows == {"u1": ["a", "b's", "c'd"], "u2": [], "u3": []}
+    (tmp_path / "judged.csv").write_text('query,url,ranking\n"a, b",u1,1\nc,u2,3\n')
+    assert [tuple(r) for r in files.read_judgments(spark, str(tmp_path / "judged.csv")).orderBy("ranking").collect()] == [("a, b", "u1", 1), ("c", "u2", 3)]
+    table = spark.createDataFrame([("u", ["a"]), ("v", [])], "url string, keywords array<string>")
+    assert sorted(json.loads(r["value"])["url"] for r in files.as_split_json(table).collect()) == ["u", "v"]
+
+    path, tomorrow = f"{tmp_path}/fresh", datetime.now(UTC) + timedelta(days=1)
+    assert not files.is_fresh(spark, path)
+    assert files.fresh_table(spark, path, lambda: table).count() == 2
+    assert files.fresh_table(spark, path, lambda: table.limit(0)).count() == 2
+    assert files.fresh_table(spark, path, lambda: table.limit(1), tomorrow).count() == 1
+    got = []
+    open_url = lambda url: got.append(url) or io.BytesIO(b"x" * 3_000_000)
+    for now in (None, None, tomorrow):
+        assert files.downloaded(spark, "http://x/y", f"{tmp_path}/export.csv", now, open_url) == f"{tmp_path}/export.csv"
+    assert len(got) == 2 and (tmp_path / "export.csv").stat().st_size == 3_000_000 and not (tmp_path / "export.csv.part").exists()
+    live = files.Reloading(spark, f"{tmp_path}/live", "url string")
+    assert live.read().count() == 0
+    table.select("url").write.parquet(f"{tmp_path}/live")
+    assert live.read().count() == 2 and live.read() is live.rows
+    assert files.settings('{"search": {"top": 3}, "a": 1}', environment={"CAIRN_SEARCH__TOP": "5", "CAIRN_NAME": "x", "OTHER": "1"}) == {"search": {"top": 5}, "a": 1, "name": "x"}
+
+
+def test_small_parts(spark, datasets):
+    from cairn.functions import text as X
+
+    assert facets.any_selected({"a": [], "b": ["x"]}) and not facets.any_selected({"a": []}) and not facets.any_selected({})
+    bare = spark.createDataFrame([(None, None), ("t", ["k"])], "title string, keywords array<string>")
+    assert sorted(tuple(r) for r in ingest.with_filled_fields(bare, ["title"], ["keywords"]).collect()) == [("", []), ("t", ["k"])]
+    found = spark.createDataFrame([("q", 1, "One", "http://x/1")], "query string, nth int, title string, url string")
+    assert [tuple(r) for r in service.titles_and_pages(found, "http://app/").collect()] == [("q", 1, "One", "http://app/dataset_detail?source=http://x/1")]
+    home = [(r["facet"], r["value"], r["n"], r["title"]) for r in service.home(datasets).collect()]
+    assert home[-2:] == [("themes", "t1", 2, "Themes"), ("themes", "t2", 2, "Themes")] and ("provider", "P1", 2, "Provider") in home or len(home) > 5
+    answers = spark.createDataFrame([("```json\n{\"a\": 1}\n```", "m.1:b"), ("none", "m")], "answer string, model string")
+    got = answers.select(X.fenced_json(F.col("answer"), "a int")["a"].alias("a"), X.model_folder(F.col("model")).alias("m")).collect()
+    assert [tuple(r) for r in got] == [(1, "m_1_b"), (None, "m")]
+    ship(spark)
+    words = spark.createDataFrame([("a, b",), ("c, d",), ("e",)], "word string")
+    split = lambda prompts: ['{"parts": ["a", "b"]}' if "a, b" in p else "{}" for p in prompts]
+    assert {r["word"]: r["parts"] for r in enrich.comma_parts(words, split).collect()} == {"a, b": ["a", "b"], "c, d": ["c, d"]}
+    assert ingest.documents(datasets.limit(0)).count() == 0
