@@ -1,14 +1,18 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped arrays.
+"""Interpolated modified Kneser-Ney model of any order, counted in Spark and scored from memory-mapped sorted hash arrays.
 
-Counting passes packed blocks of sorted keys between tasks, one block for each map task and bucket, so that a
+Counting passes packed blocks of rows between tasks, one block for each task and bucket, so that a
 row of the shuffle stands for thousands of n-grams:
 
 1. words: 64-bit word hashes with their counts, in buckets of the hash's leading bits.  A bucket becomes one
    file; a word's id is its rank over all buckets.
-2. bigrams: the pair of ids is one 64-bit number, and a bijective mixing of it is the key, so that
-   sorted hash arrays hold bigrams exactly.  Buckets of the key are even however frequent a word is.
-3. margins: each bigram bucket adds up, for its contexts, counts and numbers of bigrams seen once, twice and
-   more often, and for its words the number of contexts; ranges of ids gather these.
+2. grams of the full order: runs of ids, each text after order - 1 begin ids, with their counts.  The key of a gram is a
+   64-bit hash of its ids; buckets of the key are even however frequent a word or a context is.
+3. shorter grams, one order at a time down to single words: each bucket adds up what its grams tell of the grams one word shorter.
+   A gram's last words have one more word before them, which is the count of a lower order; its first words are a context
+   with the gram's count and with one more word seen once, twice or more often after it.
+
+A bucket's file holds sorted keys and, as bytes, (count) or (count, total, seen once, twice, more often after it); rows with a
+number that does not fit follow in full.  Two grams share a key with a probability of 2^-64 a pair.
 
 Scoring maps all files in every Python worker; queries are sorted and searched bucket by bucket.  The
 files live in the shared folder; from a store without local paths each is copied to the worker's disk first.
@@ -32,30 +36,21 @@ from cairn.llm.common import U64, WordHashes, document_groups, file_system, fres
 
 #: Stands for the end of a text; no word contains a line feed.
 END = b"\n</s>"
-#: Text bytes for each bucket of words and of bigrams, and the bounds of their number.
+#: Words of the longest grams.
+ORDER = 3
+#: Text bytes for each bucket of words and of grams, and the bound of their number.
 BUCKET_BYTES, MOST_BUCKETS = 12 << 20, 1 << 16
-#: Ids in each margin file.
-MARGIN_IDS = 1 << 17
 #: Distinct keys that a map task holds before it emits them.
-HELD_KEYS = 6_000_000
+HELD_KEYS = 4_000_000
 _BIG = 255
-
-
-def _unmixed(x: np.ndarray) -> np.ndarray:
-    """Inverse of common.mixed with seed 0."""
-    x = x ^ (x >> U64(31)) ^ (x >> U64(62))
-    x *= U64(pow(0x94D049BB133111EB, -1, 1 << 64))
-    x = x ^ (x >> U64(27)) ^ (x >> U64(54))
-    x *= U64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
-    x = x ^ (x >> U64(30)) ^ (x >> U64(60))
-    return x - U64(0x9E3779B97F4A7C15)
+_ODD = U64(0xD6E8FEB86659FD93)
 
 
 # ---------------------------------------------------------------- packed blocks
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def _pack(keys: np.ndarray, *values: np.ndarray) -> bytes:
@@ -72,38 +67,50 @@ def _unpack(data: bytes, *dtypes) -> list[np.ndarray]:
     return [np.cumsum(out[0], dtype=out[0].dtype), *out[1:]]
 
 
-def _summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Distinct keys in order, with the sums of their values."""
+def _merged(keys: np.ndarray, ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, with a column of ids and the sums of the columns of values for each."""
     if not len(keys):
-        return [keys, *values]
+        return keys, ids, values
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return [keys[first], *(np.add.reduceat(v[order], first) for v in values)]
+    return keys[first], ids[:, order[first]], np.add.reduceat(values[:, order], first, axis=1)
+
+
+def _split(keys: np.ndarray, bits: int):
+    """(bucket, slice) of sorted keys by their leading bits."""
+    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=U64) << U64(64 - bits)) if bits else np.zeros(0, int)
+    for b, (lo, hi) in enumerate(zip([0, *edges], [*edges, len(keys)], strict=True)):
+        if hi > lo:
+            yield b, slice(lo, hi)
+
+
+def _packed(ids: np.ndarray, values: np.ndarray) -> bytes:
+    """Rows of ids and values, in the order of the first ids, which leaves least to store."""
+    order = np.argsort(ids[0].astype(U64) << U64(32) | ids[min(1, len(ids) - 1)].astype(U64))
+    return _pack(*ids[:, order], *values[:, order])
 
 
 class _Held:
-    """Keys with counts, put together until there are many of them, and then emitted by bucket."""
+    """Keys with ids and counts, put together until there are many of them, and then emitted by bucket."""
 
-    def __init__(self, bits: int):
-        self.bits, self.parts, self.n = bits, [], 0
+    def __init__(self, bits: int, pack):
+        self.bits, self.pack, self.parts, self.n = bits, pack, [], 0
 
-    def add(self, keys: np.ndarray):
-        self.parts.append(np.unique(keys, return_counts=True))
-        self.n += len(self.parts[-1][0])
+    def add(self, keys: np.ndarray, ids: np.ndarray):
+        keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
+        self.parts.append((keys, ids[:, at], counts[None]))
+        self.n += len(keys)
         if self.n > HELD_KEYS:
             yield from self.emit()
 
     def emit(self):
         if not self.parts:
             return
-        keys, counts = _summed(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))
+        keys, ids, counts = (np.concatenate([p[i] for p in self.parts], axis=-1) for i in range(3))
         self.parts, self.n = [], 0
-        edges = np.searchsorted(keys, np.arange(1, 1 << self.bits, dtype=U64) << U64(64 - self.bits)) if self.bits else np.zeros(0, int)
-        rows = []
-        for b, (lo, hi) in enumerate(zip([0, *edges], [*edges, len(keys)], strict=True)):
-            if hi > lo:
-                rows.append((b, _pack(keys[lo:hi], counts[lo:hi].astype(np.uint32))))
+        keys, ids, counts = _merged(keys, ids, counts)
+        rows = [(b, self.pack(keys[own], ids[:, own], counts[:, own])) for b, own in _split(keys, self.bits)]
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "block"])
 
 
@@ -134,25 +141,6 @@ def _mapped(folder: str, name: str) -> np.ndarray:
     return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
 
 
-class _Buckets:
-    """Sorted 64-bit keys in files by their leading bits."""
-
-    def __init__(self, folder: str, kind: str, bits: int, sizes: dict[int, tuple[int, int]]):
-        self.folder, self.kind, self.bits, self.sizes, self.open = folder, kind, bits, sizes, {}
-
-    def _file(self, b: int) -> np.ndarray:
-        if b not in self.open:
-            self.open[b] = _mapped(self.folder, f"{self.kind}-{b:05d}")
-        return self.open[b]
-
-    def parts(self, keys: np.ndarray):
-        """For sorted keys: (bucket, slice of keys, file, rows in it, frequent rows in it)."""
-        edges = np.searchsorted(keys, np.arange(1, 1 << self.bits, dtype=U64) << U64(64 - self.bits)) if self.bits else np.zeros(0, int)
-        for b, (lo, hi) in enumerate(zip([0, *edges], [*edges, len(keys)], strict=True)):
-            if hi > lo and b in self.sizes:
-                yield b, slice(lo, hi), self._file(b), *self.sizes[b]
-
-
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
     return at, sorted_keys[at] == keys
@@ -160,42 +148,99 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
 
 class _Words:
     def __init__(self, folder: str, bits: int, sizes: list[tuple[int, int]]):
-        self.files = _Buckets(folder, "words", bits, {b: (n, 0) for b, n in sizes})
-        self.base, total = {}, 0
+        self.folder, self.bits, self.sizes, self.files = folder, bits, dict(sizes), {}
+        self.base, self.total = {}, 0
         for b, n in sorted(sizes):
-            self.base[b] = total
-            total += n
-        self.total = total
+            self.base[b] = self.total
+            self.total += n
+        #: Ids of the begin of a text and of all words that are not known.
+        self.begin, self.unknown = self.total, self.total + 1
+        self.dtype = np.uint32 if self.unknown < 1 << 32 else U64
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids or -1, training counts) of sorted hashes."""
-        ids, counts = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
-        for b, own, file, n, _ in self.files.parts(hashes):
-            at, hit = _find(file[: 8 * n].view(U64), hashes[own])
-            ids[own] = np.where(hit, at + self.base[b], -1)
-            counts[own] = np.where(hit, file[8 * n : 16 * n].view(np.int64)[at], 0)
+        """(ids, training counts) of sorted hashes."""
+        ids, counts = np.full(len(hashes), self.unknown, self.dtype), np.zeros(len(hashes), np.int64)
+        for b, own in _split(hashes, self.bits):
+            if b in self.sizes:
+                n = self.sizes[b]
+                if b not in self.files:
+                    self.files[b] = _mapped(self.folder, f"words-{b:05d}")
+                at, hit = _find(self.files[b][: 8 * n].view(U64), hashes[own])
+                ids[own] = np.where(hit, at + self.base[b], self.unknown)
+                counts[own] = np.where(hit, self.files[b][8 * n :].view(np.int64)[at], 0)
         return ids, counts
 
 
-def _sequences(texts, seen, words: _Words):
-    """Ids of a group of texts, each with its end token: (ids, training counts, first token of each text)."""
-    hashes, at = word_hashes(texts, seen, lower=True)
-    hashes = np.insert(hashes, at[1:], U64(seen[END]))
-    first = at[:-1] + np.arange(len(texts))
-    distinct, inverse = np.unique(hashes, return_inverse=True)
-    ids, counts = words.ids(distinct)
-    return ids[inverse], counts[inverse], first
+def _save_level(folder: str, level: int, bucket: int, keys: np.ndarray, values: np.ndarray) -> int:
+    """Write one bucket's file of a level; the number of rows that it gives in full."""
+    big = np.flatnonzero((values >= _BIG).any(axis=0))
+    size = (8 + len(values)) * len(keys)
+    _save(folder, f"level{level}-{bucket:05d}", b"".join([keys.tobytes(), np.minimum(values, _BIG).astype(np.uint8).tobytes(), b"\0" * (-size % 8), keys[big].tobytes(), values[:, big].tobytes()]))
+    return len(big)
+
+
+class _Level:
+    """Numbers of the grams of one length, from the files of their buckets; sizes has (rows, rows in full)."""
+
+    def __init__(self, folder: str, level: int, columns: int, bits: int, sizes: dict[int, tuple[int, int]]):
+        self.folder, self.level, self.columns, self.bits, self.sizes, self.files = folder, level, columns, bits, sizes, {}
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """One column of numbers for each of the keys, sorted; zeros for a gram that is not there."""
+        out = np.zeros((self.columns, len(keys)), np.int64)
+        for b, own in _split(keys, self.bits):
+            if b not in self.sizes:
+                continue
+            if b not in self.files:
+                self.files[b] = _mapped(self.folder, f"level{self.level}-{b:05d}")
+            file, (n, full) = self.files[b], self.sizes[b]
+            at, hit = _find(file[: 8 * n].view(U64), keys[own])
+            size = (8 + self.columns) * n
+            part = file[8 * n : size].reshape(self.columns, n)[:, at] * hit
+            big = np.flatnonzero((part == _BIG).any(axis=0))
+            part = part.astype(np.int64)
+            if len(big):
+                rest = file[size + -size % 8 :]
+                where, _ = _find(rest[: 8 * full].view(U64), keys[own][big])
+                part[:, big] = rest[8 * full :].view(np.int64).reshape(self.columns, full)[:, where]
+            out[:, own] = part
+        return out
+
+
+# ---------------------------------------------------------------- grams
+
+
+def _longer(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Keys of the grams that go on with ids."""
+    return mixed(keys * _ODD + ids.astype(U64))
 
 
-def _before(ids: np.ndarray, first: np.ndarray, begin: int) -> np.ndarray:
-    out = np.empty_like(ids)
-    out[1:] = ids[:-1]
-    out[first] = begin
-    return out
+def _key(ids: np.ndarray) -> np.ndarray:
+    """Keys of grams, one in each column of ids."""
+    keys = np.zeros(ids.shape[1], U64)
+    for row in ids:
+        keys = _longer(keys, row)
+    return keys
 
 
-def _bigram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mixed(context.astype(U64) << U64(32) | word.astype(U64))
+class _Sequences:
+    """Tokens of a group of texts, and the same with order - 1 begins before each text."""
+
+    def __init__(self, texts, seen, words: _Words, order: int):
+        hashes, at = word_hashes(texts, seen, lower=True)
+        hashes = np.insert(hashes, at[1:], U64(seen[END]))
+        #: Where each text begins among the tokens, and how many it has.
+        self.first = at[:-1] + np.arange(len(texts))
+        self.sizes = np.diff(np.append(self.first, len(hashes)))
+        distinct, inverse = np.unique(hashes, return_inverse=True)
+        ids, counts = words.ids(distinct)
+        self.counts = counts[inverse]
+        #: Places of the tokens among all, distinct ids, and which of them is at each place.
+        self.place = np.arange(len(hashes)) + np.repeat(np.arange(1, len(texts) + 1) * (order - 1), self.sizes)
+        self.distinct = np.append(ids, words.dtype(words.begin))
+        self.which = np.full(len(hashes) + len(texts) * (order - 1), len(ids))
+        self.which[self.place] = inverse
+        self.ids = self.distinct[self.which]
 
 
 # ---------------------------------------------------------------- tasks
@@ -203,89 +248,75 @@ def _bigram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def _word_counter(bits: int):
     def count(batches):
-        seen, held = WordHashes(), _Held(bits)
+        seen, held = WordHashes(), _Held(bits, lambda keys, _, counts: _pack(keys, *counts))
         for _, texts in document_groups(batches):
             hashes, _ = word_hashes(texts, seen, lower=True)
-            yield from held.add(np.concatenate([hashes, np.full(len(texts), seen[END], U64)]))
+            hashes = np.concatenate([hashes, np.full(len(texts), seen[END], U64)])
+            yield from held.add(hashes, np.zeros((0, len(hashes)), np.uint32))
         yield from held.emit()
 
     return count
 
 
-def _blocks(batches):
-    for batch in batches:
-        for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            yield bucket, block
-
-
 def _gathered(batches, *dtypes):
-    """For each bucket of a partition: its number and the distinct keys with their summed values."""
+    """For each bucket of a partition: its number and the columns of all its blocks."""
     held: dict[int, list] = {}
-    for bucket, block in _blocks(batches):
-        held.setdefault(bucket, []).append(_unpack(block, *dtypes))
+    for batch in batches:
+        for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.setdefault(bucket, []).append(_unpack(block, *dtypes))
     for bucket in sorted(held):
         parts = held.pop(bucket)
-        yield bucket, *_summed(*(np.concatenate([p[i] for p in parts]).astype(dtypes[0] if not i else np.int64) for i in range(len(dtypes))))
+        yield bucket, [np.concatenate([p[i] for p in parts]) for i in range(len(dtypes))]
 
 
 def _word_writer(folder: str):
     def write(batches):
         out = []
-        for bucket, keys, counts in _gathered(batches, U64, np.uint32):
-            _save(folder, f"words-{bucket:05d}", keys.tobytes() + counts.astype(np.int64).tobytes())
+        for bucket, (keys, counts) in _gathered(batches, U64, np.int64):
+            keys, _, (counts,) = _merged(keys, np.zeros((0, len(keys)), np.uint32), counts[None])
+            _save(folder, f"words-{bucket:05d}", keys.tobytes() + counts.tobytes())
             out.append((bucket, len(keys), int(counts.sum())))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["bucket", "n", "total"])
 
     return write
 
 
-def _bigram_counter(folder: str, word_bits: int, sizes: list, bits: int):
+def _gram_counter(folder: str, order: int, word_bits: int, sizes: list, bits: int):
     def count(batches):
-        words, seen, held = _Words(folder, word_bits, sizes), WordHashes(), _Held(bits)
+        words, seen, held = _Words(folder, word_bits, sizes), WordHashes(), _Held(bits, lambda _, ids, counts: _packed(ids, counts))
         for _, texts in document_groups(batches):
-            ids, _, first = _sequences(texts, seen, words)
-            yield from held.add(_bigram(_before(ids, first, words.total), ids))
+            own = _Sequences(texts, seen, words, order)
+            grams = np.stack([own.ids[own.place - k] for k in range(order - 1, -1, -1)])
+            yield from held.add(_key(grams), grams)
         yield from held.emit()
 
     return count
 
 
-def _bigram_writer(folder: str):
-    """Rows (bucket, n, frequent, n1..n4, margin bucket, margin block); the figures with the first block only."""
-
-    def write(batches):
-        for bucket, keys, counts in _gathered(batches, U64, np.uint32):
-            big = np.flatnonzero(counts >= _BIG)
-            _save(folder, f"bigrams-{bucket:05d}", b"".join([keys.tobytes(), np.minimum(counts, _BIG).astype(np.uint8).tobytes(), b"\0" * (-len(keys) % 8), keys[big].tobytes(), counts[big].astype(np.int64).tobytes()]))
-            pair = _unmixed(keys)
-            context, word = (pair >> U64(32)).astype(np.uint32), (pair & U64(0xFFFFFFFF)).astype(np.uint32)
-            one = np.ones(len(keys), np.int64)
-            none = np.zeros(len(keys), np.int64)
-            sums = _summed(np.concatenate([context, word]), *(np.concatenate([a, none]) for a in (counts, counts == 1, counts == 2, counts >= 3)), np.concatenate([none, one]))
-            parts = sums[0] // MARGIN_IDS
-            first = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
-            rows = [(int(parts[a]), _pack(*(s[a:b].astype(np.uint32) for s in sums))) for a, b in zip(first, [*first[1:], len(parts)], strict=True)]
-            figures = [bucket, len(keys), len(big), *(int((counts == k).sum()) for k in (1, 2, 3, 4))]
-            names = ["bucket", "n", "frequent", "n1", "n2", "n3", "n4"]
-            yield pa.RecordBatch.from_arrays([*(pa.array([v] + [None] * (len(rows) - 1), pa.int64()) for v in figures), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], [*names, "margin", "block"])
-
-    return write
-
-
-_MARGIN = np.dtype([("total", "<i8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"), ("contexts", "<u4")])
-
+def _level_writer(folder: str, level: int, columns: int, bits: int, dtype):
+    """Rows (bucket, n, full, n1..n4, more, total, next bucket, block for it); the figures with the first block only."""
+    names = ["bucket", "n", "full", "n1", "n2", "n3", "n4", "more", "total"]
 
-def _margin_writer(folder: str):
     def write(batches):
-        out = []
-        for bucket, ids, total, n1, n2, n3, contexts in _gathered(batches, np.uint32, *[np.uint32] * 5):
-            rows = np.zeros(MARGIN_IDS, _MARGIN)
-            at = ids % MARGIN_IDS
-            for name, v in zip(_MARGIN.names, (total, n1, n2, n3, contexts), strict=True):
-                rows[name][at] = v
-            _save(folder, f"margins-{bucket:05d}", rows[: int(at.max()) + 1].tobytes())
-            out.append((bucket, int(contexts.sum()), *(int((contexts == k).sum()) for k in (1, 2, 3, 4)), int((contexts >= 3).sum())))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(7)], ["bucket", "total", "n1", "n2", "n3", "n4", "more"])
+        for bucket, parts in _gathered(batches, *[dtype] * level, *[np.int64] * columns):
+            ids = np.stack(parts[:level])
+            keys, ids, values = _merged(_key(ids), ids, np.stack(parts[level:]))
+            del parts
+            full = _save_level(folder, level, bucket, keys, values)
+            count = values[0]
+            figures = [bucket, len(keys), full, *(int((count == k).sum()) for k in (1, 2, 3, 4)), int((count >= 3).sum()), int(count.sum())]
+            rows = []
+            if level > 1:
+                seen = np.flatnonzero(count)  # others are contexts only
+                ids, count = ids[:, seen], count[seen]
+                none, one = np.zeros(len(seen), np.int64), np.ones(len(seen), np.int64)
+                last, first = [one, none, none, none, none], [none, count, count == 1, count == 2, count >= 3]
+                short = np.concatenate([ids[1:], ids[:-1]], axis=1)
+                keys, short, values = _merged(_key(short), short, np.stack([np.concatenate([x, y]) for x, y in zip(last, first, strict=True)]))
+                rows = [(b, _packed(short[:, own], values[:, own])) for b, own in _split(keys, bits)]
+            rows = rows or [(None, None)]
+            arrays = [pa.array([v] + [None] * (len(rows) - 1), pa.int64()) for v in figures]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], [*names, "next", "block"])
 
     return write
 
@@ -305,16 +336,25 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 class Model:
-    """What the tasks need to know of the files: sizes of buckets and a few totals."""
+    """What the tasks need to know of the files: sizes of buckets, discounts and a few totals."""
 
-    def __init__(self, folder: str, word_bits: int, words: list, tokens: int, bits: int, bigrams: dict, high: tuple, low: tuple, pairs: int, low_mass: float):
-        self.folder, self.word_bits, self.words, self.tokens = folder, word_bits, words, tokens
-        self.bits, self.bigrams, self.high, self.low, self.pairs, self.low_mass = bits, bigrams, high, low, pairs, low_mass
+    def __init__(self, folder: str, order: int, bits: int, words: list, tokens: int):
+        self.folder, self.order, self.bits, self.words, self.tokens = folder, order, bits, words, tokens
         self.vocabulary = sum(n for _, n in words)
+        #: For each length of grams: sizes of its buckets, and discounts.
+        self.sizes: dict[int, dict[int, tuple[int, int]]] = {}
+        self.discounts: dict[int, tuple[float, float, float]] = {}
+        #: Sum of the counts of single words, and what the discounts take from it.
+        self.pairs, self.low_mass = 0, 0.0
+
+    def columns(self, level: int) -> int:
+        return 1 if level == self.order else 5
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, order: int = ORDER) -> Model:
     """Count docs (text) and write the model's files; the driver gets some figures for each bucket only."""
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     spark = docs.sparkSession
     docs = docs.select(F.lit(0).alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -326,90 +366,63 @@ def train(docs: DataFrame) -> Model:
     blocks = docs.mapInArrow(_word_counter(bits), "bucket int, block binary")
     made = staged(blocks.repartitionById(1 << bits, F.col("bucket")).mapInArrow(_word_writer(folder), "bucket long, n long, total long"), "kn-words")
     found = made.collect()  # one row for each bucket
-    words, tokens = sorted((r["bucket"], r["n"]) for r in found), sum(r["total"] for r in found)
-    n_words = sum(n for _, n in words)
-    if n_words >= (1 << 32) - 1:
-        raise ValueError("more distinct words than 32-bit ids")
+    model = Model(folder, order, bits, sorted((r["bucket"], r["n"]) for r in found), sum(r["total"] for r in found))
     unstage(made)
 
-    blocks = docs.mapInArrow(_bigram_counter(folder, bits, words, bits), "bucket int, block binary")
-    columns = "bucket long, n long, frequent long, n1 long, n2 long, n3 long, n4 long, margin int, block binary"
-    made = staged(blocks.repartitionById(1 << bits, F.col("bucket")).mapInArrow(_bigram_writer(folder), columns), "kn-bigrams")
-    release(spark)
-    found = made.where("bucket is not null").drop("margin", "block").collect()  # one row for each bucket
-    high = discounts(*(sum(r[f"n{k}"] for r in found) for k in (1, 2, 3, 4)))
-    bigrams = {r["bucket"]: (r["n"], r["frequent"]) for r in found}
-
-    ranges = n_words // MARGIN_IDS + 1
-    margins = made.select(F.col("margin").alias("bucket"), "block").repartitionById(ranges, F.col("bucket"))
-    last = staged(margins.mapInArrow(_margin_writer(folder), "bucket long, total long, n1 long, n2 long, n3 long, n4 long, more long"), "kn-margins")
-    found = last.collect()  # one row for each range of ids
-    total = {k: sum(r[k] for r in found) for k in ("total", "n1", "n2", "n3", "n4", "more")}
-    low = discounts(total["n1"], total["n2"], total["n3"], total["n4"])
-    unstage(made, last)
-    return Model(folder, bits, words, tokens, bits, bigrams, high, low, total["total"], low[0] * total["n1"] + low[1] * total["n2"] + low[2] * total["more"])
+    dtype = _Words(folder, bits, model.words).dtype
+    blocks = docs.mapInArrow(_gram_counter(folder, order, bits, model.words, bits), "bucket int, block binary")
+    schema = "bucket long, n long, full long, n1 long, n2 long, n3 long, n4 long, more long, total long, next int, block binary"
+    before = []
+    for level in range(order, 0, -1):
+        write = _level_writer(folder, level, model.columns(level), bits, dtype)
+        made = staged(blocks.repartitionById(1 << bits, F.col("bucket")).mapInArrow(write, schema), f"kn-level{level}")
+        unstage(*before)
+        release(spark)
+        found = made.where("bucket is not null").drop("next", "block").collect()  # one row for each bucket
+        model.sizes[level] = {r["bucket"]: (r["n"], r["full"]) for r in found}
+        total = {k: sum(r[k] for r in found) for k in ("n1", "n2", "n3", "n4", "more", "total")}
+        model.discounts[level] = discounts(total["n1"], total["n2"], total["n3"], total["n4"])
+        blocks, before = made.where("next is not null").select(F.col("next").alias("bucket"), "block"), [made]
+    unstage(*before)
+    d = model.discounts[1]
+    model.pairs, model.low_mass = total["total"], d[0] * total["n1"] + d[1] * total["n2"] + d[2] * total["more"]
+    return model
 
 
 class _Scorer:
     def __init__(self, model: Model):
-        self.model = model
-        self.words = _Words(model.folder, model.word_bits, model.words)
-        self.grams = _Buckets(model.folder, "bigrams", model.bits, model.bigrams)
-        self.seen, self.margins = WordHashes(), {}
-
-    def _counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of bigram keys, sorted."""
-        out = np.zeros(len(keys), np.int64)
-        for _, own, file, n, frequent in self.grams.parts(keys):
-            at, hit = _find(file[: 8 * n].view(U64), keys[own])
-            counts = np.where(hit, file[8 * n : 9 * n][at], 0).astype(np.int64)
-            big = np.flatnonzero(counts == _BIG)
-            if len(big):
-                start = 9 * n + -n % 8
-                where, _ = _find(file[start : start + 8 * frequent].view(U64), keys[own][big])
-                counts[big] = file[start + 8 * frequent : start + 16 * frequent].view(np.int64)[where]
-            out[own] = counts
-        return out
-
-    def _margin(self, ids: np.ndarray) -> np.ndarray:
-        """Margins of ids, sorted and distinct; zeros for -1."""
-        out = np.zeros(len(ids), _MARGIN)
-        part = ids // MARGIN_IDS
-        for b in np.unique(part[ids >= 0]):
-            if b not in self.margins:
-                self.margins[b] = _mapped(self.model.folder, f"margins-{b:05d}").view(_MARGIN)
-            own = part == b
-            rows = self.margins[b]
-            at = ids[own] % MARGIN_IDS
-            out[own] = np.where(at < len(rows), rows[np.minimum(at, len(rows) - 1)], np.zeros(1, _MARGIN))
-        return out
+        self.model, self.seen = model, WordHashes()
+        self.words = _Words(model.folder, model.bits, model.words)
+        self.levels = {k: _Level(model.folder, k, model.columns(k), model.bits, model.sizes[k]) for k in range(1, model.order + 1)}
 
     def score(self, texts: list) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of each text."""
         m = self.model
-        ids, counts, first = _sequences(texts, self.seen, self.words)
-        context = _before(ids, first, m.vocabulary)
-        both = (ids >= 0) & (context >= 0)
-        pair = np.zeros(len(ids), np.int64)
-        keys, inverse = np.unique(_bigram(context[both], ids[both]), return_inverse=True)
-        pair[both] = self._counts(keys)[inverse]
-
-        distinct, inverse = np.unique(np.concatenate([ids, context]), return_inverse=True)
-        rows = self._margin(distinct)
-        word, before = rows[inverse[: len(ids)]], rows[inverse[len(ids) :]]
+        own = _Sequences(texts, self.seen, self.words, m.order)
+        single = _key(own.distinct[None])
+        order = np.argsort(single)
+        rows = np.empty((5, len(single)), np.int64)
+        rows[:, order] = self.levels[1].rows(single[order])
+        keys, rows = single[own.which], rows[:, own.which]
         outside = 1 / (m.vocabulary + 1)
+        p = np.full(len(own.place), outside)
         if m.pairs:
-            low = np.array([0.0, *m.low])[np.minimum(word["contexts"], 3)]
-            p = np.maximum(word["contexts"] - low, 0) / m.pairs + m.low_mass / m.pairs * outside
-        else:
-            p = np.full(len(ids), outside)
-        total = np.maximum(before["total"], 1)
-        rest = (m.high[0] * before["n1"] + m.high[1] * before["n2"] + m.high[2] * before["n3"]) / total
-        high = np.array([0.0, *m.high])[np.minimum(pair, 3)]
-        p = np.where(before["total"] > 0, np.maximum(pair - high, 0) / total + rest * p, p)
-        base = np.log10((counts + 1) / (m.tokens + m.vocabulary + 1))
-        add = lambda x: np.add.reduceat(x, first)
-        return np.diff(np.append(first, len(ids))), add((counts > 0).astype(np.int64)), add(base), add(np.log10(p))
+            count = rows[0, own.place]
+            p = np.maximum(count - np.array([0.0, *m.discounts[1]])[np.minimum(count, 3)], 0) / m.pairs + m.low_mass / m.pairs * outside
+        for level in range(2, m.order + 1):
+            before, after = rows[1:, own.place - 1], own.ids[1:]
+            keys = np.append(keys[:1], _longer(keys[:-1], after))  # a key across two texts is at no token
+            at = own.place if level == m.order else np.arange(len(keys))
+            distinct, inverse = np.unique(keys[at], return_inverse=True)
+            rows = self.levels[level].rows(distinct)[:, inverse]
+            count = rows[0] if level == m.order else rows[0, own.place]
+            d = np.array([0.0, *m.discounts[level]])
+            total = np.maximum(before[0], 1)
+            rest = (d[1] * before[1] + d[2] * before[2] + d[3] * before[3]) / total
+            p = np.where(before[0] > 0, np.maximum(count - d[np.minimum(count, 3)], 0) / total + rest * p, p)
+        base = np.log10((own.counts + 1) / (m.tokens + m.vocabulary + 1))
+        add = lambda x: np.add.reduceat(x, own.first)
+        return own.sizes, add((own.counts > 0).astype(np.int64)), add(base), add(np.log10(p))
 
 
 _LAST: dict[str, _Scorer] = {}
@@ -433,14 +446,14 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     The model learns from the rows that are not held out, repeated ones as often as they occur.  A null or
     empty text is its end token alone.  Without training rows every probability is uniform over
-    the unknown word.  Other columns are ignored.
+    the unknown word.  Other columns are ignored.  A very long text is scored whole, in one task.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = train(docs.where(~held_out(F.col("doc_id"))))
+    model = train(docs.where(~held_out(F.col("doc_id"))), order)
     scored = docs.mapInArrow(_scorer(model), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -523,38 +523,45 @@ def test_wavelet_matrix():
 # ---------------------------------------------------------------- 6
 
 
-def test_kneser_ney(spark, docs, rows):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney(spark, docs, rows, order):
     from cairn.llm.kneser_ney import discounts, score_texts
 
     find = lambda t: [*SPACES.findall((t or "").encode().lower().decode()), "\n"]
     out = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
     train = [find(t) for d, t in rows if not out(d)]
     uni = collections.Counter(w for s in train for w in s)
-    bi = collections.Counter(x for s in train for x in zip([None, *s], s, strict=False))
-    near = collections.Counter(w for _, w in bi)
-    high = (0, *discounts(*(sum(v == k for v in bi.values()) for k in (1, 2, 3, 4))))
-    low = (0, *discounts(*(sum(v == k for v in near.values()) for k in (1, 2, 3, 4))))
-    total, kinds = collections.Counter(), collections.defaultdict(lambda: [0] * 4)
-    for (u, _), c in bi.items():
-        total[u] += c
-        kinds[u][min(c, 3)] += 1
+
+    def grams(s):
+        padded = (None,) * (order - 1) + tuple(s)
+        return [padded[i : i + order] for i in range(len(s))]
+
+    counts = {order: collections.Counter(g for s in train for g in grams(s))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    d = {k: (0, *discounts(*(sum(v == i for v in c.values()) for i in (1, 2, 3, 4)))) for k, c in counts.items()}
+    total, taken = collections.Counter(), collections.Counter()
+    for k, c in counts.items():
+        for g, v in c.items():
+            total[g[:-1]] += v
+            taken[g[:-1]] += d[k][min(v, 3)]
     n, v = sum(uni.values()), len(uni)
-    mass = sum(low[min(c, 3)] for c in near.values()) / len(bi)
 
-    def p(u, w):
-        x = max(near[w] - low[min(near[w], 3)], 0) / len(bi) + mass / (v + 1)
-        if total[u]:
-            c = bi[u, w]
-            x = max(c - high[min(c, 3)], 0) / total[u] + sum(high[k] * kinds[u][k] for k in (1, 2, 3)) / total[u] * x
+    def p(gram):
+        x = p(gram[1:]) if len(gram) > 1 else 1 / (v + 1)
+        c, context = counts[len(gram)][gram], gram[:-1]
+        if total[context]:
+            x = max(c - d[len(gram)][min(c, 3)], 0) / total[context] + taken[context] / total[context] * x
         return x
 
-    assert abs(sum(p("w1", w) for w in [*uni, "never seen"]) - 1) < 1e-9
-    want = sorted((d is None, d or 0, out(d), len(s), sum(w in uni for w in s), n, round(sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in s), 3), round(sum(math.log10(p(u, w)) for u, w in zip([None, *s], s, strict=False)), 3)) for d, s in ((d, find(t)) for d, t in rows))
-    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 3), round(r["score"], 3)) for r in score_texts(docs).collect())
+    context = max((g for g in counts[order] if None not in g), key=counts[order].get)[:-1]
+    assert abs(sum(p((*context, w)) for w in [*uni, "never seen"]) - 1) < 1e-9
+    want = sorted((d is None, d or 0, out(d), len(s), sum(w in uni for w in s), n, round(sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in s), 3), round(sum(math.log10(p(g)) for g in grams(s)), 3)) for d, s in ((d, find(t)) for d, t in rows))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 3), round(r["score"], 3)) for r in score_texts(docs, order).collect())
     assert len(got) == len(want)
     for a, b in zip(got, want, strict=True):
         assert a[:6] == b[:6] and abs(a[6] - b[6]) < 0.01 and abs(a[7] - b[7]) < 0.01
-    assert score_texts(empty(spark)).count() == 0
+    assert score_texts(empty(spark), order).count() == 0
 
 
 # ---------------------------------------------------------------- 5
