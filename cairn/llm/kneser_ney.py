@@ -4,7 +4,8 @@ Counting passes packed blocks of rows between tasks, one block for each task and
 row of the shuffle stands for thousands of n-grams:
 
 1. words: 64-bit word hashes with their counts, in buckets of the hash's leading bits.  A bucket becomes one
-   file; a word's id is its rank over all buckets.
+   file; a word's id is its rank by count in the bucket and then the bucket, so that frequent words have small ids,
+   which pack well.
 2. grams of the full order: runs of ids, each text after order - 1 begin ids, with their counts.  The key of a gram is a
    64-bit hash of its ids; buckets of the key are even however frequent a word or a context is.
 3. shorter grams, one order at a time down to single words: each bucket adds up what its grams tell of the grams one word shorter.
@@ -14,6 +15,8 @@ row of the shuffle stands for thousands of n-grams:
 A bucket's file holds sorted keys and, as bytes, (count) or (count, total, seen once, twice, more often after it); rows with a
 number that does not fit follow in full.  Two grams share a key with a probability of 2^-64 a pair.
 
+The passes over grams are one job, without tables between them: figures of the files travel along with the blocks.
+
 Scoring maps all files in every Python worker; queries are sorted and searched bucket by bucket.  The
 files live in the shared folder; from a store without local paths each is copied to the worker's disk first.
 A task that runs again writes the same bytes to the same name.
@@ -149,12 +152,9 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
 class _Words:
     def __init__(self, folder: str, bits: int, sizes: list[tuple[int, int]]):
         self.folder, self.bits, self.sizes, self.files = folder, bits, dict(sizes), {}
-        self.base, self.total = {}, 0
-        for b, n in sorted(sizes):
-            self.base[b] = self.total
-            self.total += n
         #: Ids of the begin of a text and of all words that are not known.
-        self.begin, self.unknown = self.total, self.total + 1
+        self.begin = max(self.sizes.values(), default=0) << bits
+        self.unknown = self.begin + 1
         self.dtype = np.uint32 if self.unknown < 1 << 32 else U64
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,8 +166,9 @@ class _Words:
                 if b not in self.files:
                     self.files[b] = _mapped(self.folder, f"words-{b:05d}")
                 at, hit = _find(self.files[b][: 8 * n].view(U64), hashes[own])
-                ids[own] = np.where(hit, at + self.base[b], self.unknown)
-                counts[own] = np.where(hit, self.files[b][8 * n :].view(np.int64)[at], 0)
+                numbers = self.files[b][8 * n :].view(np.int64).reshape(2, n)[:, at]
+                counts[own] = np.where(hit, numbers[0], 0)
+                ids[own] = np.where(hit, numbers[1] << self.bits | b, self.unknown)
         return ids, counts
 
 
@@ -258,12 +259,15 @@ def _word_counter(bits: int):
     return count
 
 
-def _gathered(batches, *dtypes):
-    """For each bucket of a partition: its number and the columns of all its blocks."""
+def _gathered(batches, *dtypes, figures: list | None = None):
+    """For each bucket of a partition: its number and the columns of all its blocks; rows without a block go to figures."""
     held: dict[int, list] = {}
     for batch in batches:
-        for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held.setdefault(bucket, []).append(_unpack(block, *dtypes))
+        for i, (bucket, block) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if block is None:
+                figures.append((bucket, batch.column(2)[i].as_py()))
+            else:
+                held.setdefault(bucket, []).append(_unpack(block, *dtypes))
     for bucket in sorted(held):
         parts = held.pop(bucket)
         yield bucket, [np.concatenate([p[i] for p in parts]) for i in range(len(dtypes))]
@@ -274,7 +278,9 @@ def _word_writer(folder: str):
         out = []
         for bucket, (keys, counts) in _gathered(batches, U64, np.int64):
             keys, _, (counts,) = _merged(keys, np.zeros((0, len(keys)), np.uint32), counts[None])
-            _save(folder, f"words-{bucket:05d}", keys.tobytes() + counts.tobytes())
+            ranks = np.empty_like(counts)
+            ranks[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+            _save(folder, f"words-{bucket:05d}", keys.tobytes() + counts.tobytes() + ranks.tobytes())
             out.append((bucket, len(keys), int(counts.sum())))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["bucket", "n", "total"])
 
@@ -294,18 +300,20 @@ def _gram_counter(folder: str, order: int, word_bits: int, sizes: list, bits: in
 
 
 def _level_writer(folder: str, level: int, columns: int, bits: int, dtype):
-    """Rows (bucket, n, full, n1..n4, more, total, next bucket, block for it); the figures with the first block only."""
-    names = ["bucket", "n", "full", "n1", "n2", "n3", "n4", "more", "total"]
+    """Write the files of a level; rows (bucket, block, figures) for the next one.
+
+    The blocks are for its buckets; a row of figures (level, bucket, n, full, n1..n4, more, total) has no block and is passed on.
+    """
 
     def write(batches):
-        for bucket, parts in _gathered(batches, *[dtype] * level, *[np.int64] * columns):
+        figures: list = []
+        for bucket, parts in _gathered(batches, *[dtype] * level, *[np.int64] * columns, figures=figures):
             ids = np.stack(parts[:level])
             keys, ids, values = _merged(_key(ids), ids, np.stack(parts[level:]))
             del parts
             full = _save_level(folder, level, bucket, keys, values)
             count = values[0]
-            figures = [bucket, len(keys), full, *(int((count == k).sum()) for k in (1, 2, 3, 4)), int((count >= 3).sum()), int(count.sum())]
-            rows = []
+            figures.append((bucket, [level, bucket, len(keys), full, *(int((count == k).sum()) for k in (1, 2, 3, 4)), int((count >= 3).sum()), int(count.sum())]))
             if level > 1:
                 seen = np.flatnonzero(count)  # others are contexts only
                 ids, count = ids[:, seen], count[seen]
@@ -314,13 +322,16 @@ def _level_writer(folder: str, level: int, columns: int, bits: int, dtype):
                 short = np.concatenate([ids[1:], ids[:-1]], axis=1)
                 keys, short, values = _merged(_key(short), short, np.stack([np.concatenate([x, y]) for x, y in zip(last, first, strict=True)]))
                 rows = [(b, _packed(short[:, own], values[:, own])) for b, own in _split(keys, bits)]
-            rows = rows or [(None, None)]
-            arrays = [pa.array([v] + [None] * (len(rows) - 1), pa.int64()) for v in figures]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], [*names, "next", "block"])
+                yield _stream([b for b, _ in rows], [x for _, x in rows], [None] * len(rows))
+        yield _stream([b for b, _ in figures], [None] * len(figures), [x for _, x in figures])
 
     return write
 
 
+def _stream(buckets: list, blocks: list, figures: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blocks, pa.binary()), pa.array(figures, pa.list_(pa.int64()))], ["bucket", "block", "figures"])
+
+
 # ---------------------------------------------------------------- model
 
 
@@ -369,21 +380,22 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     model = Model(folder, order, bits, sorted((r["bucket"], r["n"]) for r in found), sum(r["total"] for r in found))
     unstage(made)
 
+    release(spark)
     dtype = _Words(folder, bits, model.words).dtype
-    blocks = docs.mapInArrow(_gram_counter(folder, order, bits, model.words, bits), "bucket int, block binary")
-    schema = "bucket long, n long, full long, n1 long, n2 long, n3 long, n4 long, more long, total long, next int, block binary"
-    before = []
+    stream = docs.mapInArrow(_gram_counter(folder, order, bits, model.words, bits), "bucket int, block binary")
     for level in range(order, 0, -1):
         write = _level_writer(folder, level, model.columns(level), bits, dtype)
-        made = staged(blocks.repartitionById(1 << bits, F.col("bucket")).mapInArrow(write, schema), f"kn-level{level}")
-        unstage(*before)
-        release(spark)
-        found = made.where("bucket is not null").drop("next", "block").collect()  # one row for each bucket
-        model.sizes[level] = {r["bucket"]: (r["n"], r["full"]) for r in found}
-        total = {k: sum(r[k] for r in found) for k in ("n1", "n2", "n3", "n4", "more", "total")}
+        stream = stream.repartitionById(1 << bits, F.col("bucket")).mapInArrow(write, "bucket int, block binary, figures array<long>")
+    made = staged(stream.select("figures"), "kn-figures")
+    figures = [r["figures"] for r in made.collect()]  # one row for each bucket and level
+    unstage(made)
+    release(spark)
+    total = {}
+    for level in range(order, 0, -1):
+        own = [x[1:] for x in figures if x[0] == level]
+        model.sizes[level] = {x[0]: (x[1], x[2]) for x in own}
+        total = {k: sum(x[i] for x in own) for i, k in enumerate(("n1", "n2", "n3", "n4", "more", "total"), 3)}
         model.discounts[level] = discounts(total["n1"], total["n2"], total["n3"], total["n4"])
-        blocks, before = made.where("next is not null").select(F.col("next").alias("bucket"), "block"), [made]
-    unstage(*before)
     d = model.discounts[1]
     model.pairs, model.low_mass = total["total"], d[0] * total["n1"] + d[1] * total["n2"] + d[2] * total["more"]
     return model
