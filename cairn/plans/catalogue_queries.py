@@ -544,14 +544,19 @@ def v05_bm25(spark, sf):
     return _bm25(spark, sf).select("query", "id", F.round("score", 5).alias("score"))
 
 
-@query(f"""WITH {_BM25}, vec AS (SELECT query, CAST(CAST(id AS BIGINT) * 7 % 200 AS VARCHAR) AS id, max(1 - nth / 50.0::DOUBLE) AS score FROM bm25 WHERE nth <= 25 GROUP BY ALL),
+@query(f"""WITH {_BM25}, cos AS (SELECT CAST(q.vec_id AS VARCHAR) AS query, CAST(v.vec_id AS VARCHAR) AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
+ FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 10 = 0)),
+ vec AS (SELECT query, id, round(score, 9) AS score FROM cos QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 25),
  scores AS (SELECT query, 'bm25' AS retriever, id, score FROM bm25 WHERE nth <= 25 UNION ALL SELECT query, 'vector', id, score FROM vec),
  rel AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM scores WINDOW w AS (PARTITION BY query, retriever)), f AS ({_FUSED.format(t='rel')}),
  top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM f QUALIFY r <= 40), good AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS nth FROM top WHERE score >= 0.2 QUALIFY nth <= 30)
  SELECT query, id, round(score, 5) AS score, nth, source, lang FROM good JOIN documents ON CAST(doc_id AS VARCHAR) = id""")
 def v11_search(spark, sf):
+    """Vectors stand for the documents and items of their ids."""
     bm = _bm25(spark, sf)
-    vec = bm.groupBy("query", (F.col("id").cast("long") * 7 % 200).cast("string").alias("id")).agg(F.max(1 - F.col("nth") / 50.0).alias("score"))
+    vectors = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
+    asked = vectors.join(table(spark, sf, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("id")), "id", "left_semi")
+    vec = retrieval.nearest(asked, vectors, 25).withColumn("score", F.round("score", 9))
     cat = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("url"), "source", "lang")
     rows = retrieval.search(vec.select("query", "id", F.col("id").alias("parent"), "score"), bm.select("query", "id", F.col("id").alias("parent"), "score"), cat)
     return rows.select("query", "id", F.round("score", 5).alias("score"), F.col("nth").cast("long").alias("nth"), "source", "lang")
