@@ -12,8 +12,9 @@ row of the shuffle stands for thousands of n-grams:
    A gram's last words have one more word before them, which is the count of a lower order; its first words are a context
    with the gram's count and with one more word seen once, twice or more often after it.
 
-A bucket's file holds sorted keys and, as bytes, (count) or (count, total, seen once, twice, more often after it); rows with a
-number that does not fit follow in full.  Two grams share a key with a probability of 2^-64 a pair.
+A bucket's file holds 48 bits of each sorted key behind those of the bucket, and a byte for each that stands for one of the bucket's
+usual sets of (count) or (count, total, seen once, twice, more often after it); other rows follow in full.  A lookup meets the row of
+another gram with a probability of the bucket's rows in 2^48.
 
 The passes over grams are one job, without tables between them: figures of the files travel along with the blocks.
 
@@ -45,7 +46,6 @@ ORDER = 3
 BUCKET_BYTES, MOST_BUCKETS = 12 << 20, 1 << 16
 #: Distinct keys that a map task holds before it emits them.
 HELD_KEYS = 4_000_000
-_BIG = 255
 _ODD = U64(0xD6E8FEB86659FD93)
 
 
@@ -172,12 +172,33 @@ class _Words:
         return ids, counts
 
 
-def _save_level(folder: str, level: int, bucket: int, keys: np.ndarray, values: np.ndarray) -> int:
+#: Sets of numbers that a file names with one byte; this byte itself stands for a row that is given in full.
+_SETS = 255
+
+
+def _cut(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 32 bits of keys behind those of the bucket, and the next 16."""
+    rest = keys << U64(bits)
+    return (rest >> U64(32)).astype(np.uint32), (rest >> U64(16)).astype(np.uint16)
+
+
+def _save_level(folder: str, level: int, bucket: int, bits: int, keys: np.ndarray, values: np.ndarray) -> int:
     """Write one bucket's file of a level; the number of rows that it gives in full."""
-    big = np.flatnonzero((values >= _BIG).any(axis=0))
-    size = (8 + len(values)) * len(keys)
-    _save(folder, f"level{level}-{bucket:05d}", b"".join([keys.tobytes(), np.minimum(values, _BIG).astype(np.uint8).tobytes(), b"\0" * (-size % 8), keys[big].tobytes(), values[:, big].tobytes()]))
-    return len(big)
+    shifts = 8 * np.arange(len(values))[:, None]
+    sets, own, times = np.unique((np.minimum(values, 255) << shifts).sum(axis=0), return_inverse=True, return_counts=True)
+    numbers = sets >> shifts & 255
+    fits = (numbers < 255).all(axis=0)
+    best = np.argsort(-times * fits, kind="stable")[:_SETS]
+    best = best[fits[best]]
+    codes = np.full(len(sets), _SETS, np.uint8)
+    codes[best] = np.arange(len(best))
+    table = np.zeros((len(values), _SETS + 1), np.int64)
+    table[:, : len(best)] = numbers[:, best]
+    codes = codes[own]
+    full = np.flatnonzero(codes == _SETS)
+    high, low = _cut(keys, bits)
+    _save(folder, f"level{level}-{bucket:05d}", b"".join(x.tobytes() for x in (table, values[:, full], full.astype(np.uint32), high, low, codes)))
+    return len(full)
 
 
 class _Level:
@@ -194,16 +215,23 @@ class _Level:
                 continue
             if b not in self.files:
                 self.files[b] = _mapped(self.folder, f"level{self.level}-{b:05d}")
-            file, (n, full) = self.files[b], self.sizes[b]
-            at, hit = _find(file[: 8 * n].view(U64), keys[own])
-            size = (8 + self.columns) * n
-            part = file[8 * n : size].reshape(self.columns, n)[:, at] * hit
-            big = np.flatnonzero((part == _BIG).any(axis=0))
-            part = part.astype(np.int64)
+            n, full = self.sizes[b]
+            sizes = [8 * self.columns * (_SETS + 1), 8 * self.columns * full, 4 * full, 4 * n, 2 * n, n]
+            table, values, rows, high, low, codes = (x.view(t) for x, t in zip(np.split(self.files[b], np.cumsum(sizes)[:-1]), (np.int64, np.int64, np.uint32, np.uint32, np.uint16, np.uint8), strict=True))
+            first, second = _cut(keys[own], self.bits)
+            at = np.searchsorted(high, first)
+            while True:  # a few rows share their first 32 bits
+                here = np.minimum(at, n - 1)
+                same = (high[here] == first) & (at < n)
+                hit = same & (low[here] == second)
+                if (hit == same).all():
+                    break
+                at += same & ~hit
+            code = codes[here]
+            part = table.reshape(self.columns, -1)[:, code] * hit
+            big = np.flatnonzero(hit & (code == _SETS))
             if len(big):
-                rest = file[size + -size % 8 :]
-                where, _ = _find(rest[: 8 * full].view(U64), keys[own][big])
-                part[:, big] = rest[8 * full :].view(np.int64).reshape(self.columns, full)[:, where]
+                part[:, big] = values.reshape(self.columns, full)[:, np.searchsorted(rows, here[big])]
             out[:, own] = part
         return out
 
@@ -311,7 +339,7 @@ def _level_writer(folder: str, level: int, columns: int, bits: int, dtype):
             ids = np.stack(parts[:level])
             keys, ids, values = _merged(_key(ids), ids, np.stack(parts[level:]))
             del parts
-            full = _save_level(folder, level, bucket, keys, values)
+            full = _save_level(folder, level, bucket, bits, keys, values)
             count = values[0]
             figures.append((bucket, [level, bucket, len(keys), full, *(int((count == k).sum()) for k in (1, 2, 3, 4)), int((count >= 3).sum()), int(count.sum())]))
             if level > 1:
