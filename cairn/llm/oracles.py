@@ -104,6 +104,15 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, w.y FROM reac
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
 """.replace("both AS", "pairs AS").replace("FROM both", "FROM pairs")
 
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS y, CAST('0x' || h[17:24] AS BIGINT) % 100 AS a, CAST('0x' || h[25:32] AS BIGINT) % 100 AS b FROM d),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR a >= 50 THEN 'plain' WHEN b < 80 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1:n], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM f
+"""
+
 ORACLE_SQL = {
     "op1_redirect_url_filter": OP1,
     "op3_debruijn_repeats": OP3,
@@ -111,4 +120,5 @@ ORACLE_SQL = {
     "op7_prefix_decontaminate": OP7,
     "op8_pfair_mixing": OP8,
     "op10_minhash_near_dedup": OP10,
+    "op13_fill_in_middle": OP13,
 }
