@@ -3,7 +3,7 @@
 Only OP8 simulates what its operator does, slot by slot, as the order of the slots is the method's.
 
 Not expressible: op2 (iterated robust estimates), op4 (keyed permutation), op6 (recounted discounts are, but the
-score's crc32 split is not), op9 (a tokenizer).  tests/llm compares those with plain Python.
+score's crc32 split is not), op9 (a tokenizer), op12 (eigenvectors).  tests/llm compares those with plain Python.
 """
 
 from __future__ import annotations

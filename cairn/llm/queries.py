@@ -82,6 +82,12 @@ def op9_wavelet_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str |
     return token_shards(_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path())
 
 
+def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.whitening import whitened
+
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.fill_middle import fill_in_middle, with_digests
 
@@ -101,5 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_wavelet_token_shards": op9_wavelet_token_shards,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_lanczos_whitening": op12_lanczos_whitening,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
