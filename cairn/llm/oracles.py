@@ -8,6 +8,7 @@ score's crc32 split is not), op9 (a tokenizer), op12 (eigenvectors).  tests/llm
 
 from __future__ import annotations
 
+from cairn.llm.secrets import BEFORE, CLASSES, DECLARED, SEQUENCES, UUID, most_sum, terms
 from cairn.llm.url_filter import RULES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -104,6 +105,36 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, w.y FROM reac
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
 """.replace("both AS", "pairs AS").replace("FROM both", "FROM pairs")
 
+_ASSIGN = "(" + "|".join("_?" .join("".join(f"[{c.upper()}{c}]" for c in part) for part in w.split("_")) for w in ("password", "passwd", "secret", "token", "api_key")) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches(name: str, pattern: str) -> str:
+    """(r, v, start) of all matches: the pieces between them and the matches add up to the places."""
+    pieces = f"SELECT r, unnest(regexp_extract_all(t, '{pattern}')) AS v, unnest(string_split_regex(t, '{pattern}')) AS g, generate_subscripts(string_split_regex(t, '{pattern}'), 1) AS i FROM d WHERE regexp_matches(t, '{pattern}')"
+    return f"{name} AS (SELECT r, v, s - length(v) AS start FROM (SELECT r, v, sum(length(g) + coalesce(length(v), 0)) OVER (PARTITION BY r ORDER BY i) AS s FROM ({pieces})) WHERE v IS NOT NULL)"
+
+
+#: Windows are counted one by one here, each from its own characters.
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+{_matches("a", _ASSIGN)}, {_matches("k", "AKIA[A-Z0-9]+")}, {_matches("h", "[0-9a-f]+")},
+base AS (SELECT r, start, 0 AS nth, 'assign' AS kind, start + length(v) AS stop FROM a WHERE length(regexp_extract(v, '^{_ASSIGN}', 2)) >= 8
+  UNION ALL SELECT r, start, 1, 'access', start + length(v) FROM k WHERE length(v) >= 16 UNION ALL SELECT r, start, 2, 'hex', start + length(v) FROM h WHERE length(v) >= 32),
+{", ".join(_matches(f"c{i}", f"[{c.characters}]{{{c.window},}}") for i, c in enumerate(CLASSES))},
+runs AS ({" UNION ALL ".join(f"SELECT r, v, start, {i} AS c, {c.window} AS w, {most_sum(c.window, c.bits)} AS most, '{c.kind}' AS kind FROM c{i}" + (f" WHERE NOT regexp_full_match(v, '[{CLASSES[i - 1].characters}]+')" if i else "") for i, c in enumerate(CLASSES))}),
+open AS (SELECT row_number() OVER () AS q, runs.* FROM runs JOIN d USING (r) WHERE regexp_matches(v, '[A-Za-z][0-9]|[0-9][A-Za-z]') AND NOT regexp_matches(v, '{UUID}') AND NOT contains({_low("v")}, 'example')
+  AND NOT regexp_matches({_low(f"t[greatest(start - {BEFORE - 1}, 1):start]")}, '{DECLARED}') AND {" AND ".join(f"NOT contains('{x}', {_low('v')})" for x in SEQUENCES)}),
+win AS (SELECT q, w, most, v, unnest(range(0, length(v) - w + 1)) AS pos FROM open),
+counted AS (SELECT q, pos, w, most, ch, count(*) AS n FROM (SELECT q, pos, w, most, unnest(string_split(v[pos + 1:pos + w], '')) AS ch FROM win) GROUP BY ALL),
+good AS (SELECT q, pos, w FROM counted GROUP BY q, pos, w, most HAVING sum(({terms(max(c.window for c in CLASSES))})[n + 1]) <= most),
+isles AS (SELECT q, pos, w, sum(new) OVER (PARTITION BY q ORDER BY pos) AS isle FROM (SELECT *, CASE WHEN lag(pos) OVER (PARTITION BY q ORDER BY pos) + w >= pos THEN 0 ELSE 1 END AS new FROM good)),
+added AS (SELECT r, start + min(pos) AS start, 3 + c AS nth, kind, start + max(pos) + i.w AS stop FROM isles i JOIN open USING (q) GROUP BY r, start, c, kind, q, isle, i.w),
+every AS (SELECT r, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, nth) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY r),
+based AS (SELECT r, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, nth) AS spans, count(*) FILTER (nth = 0) AS n0, count(*) FILTER (nth = 1) AS n1, count(*) FILTER (nth = 2) AS n2 FROM base GROUP BY r)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(e.spans, '') AS spans
+FROM d LEFT JOIN based b USING (r) LEFT JOIN every e USING (r)
+"""
+
 OP13 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 c AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS y, CAST('0x' || h[17:24] AS BIGINT) % 100 AS a, CAST('0x' || h[25:32] AS BIGINT) % 100 AS b FROM d),
@@ -120,5 +151,6 @@ ORACLE_SQL = {
     "op7_prefix_decontaminate": OP7,
     "op8_pfair_mixing": OP8,
     "op10_minhash_near_dedup": OP10,
+    "op11_entropy_secrets": OP11,
     "op13_fill_in_middle": OP13,
 }

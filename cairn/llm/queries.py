@@ -82,6 +82,12 @@ def op9_wavelet_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str |
     return token_shards(_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path())
 
 
+def op11_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.secrets import find_secrets, with_digest
+
+    return with_digest(find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.whitening import whitened
 
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_wavelet_token_shards": op9_wavelet_token_shards,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_entropy_secrets": op11_entropy_secrets,
     "op12_lanczos_whitening": op12_lanczos_whitening,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
