@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
+from cairn.operators import facets
 
 BLOCK = 512
 
@@ -97,6 +98,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 25, k1: float = 1.5, b: f
     return sums.withColumn("nth", nth).where(F.col("nth") <= k)
 
 
+def ranked(scores: DataFrame) -> DataFrame:
+    """scores (query, id, score) with the place nth in the query, the best first, ties by id."""
+    return scores.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")))
+
+
 def normalized(scores: DataFrame, mode: str = "relative_score") -> DataFrame:
     """scores (query, retriever, id, score) plus norm: position between minimum and maximum of the query and retriever, or between
     the mean less and plus three deviations.  Equal bounds give 1 if the maximum is above 0, else 0."""
@@ -149,6 +155,22 @@ def search(vector_scores: DataFrame, bm25_scores: DataFrame, catalogue: DataFram
     return ranked.join(catalogue, ranked["parent"] == catalogue["url"]).drop("parent")
 
 
+def filtered_search(index, queries: DataFrame, query_vectors: DataFrame, vectors: DataFrame, datasets: DataFrame, selected: dict[str, list[str]], *, vector_k: int = 25, bm25_k: int = 25, **options) -> tuple[DataFrame, DataFrame]:
+    """(results, facets) of a search among the datasets that have every selected value.
+
+    The filter narrows what both retrievers may find before they take their best, so that a filter that few datasets pass still
+    gives full lists, and scores are normalised among what may be shown.  index is a Bm25Index of the datasets' urls;
+    query_vectors (id, embedding) and vectors (id, embedding) have the queries' names and the datasets' urls.  facets (query,
+    facet, value, n) are those of the results, for which the selected values are live or not.
+    """
+    allowed = facets.filtered(datasets, selected).select(F.col("url").alias("id"))
+    words = index.top_k(queries, bm25_k, within=allowed if facets.any_selected(selected) else None)
+    near = nearest(query_vectors, vectors.join(allowed, "id", "left_semi"), vector_k).withColumn("score", F.round("score", 9))
+    whole = lambda found: found.select("query", "id", F.col("id").alias("parent"), "score")
+    results = search(whole(near), whole(words), datasets, **options)
+    return results, facets.facet_counts(results, ["query"])
+
+
 def hashed_embedding(column, size: int = 64):
     """Deterministic stand-in for an embedding model: signed counts of hashed tokens."""
     parts = F.transform(X.tokens(column), lambda t: F.xxhash64(t))
