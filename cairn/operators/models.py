@@ -10,13 +10,13 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import re
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as CallTimeout
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,7 +81,7 @@ class HashedTokens:
 
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters and digits, as cairn.functions.text.tokens has them."""
-    return re.findall(r"[^\W_]+", text.lower())
+    return regex.findall(r"[\p{L}\p{N}]+", text.lower())
 
 
 def embedded(nodes: DataFrame, model: Callable[[], Embedder], dimension: int, batch: int = 100, name: str | None = None) -> DataFrame:
