@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import union_of
+from cairn.operators.models import Answers
 
 #: Completes prompts to JSON texts, one for each.
 Completer = Callable[[list[str]], list[str]]
@@ -91,6 +92,33 @@ def comma_parts(words: DataFrame, complete: Completer) -> DataFrame:
     return answers(asked, complete, "word").select("word", F.when(F.size(parts) > 0, parts).otherwise(F.array("word")).alias("parts"))
 
 
+def kept_comma_parts(words: DataFrame, kept: Answers, model: str, make: Callable[[], Callable[[str], str]], **options) -> DataFrame:
+    """(word, parts) for words with a comma, as comma_parts, from a table of answers; only unknown words are asked for."""
+    asked = words.where(F.contains(F.col("word"), F.lit(","))).select(F.col("word").alias("text"))
+    said = F.from_json("answer", "parts array<string>")["parts"]
+    return kept.of(asked, model, "comma", make, **options).select(F.col("text").alias("word"), F.when(F.size(said) > 0, said).otherwise(F.array("text")).alias("parts"))
+
+
+def expanded_queries(queries: DataFrame, kept: Answers, model: str, expand: Callable[[], Callable[[str], str]] | None = None, intent: Callable[[], Callable[[str], str]] | None = None, **options) -> DataFrame:
+    """queries (query, text) with what is searched for (text) and the intent as JSON, for all queries at once, from a table of answers.
+
+    The text is followed by a comma and the answer's expansion; without one, or without a call, it stays as it is, and
+    without an answer the intent is null.
+    """
+    rows = queries.select("query", "text")
+    if expand:
+        said = kept.of(rows, model, "expand", expand, **options).select("text", F.get_json_object("answer", "$.expansion").alias("more"))
+        rows = rows.join(said, "text", "left").select("query", "text", F.when(F.length("more") > 0, F.concat("text", F.lit(", "), "more")).otherwise(F.col("text")).alias("searched"))
+    else:
+        rows = rows.withColumn("searched", F.col("text"))
+    if intent:
+        said = kept.of(rows, model, "intent", intent, **options).select("text", F.when(F.col("answer") != "{}", F.col("answer")).alias("intent"))
+        rows = rows.join(said, "text", "left")
+    else:
+        rows = rows.withColumn("intent", F.lit(None).cast("string"))
+    return rows.select("query", F.col("searched").alias("text"), "intent")
+
+
 def preprocessed_query(query: str, expand: Callable[[str], str] | None = None, intent: Callable[[str], str] | None = None) -> tuple[str, dict | None]:
     """(expanded query, intent): on a failure of a call the query as it is, and no intent."""
     found = None

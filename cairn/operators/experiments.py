@@ -12,11 +12,11 @@ from cairn.sources.store import Store, Table
 GRID = "run string, setting string, mode string, vector_weight double, bm25_weight double, fused_k int, cutoff double, k int"
 
 
-def grid_rows(spark: SparkSession, settings: dict[str, dict], mode: list[str], weights: list[tuple[float, float]], cutoff: list[float], fused_k: list[int] = (40,), k: list[int] = (30,)) -> DataFrame:
-    """All combinations as rows; settings are names of retrievals with the parameters that lead to them."""
-    options = {"setting": list(settings), "mode": mode, "weights": weights, "fused_k": list(fused_k), "cutoff": cutoff, "k": list(k)}
-    rows = [(c["setting"], c["mode"], float(c["weights"][0]), float(c["weights"][1]), c["fused_k"], float(c["cutoff"]), c["k"]) for c in evaluate.grid(options)]
-    return spark.createDataFrame([(f"{r[0]}/{r[1]}/{r[2]:g}/{r[3]:g}/{r[4]}/{r[5]:g}/{r[6]}", *r) for r in rows], GRID)
+def grid_rows(spark: SparkSession, settings: dict[str, str], mode: list[str], weights: list[tuple[float, float]], cutoff: list[float], fused_k: tuple[int, ...] = (40,), k: tuple[int, ...] = (30,)) -> DataFrame:
+    """All combinations as rows; settings are names and the retrievals that they lead to, which some may share."""
+    options = {"name": list(settings), "mode": mode, "weights": weights, "fused_k": list(fused_k), "cutoff": cutoff, "k": list(k)}
+    rows = [(c["name"], c["mode"], float(c["weights"][0]), float(c["weights"][1]), c["fused_k"], float(c["cutoff"]), c["k"]) for c in evaluate.grid(options)]
+    return spark.createDataFrame([(f"{r[0]}/{r[1]}/{r[2]:g}/{r[3]:g}/{r[4]}/{r[5]:g}/{r[6]}", settings[r[0]], *r[1:]) for r in rows], GRID)
 
 
 def grid_results(scores: DataFrame, grid: DataFrame) -> DataFrame:

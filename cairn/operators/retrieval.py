@@ -15,8 +15,8 @@ from cairn.operators import facets
 BLOCK = 512
 
 
-def _packed(rows: DataFrame, key: str, vector: str, block: int) -> DataFrame:
-    """(block, ids, matrix): vectors of unit length, so many to a row."""
+def _packed(rows: DataFrame, key: str, vector: str, block: int, more: str | None = None) -> DataFrame:
+    """(ids, matrix): vectors of unit length, so many to a row; with a column of numbers beside the ids if asked for."""
 
     def pack(batches):
         for batch in batches:
@@ -25,77 +25,82 @@ def _packed(rows: DataFrame, key: str, vector: str, block: int) -> DataFrame:
                 matrix = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
                 norm = np.linalg.norm(matrix, axis=1, keepdims=True)
                 matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.string())), pa.array([matrix.tobytes()], pa.binary())], ["ids", "matrix"])
+                columns = {"ids": pa.array([part.column(0).to_pylist()], pa.list_(pa.string())), "matrix": pa.array([matrix.tobytes()], pa.binary())}
+                if more:
+                    columns["more"] = pa.array([part.column(2).to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_pydict(columns)
 
-    whole = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    return whole.mapInArrow(pack, "ids array<string>, matrix binary")
+    whole = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"), *([F.col(more)] if more else []))
+    return whole.mapInArrow(pack, "ids array<string>, matrix binary" + (", more array<int>" if more else ""))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(query, id, score): the k vectors with the largest cosine for each query, ties by id; exact.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "id", vector: str = "embedding", block: int = BLOCK, digits: int | None = None, own_k: str | None = None) -> DataFrame:
+    """(query, id, score, nth): the k vectors with the largest cosine for each query, ties by id; exact.
 
-    A stated set of queries meets all vectors in blocks: pairs of blocks are multiplied, and only the best k of
-    each block leave the task.  A vector of length 0 has a cosine of 0.
+    A stated set of queries meets all vectors in blocks: pairs of blocks are multiplied, and only the best of each block leave
+    the task.  A vector of length 0 has a cosine of 0.  digits rounds the scores before they are ranked; own_k is
+    a column of queries that is added to k, so that a query asks for as many as it needs itself.
     """
 
     def best(batches):
         for batch in batches:
             out = [[], [], []]
-            for q_ids, q, ids, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for q_ids, more, q, ids, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 scores = np.frombuffer(q).reshape(len(q_ids), -1) @ np.frombuffer(m).reshape(len(ids), -1).T
+                scores = scores if digits is None else np.round(scores, digits)
                 order = np.argsort(np.array(ids), kind="stable")
                 for i, own in enumerate(scores):
-                    top = order[np.argsort(-own[order], kind="stable")[:k]]
+                    top = order[np.argsort(-own[order], kind="stable")[: k + more[i]]]
                     out[0] += [q_ids[i]] * len(top)
                     out[1] += [ids[j] for j in top]
                     out[2] += own[top].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["query", "id", "score"])
 
-    one = _packed(queries, key, vector, block).withColumnsRenamed({"ids": "q_ids", "matrix": "q"})
+    asked = queries.withColumn("_more", F.col(own_k).cast("int") if own_k else F.lit(0))
+    one = _packed(asked, key, vector, block, "_more").withColumnsRenamed({"ids": "q_ids", "matrix": "q"})
     pairs = one.crossJoin(_packed(vectors, key, vector, block))  # of blocks
-    found = pairs.select("q_ids", "q", "ids", "matrix").mapInArrow(best, "query string, id string, score double")
-    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return found.withColumn("nth", nth).where(F.col("nth") <= k)
+    found = pairs.select("q_ids", "more", "q", "ids", "matrix").mapInArrow(best, "query string, id string, score double")
+    found = found.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")))
+    if own_k:
+        limits = asked.select(F.col(key).cast("string").alias("query"), "_more")
+        return found.join(limits, "query").where(F.col("nth") <= k + F.col("_more")).drop("_more")
+    return found.where(F.col("nth") <= k)
 
 
-def similar_documents(nodes: DataFrame, k: int, threshold: float, anchors: DataFrame | None = None) -> DataFrame:
+def similar_documents(nodes: DataFrame, k: int, threshold: float, anchors: DataFrame | None = None, digits: int | None = None, near=nearest) -> DataFrame:
     """(a, b, score): for each document the k most similar of those whose url is larger.
 
     nodes has (node_id, ref_doc_id, embedding).  Each node of a document asks for k + (number of own nodes) nodes; then
-    own nodes, scores under the threshold and smaller urls are dropped, and the best node counts.
+    own nodes, scores under the threshold and smaller urls are dropped, and the best node counts.  near is the search for the
+    nearest nodes: exact by default, or that of an index.
     """
     own = nodes.groupBy("ref_doc_id").agg(F.count("*").alias("n_own"))
     asked = nodes if anchors is None else nodes.join(anchors.select(F.col("url").alias("ref_doc_id")), "ref_doc_id", "left_semi")
-    most = own.agg(F.max("n_own")).first()[0] or 0
-    found = nearest(asked, nodes, k + most, "node_id")
+    found = near(asked.join(own, "ref_doc_id"), nodes, k, "node_id", own_k="n_own", digits=digits)
     names = nodes.select(F.col("node_id").cast("string").alias("node_id"), F.col("ref_doc_id").alias("doc"))
     found = found.join(names.withColumnsRenamed({"node_id": "query", "doc": "a"}), "query").join(names.withColumnsRenamed({"node_id": "id", "doc": "b"}), "id")
-    found = found.join(own.withColumnRenamed("ref_doc_id", "a"), "a").where(F.col("nth") <= k + F.col("n_own"))
-    found = found.where((F.col("a") != F.col("b")) & (F.col("score") >= threshold) & (F.col("b") >= F.col("a")))
+    found = found.where((F.col("score") >= threshold) & (F.col("b") > F.col("a")))
     best = found.groupBy("a", "b").agg(F.max("score").alias("score"))
     nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
     return best.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, id, tf, length) of documents (id, text)."""
-    words = docs.select("id", X.tokens(F.col("text")).alias("w")).select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
-    return words.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 25, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query, id, score, nth) of the k best documents (id, text) for each query (query, text), without an index.
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 25, k1: float = 1.5, b: float = 0.75, index: DataFrame | None = None) -> DataFrame:
-    """(query, id, score, nth) of the k best documents (id, text) for each query (query, text)."""
-    index = postings(docs) if index is None else index
-    size = docs.select(F.size(X.tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean"))
+    The texts are read twice: for the lengths, and for the words that are asked for.  See bm25_index for texts that are
+    searched more than once.
+    """
+    words = docs.select("id", X.tokens(F.col("text")).alias("w")).select("id", F.size("w").alias("length"), "w")
+    size = words.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"))
     terms = queries.select("query", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    asked = index.join(terms.select("term").distinct(), "term", "left_semi")
+    asked = words.select("id", "length", F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = asked.join(df, "term").crossJoin(F.broadcast(size)).select("term", "id", score.alias("s"))  # size is one row
     sums = scored.join(terms, "term").groupBy("query", "id").agg(F.round(F.sum("s"), 9).alias("score"))
-    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return sums.withColumn("nth", nth).where(F.col("nth") <= k)
+    return ranked(sums).where(F.col("nth") <= k)
 
 
 def ranked(scores: DataFrame) -> DataFrame:
