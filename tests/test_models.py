@@ -28,12 +28,11 @@ def sentences_of(text):
         j = i
         while j and text[j - 1] in SPACE:
             j -= 1
-        spaces = text[j:i]
         close = j
         while close and j - close < 3 and text[close - 1] in "\"'“”’)]":
             close -= 1
         ended = any(k > 0 and text[k - 1] in ".!?…" for k in range(close, j + 1))
-        if ended and len(spaces) <= 40 or "\n" in spaces[-41:]:
+        if ended or "\n" in text[j:i]:
             out.append(text[start:i])
             start = i
     return [*out, text[start:]] if text else []
