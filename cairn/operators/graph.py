@@ -6,9 +6,12 @@ Relations whose names begin with HAS_ are those of list columns.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn import ship
 from cairn.functions import text as X
 
 #: Relation, label of the value's node, column, and whether the column is a list.
@@ -82,14 +85,126 @@ def _pairs(edges: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def shared_values(edges: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(anchor, url, rel_type, shared): number of values of each relation that an anchor shares with another dataset."""
-    return _pairs(edges, anchors).groupBy("anchor", "url", "rel_type").agg(F.countDistinct("name").alias("shared"))
+    """(anchor, url, rel_type, shared): number of values of each relation that an anchor shares with another dataset; edges are distinct."""
+    return _pairs(edges, anchors).groupBy("anchor", "url", "rel_type").agg(F.count("*").alias("shared"))
 
 
-def of_same_provider(counts: DataFrame) -> DataFrame:
-    """(anchor, url, shared) from shared_values: the pairs of one provider with HAS_ values in common, and how many."""
-    own = F.sum(F.when(F.col("rel_type").startswith("HAS_"), F.col("shared")).otherwise(0)).alias("shared")
-    return counts.groupBy("anchor", "url").agg(own, F.bool_or(F.col("rel_type") == "PROVIDED_BY").alias("same")).where("same and shared > 0").drop("same")
+def _costs(edges: DataFrame, anchors: DataFrame) -> dict[bool, int]:
+    """Numbers of pairs that the HAS_ relations (True) and the providers (False) would make."""
+    marked = edges.join(anchors.select("url", F.lit(1).alias("asked")), "url", "left")
+    sizes = marked.groupBy(F.col("rel_type").startswith("HAS_").alias("has"), "rel_type", "name").agg(F.count("*").alias("n"), F.coalesce(F.sum("asked"), F.lit(0)).alias("a"))
+    return {r["has"]: r["pairs"] for r in sizes.groupBy("has").agg(F.sum(F.col("n") * F.col("a")).alias("pairs")).collect()}
+
+
+def of_same_provider(edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(anchor, url, shared): the pairs of one provider with HAS_ values in common, and how many.
+
+    Pairs come from the side that makes fewer of them, providers or values; the other side is compared as an array for
+    each of these pairs.
+    """
+    anchors = anchors.select("url").distinct()
+    has, by = edges.where(F.col("rel_type").startswith("HAS_")), edges.where("rel_type = 'PROVIDED_BY'")
+    costs = _costs(has.unionByName(by), anchors)
+    lists = lambda rows, value: rows.groupBy("url").agg(F.collect_set(value).alias("own"))
+    both = lambda pairs, own: pairs.join(own, "url").join(own.withColumnsRenamed({"url": "anchor", "own": "mine"}), "anchor")
+    if costs.get(True, 0) <= costs.get(False, 0):
+        pairs = _pairs(has, anchors).groupBy("anchor", "url").agg(F.count("*").alias("shared"))
+        return both(pairs, lists(by, "name")).where(F.arrays_overlap("own", "mine")).select("anchor", "url", "shared")
+    pairs = _pairs(by, anchors).select("anchor", "url").distinct()
+    shared = F.size(F.array_intersect("own", "mine")).cast("long")
+    return both(pairs, lists(has, F.struct("rel_type", "name"))).select("anchor", "url", shared.alias("shared")).where("shared > 0")
+
+
+#: Anchors and datasets of a block of pairs.
+ANCHOR_BLOCK, DATASET_BLOCK = 512, 4096
+_BLOCK = "urls array<string>, owner binary, rel array<string>, name array<string>"
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """rows (url, own array<struct<rel_type, name>>), so many to a row: urls in order, and their values with the number of their owner."""
+
+    def pack(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, size):
+                part = batch.slice(lo, size).sort_by("url")
+                own = part.column(1)
+                counts = np.array([len(x) for x in own.to_pylist()], np.int64)
+                flat = own.flatten()
+                owner = np.repeat(np.arange(part.num_rows, dtype=np.int32), counts)
+                yield pa.RecordBatch.from_pydict(
+                    {"urls": pa.array([part.column(0).to_pylist()], pa.list_(pa.string())), "owner": pa.array([owner.tobytes()], pa.binary()), "rel": pa.array([flat.field(0).to_pylist()], pa.list_(pa.string())), "name": pa.array([flat.field(1).to_pylist()], pa.list_(pa.string()))}
+                )
+
+    ship(rows.sparkSession)
+    return rows.select("url", "own").mapInArrow(pack, _BLOCK)
+
+
+def _cell(anchors: tuple, others: tuple, wanted: list[str]) -> tuple[list[str], list[str], dict[str, np.ndarray]]:
+    """(anchor urls, urls, counts): for each wanted relation, and for all HAS_ ones together, how many values a pair has in common."""
+    (a_urls, a_owner, a_rel, a_name), (d_urls, d_owner, d_rel, d_name) = anchors, others
+    numbers: dict[tuple[str, str], int] = {}
+    a_value = np.array([numbers.setdefault(v, len(numbers)) for v in zip(a_rel, a_name, strict=True)], np.int64)
+    d_value = np.array([numbers.get(v, -1) for v in zip(d_rel, d_name, strict=True)], np.int64)
+    kinds = [*wanted, "HAS_"]
+    kind = np.array([wanted.index(r) if r in wanted else len(wanted) for r, _ in numbers], np.int64)
+    is_has = np.array([r.startswith("HAS_") for r, _ in numbers], bool)
+    order = np.argsort(a_value, kind="stable")
+    holders = a_owner[order]
+    first = np.searchsorted(a_value[order], np.arange(len(numbers) + 1))
+    known = np.flatnonzero(d_value >= 0)
+    value, owner = d_value[known], d_owner[known].astype(np.int64)
+    times = first[value + 1] - first[value]
+    # every value of a dataset meets every anchor of the block that has it
+    start = np.repeat(first[value] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) if len(times) else np.zeros(0, np.int64)
+    cell = holders[start + np.arange(len(start))].astype(np.int64) * len(d_urls) + np.repeat(owner, times)
+    value = np.repeat(value, times)
+    shape = (len(a_urls), len(d_urls))
+    count = lambda own: np.bincount(cell[own], minlength=shape[0] * shape[1]).reshape(shape)
+    return a_urls, d_urls, {k: count(is_has[value] if k == "HAS_" else kind[value] == i) for i, k in enumerate(kinds)}
+
+
+def best_shared(edges: DataFrame, anchors: DataFrame, lists: dict[str, str], k: int = 5) -> DataFrame:
+    """(anchor, list, url, shared, other, nth): for each anchor and list the k best of all other datasets.
+
+    A list has a relation: its datasets are those with values of it in common, the most first, then those with the most values of
+    other HAS_ relations in common, then by url.  The list of PROVIDED_BY has the datasets of the anchor's provider by
+    the number of all HAS_ values in common.  The stated anchors meet all datasets in blocks; a value that many share
+    costs additions of numbers, not rows, and only the k best of a block leave its task.
+    """
+    relations = sorted(set(lists.values()))
+    own = edges.where(F.col("rel_type").startswith("HAS_") | F.col("rel_type").isin(relations)).groupBy("url").agg(F.collect_set(F.struct("rel_type", "name")).alias("own"))
+    one = _blocks(own.join(anchors.select("url").distinct(), "url", "left_semi"), ANCHOR_BLOCK)
+    two = _blocks(own, DATASET_BLOCK)
+
+    def best(batches):
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sides = [(row[i], np.frombuffer(row[i + 1], np.int32), row[i + 2], row[i + 3]) for i in (0, 4)]
+                a_urls, d_urls, counts = _cell(*sides, relations)
+                place = {u: i for i, u in enumerate(d_urls)}
+                same = [(i, place[u]) for i, u in enumerate(a_urls) if u in place]
+                out: list[list] = [[] for _ in range(5)]
+                for name, relation in lists.items():
+                    if relation == "PROVIDED_BY":
+                        shared, other = np.where(counts[relation] > 0, counts["HAS_"], 0), np.zeros_like(counts["HAS_"])
+                    else:
+                        shared, other = counts[relation], counts["HAS_"] - (counts[relation] if relation.startswith("HAS_") else 0)
+                    for i, j in same:
+                        shared[i, j] = 0
+                    # one number in the order of the list, ties by url; a dataset has fewer than 2**20 values
+                    key = np.where(shared > 0, ((shared << 20 | other) << 20) + np.arange(len(d_urls))[::-1], -1)
+                    top = np.argpartition(-key, min(k, len(d_urls) - 1), axis=1)[:, :k]
+                    for i, own_top in enumerate(top):
+                        for j in own_top:
+                            if key[i, j] >= 0:
+                                for c, x in zip(out, (a_urls[i], name, d_urls[j], int(shared[i, j]), int(other[i, j])), strict=True):
+                                    c.append(x)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in out[:3]), *(pa.array(c, pa.int64()) for c in out[3:])], ["anchor", "list", "url", "shared", "other"])
+
+    pairs = one.crossJoin(two.withColumnsRenamed({c: f"d_{c}" for c in ("urls", "owner", "rel", "name")}))  # of blocks
+    found = pairs.mapInArrow(best, "anchor string, list string, url string, shared long, other long")
+    nth = F.row_number().over(Window.partitionBy("anchor", "list").orderBy(F.desc("shared"), F.desc("other"), "url"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= k)
 
 
 def _with_names(rows: DataFrame, edges: DataFrame, names) -> DataFrame:
@@ -101,39 +216,26 @@ def _with_names(rows: DataFrame, edges: DataFrame, names) -> DataFrame:
 
 def similar_by_attribute(edges: DataFrame, anchors: DataFrame, rel_type: str, k: int = 5) -> DataFrame:
     """(anchor, url, shared, other, names): datasets with the most values of a relation in common with an anchor,
-    then with the most values of other HAS_ relations.
-
-    Both numbers are sums of one aggregation for each pair, so that they do not multiply.
-    """
-    of = lambda own: F.sum(F.when(own, F.col("shared")).otherwise(0))
-    mine = F.col("rel_type") == rel_type
-    rows = shared_values(edges, anchors).groupBy("anchor", "url").agg(of(mine).alias("shared"), of(~mine & F.col("rel_type").startswith("HAS_")).alias("other"))
-    best = best_of(rows.where("shared > 0"), ["shared", "other"], k).drop("nth")
-    return _with_names(best, edges.where(mine), F.col("name")).select("anchor", "url", "shared", "other", "names")
+    then with the most values of other HAS_ relations."""
+    best = best_shared(edges, anchors, {"one": rel_type}, k).drop("nth", "list")
+    return _with_names(best, edges.where(F.col("rel_type") == rel_type), F.col("name")).select("anchor", "url", "shared", "other", "names")
 
 
 def similar_by_provider(edges: DataFrame, anchors: DataFrame, k: int = 5) -> DataFrame:
     """(anchor, url, shared, names): datasets of an anchor's provider by the number of HAS_ values in common."""
-    best = best_of(of_same_provider(shared_values(edges, anchors)), ["shared"], k).drop("nth")
+    best = best_shared(edges, anchors, {"provider": "PROVIDED_BY"}, k).drop("nth", "list", "other")
     return _with_names(best, edges.where(F.col("rel_type").startswith("HAS_")), F.concat_ws(":", "rel_type", "name")).select("anchor", "url", "shared", "names")
 
 
-def all_similar(edges: DataFrame, similar: DataFrame, anchors: DataFrame, k: int = 5) -> DataFrame:
-    """(anchor, place, list, url) of the six lists: description, themes, keywords, provider, spatial and temporal coverage.
+#: Places of the lists of similar datasets; the first is that of descriptions.
+LISTS = {"themes": 1, "keywords": 2, "provider": 3, "spatial_coverage": 4, "temporal_coverage": 5}
 
-    The pairs are made once; five lists are sums of one aggregation and one ranking.
-    """
-    counts = shared_values(edges, anchors)
-    of = lambda own: F.sum(F.when(own, F.col("shared")).otherwise(0))
-    rel = F.col("rel_type")
-    sums = [of(rel == r).alias(c) for c, r in ATTRIBUTES.items()]
-    pair = counts.groupBy("anchor", "url").agg(*sums, of(rel.startswith("HAS_")).alias("every"), of(rel == "PROVIDED_BY").alias("same"))
-    places = {"themes": 1, "keywords": 2, "spatial_coverage": 4, "temporal_coverage": 5}
-    lists = [F.struct(F.lit(places[c]).alias("place"), F.lit(c).alias("list"), F.col(c).alias("shared"), (F.col("every") - F.col(c)).alias("other")) for c in ATTRIBUTES]
-    lists.append(F.struct(F.lit(3).alias("place"), F.lit("provider").alias("list"), F.when(F.col("same") > 0, F.col("every")).otherwise(0).alias("shared"), F.lit(0).cast("long").alias("other")))
-    rows = pair.select("anchor", "url", F.explode(F.array(*lists)).alias("l")).select("anchor", "url", "l.*").where("shared > 0")
-    nth = F.row_number().over(Window.partitionBy("anchor", "list").orderBy(F.desc("shared"), F.desc("other"), "url"))
-    five = rows.withColumn("nth", nth).where(F.col("nth") <= k).select("anchor", "place", "list", "url")
+
+def all_similar(edges: DataFrame, similar: DataFrame, anchors: DataFrame, k: int = 5) -> DataFrame:
+    """(anchor, place, list, url) of the six lists: description, themes, keywords, provider, spatial and temporal coverage."""
+    best = best_shared(edges, anchors, ATTRIBUTES | {"provider": "PROVIDED_BY"}, k)
+    places = F.create_map(*(F.lit(x) for kv in LISTS.items() for x in kv))
+    five = best.select("anchor", F.element_at(places, F.col("list")).alias("place"), "list", "url")
     return similar_by_description(similar, anchors, k).select("anchor", F.lit(0).alias("place"), F.lit("description").alias("list"), "url").unionByName(five)
 
 

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn import ship
+
 #: Texts to vectors, one for each; pairs of texts to scores; a prompt to a text.
 Embedder = Callable[[list[str]], list[list[float]]]
 Scorer = Callable[[list[tuple[str, str]]], list[float]]
@@ -105,6 +107,7 @@ def embedded(nodes: DataFrame, model: Callable[[], Embedder], dimension: int, ba
                     raise ValueError(f"a vector has {len(v)} entries, wanted {dimension} finite ones")
             yield from rows.append_column("embedding", pa.array(vectors, pa.list_(pa.float32()))).to_batches()
 
+    ship(nodes.sparkSession)
     return nodes.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema), "embedding array<float>"]))
 
 
@@ -155,6 +158,7 @@ def cross_encoded(results: DataFrame, queries: DataFrame, docs: DataFrame, model
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(3)), pa.array(scores, pa.float64())], ["query", "id", "retrieval", "score"])
 
     kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    ship(pairs.sparkSession)
     scored = pairs.mapInArrow(run, f"query {kind['query']}, id {kind['id']}, retrieval {kind['retrieval']}, score double")
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc_nulls_last("score"), F.desc("retrieval"), "id"))
     return scored.withColumn("nth", nth).where(F.col("nth") <= k)
@@ -229,6 +233,7 @@ def answered(asked: DataFrame, make: Callable[[], Complete], retries: int = 3, t
         finally:
             pool.shutdown(wait=False, cancel_futures=True)
 
+    ship(asked.sparkSession)
     return asked.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema), "answer string"]))
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn import ship
 from cairn.functions import text as X
 from cairn.operators import facets
 
@@ -30,6 +31,7 @@ def _packed(rows: DataFrame, key: str, vector: str, block: int, more: str | None
                     columns["more"] = pa.array([part.column(2).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(columns)
 
+    ship(rows.sparkSession)
     whole = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"), *([F.col(more)] if more else []))
     return whole.mapInArrow(pack, "ids array<string>, matrix binary" + (", more array<int>" if more else ""))
 

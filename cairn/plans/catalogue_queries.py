@@ -721,7 +721,7 @@ def j07_shared_metadata(spark, sf):
 @query(f"""{_BIG_PAIRS} SELECT DISTINCT a.l_orderkey AS anchor, e.l_orderkey AS other FROM a JOIN e ON e.l_partkey = a.l_partkey AND e.l_orderkey <> a.l_orderkey
  WHERE EXISTS (SELECT 1 FROM e s, e t WHERE s.l_orderkey = a.l_orderkey AND t.l_orderkey = e.l_orderkey AND s.l_suppkey = t.l_suppkey)""")
 def j09_same_provider(spark, sf):
-    rows = graph.of_same_provider(graph.shared_values(*_line_edges(spark, sf)))
+    rows = graph.of_same_provider(*_line_edges(spark, sf))
     return rows.select("anchor", F.col("url").alias("other"))
 
 
