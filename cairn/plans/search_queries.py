@@ -18,6 +18,7 @@ from cairn.operators.bm25_index import Bm25Index
 from cairn.operators.chunking import sentence_chunks
 from cairn.operators.document_store import DocumentStore
 from cairn.operators.graph_store import GraphStore
+from cairn.operators.vector_index import VectorIndex
 from cairn.plans.catalogue_queries import _BM25, _NORM, CAT, EDGES, ORACLE_SQL, QUERIES, _bm25_index, _items, catalogue, query, sql_text, table, text_of
 from cairn.sources.store import shared_folder
 
@@ -121,6 +122,14 @@ def v02_chunk_embeddings(spark, sf):
     return _vectors(spark, sf).select("node_id", "ref_doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("embedding"))
 
 
+@query()
+def v03_indexed_join(spark, sf):
+    """Similar vectors through an inverted file: a join of all rows; tests measure its recall against the exact one."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("node_id"), F.col("vec_id").cast("string").alias("ref_doc_id"), "embedding")
+    index = VectorIndex(spark, fresh(spark, "vectors")).build(e, key="node_id")
+    return retrieval.similar_documents(e, 5, 0.2, near=index.nearest).select("a", "b", F.round("score", 5).alias("score"))
+
+
 _COS = "CASE WHEN list_dot_product(a.embedding, a.embedding) * list_dot_product(b.embedding, b.embedding) = 0 THEN 0 ELSE list_cosine_similarity(a.embedding, b.embedding) END"
 
 
