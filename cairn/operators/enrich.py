@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from string import Formatter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,8 +42,27 @@ def prompt() -> F.Column:
     return F.concat(F.lit("Describe the dataset in JSON with lists: "), wishes, F.lit("\n\n"), F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("description", F.lit("")))
 
 
-def answers(asked: DataFrame, complete: Completer, key: str = "url", batch: int = 32, retries: int = 3) -> DataFrame:
-    """(key, answer): a JSON object for each row (key, prompt); {} after so many tries without valid JSON."""
+def templated(template: str, mark: str = ", ") -> F.Column:
+    """A text with {column} in it, filled from each row; lists are joined, nulls are empty, and {{ and }} are braces."""
+    parts = []
+    for literal, name, _, _ in Formatter().parse(template):
+        parts.append(F.lit(literal))
+        if name is not None:
+            filled = F.concat_ws(mark, F.col(name))  # a list or a single value
+            parts.append(filled)
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def answers(asked: DataFrame, complete: Completer, key: str = "url", batch: int = 32, retries: int = 3, allowed: list[str] | None = None) -> DataFrame:
+    """(key, answer): a JSON object for each row (key, prompt); {} after so many tries without valid JSON.
+
+    An object with other keys than the allowed ones is not valid.
+    """
+    known = None if allowed is None else set(allowed)
+
+    def valid(text: str) -> bool:
+        said = json.loads(text)
+        return isinstance(said, dict) and (known is None or set(said) <= known)
 
     def run(batches):
         for rows in batches:
@@ -56,8 +76,8 @@ def answers(asked: DataFrame, complete: Completer, key: str = "url", batch: int
                         break
                     for i, x in zip(open_, complete([prompts[i] for i in open_]), strict=True):
                         try:
-                            out[i] = x if isinstance(json.loads(x), dict) else None
-                        except ValueError:
+                            out[i] = x if valid(x) else None
+                        except (ValueError, TypeError):
                             pass
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x or "{}" for x in out], pa.string())], [key, "answer"])
 
@@ -70,7 +90,7 @@ def enriched(datasets: DataFrame, complete: Completer = no_answers, key: str = "
     needs = gate(datasets)
     asked = needs.where("ask").select(key, prompt().alias("prompt"))
     said = F.from_json("answer", "keywords array<string>, categories array<string>, spatial_coverage array<string>, temporal_coverage array<string>")
-    found = answers(asked, complete, key).select(key, said.alias("said"))
+    found = answers(asked, complete, key, allowed=["keywords", "categories", "spatial_coverage", "temporal_coverage"]).select(key, said.alias("said"))
     none = F.array().cast("array<string>")
     got = lambda c: F.filter(F.coalesce(F.col(f"said.{c}"), none), lambda x: x.isNotNull())
     joined = needs.join(found, key, "left")

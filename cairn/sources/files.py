@@ -8,12 +8,17 @@ import urllib.request
 from datetime import UTC, datetime
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.schemas import JUDGMENTS
 
+try:
+    import yaml
+except ImportError:
+    yaml = None
+
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """All columns as text; columns gives their names, else the header does."""
@@ -27,28 +32,78 @@ def read_judgments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(JUDGMENTS).option("header", True).option("escape", '"').csv(path)
 
 
-def read_split_json(spark: SparkSession, path: str, lists: list[str]) -> DataFrame:
-    """Tables in the form {columns, index, data}, one object in a file; an import format."""
-    text = spark.read.text(path, wholetext=True)
-    columns = text.select(F.from_json("value", "columns array<string>")["columns"].alias("c")).first()["c"]
-    cells = F.from_json("value", "data array<array<string>>")["data"]
-    rows = text.select(F.explode(cells).alias("r"))
-    cell = lambda i, c: F.from_json(F.get("r", F.lit(i)), "array<string>") if c in lists else F.get("r", F.lit(i))
-    return rows.select(*(cell(i, c).alias(c) for i, c in enumerate(columns)))
+def read_split_json(spark: SparkSession, path: str, lists: list[str], lines: bool = False) -> DataFrame:
+    """Tables in the form {columns, index, data}, all cells as text but for list columns; an import format.
+
+    A file is one such object, or with `lines` each of its lines is one, as write_split_json has them.  Objects may have their
+    columns in any order.
+    """
+    text = spark.read.text(path, wholetext=not lines)
+    columns = sorted({c for r in text.select(F.from_json("value", "columns array<string>")["columns"].alias("c")).distinct().collect() for c in r["c"]})  # names only
+    parsed = text.select(F.from_json("value", "columns array<string>, data array<array<string>>").alias("o"))
+    rows = parsed.select(F.col("o.columns").alias("c"), F.explode("o.data").alias("r"))
+    cell = lambda c: F.get("r", (F.array_position("c", F.lit(c)) - 1).cast("int"))
+    out = rows.select(*((F.from_json(cell(c), "array<string>") if c in lists else cell(c)).alias(c) for c in columns))
+    first = text.select(F.from_json("value", "columns array<string>")["columns"].alias("c")).first()
+    return out.select(*first["c"]) if first else out
+
+
+def as_split_json(rows: DataFrame, key: str, size: int = 10_000) -> DataFrame:
+    """One column of texts, each an object {columns, index, data} of up to size rows in key order, index counting on from 0."""
+    from cairn.operators.ingest import batches
+
+    columns = rows.columns
+    inner = lambda c: F.to_json(F.array(F.col(c)), {"ignoreNullFields": "false"})
+    cells = [F.substring(inner(c), F.lit(2), F.length(inner(c)) - 2) for c in columns]
+    line = F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]"))
+    numbered = batches(rows, key, size).select("batch", F.struct(key, line.alias("line")).alias("x"))
+    lists = numbered.groupBy("batch").agg(F.sort_array(F.collect_list("x")).alias("x"))  # size rows at most
+    index = F.array_join(F.transform(F.sequence(F.lit(0), F.size("x") - 1), lambda i: (F.col("batch") * size + i).cast("string")), ",")
+    names = json.dumps(columns, ensure_ascii=False)
+    return lists.orderBy("batch").select(F.concat(F.lit(f'{{"columns":{names},"index":['), index, F.lit('],"data":['), F.array_join("x.line", ","), F.lit("]}")).alias("value"))
+
+
+def write_split_json(rows: DataFrame, path: str, key: str, size: int = 10_000) -> None:
+    """Text files whose lines are objects {columns, index, data}; a table of at most size rows is one object."""
+    as_split_json(rows, key, size).write.mode("overwrite").text(path)
+
+
+#: An item of a Python list of texts; a part of an item, which may be escaped.
+_ITEM = r"""(?s)'([^'\\]*+(?:\\.[^'\\]*+)*+)'|"([^"\\]*+(?:\\.[^"\\]*+)*+)\""""
+_PART = r"(?s)\\x[0-9a-f]{2}|\\u[0-9a-f]{4}|\\U[0-9a-f]{8}|\\.|[^\\]++"
+
+
+def _unescaped(item: Column) -> Column:
+    """What a text in Python's form stands for."""
+
+    def part(x: Column) -> Column:
+        kind, rest = F.substring(x, 2, 1), lambda n: F.substring(x, 3, n)
+        wide = lambda code, form: F.decode(F.unhex(code), form)
+        return (
+            F.when(~x.startswith("\\"), x)
+            .when((kind == "x") & (F.length(x) == 4), wide(F.concat(F.lit("00"), rest(2)), "UTF-16BE"))
+            .when((kind == "u") & (F.length(x) == 6), wide(rest(4), "UTF-16BE"))
+            .when((kind == "U") & (F.length(x) == 10), wide(rest(8), "UTF-32"))
+            .when(kind == "n", F.lit("\n"))
+            .when(kind == "t", F.lit("\t"))
+            .when(kind == "r", F.lit("\r"))
+            .otherwise(kind)
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(item, F.lit(_PART), F.lit(0)), part), "")
 
 
-def as_split_json(rows: DataFrame) -> DataFrame:
-    """One column of JSON arrays, the lines of `data` in that form; the caller writes them as text."""
-    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+def literal_list(cell: Column) -> Column:
+    """The texts of a cell that holds a list as Python writes it; a cell that is no list has none, and items that are no texts drop out."""
+    of = lambda i: F.regexp_extract_all(cell, F.lit(_ITEM), F.lit(i))
+    items = F.transform(F.arrays_zip(of(1).alias("a"), of(2).alias("b")), lambda x: _unescaped(F.concat(x["a"], x["b"])))
+    return F.when(cell.rlike(r"(?s)^\s*\[.*\]\s*\z"), items).otherwise(F.array().cast("array<string>"))
 
 
 def read_literal_lists(spark: SparkSession, path: str, lists: list[str]) -> DataFrame:
-    """CSV whose list cells are written as ['a', 'b']; quotes inside items may be escaped by a backslash."""
-    item = r"""'((?:[^'\\\\]|\\\\.)*)'|"((?:[^"\\\\]|\\\\.)*)\""""
+    """CSV whose list cells are Python lists of texts, such as ['a', "it's"]."""
     rows = read_csv(spark, path)
-    parts = lambda c: F.arrays_zip(F.regexp_extract_all(c, F.lit(item), F.lit(1)).alias("a"), F.regexp_extract_all(c, F.lit(item), F.lit(2)).alias("b"))
-    plain = lambda x: F.regexp_replace(F.concat(x["a"], x["b"]), r"\\\\(.)", "$1")
-    return rows.withColumns({c: F.transform(parts(F.coalesce(c, F.lit(""))), plain) for c in lists})
+    return rows.withColumns({c: literal_list(F.col(c)) for c in lists})
 
 
 def _file_status(spark: SparkSession, path: str):
@@ -102,8 +157,9 @@ class Reloading:
 
 
 def settings(text: str, prefix: str = "CAIRN_", environment: dict[str, str] | None = None) -> dict:
-    """Settings from JSON text; a variable PREFIX_A__B in the environment takes the place of a's b."""
-    found = json.loads(text)
+    """Settings from YAML text, or JSON where no YAML library is installed; a variable PREFIX_A__B in the environment takes the place
+    of a's b."""
+    found = yaml.safe_load(text) if yaml else json.loads(text)
     for name, value in (os.environ if environment is None else environment).items():
         if name.startswith(prefix):
             *path, last = name.removeprefix(prefix).lower().split("__")

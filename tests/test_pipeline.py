@@ -151,13 +151,13 @@ def test_files(spark, tmp_path):
 
     from cairn.sources import files
 
-    (tmp_path / "lists.csv").write_text("url,keywords\nu1,\"['a', \"\"b's\"\", 'c\\\\'d']\"\nu2,[]\nu3,\n")
+    (tmp_path / "lists.csv").write_text("url,keywords\nu1,\"['a', \"\"b's\"\", 'c\\'d']\"\nu2,[]\nu3,\n")
     rows = {r["url"]: r["keywords"] for r in files.read_literal_lists(spark, str(tmp_path / "lists.csv"), ["keywords"]).collect()}
     assert rows == {"u1": ["a", "b's", "c'd"], "u2": [], "u3": []}
     (tmp_path / "judged.csv").write_text('query,url,ranking\n"a, b",u1,1\nc,u2,3\n')
     assert [tuple(r) for r in files.read_judgments(spark, str(tmp_path / "judged.csv")).orderBy("ranking").collect()] == [("a, b", "u1", 1), ("c", "u2", 3)]
     table = spark.createDataFrame([("u", ["a"]), ("v", [])], "url string, keywords array<string>")
-    assert sorted(json.loads(r["value"])["url"] for r in files.as_split_json(table).collect()) == ["u", "v"]
+    assert [json.loads(r["value"]) for r in files.as_split_json(table, "url").collect()] == [{"columns": ["url", "keywords"], "index": [0, 1], "data": [["u", ["a"]], ["v", []]]}]
 
     path, tomorrow = f"{tmp_path}/fresh", datetime.now(UTC) + timedelta(days=1)
     assert not files.is_fresh(spark, path)
