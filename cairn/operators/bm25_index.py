@@ -1,9 +1,9 @@
 """A BM25 index as tables: written once, changed by the documents that change, read by its terms only.
 
-Documents lie in pages of PAGE documents of about the same length.  `postings` has one row for each term and page:
-the documents, their counts and lengths, and the largest count and smallest length among them, from which follows what the page
-can add to a score at most.  A top-k first scores the pages with the largest bounds, takes the k-th score found, and
-then scores those other pages only whose bound reaches it: the same rows as scoring everything.
+Documents lie in pages of PAGE documents of about the same length, each in a slot.  `postings` has one row for each term and
+page: the slots, counts and lengths of its documents there, and the largest count and smallest length among them, from
+which follows what the page can add to a score at most.  A top-k first scores the pages with the largest bounds, takes the k-th score
+found, and then scores those other pages only whose bound reaches it: the same rows as scoring everything.
 
 A change of documents is a layer: their new postings, and what they take from the numbers of documents of each term, which
 come from the terms kept with each document.
@@ -12,6 +12,7 @@ come from the terms kept with each document.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,21 +29,30 @@ _TABLES = {"documents": Table(("id",), ("id",)), "postings": Table(()), "terms":
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(id, length, terms, counts) of docs (id, text): equal words lie together once sorted, so nothing is shuffled."""
+    """(id, length, terms, counts, page, slot) of docs (id, text).
+
+    Equal words lie together once sorted, and documents get their places where they are read, in the order of their lengths,
+    so nothing is shuffled.  Places hold once the rows are written.
+    """
     rows = docs.select(F.col("id").cast("string").alias("id"), F.sort_array(X.tokens(F.col("text"))).alias("w")).withColumn("length", F.size("w"))
     first = F.filter(F.transform("w", lambda x, i: F.when((i == 0) | (x != F.get("w", i - 1)), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("first", first)
     counts = F.transform("first", lambda i, j: F.coalesce(F.get("first", j + 1), F.col("length")) - i)
-    return rows.select("id", "length", F.transform("first", lambda i: F.get("w", i)).alias("terms"), counts.alias("counts"))
+    rows = rows.select("id", "length", F.transform("first", lambda i: F.get("w", i)).alias("terms"), counts.alias("counts"))
+    return _placed(rows)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows with the page and slot of each document."""
+    ordered = rows.sortWithinPartitions("length", "id").withColumn("_n", F.monotonically_increasing_id())
+    return ordered.withColumn("page", F.floor(F.col("_n") / PAGE)).withColumn("slot", (F.col("_n") % PAGE).cast("int")).drop("_n")
 
 
 def _postings(documents: DataFrame) -> DataFrame:
-    """(term, page, ids, counts, lengths, most, least); the rows of a range of terms are put together where they are written."""
-    ordered = documents.repartitionByRange("length", "id").sortWithinPartitions("length", "id")
-    paged = ordered.withColumn("page", F.floor(F.monotonically_increasing_id() / PAGE))
-    rows = paged.select("page", "id", "length", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select(F.col("t.terms").alias("term"), "page", "id", F.col("t.counts").alias("n"), "length")
-    lists = rows.repartitionByRange("term", "page").groupBy("term", "page").agg(F.sort_array(F.collect_list(F.struct("id", "n", "length"))).alias("p"))  # PAGE documents at most
-    lists = lists.select("term", "page", F.col("p.id").alias("ids"), F.col("p.n").alias("counts"), F.col("p.length").alias("lengths"), F.array_max("p.n").alias("most"), F.array_min("p.length").alias("least"))
+    """(term, page, slots, counts, lengths, most, least); lists of a page are put together before they are shuffled."""
+    rows = documents.select("page", "slot", "length", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select(F.col("t.terms").alias("term"), "page", F.col("slot").cast("smallint").alias("slot"), F.col("t.counts").alias("n"), "length")
+    lists = rows.groupBy("term", "page").agg(F.sort_array(F.collect_list(F.struct("slot", "n", "length"))).alias("p"))  # PAGE documents at most
+    lists = lists.select("term", "page", F.col("p.slot").alias("slots"), F.col("p.n").alias("counts"), F.col("p.length").alias("lengths"), F.array_max("p.n").alias("most"), F.array_min("p.length").alias("least"))
     return lists.sortWithinPartitions("term", "page")
 
 
@@ -102,26 +112,22 @@ class Bm25Index:
     def compact(self) -> Bm25Index:
         """One layer in place of all, from the words kept with the documents."""
         record = self.store.record()
-        return self._made_of(self.store.read("documents", record.number), record.number)
+        return self._made_of(_placed(self.store.read("documents", record.number).drop("page", "slot")), record.number)
 
     # ------------------------------------------------------------ queries
 
-    def _shown(self, record) -> DataFrame:
-        """All rows of postings with their layer; hidden documents are taken out of them later."""
-        parts = [rows.withColumn("layer", F.lit(i)) for i, rows in self.store.layers("postings", record)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    def _live_postings(self, record, rows: DataFrame, *more: str) -> DataFrame:
-        """(term, page, layer, id, n, length, *more) of rows of postings, without documents that a later layer has or took out."""
-        flat = rows.select("term", "page", "layer", *more, F.explode(F.arrays_zip("ids", "counts", "lengths")).alias("p")).select("term", "page", "layer", *more, F.col("p.ids").alias("id"), F.col("p.counts").alias("n"), F.col("p.lengths").alias("length"))
-        for i, x in enumerate(record.layers):
-            if i and x["keys"]:
-                hidden = self.spark.read.schema("key string").parquet(x["keys"]).select(F.col("key").alias("id"), F.lit(i).alias("by"))
-                flat = flat.join(hidden, (flat["id"] == hidden["id"]) & (flat["layer"] < hidden["by"]), "left_anti")
-        return flat
+    def _of_layers(self, record, name: str) -> DataFrame:
+        """All rows of a table with their layer, whether a later one hides them or not."""
+        return reduce(DataFrame.unionByName, [rows.withColumn("layer", F.lit(i)) for i, rows in self.store.layers(name, record)])
+
+    def _hidden(self, record) -> DataFrame | None:
+        """(layer, page, slot) of documents that a later layer has or took out."""
+        parts = []
+        for i, rows in self.store.layers("documents", record):
+            later = self.store.later_keys(i, record)
+            if later is not None:
+                parts.append(rows.join(later.withColumnRenamed("key", "id"), "id", "left_semi").select(F.lit(i).alias("layer"), "page", "slot"))
+        return reduce(DataFrame.union, parts) if parts else None
 
     def top_k(self, queries: DataFrame, k: int = 25, k1: float = 1.5, b: float = 0.75, within: DataFrame | None = None, prune: bool | None = None) -> DataFrame:
         """(query, id, score, nth) of the k best documents for each of queries (query, text), ties by id.
@@ -135,33 +141,43 @@ class Bm25Index:
         asked = queries.select(F.col("query"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
         df = self.store.read("terms", record.number).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         terms = asked.join(df.select("term", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "term")
+        shown, hidden = self._of_layers(record, "postings"), self._hidden(record)
+        places = self._of_layers(record, "documents").select("layer", "page", "slot", "id")
+        allowed = None if within is None else places.join(within.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi").drop("id")
+        place = ["layer", "page", "slot"]
 
         def part(count: Column, length: Column) -> Column:
             return F.col("idf") * count * (k1 + 1) / (count + k1 * (1 - b + b * length / F.lit(mean)))
 
-        shown = self._shown(record)
+        def scored(rows: DataFrame) -> DataFrame:
+            """(query, layer, page, slot, score) of rows of postings with query and idf."""
+            flat = rows.select("query", "layer", "page", "idf", F.explode(F.arrays_zip("slots", "counts", "lengths")).alias("p"))
+            sums = flat.groupBy("query", "layer", "page", F.col("p.slots").cast("int").alias("slot")).agg(F.round(F.sum(part(F.col("p.counts"), F.col("p.lengths"))), 9).alias("score"))
+            sums = sums if allowed is None else sums.join(allowed, place, "left_semi")
+            return sums if hidden is None else sums.join(hidden, place, "left_anti")
+
+        def best(sums: DataFrame) -> DataFrame:
+            """Those among the k best, with all that are level with the last."""
+            return sums.withColumn("r", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("r") <= k)
+
         if not (n_docs > PAGE * PRUNED_PAGES if prune is None else prune):
-            found = self._scored(record, shown.join(terms, "term"), part, within)
+            found = best(scored(shown.join(terms, "term")))
         else:
             # what each page can have at most, from the small columns
             bounds = shown.select("term", "layer", "page", "most", "least").join(terms, "term").groupBy("query", "layer", "page").agg(F.sum(part(F.col("most"), F.col("least"))).alias("bound"))
+            pages = ["query", "layer", "page"]
             nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "layer", "page"))
-            bounds = bounds.withColumn("place", nth)
-            best = bounds.where(F.col("place") <= max(2, -(-4 * k // PAGE)))
-            pages = ["layer", "page", "query"]
-            sure = self._scored(record, shown.join(terms, "term").join(best.select(*pages), pages, "left_semi"), part, within)
-            least = sure.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("nth") == k).select("query", F.col("score").alias("least"))
+            first = bounds.withColumn("place", nth).where(F.col("place") <= max(2, -(-4 * k // PAGE)))
+            sure = best(scored(self._of_pages(shown, terms, first.select(*pages))))
+            least = sure.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
             rest = bounds.join(least, "query", "left").where("bound + 1e-6 >= coalesce(least, 0)")
-            found = self._scored(record, shown.join(terms, "term").join(rest.select(*pages), pages, "left_semi"), part, within)
-        nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-        return found.withColumn("nth", nth).where(F.col("nth") <= k)
-
-    def _scored(self, record, rows: DataFrame, part, within: DataFrame | None) -> DataFrame:
-        """(query, id, score) of rows of postings (with query, idf)."""
-        flat = self._live_postings(record, rows, "query", "idf")
-        if within is not None:
-            flat = flat.join(within.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi")
-        return flat.groupBy("query", "id").agg(F.round(F.sum(part(F.col("n"), F.col("length"))), 9).alias("score"))
+            found = best(scored(self._of_pages(shown, terms, rest.select(*pages))))
+        named = found.join(places, place).select("query", "id", "score")
+        return named.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("nth") <= k)
+
+    @staticmethod
+    def _of_pages(shown: DataFrame, terms: DataFrame, pages: DataFrame) -> DataFrame:
+        return shown.join(terms, "term").join(pages, ["query", "layer", "page"], "left_semi")
 
 
 def index_of(spark: SparkSession, base: str, path: str, docs: DataFrame) -> Bm25Index:

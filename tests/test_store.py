@@ -168,8 +168,8 @@ def test_pages_whose_bound_is_too_small_are_not_scored(spark, tmp_path, monkeypa
     docs = texts(400, 3) | {f"hit{i}": "rare " * 5 + "w1" for i in range(4)}
     made = Bm25Index(spark, f"file://{tmp_path}/i").build(as_docs(spark, docs))
     seen = []
-    scored = Bm25Index._scored
-    monkeypatch.setattr(Bm25Index, "_scored", lambda self, record, rows, *a: seen.append(rows.select("layer", "page").distinct().count()) or scored(self, record, rows, *a))
+    of_pages = Bm25Index._of_pages
+    monkeypatch.setattr(Bm25Index, "_of_pages", staticmethod(lambda shown, terms, pages: seen.append(pages.select("layer", "page").distinct().count()) or of_pages(shown, terms, pages)))
     assert top(made, {"q": "rare w1"}, k=4, prune=True) == plain_bm25(docs, {"q": "rare w1"}, 4)
     assert seen[1] < 20 < 404 // 8
 
@@ -177,7 +177,7 @@ def test_pages_whose_bound_is_too_small_are_not_scored(spark, tmp_path, monkeypa
 def test_updates_are_layers_with_the_rows_of_a_full_build(spark, tmp_path):
     docs = texts(600, 5)
     made = Bm25Index(spark, f"file://{tmp_path}/i").build(as_docs(spark, docs))
-    written = lambda: [made.spark.read.parquet(x["tables"]["postings"]).select(F.explode("ids").alias("id")).distinct().count() for x in made.store.record().layers]
+    written = lambda: [made.spark.read.parquet(x["tables"]["postings"]).select("page", F.explode("slots").alias("s")).distinct().count() for x in made.store.record().layers]
     for turn in range(3):
         new = {k: v + " w50 extra" for k, v in texts(4, 50 + turn).items()} | {f"new{turn}": "w50 w1 fresh", "null": None}
         gone = [str(100 + turn), "no such"]
