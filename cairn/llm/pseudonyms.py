@@ -7,7 +7,9 @@ the key, the kind and the length alone, so equal values have equal pseudonyms in
 layouts, different values have different ones, and the holder of the key can undo it.
 
 A date keeps whether its day is above 12, which settles the order of day and month with slashes: such dates are
-read as month/day where that is a date, and as day/month otherwise, before and after.  A phone number keeps its
+read as month/day where that is a date, and as day/month otherwise, before and after.  It also keeps whether day and
+month are below 10, so that each is written with as many digits as before.  A mailbox is closed to all other kinds, so
+numbers, dates and addresses in its name change once, as the name.  A phone number keeps its
 calling code, found by the digits whatever the layout, and whether the rest begins with 0 or, under code 1 and
 without a code, is a valid number of that plan (area and exchange from 2 on).  Any such rest of n digits has the
 pseudonym that it has under other codes only if it is of the same class there.
@@ -31,15 +33,35 @@ from cairn.llm.common import document_groups
 KINDS = ("card", "iban", "ssn", "phone", "ipv4", "date", "email")
 _ROUNDS = 8
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-#: Registered length of an IBAN by country (ISO 13616).
+#: Registered length of an IBAN by country (ISO 13616).
+# fmt: off
 IBAN_LENGTHS = {
-    country: int(x[:2])
-    for x in (
-        "15NO 16BE 18DKFIFKFOGLNLSD 19MKSI 20ATBAEEKZLTLUMNXK 21CHHRLILV 22BGBHCRDEGBGEIEMERSVA 23AEGIILIQOMSOTL 24ADCZESMDPKROSASESKTNVG "
-        "25LYPTST 26ISTR 27BIDJFRGRITMCMRSM 28ALAZBYCYDOGTHNHULBNIPLSV 29BREGPSQAUA 30JOKWMUYE 31MTSC 32LC 33RU"
-    ).split()
-    for country in re.findall("[A-Z]{2}", x)
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28,
+    "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DJ": 27, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24,
+    "FI": 18, "FK": 18, "FO": 18, "FR": 27,
+    "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27,
+    "JO": 30,
+    "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25,
+    "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30,
+    "NI": 28, "NL": 18, "NO": 15,
+    "OM": 23,
+    "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29,
+    "RO": 24, "RS": 22, "RU": 33,
+    "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29,
+    "VA": 22, "VG": 24,
+    "XK": 20,
+    "YE": 30,
 }
+# fmt: on
 #: Calling codes of one and two digits (ITU E.164); all others have three.
 CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _PATTERN = re.compile(
@@ -92,6 +114,12 @@ def luhn_digit(payload: str) -> int:
     return -total % 10
 
 
+def _kind_of_day(ordinal: int) -> tuple[bool, bool, bool]:
+    """What a date keeps: whether its day is above 12, and how many digits day and month have."""
+    d = datetime.date.fromordinal(ordinal)
+    return d.day > 12, d.day < 10, d.month < 10
+
+
 def _in_layout(old: str, new: str) -> str:
     """The characters of new at the letters and digits of old."""
     rest = iter(new)
@@ -171,13 +199,11 @@ class Pseudonymizer:
             except ValueError:
                 continue
             if _FIRST_DAY <= day <= _LAST_DAY:
-                late = datetime.date.fromordinal(day).day > 12
-                same = lambda x: (datetime.date.fromordinal(_FIRST_DAY + x).day > 12) == late
+                same = lambda x: _kind_of_day(_FIRST_DAY + x) == _kind_of_day(day)
                 new = datetime.date.fromordinal(_FIRST_DAY + self._move("date", _LAST_DAY - _FIRST_DAY + 1, day - _FIRST_DAY, same))
-                bare = any(len(p) == 1 for p in parts)
                 out = [""] * 3
                 for i, v in zip(order, (new.year, new.month, new.day), strict=True):
-                    out[i] = str(v) if bare or i == order[0] else f"{v:02d}"
+                    out[i] = str(v).zfill(len(parts[i]))
                 return mark.join(out)
         return None
 
@@ -208,33 +234,43 @@ class Pseudonymizer:
         return self.known[kind, s]
 
     def text(self, t: str) -> tuple[str, dict[str, int]]:
-        """The text with pseudonyms, and how many of each kind."""
-        found: dict[str, int] = {}
+        """The text with pseudonyms, and how many of each kind.
 
-        def change(m):
-            kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if k in m.re.groupindex and m[k] is not None)
+        Mailboxes are found first and are closed to all other kinds, before and after: both ways the same spans are found.
+        """
+        found: dict[str, int] = {}
+        changes: list[tuple[int, int, str]] = []
+        open_ = t
+        if "@" in t:
+            out, at = [], 0
+            for m in _EMAIL.finditer(t):
+                changes.append((m.start(), m.end("email"), self._new("email", m["email"])))
+                out += [t[at : m.start()], "x" * (m.end() - m.start())]
+                at = m.end()
+            open_ = "".join([*out, t[at:]])
+            if changes:
+                found["email"] = len(changes)
+
+        at = 0
+        while m := _PATTERN.search(open_, at):
+            kind = next(k for k in KINDS if k in m.re.groupindex and m[k] is not None)
+            at = m.end()
             for end in _ends(m[kind]) if kind == "iban" else [len(m[kind])]:
                 new = self._new(kind, m[kind][:end])
                 if new is not None:
                     found[kind] = found.get(kind, 0) + 1
-                    return (new, m.start() + end) if kind == "iban" else (new + m[0][len(m[kind]) :], m.end())
-            end = m[0].find(" ") if kind == "iban" else -1  # a failed number may have taken the beginning of the next
-            end = m.end() if end < 0 else m.start() + end
-            return m.string[m.start() : end], end
-
-        def changed(pattern, t):
-            out, at = [], 0
-            while m := pattern.search(t, at):
-                new, end = change(m)
-                out += [t[at : m.start()], new]
-                at = end
-            return "".join([*out, t[at:]])
+                    at = m.start() + end
+                    changes.append((m.start(), at, new))
+                    break
+            else:  # a failed number may have taken the beginning of the next
+                if kind == "iban" and " " in m[0]:
+                    at = m.start() + m[0].find(" ")
 
-        if "@" in t:
-            t = changed(_EMAIL, t)
-        if re.search("[0-9]", t):
-            t = changed(_PATTERN, t)
-        return t, found
+        out, at = [], 0
+        for start, end, new in sorted(changes):
+            out += [t[at:start], new]
+            at = end
+        return "".join([*out, t[at:]]), found
 
 
 def _task(key: bytes, undo: bool):
@@ -253,8 +289,8 @@ def pseudonymize(docs: DataFrame, key: bytes, *, undo: bool = False) -> DataFram
 
     A null text stays null and an empty one empty.  A text of any length is read whole.  Where two values could
     begin at one place, the first kind of IBAN, card, phone, ssn, date and address takes it.  Repeated rows change
-    alike.  No row gives no row.  Other columns are ignored.  undo turns pseudonyms back under the same key;
-    a day or month below 10 that was written without a zero gets one where the pseudonym had none below 10.
+    alike.  No row gives no row.  Other columns are ignored.  undo turns pseudonyms back under the same key,
+    to the text as it was.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_task(key, undo), "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS))
