@@ -1,6 +1,6 @@
 """A BM25 index as tables: written once, changed by the documents that change, read by its terms only.
 
-Documents lie in pages of PAGE documents of about the same length, each in a slot.  `postings` has one row for each term and
+Documents lie in pages of PAGE documents of about the same length, each in a slot.  `postings` has a row for each term and
 page: the slots, counts and lengths of its documents there, and the largest count and smallest length among them, from
 which follows what the page can add to a score at most.  A top-k first scores the pages with the largest bounds, takes the k-th score
 found, and then scores those other pages only whose bound reaches it: the same rows as scoring everything.
@@ -14,9 +14,13 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn import ship
 from cairn.functions import text as X
 from cairn.sources.store import Store, Table
 
@@ -48,12 +52,34 @@ def _placed(rows: DataFrame) -> DataFrame:
     return ordered.withColumn("page", F.floor(F.col("_n") / PAGE)).withColumn("slot", (F.col("_n") % PAGE).cast("int")).drop("_n")
 
 
+def _inverted(batches):
+    """Postings of each page, from rows (page, slot, length, terms, counts) in which a page's documents lie together."""
+    for batch in batches:
+        page = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(page)) + 1).tolist(), len(page)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            part = batch.slice(lo, hi - lo)
+            sizes = pc.fill_null(pc.list_value_length(part.column(3)), 0).to_numpy()
+            if not sizes.sum():
+                continue
+            words = part.column(3).flatten().dictionary_encode()
+            order = np.argsort(words.indices.to_numpy(), kind="stable")
+            first = np.concatenate([[0], np.cumsum(np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)))])
+            slots, counts, lengths = (x[order] for x in (np.repeat(part.column(1).to_numpy(), sizes), part.column(4).flatten().to_numpy(), np.repeat(part.column(2).to_numpy(), sizes)))
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays(
+                [words.dictionary, pa.array(np.full(len(words.dictionary), page[lo])), lists(slots.astype(np.int16)), lists(counts), lists(lengths), pa.array(np.maximum.reduceat(counts, first[:-1])), pa.array(np.minimum.reduceat(lengths, first[:-1]))],
+                ["term", "page", "slots", "counts", "lengths", "most", "least"],
+            )
+
+
 def _postings(documents: DataFrame) -> DataFrame:
-    """(term, page, slots, counts, lengths, most, least); lists of a page are put together before they are shuffled."""
-    rows = documents.select("page", "slot", "length", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select(F.col("t.terms").alias("term"), "page", F.col("slot").cast("smallint").alias("slot"), F.col("t.counts").alias("n"), "length")
-    lists = rows.groupBy("term", "page").agg(F.sort_array(F.collect_list(F.struct("slot", "n", "length"))).alias("p"))  # PAGE documents at most
-    lists = lists.select("term", "page", F.col("p.slot").alias("slots"), F.col("p.n").alias("counts"), F.col("p.length").alias("lengths"), F.array_max("p.n").alias("most"), F.array_min("p.length").alias("least"))
-    return lists.sortWithinPartitions("term", "page")
+    """(term, page, slots, counts, lengths, most, least), a row for each term and page, or two where the page lies in two files' parts.
+
+    A page is turned over where its documents are read, so that nothing is shuffled.
+    """
+    ship(documents.sparkSession)
+    return documents.select("page", "slot", "length", "terms", "counts").mapInArrow(_inverted, "term string, page long, slots array<smallint>, counts array<int>, lengths array<int>, most int, least int")
 
 
 def _frequencies(documents: DataFrame) -> DataFrame:
