@@ -78,7 +78,7 @@ def unstage(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop finished shuffle files, which stay on disk until the driver collects its garbage; once a query at most."""
+    """Let Spark drop finished shuffle files, which stay on disk until the driver collects its garbage; a few times a query at most."""
     spark._jvm.System.gc()
 
 

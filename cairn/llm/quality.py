@@ -35,7 +35,7 @@ SCALE = 1024
 P = 4
 #: Spread below which a statistic counts as unremarkable, in the units of the transformed statistics.
 FLOOR = (0.08, 0.35, 0.06, 0.08)
-#: Estimates of up to this many groups are broadcast, 16 MB or less.
+#: Estimates of up to this many groups are broadcast: three rows of 28 numbers for each, 90 MB at most.
 BROADCAST_GROUPS = 100_000
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
