@@ -239,6 +239,18 @@ def all_similar(edges: DataFrame, similar: DataFrame, anchors: DataFrame, k: int
     return similar_by_description(similar, anchors, k).select("anchor", F.lit(0).alias("place"), F.lit("description").alias("list"), "url").unionByName(five)
 
 
+def common_metadata(datasets: DataFrame, by: list[str], column: str) -> DataFrame:
+    """(a, b, common): pairs of datasets, a < b, with equal values by some columns and at least one item of a list column in common.
+
+    An array counts as equal by its first item; nulls are equal to nothing.
+    """
+    kinds = {f.name: f.dataType.typeName() for f in datasets.schema}
+    keys = [(F.get(c, F.lit(0)) if kinds[c] == "array" else F.col(c)).alias(f"_{c}") for c in by]
+    one, two = (datasets.select(*keys, F.col("url").alias(n), F.col(column).alias(f"list_{n}")) for n in ("a", "b"))
+    pairs = one.join(two, [f"_{c}" for c in by]).where("a < b")
+    return pairs.select("a", "b", X.common_to(F.col("list_a"), F.col("list_b")).alias("common")).where(F.size("common") > 0)
+
+
 def with_previews(similar: DataFrame, datasets: DataFrame) -> DataFrame:
     """Rows of all_similar with title, preview and the values in common with the anchor: of the list's own attribute,
     of all list attributes for the provider's list, none for the description's."""

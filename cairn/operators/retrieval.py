@@ -142,6 +142,13 @@ def folded(results: DataFrame) -> DataFrame:
     return rows.groupBy("query", to.alias("id")).agg(F.round(F.sum("score"), 9).alias("score"), F.max(F.when(~F.col("child"), F.col("parent"))).alias("parent"))
 
 
+def with_parents(results: DataFrame) -> DataFrame:
+    """(query, id, parent, score) of the results (query, id, parent, score) whose parent was found too, with both scores added."""
+    parents = results.select("query", F.col("id").alias("parent"), F.col("score").alias("parent_score"))
+    rows = results.where("id <> parent").join(parents, ["query", "parent"])
+    return rows.select("query", "id", "parent", (F.col("score") + F.col("parent_score")).alias("score"))
+
+
 def reranked(results: DataFrame, cutoff: float = 0.2, k: int = 30, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Results of at least the cutoff, the best first and k of each query; scorer may replace the scores that order them."""
     kept = results.where(F.col("score") >= cutoff)

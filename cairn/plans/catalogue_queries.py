@@ -314,11 +314,8 @@ def u01_union(spark, sf):
 @query(f"""WITH {CAT}, p AS (SELECT a.url AS a, b.url AS b, list_sort(list_intersect(a.keywords, b.keywords)) AS common FROM cat a JOIN cat b ON a.provider = b.provider AND a.themes[1] = b.themes[1] AND a.temporal_coverage[1] = b.temporal_coverage[1] AND a.url < b.url)
  SELECT a, b, array_to_string(common, ',') AS common FROM p WHERE len(common) > 0""")
 def u02_common_metadata(spark, sf):
-    c = catalogue(spark, sf)
-    a, b = c.alias("a"), c.alias("b")
-    on = (F.col("a.provider") == F.col("b.provider")) & (F.col("a.themes")[0] == F.col("b.themes")[0]) & (F.col("a.temporal_coverage")[0] == F.col("b.temporal_coverage")[0]) & (F.col("a.url") < F.col("b.url"))
-    both = a.join(b, on).select(F.col("a.url").alias("a"), F.col("b.url").alias("b"), X.common_to(F.col("a.keywords"), F.col("b.keywords")).alias("common"))
-    return both.where(F.size("common") > 0).select("a", "b", text_of("common").alias("common"))
+    rows = graph.common_metadata(catalogue(spark, sf), ["provider", "themes", "temporal_coverage"], "keywords")
+    return rows.select("a", "b", text_of("common").alias("common"))
 
 
 @query(f"""WITH {CAT}, cat2 AS (SELECT url, list_concat(keywords, CASE WHEN length(title) % 2 = 0 THEN ['PROMO'] ELSE []::VARCHAR[] END) AS keywords, themes, categories FROM cat), v AS (SELECT list(DISTINCT t) AS t FROM (SELECT unnest(themes) AS t FROM cat2)), c AS (SELECT ['red', 'blue', 'ECONOMY'] AS c)
@@ -499,9 +496,7 @@ def v08_dedup(spark, sf):
 
 @query(f"WITH {_RESULTS}, marked AS (SELECT r.query, r.id, r.parent, r.score, p.score AS parent_score FROM res r JOIN res p ON p.query = r.query AND p.id = r.parent AND r.id <> r.parent) SELECT query, id, parent, round(score + parent_score, 6) AS score FROM marked")
 def j12_parent_merge(spark, sf):
-    r = _results(spark, sf)
-    p = r.select("query", F.col("id").alias("parent"), F.col("score").alias("parent_score"))
-    return r.where("id <> parent").join(p, ["query", "parent"]).select("query", "id", "parent", F.round(F.col("score") + F.col("parent_score"), 6).alias("score"))
+    return retrieval.with_parents(_results(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_FOLDED} SELECT query, id, round(score, 6) AS score, nth FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS nth FROM folded WHERE score >= 0.2) WHERE nth <= 30")

@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn import ship
-from cairn.operators import enrich, experiments, ingest, models, retrieval
+from cairn.operators import enrich, experiments, ingest, models, retrieval, service
 from cairn.operators.bm25_index import Bm25Index
 from cairn.operators.chunking import sentence_chunks
 from cairn.operators.document_store import DocumentStore
 from cairn.operators.graph_store import GraphStore
 from cairn.operators.vector_index import VectorIndex
-from cairn.plans.catalogue_queries import _BM25, _NORM, CAT, EDGES, ORACLE_SQL, QUERIES, _bm25_index, _items, catalogue, query, sql_text, table, text_of
+from cairn.plans.catalogue_queries import _BM25, _NORM, APP, CAT, EDGES, ORACLE_SQL, QUERIES, _bm25_index, _items, catalogue, query, sql_text, table, text_of
+from cairn.sources import files
 from cairn.sources.store import shared_folder
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -33,6 +34,43 @@ def documents(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "source")
 
 
+# ---------------------------------------------------------------- files
+
+
+def _flat(spark, sf) -> DataFrame:
+    return catalogue(spark, sf).select("url", "title", F.concat("description", F.lit('\nsays "'), "provider", F.lit('", or so')).alias("description"), "keywords", "themes", "categories")
+
+
+_FLAT = f"""{CAT}, flat AS (SELECT url, title, description || chr(10) || 'says "' || provider || '", or so' AS description, keywords, themes, categories FROM cat)"""
+
+
+@query(f"WITH {_FLAT} SELECT url, title, description FROM flat")
+def s01_csv_scan(spark, sf):
+    """The catalogue written as CSV, with quotes and line feeds, and scanned with all columns as text."""
+    path = fresh(spark, "csv")
+    _flat(spark, sf).select("url", "title", "description").write.option("header", True).option("escape", '"').csv(path)
+    return files.read_csv(spark, path)
+
+
+@query(f"WITH {_FLAT} SELECT url, {sql_text('keywords')} AS keywords, {sql_text('categories')} AS categories, {sql_text('themes')} AS themes FROM flat")
+def s05_split_json(spark, sf):
+    """The catalogue written as lines of split JSON and read again."""
+    path = fresh(spark, "split")
+    files.write_split_json(_flat(spark, sf), path, "url")
+    rows = files.read_split_json(spark, path, ["keywords", "themes", "categories"], lines=True)
+    return rows.select("url", *(text_of(c).alias(c) for c in ("keywords", "themes", "categories")))
+
+
+@query(f"WITH {_FLAT} SELECT url, description, {sql_text('keywords')} AS keywords, {sql_text('categories')} AS categories FROM flat")
+def s06_literal_lists(spark, sf):
+    """The catalogue as CSV whose lists are written as Python has them."""
+    path = fresh(spark, "literal")
+    shown = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]")).alias(c)
+    _flat(spark, sf).select("url", "description", shown("keywords"), shown("categories")).write.option("header", True).option("escape", '"').csv(path)
+    rows = files.read_literal_lists(spark, path, ["keywords", "categories"])
+    return rows.select("url", "description", *(text_of(c).alias(c) for c in ("keywords", "categories")))
+
+
 # ---------------------------------------------------------------- stores
 
 #: A change of the documents: some texts are longer, some documents go.
@@ -197,6 +235,13 @@ def h02_live_facets(spark, sf):
     return _filtered(spark, sf)[1]
 
 
+@query(f"SELECT query, nth, 'Document ' || id AS title, '{APP}dataset_detail?source=' || id AS page FROM ({ORACLE_SQL['v11_search']})")
+def l13_search_tool(spark, sf):
+    """A whole search as an assistant's tool gives it: titles and detail pages."""
+    found = QUERIES["v11_search"](spark, sf)
+    return service.titles_and_pages(found.select("query", "nth", F.concat(F.lit("Document "), "id").alias("title"), F.col("id").alias("url")), APP)
+
+
 # ---------------------------------------------------------------- evaluation
 
 _MODELS, _YES_NO = {"large": "of and", "small": "der"}, ("yes", "no")
