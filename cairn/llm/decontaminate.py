@@ -51,7 +51,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, sh
 
     A null or wordless text has no words and no hits; items without words or without an id are in no
     document.  Repeated rows and repeated or null doc_ids are judged row by row.  Equal windows of
-    several items count for each of them.  Other columns are ignored.
+    several items count for each of them.  Other columns are ignored.  Shingles that are equally rare go by their words, which
+    changes no result; texts of any length are searched whole; an empty table gives no row, and without items nothing is hit.
     """
     windows, parts = item_windows(benchmark.select("item_id", "text"), window, shingle)
     windows, parts = staged(windows, "bench-windows"), staged(parts, "bench-shingles")

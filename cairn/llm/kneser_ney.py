@@ -492,6 +492,7 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     The model learns from the rows that are not held out, repeated ones as often as they occur.  A null or
     empty text is its end token alone.  Without training rows every probability is uniform over
     the unknown word.  Other columns are ignored.  A very long text is scored whole, in one task.
+    An empty table gives no row.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = train(docs.where(~held_out(F.col("doc_id"))), order)
