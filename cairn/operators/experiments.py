@@ -62,13 +62,17 @@ class ExperimentLog:
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.store = Store(spark, folder, {"runs": Table(("run",), ("run",)), "queries": Table(("run",), ("run", "query"))})
+        self.store = Store(spark, folder, {"results": Table(("run",), ("run", "query", "nth")), "queries": Table(("run",), ("run", "query")), "runs": Table(("run",), ("run",))})
 
-    def log(self, grid: DataFrame, metrics: DataFrame, results: DataFrame) -> int:
+    def log(self, grid: DataFrame, results: DataFrame, judgments: DataFrame, k: int = 10) -> int:
+        """Write the results of the runs of a grid, and what follows from them; the results are made once."""
         params = F.create_map(*(x for c in grid.columns if c != "run" for x in (F.lit(c), F.col(c).cast("string"))))
-        runs = grid.select("run", params.alias("params")).join(macro_of_runs(metrics), "run")
-        lists = results.groupBy("run", "query").agg(F.sort_array(F.collect_list(F.struct("nth", "id", "score"))).alias("found"))  # k rows at most
-        tables = {"runs": runs, "queries": metrics.join(lists, ["run", "query"], "left")}
+
+        def queries(made: dict) -> DataFrame:
+            lists = made["results"].groupBy("run", "query").agg(F.sort_array(F.collect_list(F.struct("nth", "id", "score"))).alias("found"))  # k rows of a run at most
+            return grid_metrics(made["results"], grid, judgments, k).join(lists, ["run", "query"], "left")
+
+        tables = {"results": results, "queries": queries, "runs": lambda made: grid.select("run", params.alias("params")).join(macro_of_runs(made["queries"]), "run")}
         return self.store.commit(tables, grid.select("run") if self.store.exists() else None)
 
     def read(self, name: str) -> DataFrame:

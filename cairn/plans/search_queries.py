@@ -275,7 +275,7 @@ _GRID_SQL = f"""toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L
 
 
 def _grid(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(grid, results, metrics) of all 96 settings of a search over the items."""
+    """(grid, results, judgments) of all 96 settings of a search over the items."""
     from pyspark.sql import Window
 
     items = _items(spark, sf)
@@ -294,13 +294,14 @@ def _grid(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     d = F.col("doc_id")
     judged = table(spark, sf, "labels").where("quality = 1").join(F.broadcast(places), d % n == F.col("place"))
     judgments = judged.select("query", d.cast("string").alias("url"), (d % 4 + 1).cast("int").alias("ranking"))
-    return grid, results, experiments.grid_metrics(results, grid, judgments)
+    return grid, results, judgments
 
 
 @query(f"WITH {_GRID_SQL} SELECT run, query, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(mrr, 6) AS mrr, results FROM m")
 def e06_grid(spark, sf):
     """All settings of the grid over a whole search, each retrieval made once."""
-    rows = _grid(spark, sf)[2]
+    grid, results, judgments = _grid(spark, sf)
+    rows = experiments.grid_metrics(results, grid, judgments)
     return rows.select("run", "query", *(F.round(c, 6).alias(c) for c in ("ndcg", "recall", "mrr")), "results")
 
 
@@ -309,9 +310,9 @@ def e06_grid(spark, sf):
  SELECT run, mode, macro.ndcg AS run_ndcg, macro.recall AS run_recall, macro.mrr AS run_mrr, query, round(m.ndcg, 6) AS ndcg, coalesce(found, '') AS found FROM m JOIN macro USING (run) JOIN runs USING (run) LEFT JOIN lists USING (run, query)""")
 def s21_experiment_log(spark, sf):
     """The grid written as runs with parameters and metrics, with their queries and results, and read back."""
-    grid, results, metrics = _grid(spark, sf)
+    grid, results, judgments = _grid(spark, sf)
     log = experiments.ExperimentLog(spark, fresh(spark, "experiments"))
-    log.log(grid, metrics, results)
+    log.log(grid, results, judgments)
     runs = log.read("runs").select("run", F.col("params")["mode"].alias("mode"), *(F.round(c, 6).alias(f"run_{c}") for c in ("ndcg", "recall", "mrr")))
     queries = log.read("queries").select("run", "query", F.round("ndcg", 6).alias("ndcg"), F.coalesce(F.array_join("found.id", ","), F.lit("")).alias("found"))
     return runs.join(queries, "run")
