@@ -72,6 +72,7 @@ _PATTERN = re.compile(
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d))"
     r"|(?P<ipv4>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))"
 )
+_DIGIT = re.compile("[0-9]")
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])(?P<email>[A-Za-z0-9._%+-]+)@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 
 
@@ -251,7 +252,7 @@ class Pseudonymizer:
             if changes:
                 found["email"] = len(changes)
 
-        at = 0
+        at = 0 if _DIGIT.search(open_) else len(open_)  # all other kinds have digits
         while m := _PATTERN.search(open_, at):
             kind = next(k for k in KINDS if k in m.re.groupindex and m[k] is not None)
             at = m.end()
