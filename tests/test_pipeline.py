@@ -111,6 +111,19 @@ def test_chunks_and_batches(spark):
     assert batches == [i // 32 for i in range(70)]
 
 
+def test_batches_hold_all_rows_whatever_ranges_are_put_together(spark):
+    """Counts and rows have ranges of other sizes in bytes, which Spark puts together in other ways."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        rows = spark.range(3000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("wide")).repartition(4)
+        got = sorted((r["id"], r["batch"]) for r in ingest.batches(rows, "id").collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    assert got == [(i, i // 32) for i in range(3000)]
+
+
 def test_commas_and_rerank(spark):
     words = spark.createDataFrame([("1", ["a, b", "c"])], "url string, keywords array<string>")
     cache = spark.createDataFrame([("a, b", ["a", "b"])], "word string, parts array<string>")
