@@ -3,6 +3,7 @@
 import csv
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,13 @@ def test_split_json_round_trip(spark, tmp_path, size):
         assert back.count() == len(rows)
 
 
+def test_rows_of_split_json_do_not_carry_their_object(spark, tmp_path):
+    files.write_split_json(spark.range(3).select(F.col("id").cast("string").alias("url"), F.lit("t").alias("title")), f"{tmp_path}/s", "url")
+    plan = files.read_split_json(spark, f"{tmp_path}/s", [], lines=True)._jdf.queryExecution().optimizedPlan().toString()
+    carried = next(line for line in plan.splitlines() if "Generate explode" in line)
+    assert re.search(r"\), \[\d+\], false, \[r#\d+\]", carried), carried  # the column below is dropped
+
+
 def test_numbers_in_split_json(spark):
     table = spark.createDataFrame([("a", 1, 2.5, True), ("b", None, None, None)], "k string, n int, x double, f boolean")
     assert json.loads(files.as_split_json(table, "k").first()["value"]) == {"columns": ["k", "n", "x", "f"], "index": [0, 1], "data": [["a", 1, 2.5, True], ["b", None, None, None]]}
