@@ -113,14 +113,15 @@ def test_chunks_and_batches(spark):
 
 def test_batches_hold_all_rows_whatever_ranges_are_put_together(spark):
     """Counts and rows have ranges of other sizes in bytes, which Spark puts together in other ways."""
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    settings = {"advisoryPartitionSizeInBytes": "64k", "coalescePartitions.minPartitionSize": "1k", "coalescePartitions.parallelismFirst": "false"}
+    for name, value in settings.items():
+        spark.conf.set(f"spark.sql.adaptive.{name}", value)
     try:
         rows = spark.range(3000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("wide")).repartition(4)
         got = sorted((r["id"], r["batch"]) for r in ingest.batches(rows, "id").collect())
     finally:
-        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+        for name in settings:
+            spark.conf.unset(f"spark.sql.adaptive.{name}")
     assert got == [(i, i // 32) for i in range(3000)]
 
 
