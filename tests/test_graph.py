@@ -39,3 +39,11 @@ def test_values_become_rows_in_many_tasks(spark):
     rows = spark.range(0, 500, numPartitions=1).select(F.col("id").cast("string").alias("url"), F.lit("p").alias("provider"), F.array(F.lit("a b"), F.lit("A b")).alias("keywords"), *(none.alias(c) for c in ("themes", "categories", "spatial_coverage", "temporal_coverage")))
     edges = graph.metadata_edges(rows.union(rows))
     assert edges.count() == 1000 and edges.rdd.getNumPartitions() >= graph.EDGE_PARTS
+
+
+def test_a_class_is_linked_with_its_first(spark):
+    rows = [(f"u{i:02d}", "t" if i % 3 else None, f"p{i % 2}") for i in range(40)] + [("alone", "x", "y")]
+    table = spark.createDataFrame(rows, "url string, title string, provider string")
+    got = sorted((r["a"], r["b"]) for r in graph.to_representative(table, table.select("url"), ["title", "provider"]).collect())
+    classes = [sorted(u for u, t, p in rows if t == "t" and p == own) for own in ("p0", "p1")]
+    assert got == sorted((u, c[1] if u == c[0] else c[0]) for c in classes for u in c)  # one link for each, not all pairs
