@@ -299,3 +299,29 @@ def test_graph_constraints(spark, tmp_path):
     made.delete(spark.createDataFrame([("u01",)], "url string"))
     assert bag(made.read("edges")) == Counter({r: n for r, n in state.items() if r[0] != "u01"})
     assert bag(graph.nodes(made.read("edges")).where("node_label = 'Dataset'")) == Counter([("Dataset", "u02"), ("Dataset", "u03")])
+
+
+def test_a_task_gives_the_best_of_its_pages_only(spark):
+    """Rows that leave a task are k for each query, and those that are level, however many documents have its words."""
+    import numpy as np
+    import pyarrow as pa
+
+    from cairn.operators.bm25_index import _page_scores
+
+    def batches():
+        for page in range(50):
+            n = 256
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int16()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            columns = ([0], [page], [0], [0.5], [[1, 2]], [list(range(n))], [[1 + (page * n + i) % 9000 for i in range(n)]], [[10_000] * n])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [f"c{i}" for i in range(8)])
+
+    got = pa.Table.from_batches(list(_page_scores(7, 1.5, 0.75, 10_000.0, False)(batches())))
+    assert sorted(got.column("nr").to_pylist()) == [1] * 7 + [2] * 7
+    assert np.ptp(got.column("score").to_numpy()) < 1e-3
+
+
+def test_more_level_documents_than_are_asked_for(spark, tmp_path):
+    docs = {f"d{i:04d}": "same words here" for i in range(700)} | {"other": "words"}
+    made = Bm25Index(spark, f"file://{tmp_path}/i").build(as_docs(spark, docs))
+    for prune in (True, False):
+        assert top(made, {"q": "same", "p": "words"}, k=3, prune=prune) == plain_bm25(docs, {"q": "same", "p": "words"}, 3)
