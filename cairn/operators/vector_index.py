@@ -1,7 +1,7 @@
 """An inverted file of vectors: every vector in the list of its nearest centre, searched in the lists nearest to a query.
 
-Centres are fitted on a bounded sample, as is the number of lists to look into for a recall; every vector is indexed.  Vectors of a list lie in packed blocks of a Parquet table,
-sorted by list, so that a search reads blocks, not rows.  Scores are exact cosines; what may be missing are neighbours in lists
+Centres are fitted on a bounded sample, as is the number of lists to look into for a recall; every vector is indexed.  Vectors lie in packed blocks of a Parquet table,
+sorted by list, each with the number of its list, so that a search reads blocks, not rows.  Scores are exact cosines; what may be missing are neighbours in lists
 that a query does not look into.  With as many probes as lists the result is that of an exact search.
 """
 
@@ -9,16 +9,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn import ship
-from cairn.sources.store import Store, Table
+from cairn.operators.retrieval import DIGITS, best_of_pairs, block_rows, unit
+from cairn.sources.store import Store, Table, kept_rows
 
-#: Vectors of the sample that centres are fitted on, steps of fitting, and vectors of a packed block.
-SAMPLE, STEPS, BLOCK = 100_000, 12, 512
+#: Vectors of the sample that centres are fitted on, and steps of fitting.
+SAMPLE, STEPS = 100_000, 12
 #: Lists for each root of the number of vectors, and lists at most: their centres are a literal of every task.
 LISTS_PER_ROOT, MOST_LISTS = 2.0, 16_384
+_BLOCKS = "lists array<int>, ids array<string>, matrix binary"
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -69,6 +72,19 @@ def probes_for(sample: np.ndarray, c: np.ndarray, recall: float, near: int = 10,
     return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1
 
 
+def _assigned(fitted: np.ndarray):
+    """A function from rows (id, v, and what follows) to (list, id, v as bytes of a unit vector, and what follows)."""
+
+    def assign(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = unit(batch.column(1))
+                more = batch.columns[2:]
+                yield pa.RecordBatch.from_arrays([pa.array(_nearest_centres(x, fitted, 1)[0][:, 0], pa.int32()), batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), *more], ["list", "id", "v", "more"][: 3 + len(more)])
+
+    return assign
+
+
 class VectorIndex:
     """An index of vectors (key, embedding) in a folder."""
 
@@ -90,89 +106,78 @@ class VectorIndex:
         probes = probes_for(taken, fitted, recall) if len(taken) else 0
         lists = len(fitted)
 
-        def assign(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    x = _unit(np.array(batch.column(1).to_pylist(), np.float64))
-                    yield pa.RecordBatch.from_arrays([pa.array(_nearest_centres(x, fitted, 1)[0][:, 0]), batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["list", "id", "v"])
-
         def pack(batches):
-            held: list = [None, [], []]
+            held: list = [[], [], []]
 
             def block():
-                return pa.RecordBatch.from_pydict({"list": pa.array([held[0]], pa.int64()), "ids": pa.array([held[1]], pa.list_(pa.string())), "matrix": pa.array([b"".join(held[2])], pa.binary())})
+                names = np.array(held[1])
+                order = np.argsort(names, kind="stable")
+                return pa.RecordBatch.from_pydict({"lists": pa.array([np.array(held[0])[order]], pa.list_(pa.int32())), "ids": pa.array([names[order].tolist()], pa.list_(pa.string())), "matrix": pa.array([b"".join(held[2][i] for i in order)], pa.binary())})
 
             for batch in batches:
-                for number, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if held[1] and (number != held[0] or len(held[1]) >= BLOCK):
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    for own, x in zip(held, row, strict=True):
+                        own.append(x)
+                    if len(held[1]) >= size:
                         yield block()
-                        held[1], held[2] = [], []
-                    held[0] = number
-                    held[1].append(i)
-                    held[2].append(v)
+                        held = [[], [], []]
             if held[1]:
                 yield block()
 
+        size = block_rows(fitted.shape[1] if lists else 1)
         if lists:
-            placed = rows.mapInArrow(assign, "list long, id string, v binary")
+            placed = rows.mapInArrow(_assigned(fitted), "list int, id string, v binary")
             # by list and id, so that a list with a third of all vectors lies in many partitions
-            packed = placed.repartitionByRange("list", "id").sortWithinPartitions("list", "id").mapInArrow(pack, "list long, ids array<string>, matrix binary")
+            packed = placed.repartitionByRange("list", "id").sortWithinPartitions("list", "id").mapInArrow(pack, _BLOCKS)
         else:
-            packed = self.spark.createDataFrame([], "list long, ids array<string>, matrix binary")
+            packed = self.spark.createDataFrame([], _BLOCKS)
         self.store.commit({"lists": packed}, facts={"centres": fitted.tolist(), "vectors": n, "probes": probes})
         return self
 
-    def nearest(self, queries: DataFrame, vectors: DataFrame | None, k: int, key: str = "id", vector: str = "embedding", digits: int | None = None, own_k: str | None = None, probes: int | None = None) -> DataFrame:
+    def nearest(self, queries: DataFrame, vectors: DataFrame | None, k: int, key: str = "id", vector: str = "embedding", digits: int | None = None, own_k: str | None = None, probes: int | None = None, floor: float = -2.0) -> DataFrame:
         """(query, id, score, nth) as retrieval.nearest, from the lists whose centres are nearest to each query.
 
         probes is the number of lists that a query looks into, by default that fitted to the recall.  vectors is not read: the index has
-        them.
+        them.  Queries of one list lie together in blocks, and a block meets those of the index that have a list which one of its
+        queries looks into; no vector is sent once for each list.
         """
         record = self.store.record()
         fitted = np.array(record.facts["centres"])
         lists = self.store.read("lists", record.number)
-        asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("query"), F.col(vector).cast("array<double>").alias("v"), (F.col(own_k).cast("int") if own_k else F.lit(0)).alias("more"))
         if not len(fitted):
             return self.spark.createDataFrame([], "query string, id string, score double, nth int")
-        probes = min(len(fitted), probes or record.facts["probes"])
+        probes, digits = min(len(fitted), probes or record.facts["probes"]), DIGITS if digits is None else digits
+        asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(own_k).cast("int") if own_k else F.lit(0)).alias("more"))
+        placed = asked.mapInArrow(_assigned(fitted), "list int, id string, v binary, more int").repartitionByRange("list", "id").sortWithinPartitions("list", "id")
+        size = block_rows(fitted.shape[1])
 
         def probe(batches):
+            nr = TaskContext.get().partitionId() << 32
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = _unit(np.array(batch.column(1).to_pylist(), np.float64))
-                near = _nearest_centres(x, fitted, probes)[0]
-                by: dict[int, list[int]] = {}
-                for i, own in enumerate(near.tolist()):
-                    for number in own:
-                        by.setdefault(number, []).append(i)
-                ids, more = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-                for number, rows in by.items():
-                    for lo in range(0, len(rows), BLOCK):
-                        part = rows[lo : lo + BLOCK]
-                        yield pa.RecordBatch.from_pydict(
-                            {"list": pa.array([number], pa.int64()), "q_ids": pa.array([[ids[i] for i in part]], pa.list_(pa.string())), "more": pa.array([[more[i] for i in part]], pa.list_(pa.int32())), "q": pa.array([x[part].tobytes()], pa.binary())}
-                        )
-
-        def best(batches):
-            for batch in batches:
-                out = [[], [], []]
-                for q_ids, more, q, ids, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    scores = np.frombuffer(q).reshape(len(q_ids), -1) @ np.frombuffer(m).reshape(len(ids), -1).T
-                    scores = scores if digits is None else np.round(scores, digits)
-                    order = np.argsort(np.array(ids), kind="stable")
-                    for i, own in enumerate(scores):
-                        top = order[np.argsort(-own[order], kind="stable")[: k + more[i]]]
-                        out[0] += [q_ids[i]] * len(top)
-                        out[1] += [ids[j] for j in top]
-                        out[2] += own[top].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["query", "id", "score"])
-
-        probed = asked.mapInArrow(probe, "list long, q_ids array<string>, more array<int>, q binary")
-        found = probed.join(lists, "list").select("q_ids", "more", "q", "ids", "matrix").mapInArrow(best, "query string, id string, score double")
+                for lo in range(0, batch.num_rows, size):
+                    part = batch.slice(lo, size)
+                    q = b"".join(part.column(2).to_pylist())
+                    bits = np.zeros((part.num_rows, len(fitted)), bool)
+                    np.put_along_axis(bits, _nearest_centres(np.frombuffer(q).reshape(part.num_rows, -1), fitted, probes)[0], True, 1)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "nr": pa.array([nr]),
+                            "q_ids": pa.array([part.column(1).to_pylist()], pa.list_(pa.string())),
+                            "more": pa.array([part.column(3).to_pylist()], pa.list_(pa.int32())),
+                            "q": pa.array([q], pa.binary()),
+                            "bits": pa.array([np.packbits(bits, axis=1).tobytes()], pa.binary()),
+                            "probed": pa.array([np.flatnonzero(bits.any(axis=0))], pa.list_(pa.int32())),
+                        }
+                    )
+                    nr += 1
+
+        one = kept_rows(placed.mapInArrow(probe, "nr long, q_ids array<string>, more array<int>, q binary, bits binary, probed array<int>"), "query-blocks")
+        pairs = one.crossJoin(lists).where(F.arrays_overlap("probed", "lists"))  # of blocks
+        found = pairs.select("nr", "q_ids", "more", "q", "ids", "matrix", "bits", "lists").mapInArrow(best_of_pairs(k, digits, floor, lists=True), "query string, id string, score double")
         found = found.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")))
         if own_k:
-            return found.join(asked.select("query", "more"), "query").where(F.col("nth") <= k + F.col("more")).drop("more")
+            limits = one.select(F.explode(F.arrays_zip("q_ids", "more")).alias("x")).select(F.col("x.q_ids").alias("query"), F.col("x.more").alias("more"))
+            return found.join(limits, "query").where(F.col("nth") <= k + F.col("more")).drop("more")
         return found.where(F.col("nth") <= k)
 
 
