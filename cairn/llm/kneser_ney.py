@@ -32,14 +32,15 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import U64, WordHashes, document_groups, file_system, fresh_path, mixed, release, staged, unstage, word_hashes
+from cairn.llm.common import U64, document_groups, file_system, fresh_path, lower_hashes, mixed, release, staged, unstage
 
 #: Stands for the end of a text; no word contains a line feed.
-END = b"\n</s>"
+END = U64(xxhash.xxh3_64_intdigest(b"\n</s>"))
 #: Words of the longest grams.
 ORDER = 3
 #: Text bytes for each bucket of words and of grams, and the bound of their number.
@@ -74,7 +75,7 @@ def _merged(keys: np.ndarray, ids: np.ndarray, values: np.ndarray) -> tuple[np.n
     """Distinct keys in order, with a column of ids and the sums of the columns of values for each."""
     if not len(keys):
         return keys, ids, values
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # rows of one key have the same ids, so any order of them does
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], ids[:, order[first]], np.add.reduceat(values[:, order], first, axis=1)
@@ -101,8 +102,12 @@ class _Held:
         self.bits, self.pack, self.parts, self.n = bits, pack, [], 0
 
     def add(self, keys: np.ndarray, ids: np.ndarray):
-        keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
-        self.parts.append((keys, ids[:, at], counts[None]))
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        counts = np.diff(first, append=len(keys))
+        keys = keys[first]
+        self.parts.append((keys, ids[:, order[first]], counts[None]))
         self.n += len(keys)
         if self.n > HELD_KEYS:
             yield from self.emit()
@@ -255,9 +260,9 @@ def _key(ids: np.ndarray) -> np.ndarray:
 class _Sequences:
     """Tokens of a group of texts, and the same with order - 1 begins before each text."""
 
-    def __init__(self, texts, seen, words: _Words, order: int):
-        hashes, at = word_hashes(texts, seen, lower=True)
-        hashes = np.insert(hashes, at[1:], U64(seen[END]))
+    def __init__(self, texts, words: _Words, order: int):
+        hashes, at = lower_hashes(texts)
+        hashes = np.insert(hashes, at[1:], END)
         #: Where each text begins among the tokens, and how many it has.
         self.first = at[:-1] + np.arange(len(texts))
         self.sizes = np.diff(np.append(self.first, len(hashes)))
@@ -277,10 +282,9 @@ class _Sequences:
 
 def _word_counter(bits: int):
     def count(batches):
-        seen, held = WordHashes(), _Held(bits, lambda keys, _, counts: _pack(keys, *counts))
+        held = _Held(bits, lambda keys, _, counts: _pack(keys, *counts))
         for _, texts in document_groups(batches):
-            hashes, _ = word_hashes(texts, seen, lower=True)
-            hashes = np.concatenate([hashes, np.full(len(texts), seen[END], U64)])
+            hashes = np.concatenate([lower_hashes(texts)[0], np.full(len(texts), END)])
             yield from held.add(hashes, np.zeros((0, len(hashes)), np.uint32))
         yield from held.emit()
 
@@ -317,9 +321,9 @@ def _word_writer(folder: str):
 
 def _gram_counter(folder: str, order: int, word_bits: int, sizes: list, bits: int):
     def count(batches):
-        words, seen, held = _Words(folder, word_bits, sizes), WordHashes(), _Held(bits, lambda _, ids, counts: _packed(ids, counts))
+        words, held = _Words(folder, word_bits, sizes), _Held(bits, lambda _, ids, counts: _packed(ids, counts))
         for _, texts in document_groups(batches):
-            own = _Sequences(texts, seen, words, order)
+            own = _Sequences(texts, words, order)
             grams = np.stack([own.ids[own.place - k] for k in range(order - 1, -1, -1)])
             yield from held.add(_key(grams), grams)
         yield from held.emit()
@@ -431,35 +435,39 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
 
 class _Scorer:
     def __init__(self, model: Model):
-        self.model, self.seen = model, WordHashes()
+        self.model = model
         self.words = _Words(model.folder, model.bits, model.words)
         self.levels = {k: _Level(model.folder, k, model.columns(k), model.bits, model.sizes[k]) for k in range(1, model.order + 1)}
 
     def score(self, texts: list) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of each text."""
         m = self.model
-        own = _Sequences(texts, self.seen, self.words, m.order)
+        own = _Sequences(texts, self.words, m.order)
         single = _key(own.distinct[None])
         order = np.argsort(single)
-        rows = np.empty((5, len(single)), np.int64)
-        rows[:, order] = self.levels[1].rows(single[order])
-        keys, rows = single[own.which], rows[:, own.which]
+        distinct, which = np.empty((5, len(single)), np.int64), own.which
+        distinct[:, order] = self.levels[1].rows(single[order])
+        keys = single[which]
         outside = 1 / (m.vocabulary + 1)
         p = np.full(len(own.place), outside)
         if m.pairs:
-            count = rows[0, own.place]
+            count = distinct[0][which[own.place]]
             p = np.maximum(count - np.array([0.0, *m.discounts[1]])[np.minimum(count, 3)], 0) / m.pairs + m.low_mass / m.pairs * outside
         for level in range(2, m.order + 1):
-            before, after = rows[1:, own.place - 1], own.ids[1:]
-            keys = np.append(keys[:1], _longer(keys[:-1], after))  # a key across two texts is at no token
-            at = own.place if level == m.order else np.arange(len(keys))
-            distinct, inverse = np.unique(keys[at], return_inverse=True)
-            rows = self.levels[level].rows(distinct)[:, inverse]
-            count = rows[0] if level == m.order else rows[0, own.place]
             d = np.array([0.0, *m.discounts[level]])
-            total = np.maximum(before[0], 1)
-            rest = (d[1] * before[1] + d[2] * before[2] + d[3] * before[3]) / total
-            p = np.where(before[0] > 0, np.maximum(count - d[np.minimum(count, 3)], 0) / total + rest * p, p)
+            # of each context once: its total, and what is left for shorter grams
+            total = np.maximum(distinct[1], 1)
+            rest = (d[1] * distinct[2] + d[2] * distinct[3] + d[3] * distinct[4]) / total
+            total = np.where(distinct[1] > 0, total, 0).astype(np.float64)
+            before = which[own.place - 1]
+            total, rest = total[before], rest[before]
+            keys = np.append(keys[:1], _longer(keys[:-1], own.ids[1:]))  # a key across two texts is at no token
+            at = own.place if level == m.order else np.arange(len(keys))
+            longer, which = np.unique(keys[at], return_inverse=True)
+            distinct = self.levels[level].rows(longer)
+            count = distinct[0][which if level == m.order else which[own.place]]
+            seen = total > 0
+            p = np.where(seen, np.maximum(count - d[np.minimum(count, 3)], 0) / np.where(seen, total, 1.0) + rest * p, p)
         base = np.log10((own.counts + 1) / (m.tokens + m.vocabulary + 1))
         add = lambda x: np.add.reduceat(x, own.first)
         return own.sizes, add((own.counts > 0).astype(np.int64)), add(base), add(np.log10(p))

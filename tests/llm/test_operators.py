@@ -523,6 +523,21 @@ def test_wavelet_matrix():
 # ---------------------------------------------------------------- 6
 
 
+def test_hashes_of_lower_cased_words():
+    """op6: equal words, and no others, have equal hashes, wherever they lie and however long they are."""
+    from cairn.llm.common import WordHashes, lower_hashes, word_hashes
+
+    r = random.Random(8)
+    long = "Ab" * 200_000
+    texts = [" ".join(r.choice(["a", "A", "é", "É", "aa", "b\x0ba", "x-1", "\u00a0", "zz\t"]) for _ in range(r.randint(0, 40))) for _ in range(300)]
+    texts = [None, "", " \n ", long, *texts, f" {long.lower()} x ", "y" * 300_000]
+    encoded = [t.encode() if t else None for t in texts]
+    (one, at), (two, where) = word_hashes(encoded, WordHashes(), lower=True), lower_hashes(encoded)
+    assert at.tolist() == where.tolist() and len(one) == len(two)
+    assert len(set(zip(one.tolist(), two.tolist()))) == len(set(one.tolist())) == len(set(two.tolist()))
+    assert lower_hashes([])[1].tolist() == [0] and lower_hashes([None])[1].tolist() == [0, 0]
+
+
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_kneser_ney(spark, docs, rows, order):
     from cairn.llm.kneser_ney import discounts, score_texts
