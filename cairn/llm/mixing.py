@@ -6,36 +6,35 @@ add up to t.  A block is released when the fluid mix begins it and due when it h
 slots; of the released blocks the one with the earliest deadline takes each slot.  This meets every deadline, so
 that at any slot each source is less than one block from its exact share, and every document has its place.
 
-Weights are whole numbers of 2**-40 of their sum, and at most `most_blocks` blocks are scheduled: blocks have
-block_docs documents, or more where there are more documents, so that the products stay within 64 bits and the
-schedule, a fold over its slots in one row, stays bounded however large the corpus is.  Beyond most_sources blocks
-are sorted by virtual deadline instead, which needs no table of sources in one place: no source is ever a block
-behind, but it may be ahead by its share of one block for each source.
-
-A document's rank in its source comes from the MD5 of its id: sources are cut into bins of that hash,
-counts of bins give offsets, and only rows of one bin are sorted together, so that a source with a third
-of all rows is ranked by many tasks.
+This is one rule for any number of sources and blocks, and all of it is sorted, joined and summed as rows.  The slot at
+which the fluid mix has k blocks of a source needs what ran out before: sums over all blocks in the order of k / weight.
+Earliest deadline first gives each block, in the order of deadlines, the first slot from its release on that no earlier one
+has.  Which slots the earliest blocks take together does not depend on their order, so it follows from how many are
+released up to each slot.  A round cuts the order of deadlines into WAYS classes, finds the slots of each, and the next one
+does the same inside each class, with its own slots only, until a class is one block.
+
+Weights are whole numbers of 2**-40 of their sum.  A document's rank in its source comes from the MD5 of its id: sources are
+cut into bins of that hash, counts of bins give offsets, and only rows of one bin are sorted together, so that a source with a
+third of all rows is ranked by many tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import staged, unstage
 
-MOST_SOURCES = 1024
-MOST_BLOCKS = 1 << 18
 BIN_ROWS = 4096
 #: Weights in whole parts of this.
 PARTS = 1 << 40
-#: Slots of an inner fold; the outer one puts their results together.
+#: Blocks of a source that one row is exploded to.
 FRAME = 1024
-_NEVER = (1 << 63) - 1
-#: Hexadecimal digits of a source's number.
-_DIGITS = 3
+#: Classes of deadlines in a round, and slots whose sums are taken in one task.
+WAYS = 16
+CHUNK = 1 << 14
 
 
 def source_key(column: str = "source"):
@@ -67,143 +66,122 @@ def _ranked(rows: DataFrame, total: int) -> DataFrame:
     return ranked.join(bins, ["key", "bin"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once."""
-    return F.get(F.transform(F.array(value), use), 0)
+def _quotient(a: str, b: str, names: list[str]) -> list[str]:
+    """SQL of five whole numbers that sort as a / b does, exactly, for 0 <= a < 2**41 and 0 < b <= 2**40: its parts by powers of 2**22."""
+    out, rest = [f"{a} div {b} AS {names[0]}"], f"({a} % {b})"
+    for name in names[1:]:  # two different quotients differ by 2**-80 at least
+        out.append(f"{rest} * {1 << 22} div {b} AS {name}")
+        rest = f"({rest} * {1 << 22} % {b})"
+    return out
 
 
-def _next(state: Column, value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), a state like the given one, with value computed once; unlike _let, it does not copy the result."""
-    return F.aggregate(F.array(value), state, lambda _, x: use(x))
+def _scanned(rows: DataFrame, order: list[str], sums: list[str], name: str) -> DataFrame:
+    """rows with their number in an order that tells them apart, and for each of sums its sum over the rows before.
 
+    Rows are dealt by ranges of the order; only the totals of the ranges meet.
+    """
+    parts = staged(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+    totals = parts.groupBy("part").agg(F.expr("count(*) AS number"), *(F.expr(f"sum({c}) AS {c}") for c in sums))
+    ranges = "OVER (PARTITION BY 0 ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"  # one row for each partition
+    totals = totals.selectExpr("part", *(f"coalesce(sum({c}) {ranges}, 0L) AS all_{c}" for c in ["number", *sums]))
+    here = f"OVER (PARTITION BY part ORDER BY {', '.join(order)}"
+    own = [f"row_number() {here}) - 1 AS number", *(f"coalesce(sum({c}) {here} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS {c}_before" for c in sums)]
+    scanned = parts.selectExpr("*", *own).join(F.broadcast(totals), "part")
+    return scanned.selectExpr(*rows.columns, "number + all_number AS number", *(f"{c}_before + all_{c} AS {c}_before" for c in sums))
 
-def _div(a, b) -> Column:
-    return F.call_function("div", a, b)
-
-
-def _quotient(a: Column, b: Column) -> list[Column]:
-    """a / b as whole numbers that sort as it does, exactly, for 0 <= a < 2**41 and 0 < b <= 2**40: its parts by powers of 2**22."""
-    digits, rest = [_div(a, b)], a % b
-    for _ in range(4):  # two different quotients differ by 2**-80 at least
-        digits.append(_div(rest * (1 << 22), b))
-        rest = (rest * (1 << 22)) % b
-    return digits
-
-
-def _moment(sources: Column, share: Column, k: Column) -> Column:
-    """Struct of floor (low) and ceiling (high) of the slot at which the fluid mix has k blocks of a source."""
-    phase = F.array_position(F.transform(sources, lambda s: k * s["share"] <= s["blocks"] * share), F.lit(True))
-
-    def slot(s: Column) -> Column:
-        return F.struct((s["done"] + _div(k * s["active"], share)).alias("low"), (s["done"] + _div(k * s["active"] + share - 1, share)).alias("high"))
-
-    return _let(F.get(sources, (phase - 1).cast("int")), slot)
 
+def _windows(sources: DataFrame, shares: int) -> DataFrame:
+    """(key, block, release, deadline, number) of all blocks of sources (key, share, blocks), numbered by deadline; shares is their sum.
 
-def schedule(weighed: DataFrame, block_docs: int) -> DataFrame:
-    """(key, block, release, deadline, slot) of all blocks from (key, n, weight), in one row until it is exploded.
-
-    Sources are in the order in which they run out: when the first ones have, `done` is the number of their blocks and
-    `active` the sum of the others' shares.  Both are window sums over rows of sources.
+    Of equal deadlines that of the source which would run out first comes first, then that of the smaller key.
     """
-    none = F.lit(0).cast("long")
-    # in the order of the keys, so that the sum is the same in every run
-    ordered = F.sort_array(F.collect_list(F.struct("key", "weight")))
-    total = weighed.agg(F.aggregate(ordered, F.lit(0.0), lambda s, x: s + x["weight"])).first()[0] or 1.0
-    rows = weighed.select("key", F.greatest(F.lit(1).cast("long"), F.round(F.col("weight") / F.lit(total) * PARTS).cast("long")).alias("share"), _div(F.col("n") + block_docs - 1, F.lit(block_docs).cast("long")).alias("blocks"))
-    # one row for each source, most_sources at most; the sums are taken over rows, and the row of sources is put together from them
-    order = Window.partitionBy(F.lit(0)).orderBy(*_quotient(F.col("blocks"), F.col("share")), "key")
-    rows = rows.withColumns({"done": F.coalesce(F.sum("blocks").over(order.rowsBetween(Window.unboundedPreceding, -1)), none), "active": F.sum("share").over(order.rowsBetween(0, Window.unboundedFollowing)), "nth": F.row_number().over(order)})
-    one = rows.agg(F.sort_array(F.collect_list(F.struct("nth", "key", "share", "blocks", "done", "active"))).alias("sources"), F.coalesce(F.sum("blocks"), none).alias("slots"))
-    one = staged(one.where(F.size("sources") > 0).select(F.transform("sources", lambda x: x.dropFields("nth")).alias("sources"), "slots"), "mix-sources")
-
-    sources = F.col("sources")
-    first, second = F.lit(1).cast("long"), F.lit(2).cast("long")
-
-    def put(array: Column, i: Column, value: Column) -> Column:
-        return F.transform(array, lambda x, j: F.when(j == i, value).otherwise(x))
-
-    def step(now: Column, slot: Column) -> Column:
-        ready = F.transform(now["deadline"], lambda d, j: F.when(F.get(now["release"], j) <= slot, F.struct(d.alias("deadline"), j.alias("i"))))
-
-        def place(p: Column) -> Column:
-            i, block = p["i"], p["block"]
-            x = F.get(sources, i)
-            more = block + first < x["blocks"]
-            return F.struct(
-                put(now["given"], i, block + first).alias("given"),
-                put(now["release"], i, F.when(more, _moment(sources, x["share"], block + first)["low"]).otherwise(F.lit(_NEVER))).alias("release"),
-                put(now["deadline"], i, F.when(more, _moment(sources, x["share"], block + second)["high"]).otherwise(F.lit(_NEVER))).alias("deadline"),
-                F.concat(now["picks"], F.lpad(F.hex(i), _DIGITS, "0")).alias("picks"),
-            )
-
-        pick = lambda x: F.struct(x["i"].alias("i"), F.get(now["given"], x["i"]).alias("block"))
-        return _next(now, _let(F.array_min(ready), pick), place)
-
-    def frame(now: Column, begin: Column) -> Column:
-        state = F.struct(now["given"].alias("given"), now["release"].alias("release"), now["deadline"].alias("deadline"), F.lit("").alias("picks"))
-        end = F.aggregate(F.sequence(begin, F.least(begin + FRAME, F.col("slots")) - 1), state, step)
-        return _next(now, end, lambda x: F.struct(x["given"].alias("given"), x["release"].alias("release"), x["deadline"].alias("deadline"), F.concat(now["frames"], F.array(x["picks"])).alias("frames")))
-
-    start = F.struct(
-        F.transform("sources", lambda x: none).alias("given"),
-        F.transform("sources", lambda x: none).alias("release"),
-        F.transform("sources", lambda x: _moment(sources, x["share"], first)["high"]).alias("deadline"),
-        F.array().cast("array<string>").alias("frames"),
-    )
-    folded = one.select(F.transform("sources", lambda x: x["key"]).alias("keys"), F.aggregate(F.sequence(none, F.col("slots") - 1, F.lit(FRAME).cast("long")), start, frame)["frames"].alias("frames"))
-    folded = folded.select("keys", F.posexplode("frames").alias("frame", "picks"))
-    each = folded.select("keys", "frame", "picks", F.explode(F.sequence(F.lit(0), _div(F.length("picks"), F.lit(_DIGITS)).cast("int") - 1)).alias("at"))
-    i = F.conv(F.substr("picks", F.col("at") * _DIGITS + 1, F.lit(_DIGITS)), 16, 10).cast("int")
-    each = each.select(F.get("keys", i).alias("key"), (F.col("frame").cast("long") * FRAME + F.col("at")).alias("slot"))
-    each = each.withColumn("block", F.row_number().over(Window.partitionBy("key").orderBy("slot")).cast("long") - 1)  # MOST_BLOCKS rows at most
-
-    # the same windows, made for all blocks side by side
-    every = one.select("sources", F.explode("sources").alias("s")).select("sources", "s.key", "s.share", "s.blocks")
-    every = every.select("sources", "key", "share", "blocks", F.explode(F.sequence(none, F.col("blocks") - 1, F.lit(FRAME).cast("long"))).alias("begin")).repartition("key", "begin")
-    every = every.select("sources", "key", "share", F.explode(F.sequence("begin", F.least(F.col("begin") + FRAME, F.col("blocks")) - 1)).alias("block"))
-    windows = every.select("key", "block", _moment(sources, F.col("share"), F.col("block"))["low"].alias("release"), _moment(sources, F.col("share"), F.col("block") + 1)["high"].alias("deadline"))
-    return windows.join(each, ["key", "block"]).select("key", "block", "release", "deadline", "slot")
-
-
-def _sorted_slots(light: DataFrame, weighed: DataFrame, block_docs: int) -> DataFrame:
-    """As schedule, by sorting blocks by (virtual deadline, key, block); releases and deadlines are null.
-
-    light has (key, rank) of every document.
+    marks = sources.selectExpr("*", f"explode(sequence(1L, blocks, {FRAME}L)) AS begin").repartition("key", "begin")
+    marks = marks.selectExpr("key", "share", "blocks", f"explode(sequence(begin, least(begin + {FRAME - 1}, blocks))) AS k")
+    at = [f"at{i}" for i in range(5)]
+    marks = marks.selectExpr("*", *_quotient("k", "share", at), "if(k = blocks, blocks, 0L) AS ended", "if(k = blocks, share, 0L) AS idle")
+    marks = _scanned(marks, [*at, "key", "k"], ["ended", "idle"], "mix-marks")
+    # ended_before + k * active / share in two steps, each within 64 bits for k up to 2**42
+    marks = marks.selectExpr("key", "share", "blocks", "k", "ended_before", f"{shares}L - idle_before AS active")
+    marks = marks.selectExpr("key", "share", "blocks", "k", "ended_before + k * (active div share) AS whole", "active % share AS more", "shiftright(k, 20) * (active % share) AS high")
+    marks = marks.selectExpr("key", "share", "blocks", "k", f"whole + (high div share) * {1 << 20} AS whole", f"high % share * {1 << 20} + k % {1 << 20} * more AS rest")
+    begins, ends = "struct(k AS block, whole + rest div share AS release, bigint(null) AS deadline)", "struct(k - 1 AS block, bigint(null) AS release, whole + (rest + share - 1) div share AS deadline)"
+    both = marks.selectExpr("key", "share", "blocks", f"inline(array({begins}, {ends}))").where("block < blocks")
+    both = both.groupBy("key", "block", "share", "blocks").agg(F.expr("coalesce(max(release), 0L) AS release"), F.expr("max(deadline) AS deadline"))
+    both = both.selectExpr("key", "block", "release", "deadline", *_quotient("blocks", "share", at))
+    return _scanned(both, ["deadline", *at, "key"], [], "mix-due").drop(*at)
+
+
+def _first_free(jobs: DataFrame, n: int) -> DataFrame:
+    """(number, slot) of n jobs (number, release), from 0: in the order of numbers each takes the first slot from its release on that is free.
+
+    All slots below n are taken.  A band of jobs with consecutive numbers has as many slots; `at` counts the slots of the band before
+    a job's release, or before a slot.
     """
-    heads = light.where(F.col("rank") % block_docs == 0).select("key", F.floor(F.col("rank") / block_docs).alias("block"))
-    due = heads.join(weighed.select("key", "weight"), "key").select("key", "block", ((F.col("block") + 1) / F.col("weight")).alias("due"))
-    parts = staged(due.repartitionByRange("due", "key", "block").withColumn("part", F.spark_partition_id()), "mix-due")
-    before = parts.groupBy("part").agg(F.count("*").alias("n"))  # one row for each partition
-    before = before.select("part", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("part").orderBy("due", "key", "block"))
-    none = F.lit(None).cast("long")
-    return parts.withColumn("nth", nth).join(F.broadcast(before), "part").select("key", "block", none.alias("release"), none.alias("deadline"), (F.col("before") + F.col("nth") - 1).alias("slot"))
+    size = 1
+    while size < n:
+        size *= WAYS
+    jobs = jobs.selectExpr("number", "release AS at")
+    slots = jobs.selectExpr("0L AS band", "number AS at", "number AS slot")
+    old: list[DataFrame] = []
+    ways = range(WAYS - 1)  # c0, c1, ...: of the first classes, jobs released up to a slot, less the slots of the band before it
+    here, chunks = "OVER (PARTITION BY band, chunk ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND {})", "OVER (PARTITION BY band ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    upto, earlier = here.format("CURRENT ROW"), here.format("1 PRECEDING")
+    while size > 1:
+        size, unit = size // WAYS, size
+        own = jobs.selectExpr("number", "at", f"number div {unit} AS band", f"int(number % {unit} div {size}) AS way")
+        counts = own.groupBy("band", "at").agg(*(F.expr(f"count_if(way <= {i}) AS n{i}") for i in ways))
+        rows = slots.join(counts, ["band", "at"], "left").selectExpr("band", "at", "slot", f"at div {CHUNK} AS chunk", *(f"coalesce(n{i}, 0L) AS n{i}" for i in ways))
+        rows = rows.selectExpr("band", "at", "slot", "chunk", *(f"sum(n{i}) {upto} - at AS c{i}" for i in ways))
+        if unit > CHUNK:  # what the chunks before add, a row for each
+            sums = rows.groupBy("band", "chunk").agg(*(F.expr(f"max_by(c{i} + at, at) AS n{i}") for i in ways))
+            sums = sums.selectExpr("band", "chunk", *(f"coalesce(sum(n{i}) {chunks}, 0L) AS n{i}" for i in ways))
+            rows = staged(rows.join(sums, ["band", "chunk"]).selectExpr("band", "at", "slot", "chunk", *(f"c{i} + n{i} AS c{i}" for i in ways)), "mix-sums")
+            old.append(rows)
+            lows = rows.groupBy("band", "chunk").agg(*(F.expr(f"min(c{i}) AS low{i}") for i in ways))
+            rows = rows.join(lows.selectExpr("band", "chunk", *(f"min(low{i}) {chunks} AS low{i}" for i in ways)), ["band", "chunk"])
+        # taken: slots of the first classes before this one, which is theirs too if more jobs are released by then
+        low = (lambda i: f", low{i}") if unit > CHUNK else (lambda i: "")
+        rows = rows.selectExpr("band", "at", "slot", *(f"c{i} + at AS n{i}" for i in ways), *(f"at - 1 + least(1L, min(c{i}) {earlier}{low(i)}) AS taken{i}" for i in ways))
+        way = "CASE " + " ".join(f"WHEN n{i} > taken{i} THEN {i}" for i in ways) + f" ELSE {WAYS - 1} END AS way"
+        before = f"array(taken0, {', '.join(f'taken{i} - taken{i - 1}' for i in ways[1:])}, at - taken{WAYS - 2}) AS before"
+        rows = staged(rows.selectExpr("band", "at", "slot", way, before), "mix-round")
+        if size > 1:
+            jobs = staged(own.join(rows.select("band", "at", "before"), ["band", "at"]).selectExpr("number", "before[way] AS at"), "mix-jobs")
+        unstage(*old)
+        old = [rows, jobs] if size > 1 else [rows]
+        slots = rows.selectExpr(f"band * {WAYS} + way AS band", "before[way] AS at", "slot")
+    return slots.selectExpr("band AS number", "slot")
 
 
-def exact_order(docs: DataFrame, weights: DataFrame | None = None, *, exponent: float = 0.9, block_docs: int = 16, most_sources: int = MOST_SOURCES, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+def schedule(weighed: DataFrame, block_docs: int) -> DataFrame:
+    """(key, block, release, deadline, slot) of all blocks from (key, n, weight)."""
+    scale = 2.0 ** min(1000, 60 - math.frexp(weighed.agg(F.max("weight")).first()[0] or 1.0)[1])
+    # a sum of whole numbers is the same in every run
+    total = float(weighed.agg(F.sum(F.floor(F.col("weight") * scale).cast("decimal(38,0)"))).first()[0] or 1)
+    share = F.greatest(F.lit(1).cast("long"), F.round(F.col("weight") * scale / total * PARTS).cast("long"))
+    sources = staged(weighed.select("key", share.alias("share"), F.expr(f"(n + {block_docs - 1}) div {block_docs} AS blocks")), "mix-sources")
+    shares, n = sources.agg(F.sum("share"), F.sum("blocks")).first()
+    windows = staged(_windows(sources, shares or 0), "mix-windows")
+    return windows.join(_first_free(windows, n or 0), "number").select("key", "block", "release", "deadline", "slot")
+
+
+def exact_order(docs: DataFrame, weights: DataFrame | None = None, *, exponent: float = 0.9, block_docs: int = 16, most_sources: int | None = None, most_blocks: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, source): where the mix places it.
 
     Columns: doc_id, source, block (its number within the source), release, deadline, slot, place (within
     the block), kept, and row: all columns of docs.  Target weights are given (source, weight) or a power of
     each source's size.  Every document of a source with a positive weight is kept, others get no slot.  Blocks
-    have block_docs documents, or what it takes to have no more than most_blocks.  A null source is a source of
-    its own.  A null id counts as an empty text; rows that share an id are neighbours in no defined order.  Texts
-    are not read.  No row gives no row.
+    have block_docs documents or, if most_blocks is given, what it takes to have no more.  most_sources is left from a
+    schedule that had another way for many sources, and changes nothing.  A null source is a source of its own.  A null id
+    counts as an empty text; rows that share an id are neighbours in no defined order.  Texts are not read.  No row gives no row.
     """
     rows = _keyed(docs, F.struct(*docs.columns).alias("row"))
     sizes = staged(_keyed(docs).groupBy("key").agg(F.count("*").alias("n")), "mix-sizes")
     weighed = staged(_weighed(sizes, weights, exponent), "mix-weights")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    block_docs = max(block_docs, -(-total // most_blocks))
-    many = weighed.count() > most_sources
-    if many:
-        slots = _sorted_slots(_ranked(_keyed(docs), total).select("key", "rank"), weighed, block_docs)
-    else:
-        slots = schedule(weighed, block_docs)
-    slots = staged(slots, "mix-schedule")
-    if not many:  # no more than most_blocks + most_sources short rows: spares the texts a shuffle
-        slots = F.broadcast(slots)
+    if most_blocks:
+        block_docs = max(block_docs, -(-total // most_blocks))
+    slots = staged(schedule(weighed, block_docs), "mix-schedule")
     ranked = _ranked(rows, total).withColumn("block", F.floor(F.col("rank") / block_docs))
     unstage(sizes, weighed)
     placed = ranked.join(slots, ["key", "block"], "left")

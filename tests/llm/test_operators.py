@@ -429,6 +429,54 @@ def test_mix_of_many_sources(spark):
     assert {r["source"] for r in exact_order(table, weights, most_sources=1).where("kept").collect()} == {"hot", "s1"}
 
 
+def earliest_deadline_first(order, blocks, weights):
+    """Sources by slot, from the windows that order has: a heap of the released blocks, slot by slot."""
+    import heapq
+    from fractions import Fraction
+
+    total = sum(weights.values())
+    first = {k: (Fraction(blocks[k], max(1, round(w / total * (1 << 40)))), k is None, k or "") for k, w in weights.items()}
+    released, heap, out = collections.defaultdict(list), [], []
+    for source, release, deadline in order:
+        released[release].append((deadline, first[source], source))
+    for slot in range(len(order)):
+        for x in released[slot]:
+            heapq.heappush(heap, x[:2] + ((x[2],),))
+        out.append(heapq.heappop(heap)[2][0])
+    return out
+
+
+@pytest.mark.parametrize("sources", [3, 1500])
+def test_mix_has_one_rule_for_all_numbers_of_sources(spark, monkeypatch, sources):
+    """Earliest deadline first slot by slot, less than a block from the weights, also where chunks are many and sources beyond a thousand."""
+    from cairn.llm import mixing
+
+    r = random.Random(sources)
+    names = [None, *(f"s{i}" for i in range(1, sources))]
+    weights = {k: r.choice([0.5, 0.25, 0.125, 1.0, 8.0]) for k in names}
+    sizes = {k: r.randint(1, 6000 // sources) for k in names} | {"s1": 900}
+    table = spark.createDataFrame([(i, k) for i, k in enumerate(k for k, m in sizes.items() for _ in range(m))], "doc_id long, source string")
+    given = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    monkeypatch.setattr(mixing, "CHUNK", 100)
+    got = mixing.exact_order(table, given, block_docs=2).collect()
+    order = placed_blocks(got)
+    blocks = {k: -(-m // 2) for k, m in sizes.items()}
+    assert len(got) == sum(sizes.values()) and len(order) == sum(blocks.values())
+    assert all(release is not None and release <= s < deadline for s, (_, release, deadline) in enumerate(order))
+    assert [k for k, *_ in order] == earliest_deadline_first(order, blocks, weights)
+    few = mixing.exact_order(table, given, block_docs=2, most_sources=2).collect()
+    assert collections.Counter(map(str, few)) == collections.Counter(map(str, got))
+
+
+def test_mix_blocks_do_not_grow(spark):
+    """A corpus of more than 2**18 blocks has blocks as small as any other."""
+    from cairn.llm.mixing import exact_order
+
+    table = spark.range((1 << 18) + 1000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'a', 'b') AS source")
+    got = exact_order(table, block_docs=1).agg(F.max("place"), F.countDistinct("slot"), F.min(F.col("slot") - F.col("release")), F.min(F.col("deadline") - F.col("slot"))).first()
+    assert tuple(got)[:2] == (0, (1 << 18) + 1000) and got[2] >= 0 and got[3] > 0
+
+
 # ---------------------------------------------------------------- 9
 
 
