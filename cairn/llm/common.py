@@ -98,6 +98,24 @@ def is_small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+# ---------------------------------------------------------------- sums in an order
+
+
+def scanned(rows: DataFrame, order: list[str], sums: list[str], name: str) -> DataFrame:
+    """rows with their number in an order that tells them apart, and for each of sums its sum over the rows before.
+
+    Rows are dealt by ranges of the order; only the totals of the ranges meet.
+    """
+    parts = staged(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+    totals = parts.groupBy("part").agg(F.expr("count(*) AS number"), *(F.expr(f"sum({c}) AS {c}") for c in sums))
+    ranges = "OVER (PARTITION BY 0 ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"  # one row for each partition
+    totals = totals.selectExpr("part", *(f"coalesce(sum({c}) {ranges}, 0L) AS all_{c}" for c in ["number", *sums]))
+    here = f"OVER (PARTITION BY part ORDER BY {', '.join(order)}"
+    own = [f"row_number() {here}) - 1 AS number", *(f"coalesce(sum({c}) {here} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS {c}_before" for c in sums)]
+    placed = parts.selectExpr("*", *own).join(F.broadcast(totals), "part")
+    return placed.selectExpr(*rows.columns, "number + all_number AS number", *(f"{c}_before + all_{c} AS {c}_before" for c in sums))
+
+
 # ---------------------------------------------------------------- ranges of ids
 
 #: Ranges at most: their bounds (33 bytes each) are a literal of every task.

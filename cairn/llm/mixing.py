@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import staged, unstage
+from cairn.llm.common import scanned, staged, unstage
 
 BIN_ROWS = 4096
 #: Weights in whole parts of this.
@@ -75,21 +75,6 @@ def _quotient(a: str, b: str, names: list[str]) -> list[str]:
     return out
 
 
-def _scanned(rows: DataFrame, order: list[str], sums: list[str], name: str) -> DataFrame:
-    """rows with their number in an order that tells them apart, and for each of sums its sum over the rows before.
-
-    Rows are dealt by ranges of the order; only the totals of the ranges meet.
-    """
-    parts = staged(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
-    totals = parts.groupBy("part").agg(F.expr("count(*) AS number"), *(F.expr(f"sum({c}) AS {c}") for c in sums))
-    ranges = "OVER (PARTITION BY 0 ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"  # one row for each partition
-    totals = totals.selectExpr("part", *(f"coalesce(sum({c}) {ranges}, 0L) AS all_{c}" for c in ["number", *sums]))
-    here = f"OVER (PARTITION BY part ORDER BY {', '.join(order)}"
-    own = [f"row_number() {here}) - 1 AS number", *(f"coalesce(sum({c}) {here} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS {c}_before" for c in sums)]
-    scanned = parts.selectExpr("*", *own).join(F.broadcast(totals), "part")
-    return scanned.selectExpr(*rows.columns, "number + all_number AS number", *(f"{c}_before + all_{c} AS {c}_before" for c in sums))
-
-
 def _windows(sources: DataFrame, shares: int) -> DataFrame:
     """(key, block, release, deadline, number) of all blocks of sources (key, share, blocks), numbered by deadline; shares is their sum.
 
@@ -99,7 +84,7 @@ def _windows(sources: DataFrame, shares: int) -> DataFrame:
     marks = marks.selectExpr("key", "share", "blocks", f"explode(sequence(begin, least(begin + {FRAME - 1}, blocks))) AS k")
     at = [f"at{i}" for i in range(5)]
     marks = marks.selectExpr("*", *_quotient("k", "share", at), "if(k = blocks, blocks, 0L) AS ended", "if(k = blocks, share, 0L) AS idle")
-    marks = _scanned(marks, [*at, "key", "k"], ["ended", "idle"], "mix-marks")
+    marks = scanned(marks, [*at, "key", "k"], ["ended", "idle"], "mix-marks")
     # ended_before + k * active / share in two steps, each within 64 bits for k up to 2**42
     marks = marks.selectExpr("key", "share", "blocks", "k", "ended_before", f"{shares}L - idle_before AS active")
     marks = marks.selectExpr("key", "share", "blocks", "k", "ended_before + k * (active div share) AS whole", "active % share AS more", "shiftright(k, 20) * (active % share) AS high")
@@ -108,7 +93,7 @@ def _windows(sources: DataFrame, shares: int) -> DataFrame:
     both = marks.selectExpr("key", "share", "blocks", f"inline(array({begins}, {ends}))").where("block < blocks")
     both = both.groupBy("key", "block", "share", "blocks").agg(F.expr("coalesce(max(release), 0L) AS release"), F.expr("max(deadline) AS deadline"))
     both = both.selectExpr("key", "block", "release", "deadline", *_quotient("blocks", "share", at))
-    return _scanned(both, ["deadline", *at, "key"], [], "mix-due").drop(*at)
+    return scanned(both, ["deadline", *at, "key"], [], "mix-due").drop(*at)
 
 
 def _first_free(jobs: DataFrame, n: int) -> DataFrame:

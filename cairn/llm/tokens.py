@@ -1,11 +1,11 @@
 """Token ids in wavelet-matrix shards.
 
-A shard holds the ids of a run of documents in ascending doc_id order as a wavelet matrix: one bit-plane
+A shard holds the ids of a run of documents in ascending doc_id order, or another that is given, as a wavelet matrix: one bit-plane
 for each bit of an id, most significant first, each plane stably sorted by the planes above it.  Planes
 are compressed in blocks with the number of ones before each block, so that a token, the count of an id
 in a range, or its k-th occurrence is read from a few blocks of one compressed file.
 
-Shards are cut at exact quantiles of the text sizes in doc_id order and rolled after a number of tokens,
+Shards are cut at exact quantiles of the text sizes in that order and rolled after a number of tokens,
 written under temporary names in the shared folder and renamed; the manifest, committed beside them at the
 end, lists them.  A task that runs again writes the same bytes to the same name.
 
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import committed, file_system, fresh_path, range_bounds, range_key, range_of, staged, unstage
@@ -411,24 +411,28 @@ def _writer(folder: str, tokenizer: str, end_id: int, most_tokens: int):
     return write
 
 
-def write_shards(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, shard_size: int = SHARD_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, *, order: tuple[Column, Column] | None = None, end_id: int = END_ID, shard_size: int = SHARD_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write docs (doc_id, text) as shards; the manifest: shard, part, path, n_docs, n_tokens, n_bytes, start.
 
-    Documents are in ascending doc_id order, those without an id first, equal ids by a hash of the text.  A null or
+    Documents are in ascending doc_id order, those without an id first, equal ids by a hash of the text; or in the order
+    of two numbers that are given for them.  A null or
     empty text is the end id alone, and a text of any length is one document of one file.  No row gives no shard and
     an empty manifest.  Rows that agree in id and text are written each.  tokenizer is the path of a tokenizers
     file on every worker.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("tie", F.xxhash64("text"))
-    key = range_key(F.col("doc_id"), F.col("tie"))
+    own = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    if order is None:
+        first, docs = "doc_id", docs.select(*own).withColumn("tie", F.xxhash64("text"))
+    else:
+        first, docs = "first", docs.select(*own, *(c.cast("long").alias(n) for c, n in zip(order, ["first", "tie"], strict=True)))
+    key = range_key(F.col(first), F.col("tie"))
     bounds = range_bounds(docs.select(key.alias("key"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("bytes")), shard_size)
     folder = fresh_path(spark, "token-shards")
     store, top = file_system(folder)
     store.create_dir(top)
-    placed = docs.select(range_of(key, bounds).cast("int").alias("shard"), "doc_id", "text", "tie").repartitionById(len(bounds) + 1, F.col("shard"))
-    placed = placed.sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "tie", "text").drop("tie")
+    placed = docs.select(range_of(key, bounds).cast("int").alias("shard"), *docs.columns).repartitionById(len(bounds) + 1, F.col("shard"))
+    placed = placed.sortWithinPartitions("shard", F.asc_nulls_first(first), "tie", "text").select("shard", "doc_id", "text")
     written = staged(placed.mapInArrow(_writer(folder, tokenizer, end_id, shard_tokens), "shard long, part long, path string, n_docs long, n_tokens long, n_bytes long"), "token-manifest")
     # ids before a range, for at most MOST_RANGES ranges, and before a file within its range
     before = written.groupBy("shard").agg(F.sum("n_tokens").alias("own"))

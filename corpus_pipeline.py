@@ -4,8 +4,8 @@ quality rules -> MinHash near-dedup -> benchmark decontamination -> mixing to ta
 
 Every stage but the last returns rows of documents, unchanged, with all their columns, whatever else these are
 called.  A decision names documents by doc_id: rows that share an id share its fate, and rows without an id stay.
-The mix orders rows and drops none; the shards of the last stage are in the order of ids again.  An empty table
-passes through all stages.
+The mix orders rows and drops none; its order is that of the rows in its files, and the shards of the last stage follow it.
+An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn import ship
-from cairn.llm.common import fresh_path, staged
+from cairn.llm.common import fresh_path, scanned, staged
 from cairn.llm.decontaminate import contamination
 from cairn.llm.mixing import exact_order
 from cairn.llm.near_dup import near_duplicates
@@ -74,9 +74,20 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: DataFrame |
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of what is left, as read back from the files; a null or empty text is its end id alone."""
+    """Token shards of what is left, as read back from the files; a null or empty text is its end id alone.
+
+    The shards have documents in the order in which docs are stored, which is that of the mix; docs is a stored table, as it was
+    read.  mix_start is the number of ids before a document in the shards, start that of all documents with smaller
+    ids; documents without an id come first there, and rows that share an id are in the order of their ids' crc32.
+    """
     ship(spark)
-    return token_shards(docs, tokenizer_path())
+    stored = docs.metadataColumn("_metadata")
+    name = lambda pattern: F.regexp_extract(stored["file_name"], pattern, 1).try_cast("long")
+    # a task's files are numbered, and so are the parts that it rolled them into
+    file = name(r"^part-(\d+)") * (1 << 20) + F.coalesce(name(r"-c(\d+)[^-]*$"), F.lit(0))
+    shards = token_shards(docs, tokenizer_path(), order=(file, stored["row_index"])).withColumnRenamed("start", "mix_start")
+    placed = scanned(shards, ["doc_id", "ids_crc32", "n_tokens", "mix_start"], ["n_tokens"], "pipeline-tokens")
+    return placed.select("doc_id", F.col("n_tokens_before").alias("start"), "n_tokens", "ids_crc32", "mix_start")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

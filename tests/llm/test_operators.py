@@ -886,6 +886,24 @@ def test_pseudonyms_of_many_values():
 # ---------------------------------------------------------------- pipeline
 
 
+def test_shards_follow_the_mix(spark, tmp_path):
+    """The files of the last stage have documents in the mix's order, and start still counts in the order of ids."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+    from cairn.llm.mixing import exact_order
+
+    table = spark.createDataFrame([(i, f"text {i} " * (1 + i % 7), f"s{i * i % 5 % 3}") for i in range(400)] + [(None, None, None)], "doc_id long, text string, source string")
+    corpus_pipeline.mix(spark, table, "").write.option("maxRecordsPerFile", 70).parquet(f"{tmp_path}/mixed")
+    got = corpus_pipeline.token_output(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    want = [r["doc_id"] for r in sorted(exact_order(table).collect(), key=lambda r: (r["slot"], r["place"]))]
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["mix_start"])] == want != sorted(want, key=lambda d: (d is not None, d))
+    for column, order in (("mix_start", lambda r: r["mix_start"]), ("start", lambda r: (r["doc_id"] is not None, r["doc_id"]))):
+        at = 0
+        for r in sorted(got, key=order):
+            assert r[column] == at
+            at += r["n_tokens"]
+
+
 def plain_pipeline(rows, bench, outliers):
     """Ids and crc32 of the ids' bytes of what run() leaves, from (doc_id, text, source) rows; outliers are those of MCD."""
     from public_tokenizers import path
